@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.fingerprint import edit_report
+
+    return edit_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,9 +31,17 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_before", "lines_removed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_packing": op6_packing, "op9_pii": op9_pii}
+    return {f.__name__: f for f in (op3_fingerprint, op6_packing, op9_pii, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from trailmark.llm import line_dedup
+
+    return {"op10_line_dedup": line_dedup.ORACLE}
