@@ -16,6 +16,9 @@ _lower[65:91] += 32
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
 
+_punct = _space.copy()
+_punct[[i for i in range(128) if not chr(i).isalnum()]] = True
+
 _powers = [np.ones(1, _U), np.ones(1, _U)]
 
 
@@ -40,13 +43,14 @@ class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of an Arrow text column, A-Z in lower case.
 
     row: the text of each word; start, end: its bytes in `data`; hashes: 64-bit polynomial hashes of its bytes, mixed.
+    With `plain`, all ASCII characters but letters and digits part words too.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, plain: bool = False):
         raw, at = byte_view(texts)
         self.rows, self.data = len(texts), _lower[raw]
         blank = np.ones(len(raw) + 1, bool)
-        blank[:-1] = _space[raw]
+        blank[:-1] = (_punct if plain else _space)[raw]
         first = np.zeros(len(raw) + 1, bool)
         first[at] = True
         before = np.empty(len(raw) + 1, bool)

@@ -17,6 +17,12 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.langid import language_report
+
+    return language_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +31,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.toxicity import toxicity_report
+
+    return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailmark.llm.pii import digest, find_pii
 
@@ -38,7 +50,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fingerprint, op6_packing, op9_pii, op10_line_dedup)}
+    return {f.__name__: f for f in (op3_fingerprint, op5_language_id, op6_packing, op8_toxicity, op9_pii, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
