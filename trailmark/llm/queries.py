@@ -31,6 +31,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.ann import nearest_report
+
+    return nearest_report(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailmark.llm.toxicity import toxicity_report
 
@@ -50,7 +56,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fingerprint, op5_language_id, op6_packing, op8_toxicity, op9_pii, op10_line_dedup)}
+    return {f.__name__: f for f in (op3_fingerprint, op5_language_id, op6_packing, op7_nearest_vectors, op8_toxicity, op9_pii, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

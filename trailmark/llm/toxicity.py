@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +103,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     rows = map_texts(sample.select("text", "y"), "text", "y double, buckets array<int>", step).toArrow()
     y, lists = np.asarray(rows["y"], float), rows["buckets"].combine_chunks()
     bucket = np.asarray(lists.flatten() if len(y) else [], np.int64)
-    sizes = np.asarray(pa.compute.list_value_length(lists), np.int64) if len(y) else np.zeros(0, np.int64)
+    sizes = np.asarray(pc.list_value_length(lists), np.int64) if len(y) else np.zeros(0, np.int64)
     return fit_machine(np.repeat(np.arange(len(y)), sizes), bucket, y, **options)
 
 
