@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.ngram_join import similar_components
+
+    return similar_components(_table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailmark.llm.fingerprint import edit_report
 
@@ -56,10 +62,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fingerprint, op5_language_id, op6_packing, op7_nearest_vectors, op8_toxicity, op9_pii, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_ngram_jaccard, op3_fingerprint, op5_language_id, op6_packing, op7_nearest_vectors, op8_toxicity, op9_pii, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from trailmark.llm import line_dedup
+    from trailmark.llm import line_dedup, ngram_join
 
-    return {"op10_line_dedup": line_dedup.ORACLE}
+    return {"op2_ngram_jaccard": ngram_join.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
