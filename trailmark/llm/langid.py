@@ -227,14 +227,15 @@ def label_words(text: str, field: Field) -> list[tuple[str, str, float]]:
     return [(w, field.labels[j], float(q[j])) for w, q, j in zip(words, p, p.argmax(1), strict=True)]
 
 
-def identify_language(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every whole text.
+def with_language(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
+    """The input's rows and columns, then lang_pred and score of every whole text.
 
     lang_pred is the label with the largest mean posterior over the text's words, score that mean (0 to 1). Null texts
-    and texts without a letter are "und" with score 0, as is everything when nothing could be learned. Map-only; the
-    broadcast field has a fixed size (SPACE weights a label).
+    and texts without a letter are "und" with score 0, as is everything when nothing could be learned. Columns of the
+    input with those names are replaced. Map-only; the broadcast field has a fixed size (SPACE weights a label).
     """
     shared, made = docs.sparkSession.sparkContext.broadcast(field), []
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def step(part: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
         pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -245,14 +246,14 @@ def identify_language(docs: DataFrame, field: Field | None, id_col: str = "doc_i
             best = share.argmax(1)
             pred = [shared.value.labels[j] if k else UNKNOWN for j, k in zip(best, n, strict=True)]
             score = np.where(n > 0, np.minimum(1.0, share[np.arange(len(best)), best]), 0.0)
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*part.schema.names, "p", "s"])
 
-    frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(frame, "text", f"id {kind}, lang_pred string, score double", step).withColumnRenamed("id", id_col)
+    frame = docs.select(names).toDF(*[f"c{i}" for i in range(len(names))])
+    schema = ", ".join([*[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)], "p string, s double"])
+    return map_texts(frame, f"c{names.index(text_col)}", schema, step).toDF(*names, "lang_pred", "score")
 
 
 def language_report(docs: DataFrame, bound: int = 6000) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns from rows whose crc32(doc_id) modulo 4 isn't 2."""
     field = fit_language_id(docs.where(remainder("doc_id", 4) != 2), bound=bound)
-    return identify_language(docs, field).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return with_language(docs.select("doc_id", "text"), field).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")

@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailmark.llm.ngram_join import similar_components
 
@@ -23,6 +29,12 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.mixing import mix_report
+
+    return mix_report(_table(spark, sf_dir, "documents"), repetition_limit=2.0)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailmark.llm.langid import language_report
 
@@ -61,8 +73,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_before", "lines_removed")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard, op3_fingerprint, op5_language_id, op6_packing, op7_nearest_vectors, op8_toxicity, op9_pii, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard, op3_fingerprint, op4_mixing, op5_language_id, op6_packing, op7_nearest_vectors, op8_toxicity, op9_pii, op10_line_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
