@@ -23,6 +23,8 @@ from trailmark.llm._words import Words, mix
 
 #: Counters of the frequency sketch (4 bytes each; a broadcast of fixed size), in CHUNK-sized parts for their sum.
 SKETCH, CHUNK = 1 << 20, 1 << 13
+#: Bits of a filter of hashed keys (a broadcast of fixed size), in parts of CHUNK bytes. A full filter only lets more pass.
+FILTER_BITS = 1 << 26
 #: Documents of a tile that one task compares with as many others at a time, and rows of small tiles that it takes together.
 BLOCK, LUMP = 512, 20_000
 
@@ -67,32 +69,59 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
     return map_texts(docs, "text", f"id {docs.schema['id'].dataType.simpleString()}, n int, node bigint, bits binary", step)
 
 
+def _gathered(rows: DataFrame, dtype: str, size: int, add: np.ufunc) -> np.ndarray:
+    """A table of `size` numbers of which tasks made parts (chunk, values): the parts of a chunk are reduced by `add`."""
+
+    def reduce(key, parts):
+        values = add.reduce([np.frombuffer(x.as_py(), dtype) for x in parts["values"]], 0, dtype)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "values": pa.array([values.tobytes()], pa.binary())})
+
+    out = np.zeros(size, dtype).reshape(-1, CHUNK)
+    for r in rows.groupBy("chunk").applyInArrow(reduce, "chunk int, values binary").collect():
+        out[r["chunk"]] = np.frombuffer(r["values"], dtype)
+    return out.ravel()
+
+
+def _parts(table: np.ndarray) -> pa.RecordBatch:
+    parts = table.reshape(-1, CHUNK)
+    own = np.flatnonzero(parts.any(1))
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([parts[k].tobytes() for k in own], pa.binary())], names=["chunk", "values"])
+
+
 def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
     """How many shingles of all texts fall on each of SKETCH counters. Tasks count alone; the sums take SKETCH numbers."""
 
     def run(batches):
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, "<u4")
         for batch in batches:
             for _, texts in chunks(batch, "text"):
-                total += np.bincount((Words(texts).shingles(size)[1] >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
-        if total.any():
-            parts = np.minimum(total, 0xFFFFFFFF).astype("<u4").reshape(-1, CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "counts"])
+                total += np.bincount((Words(texts).shingles(size)[1] >> np.uint64(44)).astype(np.int64), minlength=SKETCH).astype("<u4")
+        yield _parts(total)
+
+    return _gathered(docs.select("text").mapInArrow(run, "chunk int, values binary"), "<u4", SKETCH, np.add)
+
+
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """Bits set for the hashed keys of a frame (h bigint)."""
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            h = np.asarray(batch.column(0), np.int64) & (FILTER_BITS - 1)
+            np.bitwise_or.at(bits, h >> 3, (1 << (h & 7)).astype(np.uint8))
+        yield _parts(bits)
+
+    return _gathered(keys.toDF("h").mapInArrow(run, "chunk int, values binary"), "u1", FILTER_BITS // 8, np.bitwise_or)
 
-    def add(key, parts):
-        counts = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in parts["counts"])
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
-    out = np.zeros(SKETCH, np.uint32)
-    for r in rows:
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<u4")
-    return out
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    h = h.view(np.int64) & (FILTER_BITS - 1)
+    return (bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
 
 
-def prefix_rows(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(token, node) of each text's prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def prefix_rows(docs: DataFrame, size: int, percent: int, counts: np.ndarray, bits: np.ndarray | None = None) -> DataFrame:
+    """(token, node) of each text's prefix; with `bits`, of the tokens that pass that filter only."""
+    shared = docs.sparkSession.sparkContext.broadcast((counts, bits))
 
     def step(part: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
         row, h, n = _sets(texts, size)
@@ -100,9 +129,11 @@ def prefix_rows(docs: DataFrame, size: int, percent: int, counts: np.ndarray) ->
         sums = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(mix(h, 2), out=sums[1:])
         node = mix(sums[starts + n] - sums[starts] + n.astype(np.uint64), 3).view(np.int64)
-        order = np.lexsort((h, shared.value[(h >> np.uint64(44)).astype(np.int64)], row))
+        order = np.lexsort((h, shared.value[0][(h >> np.uint64(44)).astype(np.int64)], row))
         rank = np.arange(len(h)) - starts[row]
         kept = order[rank < (n - least_overlap(n, percent) + 1)[row]]
+        if shared.value[1] is not None:
+            kept = kept[passes(shared.value[1], h[kept])]
         return pa.RecordBatch.from_arrays([pa.array(h[kept].view(np.int64)), pa.array(node[row[kept]])], names=["token", "node"])
 
     return map_texts(docs.select("text"), "text", "token bigint, node bigint", step)
@@ -171,14 +202,19 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, z) of the documents that stand for the wanted classes (node, n, cid)."""
+    """(node, n, z) of the documents that stand for the wanted classes (node, n, cid). A filter of the wanted ids keeps
+    most other texts from being shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.xxhash64("cid"))))
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(x.encode()) for x in batch.column(2).to_pylist()], pa.binary())], names=["node", "n", "z"])
+            part = batch.filter(pa.array(passes(shared.value, np.asarray(batch.column(1), np.int64))))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack((x or "").encode()) for x in part.column(2).to_pylist()], pa.binary())], names=["id", "z"])
 
-    return docs.join(wanted, F.col("id") == F.col("cid")).select("node", "n", "text").mapInArrow(run, "node bigint, n int, z binary")
+    kind = docs.schema["id"].dataType.simpleString()
+    packed = docs.select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(run, f"id {kind}, z binary")
+    return packed.join(wanted, F.col("id") == F.col("cid")).select("node", "n", "z")
 
 
 def tile_pairs(rows: DataFrame, tiles: DataFrame, percent: int) -> DataFrame:
@@ -230,14 +266,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = docs.where("id is not null")
     sets = cut(set_table(docs, size))
     classes = cut(sets.where("id is not null and node is not null").groupBy("node").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    prefix = prefix_rows(named, size, percent, frequency_sketch(named, size))
+    counts = frequency_sketch(named, size)
 
-    low, high = F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("node", 32)
-    tiles = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(low).alias("s"), F.sum(high).alias("t")).where("lo < hi")
-    # Shingles with the same documents make the same tile: one of them is enough.
-    tiles = cut(tiles.groupBy("c", "lo", "hi", "s", "t").agg(F.min("token").alias("token")).select("token", "lo", "hi"))
-    members = cut(prefix.join(tiles, "token").select("token", "node", "lo", "hi").distinct())
+    # Shingles with the same documents make the same tile, and one of them is enough. Their documents are compared by
+    # number, least, greatest and a sum of 31 bits of each, which can't overflow.
+    some = F.shiftrightunsigned("node", 33)
+    tiles = prefix_rows(named, size, percent, counts).groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(some).alias("s")).where("lo < hi")
+    tiles = cut(tiles.groupBy("c", "lo", "hi", "s").agg(F.min("token").alias("token")).select("token", "lo", "hi"))
     release(spark)
+    bits = bit_filter(tiles.select("token"))
+    members = cut(prefix_rows(named, size, percent, counts, bits).join(tiles, "token").select("token", "node", "lo", "hi").distinct())
     wanted = members.select("node").distinct().join(classes.drop("bits"), "node")
     texts = cut(packed_texts(named, wanted))
     release(spark)
