@@ -78,3 +78,12 @@ def share(part: Column, whole: Column) -> Column:
 
 def count_if(test: Column) -> Column:
     return F.sum(F.when(test, 1).otherwise(0)).cast("bigint")
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r as an aggregate; null where either side is constant."""
+    x, y = x.cast("double"), y.cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)

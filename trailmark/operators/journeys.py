@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.functions.columns import count_if
+from trailmark.functions.columns import correlation, count_if
 from trailmark.operators.activity import PERSON
 
 #: Join no later than the first of these project weeks and reach the core within the second number of weeks: early core.
@@ -173,4 +173,4 @@ def commits_to_core_by_size(transitions: DataFrame, small: int = 20, large: int
 def time_commit_correlation(transitions: DataFrame, group: str = "project_type", fast_weeks: int = 4, few_commits: int = 5) -> DataFrame:
     """group, n, Pearson r of weeks and commits to core, and how many are fast, need few commits, or both."""
     w, c = F.col("weeks_to_core"), F.col("commits_to_core")
-    return transitions.where("became_core").groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.corr(w.cast("double"), c.cast("double")).alias("r"), count_if(w <= fast_weeks).alias("fast"), count_if(c <= few_commits).alias("few"), count_if((w <= fast_weeks) & (c <= few_commits)).alias("fast_and_few"))
+    return transitions.where("became_core").groupBy(group).agg(F.count(F.lit(1)).alias("n"), correlation(w, c).alias("r"), count_if(w <= fast_weeks).alias("fast"), count_if(c <= few_commits).alias("few"), count_if((w <= fast_weeks) & (c <= few_commits)).alias("fast_and_few"))

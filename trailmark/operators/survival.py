@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.functions.columns import count_if
+from trailmark.functions.columns import correlation, count_if
 
 #: Distinct durations that the Cox steps take to the driver at most.
 MOST_TIMES = 100_000
@@ -229,7 +229,7 @@ def ph_test(model: CoxModel, survival: DataFrame) -> DataFrame:
     back = Window.orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)
     mean = at.select("duration", F.row_number().over(Window.orderBy("duration")).alias("place"), *[(F.sum(f"w_{c}").over(back) / F.sum("w0").over(back)).alias(f"m_{c}") for c in model.covariates])
     hits = rows.where("event = 1").join(mean, "duration")
-    out = hits.agg(F.count(F.lit(1)).alias("n"), *[F.corr(F.col(c) - F.col(f"m_{c}"), F.col("place").cast("double")).alias(c) for c in model.covariates])
+    out = hits.agg(F.count(F.lit(1)).alias("n"), *[correlation(F.col(c) - F.col(f"m_{c}"), F.col("place")).alias(c) for c in model.covariates])
     return out.unpivot(["n"], model.covariates, "covariate", "rho").select("covariate", "rho", (F.col("n") * F.col("rho") * F.col("rho")).alias("chi2"))
 
 

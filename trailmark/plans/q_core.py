@@ -336,3 +336,13 @@ SELECT metric, n1, n2, round(u, 6) AS u, round((greatest(u, n1 * n2 - u) - n1 *
   round(delta, 6) AS delta, {LABEL}, CASE WHEN median1 > median2 THEN 'A' WHEN median1 < median2 THEN 'B' WHEN mean1 > mean2 THEN 'A' WHEN mean1 < mean2 THEN 'B' ELSE 'equal' END AS direction FROM us JOIN w USING (metric) JOIN d USING (metric)""")
 def group_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.group_compare(_long(spark, sf_dir), "grp", "A", "B", min_n=5)
+
+
+@query(f"""{COUNTS}, core AS (SELECT project_name, count(*) AS k FROM ranked WHERE (cum - n) * 100 < total * 80 GROUP BY 1), people AS (SELECT project_name, count(*) AS m, max(total) AS total FROM ranked GROUP BY 1),
+s AS (SELECT DISTINCT c.project_type AS grp, core.project_name, k / m AS x FROM core JOIN people USING (project_name) JOIN (SELECT DISTINCT project_name, project_type FROM commits) c USING (project_name) WHERE total >= 10 AND m >= 3),
+p AS (SELECT count(*) FILTER (a.x > b.x) + count(*) FILTER (a.x = b.x) / 2 AS u, 2.0 * count(*) FILTER (a.x > b.x) / count(*) - 1 AS delta FROM s a, s b WHERE a.grp = 'A' AND b.grp = 'B')
+SELECT (SELECT count(*) FROM s WHERE grp = 'A') AS n1, (SELECT count(*) FROM s WHERE grp = 'B') AS n2, u::DOUBLE AS u, round(delta, 6) AS delta, round((SELECT quantile_cont(x, 0.5) FROM s WHERE grp = 'A'), 6) AS median1, round((SELECT quantile_cont(x, 0.5) FROM s WHERE grp = 'B'), 6) AS median2 FROM p""")
+def core_share_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = core.project_metrics(commits(spark, sf_dir)).select(F.lit("core_ratio").alias("metric"), F.col("project_type").alias("grp"), F.col("core_ratio").alias("x"))
+    u = stats.group_compare(m, "grp", "A", "B").select("metric", "n1", "n2", "u", "median1", "median2")
+    return u.join(stats.cliffs_delta_strict(m, "grp", "x", "A", "B", ["metric"]).select("metric", "delta"), "metric").drop("metric")
