@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a leaf that one task compares with at most about so many queries of that leaf at a time.
-ROW_BLOCK, QUERY_BLOCK = 4096, 256
+#: Rows that one task compares with so many queries at a time, both about.
+ROW_BLOCK, QUERY_BLOCK = 4096, 1024
 
 
 @dataclass
@@ -123,14 +123,19 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.add.reduce(q * x, 1)
 
 
-def best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, vector index, score) of each query's k best others, ties to the smaller id; exact in this block."""
+def best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, x: np.ndarray, k: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query index, vector index, score) of each query's k best others, ties to the smaller id; exact in this block.
+
+    `seen` (queries x vectors) says which vectors a query may have.
+    """
     rough = q @ x.T
     rough[q_id[:, None] == v_id[None, :]] = -np.inf
+    if seen is not None:
+        rough[~seen] = -np.inf
     if x.shape[0] > k:
         kth = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
         slack = 1e-9 * (1 + np.abs(q) @ np.abs(x).max(0))
-        kept = rough >= (kth - slack)[:, None]
+        kept = rough >= np.where(np.isfinite(kth), kth - slack, -np.inf)[:, None]
     else:
         kept = np.ones_like(rough, bool)
     kept &= np.isfinite(rough)
@@ -142,6 +147,19 @@ def best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, x: np.ndarray, k: in
     return i[rank < k], j[rank < k], score[rank < k]
 
 
+def packs(counts: np.ndarray, size: int = ROW_BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(pack of each leaf, blocks of each pack): neighbouring leaves share a pack of about `size` rows; a larger leaf has a
+    pack of its own, of several blocks."""
+    pack, blocks, room = np.zeros(len(counts), np.int32), [], 0
+    for leaf, n in enumerate(counts.tolist()):
+        if n > room or not blocks:
+            blocks.append(max(1, -(-n // size)))
+            room = size if n <= size else n
+        pack[leaf] = len(blocks) - 1
+        room -= n
+    return pack, np.array(blocks or [1], np.int32)
+
+
 @dataclass
 class Index:
     tree: Tree
@@ -175,7 +193,7 @@ def indexed_rows(vectors: DataFrame, tree: Tree, copies: int | None = None) -> D
     return vectors.mapInArrow(run, "vec_id bigint, v array<double>, leaf int")
 
 
-def build_index(frame: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 20_000, calibration: int = 200, k: int = 20, target: float = 0.97, branch: int = 16, leaf_size: int = 64) -> Index | None:
+def build_index(frame: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 20_000, calibration: int = 200, k: int = 20, target: float = 0.95, branch: int = 16, leaf_size: int = 64) -> Index | None:
     """Fit the tree on at most `sample` vectors, and calibrate how many leaves a search visits. None without vectors.
 
     Calibration takes `calibration` rows as queries, finds their k best among all rows exactly (each task keeps k for
@@ -220,42 +238,57 @@ def search(frame: DataFrame, queries: DataFrame, index: Index | None, id_col: st
     """Each query's k nearest rows found (largest inner product, ties to the smaller id): query_id, rank, vec_id, score.
 
     Rows and queries whose vector is null, zero, of another length, or holds null or non-finite components take no part;
-    a row isn't its own neighbour (rows are told apart by id, so repeated ids count once a vector). Queries go to the
-    leaves they visit, in groups of about QUERY_BLOCK, rows lie in blocks of about ROW_BLOCK; a task holds one pair of
-    these, whatever the size of a leaf, and gives k rows a query.
+    a row isn't its own neighbour (rows are told apart by id, so repeated ids count once a vector). Neighbouring leaves
+    lie together in packs of about ROW_BLOCK rows, larger leaves in several blocks. A query goes once to each pack that it
+    visits, with the leaves it visits there, in groups of about QUERY_BLOCK; a task holds one such pair, whatever the size
+    of a leaf, and gives k rows a query.
     """
     spark = frame.sparkSession
     if index is None:
         return spark.createDataFrame([], RESULT)
     rows = indexed_rows(_vectors(frame, id_col, vec_col), index.tree, k + 1).dropDuplicates(["vec_id", "v"])
-    shared = spark.sparkContext.broadcast(index)
+    asked = _vectors(queries, id_col, vec_col).dropDuplicates(["vec_id"])
+    # A row for each leaf at most; their number is bounded by the sample.
+    counts = np.zeros(index.tree.leaves, np.int64)
+    for r in rows.groupBy("leaf").count().collect():
+        counts[r["leaf"]] = r["count"]
+    pack, blocks = packs(counts)
+    groups = max(1, -(-asked.count() // QUERY_BLOCK))
+    shared = spark.sparkContext.broadcast((index, pack))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("pack", pa.int32()), ("leaves", pa.list_(pa.int32()))]))
+        found, pack_of = shared.value
         for batch in batches:
-            own, x = _matrix(batch.column(1), shared.value.tree.dim)
-            lists = [shared.value.tree.visit(v, shared.value.visits) for v in x]
-            if lists:
-                take = pa.array(np.repeat(own, [len(y) for y in lists]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([z for y in lists for z in y], pa.int32())], names=["query_id", "q", "leaf"])
-
-    asked = _vectors(queries, id_col, vec_col).dropDuplicates(["vec_id"]).mapInArrow(visits, "query_id bigint, q array<double>, leaf int")
-    # A row for each leaf at most, and leaves are bounded by the sample: small enough to broadcast.
-    blocks = rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).cast("int").alias("row_blocks"))
-    groups = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("query_blocks"))
-    plan = F.broadcast(blocks.join(groups, "leaf"))
+            own, x = _matrix(batch.column(1), found.tree.dim)
+            if len(own):
+                goals = []
+                for v in x:
+                    leaves = np.sort(np.array(found.tree.visit(v, found.visits)))
+                    goals.append([{"pack": int(p), "leaves": leaves[pack_of[leaves] == p].tolist()} for p in np.unique(pack_of[leaves])])
+                part = batch.take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(goals, kind)], names=["query_id", "q", "goals"])
+
     part = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-    left = asked.join(plan, "leaf").select("query_id", "q", "leaf", part("query_id", F.col("query_blocks")).alias("a"), F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("b"))
-    right = rows.join(plan, "leaf").select("vec_id", "v", "leaf", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("a"), part("vec_id", F.col("row_blocks")).alias("b"))
+    places = spark.createDataFrame([(i, int(p), int(blocks[p])) for i, p in enumerate(pack)], "leaf int, pack int, blocks int")
+    sizes = F.broadcast(places.select("pack", "blocks").distinct())
+    left = asked.mapInArrow(visits, "query_id bigint, q array<double>, goals array<struct<pack:int,leaves:array<int>>>")
+    left = left.select("query_id", "q", F.explode("goals").alias("g")).select("query_id", "q", "g.pack", "g.leaves").join(sizes, "pack")
+    left = left.select("query_id", "q", "leaves", "pack", part("query_id", F.lit(groups)).alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    right = rows.join(F.broadcast(places), "leaf").select("vec_id", "v", "leaf", "pack", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("a"), part("vec_id", F.col("blocks")).alias("b"))
 
     def compare(q: pa.Table, r: pa.Table) -> pa.Table:
         ids = [np.asarray(t[c]) for t, c in ((q, "query_id"), (r, "vec_id"))]
         if not q.num_rows or not r.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        dim = shared.value.tree.dim
-        i, j, score = best(ids[0], _matrix(q["q"], dim)[1], ids[1], _matrix(r["v"], dim)[1], k)
+        tree = shared.value[0].tree
+        leaf, lists = np.asarray(r["leaf"]), q["leaves"].combine_chunks()
+        may = np.zeros((q.num_rows, tree.leaves), bool)
+        may[np.repeat(np.arange(q.num_rows), np.asarray(pc.list_value_length(lists))), np.asarray(lists.flatten())] = True
+        i, j, score = best(ids[0], _matrix(q["q"], tree.dim)[1], ids[1], _matrix(r["v"], tree.dim)[1], k, may[:, leaf])
         return pa.table({"query_id": ids[0][i], "vec_id": ids[1][j], "score": score})
 
-    keys = ["leaf", "a", "b"]
+    keys = ["pack", "a", "b"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
