@@ -7,7 +7,7 @@ from array import array
 import numpy as np
 
 #: Cached words at most; then the cache starts anew. Bounds the memory of a task.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Separators that str.split() knows and the tokenizer's white space doesn't include: such texts take the plain path.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 _TAIL = ".,;:!?|"

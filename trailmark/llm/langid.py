@@ -21,7 +21,7 @@ SLOTS = 40
 #: A text is labelled in blocks of so many words; messages from so many words beyond both edges are computed anew.
 BLOCK, EDGE = 512, 32
 #: Distinct words that a task remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 UNKNOWN = "und"
 
 
