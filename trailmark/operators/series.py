@@ -1,12 +1,15 @@
 """Weekly contribution series: metrics, index, resampling, clustering, and life-cycle stages.
 
-A person's series is an array of doubles in one row, so shapes are changed by array expressions without a shuffle.
+A person's series is an array of doubles in one row, so shapes are changed without a shuffle: by array expressions, or by
+numpy over Arrow batches where every point of the result reads the whole array.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -118,31 +121,36 @@ def trim_active_segment(series: DataFrame, least: int = 6) -> DataFrame:
 def resample_series(series: DataFrame, length: int = 52, sparse: int = 10) -> DataFrame:
     """The trimmed series at `length` evenly spaced points: linear, or the nearest value where a series of fewer than
     `sparse` active values is stretched (halves go down). Negative values become 0; series of one point stay flat."""
-    n, s = F.size("series"), F.col("series")
-    nearest = (n < length) & (F.col("active") < sparse)
 
-    def point(i: Column) -> Column:
-        at = i * (n - 1) / float(length - 1)
-        low = F.least(F.floor(at), n - 1).cast("int")
-        high = F.least(low + 1, n - 1)
-        near = F.least(F.ceil(at - 0.5), n - 1).cast("int")
-        line = F.element_at(s, low + 1) + (at - low) * (F.element_at(s, high + 1) - F.element_at(s, low + 1))
-        return F.greatest(F.lit(0.0), F.when(nearest, F.element_at(s, F.greatest(near, F.lit(0)) + 1)).otherwise(line))
+    @F.pandas_udf("array<double>")
+    def points(values: pd.Series, active: pd.Series) -> pd.Series:
+        out = []
+        for x, k in zip(values, active, strict=True):
+            x = np.asarray(x, float)
+            at = np.arange(length) * (len(x) - 1) / (length - 1)
+            if len(x) < length and k < sparse:
+                y = x[np.clip(np.ceil(at - 0.5).astype(int), 0, len(x) - 1)]
+            else:
+                y = np.interp(at, np.arange(len(x)), x)
+            out.append(np.maximum(y, 0.0))
+        return pd.Series(out)
 
-    return series.withColumn("series", F.transform(F.sequence(F.lit(0), F.lit(length - 1)), point))
+    return series.withColumn("series", points("series", "active"))
 
 
 def scale_series(series: DataFrame, method: str = "minmax") -> DataFrame:
     """Each series to 0..1 (flat ones to 0), or to mean 0 and population deviation 1."""
-    s = F.col("series")
-    if method == "minmax":
-        low, high = F.array_min(s), F.array_max(s)
-        scaled = F.transform(s, lambda x: F.when(high > low, (x - low) / (high - low)).otherwise(F.lit(0.0)))
-        return series.withColumn("series", scaled)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
-    out = series.withColumn("mean", total(s) / F.size(s))
-    out = out.withColumn("sd", F.sqrt(total(F.transform(s, lambda x: (x - F.col("mean")) * (x - F.col("mean")))) / F.size(s)))
-    return out.withColumn("series", F.transform(s, lambda x: F.when(F.col("sd") > 0, (x - F.col("mean")) / F.col("sd")).otherwise(F.lit(0.0)))).drop("mean", "sd")
+
+    @F.pandas_udf("array<double>")
+    def scaled(values: pd.Series) -> pd.Series:
+        out = []
+        for x in values:
+            x = np.asarray(x, float)
+            base, width = (x.min(), x.max() - x.min()) if method == "minmax" else (x.mean(), x.std())
+            out.append((x - base) / width if width > 1e-12 else np.zeros(len(x)))
+        return pd.Series(out)
+
+    return series.withColumn("series", scaled("series"))
 
 
 def kmeans_series(series: DataFrame, k: int = 3, seeds: Sequence[int] = (42,), column: str = "series") -> DataFrame:

@@ -22,9 +22,9 @@ DENSE = f"WITH {TIMELINE}, {weeks('timeline')}, {WEEKLY}"
 LOOSE = f"WITH {SPARSE}, {weeks('sparse')}, {WEEKLY}"
 ACTIVE = f"""{LOOSE}, act_only AS (SELECT person, min(week_num) FILTER (ci <> 0) AS f, max(week_num) FILTER (ci <> 0) AS l, count(*) FILTER (ci <> 0) AS active FROM ci GROUP BY 1),
 trimmed AS (SELECT c.person, week_num - f AS i, ci AS x, l - f + 1 AS n, active FROM ci c JOIN act_only USING (person) WHERE active >= 6 AND week_num BETWEEN f AND l),
-pts AS (SELECT DISTINCT person, n, active, unnest(range(0, 52))::INT AS k FROM trimmed), at AS (SELECT *, k * (n - 1) / 51.0 AS pos FROM pts),
-res AS (SELECT at.person, k, greatest(0, CASE WHEN n < 52 AND active < 10 THEN nr.x ELSE lo.x + (pos - floor(pos)) * (hi.x - lo.x) END) AS x FROM at JOIN trimmed lo ON lo.person = at.person AND lo.i = least(floor(pos), at.n - 1)
-  JOIN trimmed hi ON hi.person = at.person AND hi.i = least(floor(pos) + 1, at.n - 1) JOIN trimmed nr ON nr.person = at.person AND nr.i = greatest(least(ceil(pos - 0.5), at.n - 1), 0)),
+pts AS (SELECT DISTINCT person, n, active, unnest(range(0, 52))::INT AS k FROM trimmed), pt AS (SELECT *, k * (n - 1) / 51.0 AS pos FROM pts),
+res AS (SELECT pt.person, k, greatest(0, CASE WHEN pt.n < 52 AND pt.active < 10 THEN nr.x ELSE lo.x + (pos - floor(pos)) * (hi.x - lo.x) END) AS x FROM pt JOIN trimmed lo ON lo.person = pt.person AND lo.i = least(floor(pos), pt.n - 1)
+  JOIN trimmed hi ON hi.person = pt.person AND hi.i = least(floor(pos) + 1, pt.n - 1) JOIN trimmed nr ON nr.person = pt.person AND nr.i = greatest(least(ceil(pos - 0.5), pt.n - 1), 0)),
 mm AS (SELECT person, k, x, CASE WHEN max(x) OVER p > min(x) OVER p THEN (x - min(x) OVER p) / (max(x) OVER p - min(x) OVER p) ELSE 0 END AS s FROM res WINDOW p AS (PARTITION BY person))"""
 
 
