@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from trailmark.llm._arrow import cut
 
 
-def _hash(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFF))).alias("s")).first()
-    return row["n"], row["s"] or 0
+def _is_star(edges: DataFrame) -> bool:
+    """Whether each node has one link, to a node that has none of its own."""
+    if not edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+        return False
+    return edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -28,9 +30,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     least node that it can reach. Each round moves the links once; rounds grow with the logarithm of the longest chain.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = cut(edges), None
-    while (now := _hash(edges)) != before:
-        before = now
+    edges = cut(edges)
+    while not _is_star(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         moved, _ = _star(both)
         edges = cut(moved.where("u > c").select("u", "v").where("u <> v").distinct())

@@ -26,7 +26,7 @@ SKETCH, CHUNK = 1 << 20, 1 << 13
 #: Bits of a filter of hashed keys (a broadcast of fixed size), in parts of CHUNK bytes. A full filter only lets more pass.
 FILTER_BITS = 1 << 26
 #: Documents of a tile that one task compares with as many others at a time, and rows of small tiles that it takes together.
-BLOCK, LUMP = 512, 20_000
+BLOCK, LUMP = 4096, 2_000
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -187,7 +187,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             lo = 0
             while lo < batch.num_rows:
                 done = work[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(work, done + 400_000, "right")))
+                hi = max(lo + 1, int(np.searchsorted(work, done + 150_000, "right")))
                 part = batch.slice(lo, hi - lo)
                 sets = [_sets(pa.array([unpack(z).decode() for z in part.column(c).to_pylist()], pa.large_string()), size) for c in (4, 5)]
                 row, h = (np.concatenate([s[k] for s in sets]) for k in (0, 1))
@@ -257,9 +257,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets are one node, so copies, repeated rows and rows that share an id need no pairs. Rows with a null id keep their
     n_shingles and have no component. Links are exact but for collisions of 64-bit hashes.
 
-    First each document is compared with the least and the greatest node of each of its tiles; then tiles whose
-    documents aren't yet in one component are compared in full. Only pairs of different components are ever compared,
-    which loses no component.
+    First each document is compared with the leader of each of its tiles; then tiles whose documents aren't yet in one component are compared in full. Only pairs in one
+    component are left out, which loses no component.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -272,18 +271,21 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # number, least, greatest and a sum of 31 bits of each, which can't overflow.
     some = F.shiftrightunsigned("node", 33)
     tiles = prefix_rows(named, size, percent, counts).groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(some).alias("s")).where("lo < hi")
-    tiles = cut(tiles.groupBy("c", "lo", "hi", "s").agg(F.min("token").alias("token")).select("token", "lo", "hi"))
+    tiles = cut(tiles.groupBy("c", "lo", "hi", "s").agg(F.min("token").alias("token")).select("token"))
     release(spark)
-    bits = bit_filter(tiles.select("token"))
-    members = cut(prefix_rows(named, size, percent, counts, bits).join(tiles, "token").select("token", "node", "lo", "hi").distinct())
-    wanted = members.select("node").distinct().join(classes.drop("bits"), "node")
+    bits = bit_filter(tiles)
+    members = cut(prefix_rows(named, size, percent, counts, bits).join(tiles, "token").select("token", "node").distinct())
+    wanted = cut(members.select("node").distinct().join(classes.drop("bits"), "node"))
     texts = cut(packed_texts(named, wanted))
     release(spark)
 
-    ends = members.select("node", F.explode(F.array("lo", "hi")).alias("end")).where("node <> end")
-    pairs = ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
-    links = cut(verified(cut(bounded(cut(pairs), classes, percent)), texts, size, percent))
+    # Documents with few words of their own are in many tiles, and most others of a group are similar to them.
+    fame = members.groupBy("node").agg(F.count(F.lit(1)).alias("fame"))
+    leaders = cut(members.join(fame, "node").groupBy("token").agg(F.max(F.struct("fame", "node"))["node"].alias("leader")))
+    pairs = members.join(leaders, "token").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    links = cut(verified(bounded(pairs, classes, percent), texts, size, percent))
     roots = cut(connected_components(links))
+    release(spark)
 
     rows = members.select("token", "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("comp"))
     open_tiles = rows.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count(F.lit(1)).alias("c")).where("p < q")
@@ -291,14 +293,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not open_tiles.isEmpty():
         left = cut(rows.join(open_tiles.select("token"), "token"))
         full = left.join(classes.select("node", "n", "bits"), "node").select("token", "node", "n", "bits", "comp")
-        more = verified(cut(tile_pairs(full, open_tiles, percent)), texts, size, percent)
+        more = verified(tile_pairs(full, open_tiles, percent), texts, size, percent)
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(cut(more))
         roots = cut(connected_components(links))
 
     least = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "cid")
-    least = cut(least)
     firsts = cut(least.groupBy("root").agg(F.min("cid").alias("component_id")))
-    label = cut(least.select("node", "root").join(firsts, "root").select(F.col("node").alias("member"), "component_id"))
+    label = least.select("node", "root").join(firsts, "root").select(F.col("node").alias("member"), "component_id")
     out = sets.join(label, F.col("node") == F.col("member"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
