@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from trailmark.functions.columns import count_if
 from trailmark.operators.activity import PERSON
 
-_ORDER = Window.partitionBy(*PERSON).orderBy("week_number")
+
+def _order():
+    # Not a constant: a window can't be made before there is a session.
+    return Window.partitionBy(*PERSON).orderBy("week_number")
 
 
 def with_week_index(activity: DataFrame) -> DataFrame:
     """Adds i (weeks since the person's first, from 0) and lines_this_week (the cumulative lines' difference)."""
-    lines = F.col("cumulative_lines_changed") - F.lag("cumulative_lines_changed").over(_ORDER)
+    lines = F.col("cumulative_lines_changed") - F.lag("cumulative_lines_changed").over(_order())
     return activity.withColumn("i", F.col("week_number") - F.min("week_number").over(Window.partitionBy(*PERSON))).withColumn("lines_this_week", F.coalesce(lines, "cumulative_lines_changed"))
 
 
@@ -75,14 +78,14 @@ def inactive_streaks(activity: DataFrame, weeks: int | None = None) -> DataFrame
     rows = with_week_index(activity)
     rows = rows.where(F.col("i") < weeks) if weeks else rows
     # Idle weeks of one run share the difference of their week and their place among the idle weeks.
-    idle = rows.where("commits_this_week = 0").withColumn("run", F.col("i") - F.row_number().over(_ORDER))
+    idle = rows.where("commits_this_week = 0").withColumn("run", F.col("i") - F.row_number().over(_order()))
     runs = idle.groupBy(*PERSON, "run").agg(F.count(F.lit(1)).alias("k")).groupBy(*PERSON).agg(F.max("k").alias("longest_inactive_streak"), F.count(F.lit(1)).alias("num_inactive_streaks"))
     return rows.select(*PERSON).distinct().join(runs, list(PERSON), "left").fillna(0)
 
 
 def active_gap_stats(activity: DataFrame) -> DataFrame:
     """PERSON, avg_gap, max_gap, std_gap (population) between active weeks, regularity 1 / (1 + std); 0 with fewer than two."""
-    active = activity.where("commits_this_week > 0").withColumn("gap", F.col("week_number") - F.lag("week_number").over(_ORDER))
+    active = activity.where("commits_this_week > 0").withColumn("gap", F.col("week_number") - F.lag("week_number").over(_order()))
     gaps = active.groupBy(*PERSON).agg(F.avg("gap").alias("avg_gap"), F.max("gap").alias("max_gap"), F.stddev_pop("gap").alias("std_gap"))
     gaps = gaps.withColumn("regularity", 1 / (1 + F.col("std_gap")))
     return activity.select(*PERSON).distinct().join(gaps, list(PERSON), "left").fillna(0)
