@@ -217,16 +217,16 @@ def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return packed.join(wanted, F.col("id") == F.col("cid")).select("node", "n", "z")
 
 
-def tile_pairs(rows: DataFrame, tiles: DataFrame, percent: int) -> DataFrame:
+def tile_pairs(rows: DataFrame, count: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a tile and pass its bounds.
 
-    rows: (token, node, n, bits, comp); tiles: (token, blocks). A tile of more than BLOCK documents is compared block by
+    rows: `count` rows (token, blocks, node, n, bits, comp), blocks of the row's tile. A tile of more than BLOCK documents is compared block by
     block; small tiles are taken together, so that a group has about LUMP rows or two blocks.
     """
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = rows.join(tiles, "token").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "bits", "comp", "blocks")
-    lumps = max(1, math.ceil(rows.count() / LUMP))
+    lumps = max(1, math.ceil(count / LUMP))
     cells = cells.withColumn("lump", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("token"), F.lit(lumps))).otherwise(F.lit(lumps) + F.xxhash64("token", "i", "j").bitwiseAND(F.lit((1 << 40) - 1))))
 
     def compare(cell: pa.Table) -> pa.Table:
@@ -291,9 +291,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_tiles = rows.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count(F.lit(1)).alias("c")).where("p < q")
     open_tiles = cut(open_tiles.select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
     if not open_tiles.isEmpty():
-        left = cut(rows.join(open_tiles.select("token"), "token"))
-        full = left.join(classes.select("node", "n", "bits"), "node").select("token", "node", "n", "bits", "comp")
-        more = verified(tile_pairs(full, open_tiles, percent), texts, size, percent)
+        # The bitmaps join last, so that they are shuffled once.
+        left = cut(rows.join(open_tiles, "token"))
+        full = left.join(classes.select("node", "n", "bits"), "node").select("token", "blocks", "node", "n", "bits", "comp")
+        more = verified(tile_pairs(full, left.count(), percent), texts, size, percent)
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(cut(more))
         roots = cut(connected_components(links))
 
