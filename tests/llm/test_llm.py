@@ -250,6 +250,30 @@ def test_license_scan(spark):
     assert got == {(3, "MIT", 1), (4, "GPL-2.0", 0), (5, "CC-BY-NC-4.0", 0), (5, "Apache-2.0", 10)}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+LINES = [f"words {i} of the other text in the file" for i in range(30)]
+
+
+@pytest.mark.parametrize("name, notice, last", [("MIT", MIT, 4), ("GPL-3.0", GPL, 3), ("MPL-2.0", MPL, 1)])
+def test_license_scan_wrapped(name, notice, last):
+    for text in (notice, "\n".join([*LINES, notice, *LINES, *LINES, notice, *LINES])):
+        starts = [i for i, line in enumerate(text.split("\n")) if line == notice.split("\n")[0]]
+        got = [(first + a, first + b, *hit) for first, _, block in license_scan.candidate_blocks(text) for a, b, *hit in license_scan.classify_block(block)]
+        assert [(g[0], g[1], g[2], g[4]) for g in got] == [(i, i + last, name, 1.0) for i in starts]
+
+
 def test_empty_tables(spark, corpus):
     none = docs(spark, corpus).limit(0)
     for frame in (ngram_join.similar_components(none), line_dedup.dedup_lines(none), fingerprint.edit_report(none), packing.pack_documents(none, TOKENIZER), pii.find_pii(none), license_scan.scan_licenses(none)):

@@ -1,8 +1,10 @@
-"""License scan: blocks that speak of licences are compressed with each template as dictionary; the gain ranks templates."""
+"""License scan: in blocks that speak of licences, places are matched by their words and compressed with the template as
+dictionary; the gain is how much of the place the template explains."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import cache
 
@@ -41,8 +43,6 @@ TEMPLATES = [
 TRIGGERS = ("licen", "copyright", "permission", "redistribut", "public domain", "all rights reserved", "free software")
 #: Lines between two lines of one block at most.
 GAP = 3
-#: Templates whose wording is looked at, smallest conditional size first.
-RANKED = 4
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
@@ -51,18 +51,36 @@ def wording(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+#: Words of the longest template: no notice reaches further from its trigger word.
+MARGIN = max(len(wording(t)) for _, t in TEMPLATES)
+
+
 def candidate_blocks(text: str) -> list[tuple[int, int, str]]:
-    """(first line, last line, text) of runs of lines that hold trigger words."""
+    """(first line, last line, text) of runs of lines that hold trigger words, with whole lines of MARGIN words before and
+    after them, as a wrapped notice goes on where no trigger is; runs that then overlap are one."""
     low = text.lower()
     if not any(t in low for t in TRIGGERS):
         return []
-    lines, out = text.split("\n"), []
+    lines, runs, out = text.split("\n"), [], []
     for i, line in enumerate(lines):
         if any(t in line.lower() for t in TRIGGERS):
-            if out and i - out[-1][1] <= GAP:
-                out[-1][1] = i
+            if runs and i - runs[-1][1] <= GAP:
+                runs[-1][1] = i
             else:
-                out.append([i, i])
+                runs.append([i, i])
+    for a, b in runs:
+        room = MARGIN
+        while a > 0 and room > 0:
+            a -= 1
+            room -= len(wording(lines[a]))
+        room = MARGIN
+        while b + 1 < len(lines) and room > 0:
+            b += 1
+            room -= len(wording(lines[b]))
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
     return [(a, b, "\n".join(lines[a : b + 1])) for a, b in out]
 
 
@@ -76,60 +94,106 @@ def _compressors(level: int):
     return plain, made
 
 
-def classify_block(block: str, level: int = 19, coverage: float = 0.9) -> list[tuple[str, float, float, str, str]]:
-    """(license, reduction, coverage, missing, added) of each licence that the block is confirmed to state.
-
-    Templates are ranked by how much smaller the block gets with the template as raw dictionary. A ranked template is
-    confirmed if the block repeats at least `coverage` of its words in order, and no word with a digit nor a licence's
-    short mark is missing. missing: its words that the block lacks; added: the block's words inside it. A licence that
+def _needed(word: str) -> bool:
+    """A word with a digit or a licence's short mark, which may not be missing."""
+    return len(word) <= 3 or any(c.isdigit() for c in word)
+
+
+def _align(words: list[str], own: list[str], coverage: float) -> tuple[int, int, int, list[str], list[str]] | None:
+    """(start, end, words repeated, missing, added) of the run of matching parts with the fewest missing and added words
+    that confirms the template `own`. The ends are free, so a stray word of the surroundings doesn't count as repeated."""
+    parts = [m for m in SequenceMatcher(None, words, own, autojunk=False).get_matching_blocks() if m.size]
+    best = None
+    for i in range(len(parts)):
+        hit = 0
+        for j in range(i, len(parts)):
+            hit += parts[j].size
+            lo, hi = parts[i].a, parts[j].a + parts[j].size
+            added = hi - lo - hit
+            if added > len(own):
+                break
+            cost = len(own) - hit + added
+            if hit < coverage * len(own) or (best and cost >= best[0]):
+                continue
+            kept = {k for m in parts[i : j + 1] for k in range(m.b, m.b + m.size)}
+            missing = [w for k, w in enumerate(own) if k not in kept]
+            if not any(_needed(w) for w in missing):
+                inside = {k for m in parts[i : j + 1] for k in range(m.a, m.a + m.size)}
+                best = (cost, lo, hi, hit, missing, [words[k] for k in range(lo, hi) if k not in inside])
+    return best[1:] if best else None
+
+
+def _places(words: list[str], own: list[str], coverage: float) -> list[tuple[int, int, int, list[str], list[str]]]:
+    """Every place where the words state the template, as _align gives it. A place has at most twice the template's words,
+    so around the longest match no more are looked at; then come the words on both sides. Long texts are searched in
+    pieces that overlap by that much, so the time is linear; a place in two pieces comes twice."""
+    need, out = Counter(own), []
+    todo = [(lo, min(len(words), lo + 8 * len(own))) for lo in range(0, max(1, len(words) - 2 * len(own)), 6 * len(own))]
+    while todo:
+        lo, hi = todo.pop()
+        have = Counter(words[lo:hi])
+        if sum(min(n, have[w]) for w, n in need.items()) < coverage * len(own) or any(have[w] < n for w, n in need.items() if _needed(w)):
+            continue
+        long = SequenceMatcher(None, words[lo:hi], own, autojunk=False).find_longest_match()
+        at = lo + long.a
+        start = max(lo, at - 2 * len(own))
+        hit = _align(words[start : min(hi, at + long.size + 2 * len(own))], own, coverage)
+        if hit:
+            out.append((start + hit[0], start + hit[1], *hit[2:]))
+            todo += [(lo, start + hit[0]), (start + hit[1], hi)]
+        else:
+            todo += [(lo, at), (at + long.size, hi)]
+    return out
+
+
+def classify_block(block: str, level: int = 19, coverage: float = 0.9) -> list[tuple[int, int, str, float, float, str, str]]:
+    """(first line, last line, license, reduction, coverage, missing, added) of each place where the block is confirmed to
+    state a licence; lines count from the block's first.
+
+    A template is confirmed at a place if that repeats at least `coverage` of its words in order, no word with a digit nor
+    a licence's short mark is missing, and the place gets smaller with the template as raw dictionary. reduction: by what
+    share; missing: the template's words that the place lacks; added: the place's words inside it. A licence that
     another confirmed one explains with fewer missing words at the same place is dropped.
     """
     plain, made = _compressors(level)
-    data = block.lower().encode()
-    alone = len(plain.compress(data))
-    ranked = sorted(((alone - len(c.compress(data))) / alone, -k) for k, (_, _, c) in enumerate(made))[::-1]
-    words, found = wording(block), {}
-    for gain, k in ranked[: RANKED * max(1, block.count("\n") + 1)]:
-        name, own, _ = made[-k]
-        if gain <= 0:
-            break
-        matcher = SequenceMatcher(None, words, own, autojunk=False)
-        parts = [m for m in matcher.get_matching_blocks() if m.size]
-        hit = sum(m.size for m in parts)
-        if hit < coverage * len(own):
-            continue
-        kept = {i for m in parts for i in range(m.b, m.b + m.size)}
-        missing = [w for i, w in enumerate(own) if i not in kept]
-        if any(any(c.isdigit() for c in w) or len(w) <= 3 for w in missing):
-            continue
-        lo, hi = parts[0].a, parts[-1].a + parts[-1].size
-        inside = {i for m in parts for i in range(m.a, m.a + m.size)}
-        added = [words[i] for i in range(lo, hi) if i not in inside]
-        if len(added) > len(own):
+    low = block.lower()
+    at = [m.span() for m in _WORD.finditer(low)]
+    words, found = [low[a:b] for a, b in at], []
+    for name, own, c in made:
+        for lo, hi, hit, missing, added in _places(words, own, coverage):
+            data = low[at[lo][0] : at[hi - 1][1]].encode()
+            alone = len(plain.compress(data))
+            gain = (alone - len(c.compress(data))) / alone
+            if gain > 0:
+                found.append((len(missing) + len(added), -len(own), -gain, lo, hi, name, hit / len(own), " ".join(missing), " ".join(added)))
+    kept, cover = [], [[] for _ in words]
+    for e in sorted(found):
+        over = [f for k in range(e[3], e[4]) for f in cover[k]]
+        if (kept and kept[0][0] == 0 < e[0]) or any(f[5] == e[5] for f in over):
             continue
-        entry = (len(missing) + len(added), -len(own), gain, hit / len(own), " ".join(missing), " ".join(added))
-        if name not in found or entry[:2] < found[name][:2]:
-            found[name] = entry
-    exact = [n for n, e in found.items() if e[0] == 0]
-    return sorted((n, round(e[2], 6), round(e[3], 6), e[4], e[5]) for n, e in found.items() if not exact or n in exact)
+        kept.append(e)
+        for k in range(e[3], e[4]):
+            cover[k].append(e)
+    line = lambda w, end: low.count("\n", 0, at[w][end])
+    return sorted((line(e[3], 0), line(e[4] - 1, 1), e[5], round(-e[2], 6), round(e[6], 6), e[7], e[8]) for e in kept)
 
 
 RESULT = "first_line int, last_line int, license string, reduction double, coverage double, missing string, added string"
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 19, coverage: float = 0.9) -> DataFrame:
-    """A row for each block and licence found in the whole texts: id, first_line, last_line (from 0), license, reduction
-    (share of the compressed size that the template saves), coverage, missing, added.
+    """A row for each place where the whole texts state a licence: id, first_line, last_line (from 0), license, reduction
+    (share of the place's compressed size that the template saves), coverage, missing, added.
 
     Null and empty texts and texts without trigger words give no row; repeated rows give repeated rows; other columns
-    aren't read. Map-only; only blocks with a trigger word are compressed.
+    aren't read. Map-only; only confirmed places near a trigger word are compressed.
     """
 
     def step(part: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch | None:
         rows, at = [], []
         for i, text in enumerate(texts.to_pylist()):
-            for first, last, block in candidate_blocks(text):
-                new = [(first, last, *hit) for hit in classify_block(block, level, coverage)]
+            for first, _, block in candidate_blocks(text):
+                new = [(first + a, first + b, *hit) for a, b, *hit in classify_block(block, level, coverage)]
                 rows += new
                 at += [i] * len(new)
         if not rows:
