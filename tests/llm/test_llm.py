@@ -274,6 +274,15 @@ def test_license_scan_wrapped(name, notice, last):
         assert [(g[0], g[1], g[2], g[4]) for g in got] == [(i, i + last, name, 1.0) for i in starts]
 
 
+def test_license_scan_of_several_notices():
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby given, provided that the above copyright notice and this permission notice appear in all copies."
+    names = lambda text: [hit[2] for _, _, block in license_scan.candidate_blocks(text) for hit in license_scan.classify_block(block)]
+    assert names("Copyright (c) X. All rights reserved.\n\n" + isc) == ["Proprietary", "ISC"]
+    assert names("This work is licensed under the GNU Lesser General Public License, version 3.") == ["LGPL-3.0"]
+    eight = [n for n, t in license_scan.TEMPLATES if len(t) < 80 and n != "MIT"]
+    assert sorted(names(" ".join(t for n, t in license_scan.TEMPLATES if n in eight and len(t) < 80))) == sorted(eight)
+
+
 def test_empty_tables(spark, corpus):
     none = docs(spark, corpus).limit(0)
     for frame in (ngram_join.similar_components(none), line_dedup.dedup_lines(none), fingerprint.edit_report(none), packing.pack_documents(none, TOKENIZER), pii.find_pii(none), license_scan.scan_licenses(none)):

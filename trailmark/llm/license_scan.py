@@ -152,8 +152,8 @@ def classify_block(block: str, level: int = 19, coverage: float = 0.9) -> list[t
 
     A template is confirmed at a place if that repeats at least `coverage` of its words in order, no word with a digit nor
     a licence's short mark is missing, and the place gets smaller with the template as raw dictionary. reduction: by what
-    share; missing: the template's words that the place lacks; added: the place's words inside it. A licence that
-    another confirmed one explains with fewer missing words at the same place is dropped.
+    share; missing: the template's words that the place lacks; added: the place's words inside it. A licence is
+    dropped only where its words overlap those of another confirmed one with fewer missing and added words.
     """
     plain, made = _compressors(level)
     low = block.lower()
@@ -169,7 +169,7 @@ def classify_block(block: str, level: int = 19, coverage: float = 0.9) -> list[t
     kept, cover = [], [[] for _ in words]
     for e in sorted(found):
         over = [f for k in range(e[3], e[4]) for f in cover[k]]
-        if (kept and kept[0][0] == 0 < e[0]) or any(f[5] == e[5] for f in over):
+        if any(f[5] == e[5] or f[0] < e[0] for f in over):
             continue
         kept.append(e)
         for k in range(e[3], e[4]):
