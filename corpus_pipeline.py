@@ -48,8 +48,12 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Raises small sources by whole and part passes; every document is taken once at least."""
-    return mix_sources(docs, repetition_limit=REPETITION_LIMIT, cover=True).select(*COLUMNS)
+    """Raises small sources by whole and part passes; every document is taken once at least. The rows lie in the order of
+    the passes and their permuted blocks, as packing takes them as they come."""
+    mixed = mix_sources(docs, repetition_limit=REPETITION_LIMIT, cover=True)
+    # The text is in the hash so that rows with a null id don't meet in one range.
+    order = ["mix_pass", "mix_key", F.xxhash64("mix_pass", "doc_id", "text")]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -304,3 +304,14 @@ def test_pipeline_stages(spark, corpus):
     assert {r.doc_id for r in mixed.collect()} == groups and tuple(mixed.columns) == corpus_pipeline.COLUMNS
     packed = corpus_pipeline.pack_sequences(spark, mixed, "")
     assert {r.doc_id for r in packed.collect()} == groups
+
+
+def test_pipeline_mixes_in_order(spark):
+    import corpus_pipeline
+
+    frame = spark.createDataFrame([(i, f"word{i} " * (50 if i % 10 else 5), "en", "large" if i % 10 else "small", 1) for i in range(400)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    ids = [r.doc_id for r in corpus_pipeline.mix_by_source(spark, frame, "").collect()]
+    first = {d: k for k, d in reversed(list(enumerate(ids)))}
+    again = [k for k, d in enumerate(ids) if first[d] != k]
+    assert set(first) == set(range(400)) and again and min(again) > max(first.values())
+    assert sum(b < a for a, b in zip(ids[:400], ids[1:400], strict=False)) > 100
