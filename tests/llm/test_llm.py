@@ -315,3 +315,19 @@ def test_pipeline_mixes_in_order(spark):
     again = [k for k, d in enumerate(ids) if first[d] != k]
     assert set(first) == set(range(400)) and again and min(again) > max(first.values())
     assert sum(b < a for a, b in zip(ids[:400], ids[1:400], strict=False)) > 100
+
+
+def test_nearest_vectors_fills_up_from_further_leaves(spark):
+    rng = np.random.default_rng(4)
+    # One cluster of 300 rows and 30 of 5 each; id 0 has ten vectors, and id 7 is 40 equal rows.
+    centres = rng.normal(size=(31, 6)) * 10
+    rows = [(i, (centres[0] + rng.normal(size=6)).tolist()) for i in range(1, 300)]
+    rows += [(1000 + i, (centres[1 + i // 5] + 0.01 * rng.normal(size=6)).tolist()) for i in range(150)]
+    rows += [(0, (centres[5] + 0.01 * rng.normal(size=6)).tolist()) for _ in range(10)] + [rows[6]] * 40
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1)
+    tree = ann.build_index(frame, leaf_size=8).tree
+    found = ann.search(frame, frame, ann.Index(tree, 1, 1.0)).groupBy("query_id").count().collect()
+    assert len(found) == 450 and {r["count"] for r in found} == {20}
+    few = frame.where("vec_id < 1 or vec_id >= 1140")
+    found = ann.search(few, few, ann.Index(tree, 1, 1.0)).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in found} == {0: 10, **{i: 19 for i in range(1140, 1150)}}

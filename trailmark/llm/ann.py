@@ -48,16 +48,19 @@ class Tree:
                     todo.append((self.children[node], own))
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves by best-bin-first: always on from the open node whose centroid has the largest product."""
+    def visit(self, q: np.ndarray, most: int, counts: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first `most` leaves by best-bin-first: always on from the open node whose centroid has the largest product.
+        With `counts` (rows of each leaf), further ones until those visited hold `least` rows."""
         score = (self.centroids @ q).tolist()
         heap = [(-score[n], n) for n in range(*self.root)]
         heapq.heapify(heap)
         found: list[int] = []
-        while heap and len(found) < most:
+        held = least if counts is None else 0
+        while heap and (len(found) < most or held < least):
             _, node = heapq.heappop(heap)
             if self.leaf[node] >= 0:
                 found.append(self.leaf[node])
+                held += 0 if counts is None else int(counts[self.leaf[node]])
             else:
                 for child in range(*self.children[node]):
                     heapq.heappush(heap, (-score[child], child))
@@ -183,6 +186,8 @@ def indexed_rows(vectors: DataFrame, tree: Tree, copies: int | None = None) -> D
                 ids = np.asarray(batch.column(0))[rows]
                 same = np.unique(x, axis=0, return_inverse=True)[1].ravel()
                 order = np.lexsort((ids, same))
+                # Repeated rows first, so that they don't take the places of other ids.
+                order = order[np.r_[True, (np.diff(same[order]) != 0) | (np.diff(ids[order]) != 0)]]
                 rank = np.arange(len(order)) - np.searchsorted(same[order], same[order])
                 kept = np.sort(order[rank < copies])
                 rows, x = rows[kept], x[kept]
@@ -238,8 +243,9 @@ def search(frame: DataFrame, queries: DataFrame, index: Index | None, id_col: st
     """Each query's k nearest rows found (largest inner product, ties to the smaller id): query_id, rank, vec_id, score.
 
     Rows and queries whose vector is null, zero, of another length, or holds null or non-finite components take no part;
-    a row isn't its own neighbour (rows are told apart by id, so repeated ids count once a vector). Neighbouring leaves
-    lie together in packs of about ROW_BLOCK rows, larger leaves in several blocks. A query goes once to each pack that it
+    a row isn't its own neighbour (rows are told apart by id, so repeated ids count once a vector). A query goes on past the
+    calibrated number of leaves until they hold k other rows, so it has fewer than k only where there are fewer.
+    Neighbouring leaves lie together in packs of about ROW_BLOCK rows, larger leaves in several blocks. A query goes once to each pack that it
     visits, with the leaves it visits there, in groups of about QUERY_BLOCK; a task holds one such pair, whatever the size
     of a leaf, and gives k rows a query.
     """
@@ -247,6 +253,8 @@ def search(frame: DataFrame, queries: DataFrame, index: Index | None, id_col: st
     if index is None:
         return spark.createDataFrame([], RESULT)
     rows = indexed_rows(_vectors(frame, id_col, vec_col), index.tree, k + 1).dropDuplicates(["vec_id", "v"])
+    # Rows with the query's own id, of which there may be several vectors, come on top of the k others.
+    same = _vectors(frame, id_col, vec_col).groupBy("vec_id").agg(F.count(F.lit(1)).alias("same"))
     asked = _vectors(queries, id_col, vec_col).dropDuplicates(["vec_id"])
     # A row for each leaf at most; their number is bounded by the sample.
     counts = np.zeros(index.tree.leaves, np.int64)
@@ -254,17 +262,17 @@ def search(frame: DataFrame, queries: DataFrame, index: Index | None, id_col: st
         counts[r["leaf"]] = r["count"]
     pack, blocks = packs(counts)
     groups = max(1, -(-asked.count() // QUERY_BLOCK))
-    shared = spark.sparkContext.broadcast((index, pack))
+    shared = spark.sparkContext.broadcast((index, pack, counts))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("pack", pa.int32()), ("leaves", pa.list_(pa.int32()))]))
-        found, pack_of = shared.value
+        found, pack_of, held = shared.value
         for batch in batches:
             own, x = _matrix(batch.column(1), found.tree.dim)
             if len(own):
                 goals = []
-                for v in x:
-                    leaves = np.sort(np.array(found.tree.visit(v, found.visits)))
+                for v, same in zip(x, np.asarray(batch.column(2))[own].tolist(), strict=True):
+                    leaves = np.sort(np.array(found.tree.visit(v, found.visits, held, k + same)))
                     goals.append([{"pack": int(p), "leaves": leaves[pack_of[leaves] == p].tolist()} for p in np.unique(pack_of[leaves])])
                 part = batch.take(pa.array(own))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(goals, kind)], names=["query_id", "q", "goals"])
@@ -272,7 +280,7 @@ def search(frame: DataFrame, queries: DataFrame, index: Index | None, id_col: st
     part = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
     places = spark.createDataFrame([(i, int(p), int(blocks[p])) for i, p in enumerate(pack)], "leaf int, pack int, blocks int")
     sizes = F.broadcast(places.select("pack", "blocks").distinct())
-    left = asked.mapInArrow(visits, "query_id bigint, q array<double>, goals array<struct<pack:int,leaves:array<int>>>")
+    left = asked.join(same, "vec_id", "left").select("vec_id", "v", F.coalesce("same", F.lit(0)).alias("same")).mapInArrow(visits, "query_id bigint, q array<double>, goals array<struct<pack:int,leaves:array<int>>>")
     left = left.select("query_id", "q", F.explode("goals").alias("g")).select("query_id", "q", "g.pack", "g.leaves").join(sizes, "pack")
     left = left.select("query_id", "q", "leaves", "pack", part("query_id", F.lit(groups)).alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
     right = rows.join(F.broadcast(places), "leaf").select("vec_id", "v", "leaf", "pack", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("a"), part("vec_id", F.col("blocks")).alias("b"))
