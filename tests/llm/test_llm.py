@@ -331,3 +331,17 @@ def test_nearest_vectors_fills_up_from_further_leaves(spark):
     few = frame.where("vec_id < 1 or vec_id >= 1140")
     found = ann.search(few, few, ann.Index(tree, 1, 1.0)).groupBy("query_id").count().collect()
     assert {r["query_id"]: r["count"] for r in found} == {0: 10, **{i: 19 for i in range(1140, 1150)}}
+
+
+def test_language_id_of_runs_without_blanks():
+    rng = random.Random(3)
+    snippets = [(lang, ["".join(rng.choices(chars, k=rng.randint(2, 9))) for _ in range(20)]) for lang, chars in (("aa", "abcdefg"), ("zz", "tuvwxyz")) for _ in range(60)]
+    field = langid.fit_field(snippets, epochs=4)
+    run = "".join(rng.choices("abcdefg", k=100)) + "".join(rng.choices("tuvwxyz", k=2000))
+    share, n = langid._Labeller(field).shares([run, "abcde fgabc"])
+    assert share[0].argmax() == 1 and share[0, 1] > 0.9 and n[0] > 60 and n[1] == 2
+    pieces = langid.split_words(run)
+    grams = lambda w: {w[i : i + 3] for i in range(len(w) - 2)}
+    assert set().union(*(grams(p.strip(langid.JOINT)) for p in pieces)) == grams(run)
+    long = "abcdefgabcdefgabcdefgtuvw"
+    assert {zlib.crc32(f"g{g}".encode()) % langid.SPACE for g in grams(f"<{long}>")} <= set(langid.features(long, frozenset()))

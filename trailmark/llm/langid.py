@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from trailmark.llm._arrow import map_texts
 from trailmark.llm._sample import labelled_sample, remainder
 
-#: Hashed features; index SPACE is the pad, whose weights stay 0.
+#: Hashed features.
 SPACE = 1 << 16
-#: Feature slots of a word; the rest of a very long word's n-grams have no slot of their own (prefixes and suffixes come first).
-SLOTS = 40
+#: Letters of a word at most. A longer run (scripts without blanks) is several words, which overlap by two letters, so that
+#: none of its n-grams is lost; JOINT, which white-space splitting never leaves in a word, marks their inner ends.
+PIECE, JOINT = 30, "\x1f"
 #: A text is labelled in blocks of so many words; messages from so many words beyond both edges are computed anew.
 BLOCK, EDGE = 512, 32
 #: Distinct words that a task remembers before it starts anew.
@@ -27,22 +28,54 @@ UNKNOWN = "und"
 
 def letters(word: str) -> str:
     """The letters of a word in lower case, other characters dropped."""
-    return word.lower() if word.isalpha() else "".join(c for c in word if c.isalpha()).lower()
+    return word.lower() if word.isalpha() else "".join(c for c in word if c.isalpha() or c == JOINT).lower()
+
+
+def split_words(text: str) -> list[str]:
+    """The words of a text, parted by white space; those of more than PIECE letters in pieces, which hold letters only."""
+    words = text.split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    out = []
+    for word in words:
+        if len(word) <= PIECE or len(run := letters(word)) <= PIECE:
+            out.append(word)
+            continue
+        starts = range(0, len(run) - 2, PIECE - 2)
+        out += [JOINT * (at > 0) + run[at : at + PIECE] + JOINT * (at + PIECE < len(run)) for at in starts]
+    return out
 
 
 def features(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Hashed affix, n-gram and lexicon features of a word of letters."""
-    marked, n = f"<{word}>", len(word)
-    found = [f"p{word[:k]}" for k in range(1, min(4, n) + 1)] + [f"s{word[-k:]}" for k in range(1, min(4, n) + 1)]
-    if word in lexicon:
-        found.append(f"w{word}")
+    """Hashed affix, n-gram and lexicon features of a word of letters; a piece has no affixes at its inner ends."""
+    found = [f"w{word}"] if word in lexicon else []
+    marked = f"<{word}>".replace(f"<{JOINT}", "").replace(f"{JOINT}>", "")
+    if marked[0] == "<":
+        found += [f"p{marked[1 : 1 + k]}" for k in range(1, min(4, len(word)) + 1)]
+    if marked[-1] == ">":
+        found += [f"s{marked[-1 - k : -1]}" for k in range(1, min(4, len(word)) + 1)]
     found += [f"g{marked[i : i + k]}" for k in (2, 3) for i in range(len(marked) - k + 1)]
-    return [crc32(f.encode()) % SPACE for f in found[:SLOTS]]
+    return [crc32(f.encode()) % SPACE for f in found]
+
+
+class _Ragged:
+    """Feature lists of words, one after the other."""
+
+    def __init__(self, lists: list[list[int]]):
+        self.size = np.array([len(f) for f in lists], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.fromiter((f for one in lists for f in one), np.int64, int(self.size.sum()))
+
+    def take(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(features of the words, first place of each word in them); every word has a feature."""
+        size = self.size[words]
+        first = np.cumsum(size) - size
+        return self.flat[np.arange(size.sum()) + np.repeat(self.start[words] - first, size)], first
 
 
 @dataclass
 class Field:
-    """labels; weights: (SPACE + 1) x labels; transition: labels x labels; the last two are log potentials."""
+    """labels; weights: SPACE x labels; transition: labels x labels; the last two are log potentials."""
 
     labels: list[str]
     lexicon: frozenset[str]
@@ -87,12 +120,9 @@ def fit_field(snippets: list[tuple[str, list[str]]], epochs: int = 12, seed: int
     seen = Counter(w for _, words in snippets for w in set(words))
     lexicon = frozenset(w for w, n in seen.items() if n >= 10)
     code = {w: i for i, w in enumerate(seen)}
-    slots = np.full((len(code) + 1, SLOTS), SPACE, np.int64)
-    for w, i in code.items():
-        f = features(w, lexicon)
-        slots[i, : len(f)] = f
+    listed = _Ragged([features(w, lexicon) for w in code])
     size = len(labels)
-    weights, transition = np.zeros((SPACE + 1, size)), np.zeros((size, size))
+    weights, transition = np.zeros((SPACE, size)), np.zeros((size, size))
     g_w, g_t = np.full_like(weights, 1e-6), np.full_like(transition, 1e-6)
     rng = np.random.default_rng(seed)
     for _ in range(epochs if size > 1 else 0):
@@ -106,7 +136,8 @@ def fit_field(snippets: list[tuple[str, list[str]]], epochs: int = 12, seed: int
             words = np.array([code[w] for seq in group for k in seq for w in snippets[k][1]])
             gold = np.array([number[snippets[k][0]] for seq in group for k in seq for _ in snippets[k][1]])
             ends = np.cumsum([sum(len(snippets[k][1]) for k in seq) for seq in group])
-            emission = weights[slots[words]].sum(1)
+            used, first = listed.take(words)
+            emission = np.add.reduceat(weights[used], first)
             p = forward_backward(emission, ends, transition)
             d = p.copy()
             d[np.arange(len(gold)), gold] -= 1
@@ -119,8 +150,7 @@ def fit_field(snippets: list[tuple[str, list[str]]], epochs: int = 12, seed: int
             dt = pair.sum(0)
             np.add.at(dt, (gold[i], gold[i + 1]), -1)
             dw = np.zeros_like(weights)
-            np.add.at(dw, slots[words].ravel(), np.repeat(d, SLOTS, 0))
-            dw[SPACE] = 0
+            np.add.at(dw, used, np.repeat(d, np.diff(first, append=len(used)), 0))
             dw, dt = dw / len(gold) + 1e-6 * weights, dt / len(gold)
             g_w += dw * dw
             g_t += dt * dt
@@ -138,7 +168,7 @@ def fit_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def step(part: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
         out = []
         for text in texts.to_pylist():
-            words = [w for x in text.split() if (w := letters(x))]
+            words = [w for x in split_words(text) if (w := letters(x))]
             at = crc32(text.encode()) % max(1, len(words) - snippet + 1)
             out.append(words[at : at + snippet])
         return pa.RecordBatch.from_arrays([part.column(1), pa.array(out, pa.list_(pa.string()))], names=["lang", "words"])
@@ -175,11 +205,8 @@ class _Labeller:
     def flush(self) -> None:
         for lo in range(0, len(self.new), 4096):
             words = self.new[lo : lo + 4096]
-            slots = np.full((len(words), SLOTS), SPACE, np.int64)
-            for i, w in enumerate(words):
-                f = features(w, self.field.lexicon)
-                slots[i, : len(f)] = f
-            self.emission = np.concatenate([self.emission, self.field.weights[slots].sum(1)])
+            used, first = _Ragged([features(w, self.field.lexicon) for w in words]).take(np.arange(len(words)))
+            self.emission = np.concatenate([self.emission, np.add.reduceat(self.field.weights[used], first)])
         self.new = []
 
     def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +215,7 @@ class _Labeller:
             self.reset()
         codes, counts = [], []
         for text in texts:
-            words = text.split()
+            words = split_words(text)
             counts.append(len(words))
             for w in words:
                 c = self.codes.get(w)
@@ -217,14 +244,14 @@ class _Labeller:
 
 def label_words(text: str, field: Field) -> list[tuple[str, str, float]]:
     """(word, language, probability) of each word with letters, for looking at code-switched text."""
-    words = [w for w in text.split() if letters(w)]
+    words = [w for w in split_words(text) if letters(w)]
     if not words:
         return []
     made = _Labeller(field)
     code = [made.code(w) for w in words]
     made.flush()
     p = forward_backward(made.emission[code], np.array([len(words)]), field.transition)
-    return [(w, field.labels[j], float(q[j])) for w, q, j in zip(words, p, p.argmax(1), strict=True)]
+    return [(w.strip(JOINT), field.labels[j], float(q[j])) for w, q, j in zip(words, p, p.argmax(1), strict=True)]
 
 
 def with_language(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
