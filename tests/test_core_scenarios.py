@@ -75,3 +75,16 @@ def test_resample_keeps_ends(spark):
     row = series.resample_series(series.trim_active_segment(frame), 11, sparse=0).first()
     assert row.series[0] == 1.0 and row.series[-1] == 6.0 and abs(row.series[5] - 3.5) < 1e-9
     assert frame.select(F.size("series").alias("n")).first().n == 8
+
+
+def test_large_projects_get_several_json_documents(spark, monkeypatch, tmp_path):
+    from trailmark.plans import q_sources
+    from trailmark.plans.views import commits
+
+    monkeypatch.setattr(q_sources, "COMMITS_A_DOCUMENT", 10, raising=False)
+    monkeypatch.setattr(q_sources, "_place", lambda spark, name: str(tmp_path / name))
+    got = q_sources.scan_commit_json(spark, "/root/testdata/sf0.001")
+    held = [len(r.commits) for r in spark.read.option("multiLine", True).json(str(tmp_path / "commits-json")).collect()]
+    whole = commits(spark, "/root/testdata/sf0.001").select(q_sources.COLUMNS.split(", "))
+    assert max(held) <= 40 and sum(held) == whole.count()
+    assert got.exceptAll(whole).count() == 0 and whole.exceptAll(got).count() == 0

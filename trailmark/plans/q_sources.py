@@ -29,6 +29,10 @@ def scan_commits_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.scan_commits_csv(spark, path, COLUMNS.split(", "))
 
 
+#: Commits of one JSON document, about.
+COMMITS_A_DOCUMENT = 10_000
+
+
 @query(ALL)
 def scan_commit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, k = _place(spark, "commits-json"), F.col("files_modified_count")
@@ -36,7 +40,12 @@ def scan_commit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.struct(F.lit("binary").alias("filename"), F.lit("-").alias("insertions"), F.lit("-").alias("deletions"))
     files = F.when(k > 0, F.concat(F.array(first), F.array_repeat(rest, (k - 1).cast("int"))))
     one = F.struct(F.col("commit_hash").alias("hash"), "author_name", "author_email", F.date_format("commit_date", "yyyy-MM-dd HH:mm:ss").alias("date"), F.lit("m").alias("message"), files.alias("files_changed"))
-    commits(spark, sf_dir).groupBy("project_name", "project_type").agg(F.collect_list(one).alias("commits")).write.option("maxRecordsPerFile", 1).json(path)
+    # A large project gets several documents, dealt by hash, so that no row holds many more than COMMITS_A_DOCUMENT.
+    project = ["project_name", "project_type"]
+    rows = commits(spark, sf_dir).select(*[F.coalesce(c, F.lit("")).alias(f"k{i}") for i, c in enumerate(project)], *project, "commit_hash", one.alias("one"))
+    parts = rows.groupBy("k0", "k1").agg(F.ceil(F.count(F.lit(1)) / COMMITS_A_DOCUMENT).alias("parts"))
+    dealt = rows.join(parts, ["k0", "k1"]).withColumn("part", F.pmod(F.xxhash64("commit_hash"), "parts"))
+    dealt.groupBy(*project, "part").agg(F.collect_list("one").alias("commits")).drop("part").write.option("maxRecordsPerFile", 1).json(path)
     return readers.scan_commit_json(spark, path).select(COLUMNS.split(", "))
 
 
