@@ -42,23 +42,65 @@ def text_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return key >> 20, key & (BUCKETS - 1)
 
 
-def fit_machine(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, rank: int = 8, min_rows: int = 5, min_chi2: float = 15.0, epochs: int = 40, seed: int = 7) -> Machine:
+def _chi2(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Chi-square of 2x2 tables (0 where a margin is empty)."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.nan_to_num((a + b + c + d) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)))
+
+
+def interacting(starts: np.ndarray, term: np.ndarray, y: np.ndarray, terms: int, least_rows: int, least: float) -> np.ndarray:
+    """Which terms have a partner such that each tells of the label among the rows that hold the other: a pair whose effect
+    is more than that of one of its terms. starts, term: the rows' term lists. Pairs that meet in fewer than `least_rows`
+    rows are passed over. The work is the sum of the squared sizes of the sampled rows.
+    """
+    n = len(y)
+    row = np.repeat(np.arange(n), np.diff(starts))
+    by_term = np.argsort(term, kind="stable")
+    rows_of, first = row[by_term], np.searchsorted(term[by_term], np.arange(terms + 1))
+    found = []
+    for i in range(terms):
+        own = rows_of[first[i] : first[i + 1]]
+        # Chi-square in a table is at most the number of its rows.
+        if len(own) < least:
+            continue
+        size = starts[own + 1] - starts[own]
+        at = np.repeat(starts[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        both = np.bincount(term[at], minlength=terms)
+        j = np.flatnonzero(both >= least_rows)
+        hit = np.bincount(term[at], np.repeat(y[own], size), terms)[j]
+        k, positive = both[j], y[own].sum()
+        score = _chi2(hit, k - hit, positive - hit, len(own) - positive - k + hit)
+        j = j[(score >= least) & (j != i)]
+        found.append(np.stack([np.full(len(j), i), j], 1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), int)
+    there = pairs[:, 0] * terms + pairs[:, 1]
+    mutual = pairs[np.isin(there, pairs[:, 1] * terms + pairs[:, 0])]
+    return np.isin(np.arange(terms), mutual)
+
+
+def fit_machine(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, rank: int = 8, min_rows: int = 5, min_chi2: float = 15.0, pair_chi2: float = 30.0, epochs: int = 40, seed: int = 7) -> Machine:
     """Fit on distinct (row, bucket) pairs and 0/1 labels by AdaGrad on log loss.
 
-    Only buckets of at least `min_rows` rows whose 2x2 chi-square with the label reaches `min_chi2` become terms, so that
-    words that tell nothing add no noise to long texts.
+    Of the buckets in at least `min_rows` rows, those become terms whose 2x2 chi-square with the label reaches `min_chi2`,
+    and those that reach `pair_chi2` with a partner (see interacting), whatever they tell alone. Others add noise to long
+    texts: with all buckets as terms, recall on held-out rows of the 0.1 tables fell from 0.87 to 0.42.
     """
     n, positive = len(y), float(y.sum())
     bias = np.log((positive + 0.5) / (n - positive + 1.5))
     have = np.bincount(bucket, minlength=BUCKETS).astype(float)
     hit = np.bincount(bucket, y[row].astype(float), BUCKETS)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = n * (hit * (n - positive) - (have - hit) * positive) ** 2 / (have * (n - have) * positive * (n - positive))
-    chosen = np.flatnonzero((have >= min_rows) & (np.nan_to_num(chi2) >= min_chi2))
+    often = have >= min_rows
+    good = often & (_chi2(hit, have - hit, positive - hit, n - positive - have + hit) >= min_chi2)
+    number = np.cumsum(often) - 1
+    kept = often[bucket]
+    order = np.argsort(row[kept], kind="stable")
+    lists = number[bucket[kept]][order]
+    good[np.flatnonzero(often)[interacting(np.searchsorted(row[kept][order], np.arange(n + 1)), lists, y, int(often.sum()), min_rows, pair_chi2)]] = True
+    chosen = np.flatnonzero(good)
     slot = np.full(BUCKETS, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
     rng = np.random.default_rng(seed)
-    machine = Machine(slot, float(bias), np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), rank)))
+    machine = Machine(slot, float(bias), np.zeros(len(chosen)), rng.normal(0, 0.1, (len(chosen), rank)))
     if not len(chosen):
         return machine
     keep = slot[bucket] >= 0
