@@ -38,7 +38,7 @@ def cut_lines(text: str, covered: list[tuple[int, int]]) -> tuple[str, int]:
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(id, text_hash, first, last) of every window that occurred before, in order of (id, line)."""
+    """(id, text_hash, first, last) of every window that occurred before, in order of (id, text_hash, line)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def step(part: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
@@ -54,16 +54,16 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     frame = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     seen = map_texts(frame, "text", f"id {kind}, text_hash bigint, first int, last int, h1 bigint, h2 bigint", step)
     # Written first, so that the join below gets both sides from plain exchanges, whose large partitions Spark splits.
-    origin = cut(seen.groupBy("h1", "h2").agg(F.min(F.struct("id", "first")).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    return seen.join(origin, ["h1", "h2"]).where(F.struct("id", "first") > F.col("origin")).select("id", "text_hash", "first", "last")
+    origin = cut(seen.groupBy("h1", "h2").agg(F.min(F.struct("id", "text_hash", "first")).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    return seen.join(origin, ["h1", "h2"]).where(F.struct("id", "text_hash", "first") > F.col("origin")).select("id", "text_hash", "first", "last")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, drop_emptied: bool = False) -> DataFrame:
     """Cut every window of `size` consecutive lines that occurred earlier in the corpus out of the later texts.
 
     Lines end at "\\n" and are compared without blanks at their ends; blank lines are passed over and only go when they
-    lie inside a removed passage. Occurrences are ordered by (id, line): the first stays, and the union of the others'
-    lines is removed. Returns the input's columns, with the text changed, and then `lines_before` and `lines_removed`
+    lie inside a removed passage. Occurrences are ordered by (id, hash of the text, line): the first stays, and the union of
+    the others' lines is removed. Returns the input's columns, with the text changed, and then `lines_before` and `lines_removed`
     (bigint). With `drop_emptied`, texts that had lines and lose all their content go. Null texts stay null; texts with
     fewer lines stay as they are; rows with a null id are left alone and not counted; rows that share id and text are
     one occurrence and get the same result; those two names replace columns of the input so named.
