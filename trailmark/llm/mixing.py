@@ -16,6 +16,7 @@ SECTIONS, PASSES = 32, 7
 BLOCK_TOKENS, MOST_BLOCKS = 1 << 16, 1 << 20
 #: A source table of at most so many rows is broadcast.
 BROADCAST_SOURCES = 50_000
+ADDED = ("mix_pass", "mix_block", "mix_key", "mix_place")
 
 
 def count_tokens(text: Column) -> Column:
@@ -98,24 +99,25 @@ def _keys(frame: DataFrame, seed: int) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", token_col: str | None = None, seed: int = 0, **goal) -> DataFrame:
-    """The input's rows as often as the mix takes them, with mix_pass (0, 1, ...), mix_block and mix_key.
+    """The input's rows as often as the mix takes them, with mix_pass (0, 1, ...), mix_block, mix_key and mix_place.
 
     `goal` is passed to temperature_weights. A source of e epochs gives floor(e) whole passes and a part of one more. For
     each pass its rows lie in blocks of about equal numbers of tokens, and blocks and the rows in them are permuted by
     hash; the last pass takes blocks in that order, and of the block where the budget ends the rows that still fit.
-    Sorting by mix_pass, mix_key gives the permuted order. Null sources are one source named ""; rows of sources without a
+    Sorting by mix_pass, mix_key, mix_place gives the permuted order: passes, their permuted blocks, and the permuted rows
+    of a block. Null sources are one source named ""; rows of sources without a
     token are taken once; null texts have no tokens; rows that share an id stay together; an empty table gives no rows.
-    Columns of the input with the three added names are replaced.
-    Scale: only source totals and block sums are shuffled, each after map-side sums; texts don't move.
+    Columns of the input with the four added names are replaced.
+    Scale: texts are counted once and don't move; only source totals and block sums are shuffled, each after map-side sums.
     """
-    names = [c for c in docs.columns if c not in ("mix_pass", "mix_block", "mix_key")]
+    names = [c for c in docs.columns if c not in ADDED]
     tokens = F.coalesce(F.col(token_col), F.lit(0)).cast("bigint") if token_col else count_tokens(F.col(text_col))
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    rows = docs.select(source.alias("source"), F.col(id_col).alias("id"), tokens.alias("tokens"))
+    rows = cut(docs.select(source.alias("source"), F.col(id_col).alias("id"), tokens.alias("tokens")))
     totals = cut(rows.groupBy("source").agg(F.sum("tokens").alias("tokens")))
     mix = temperature_weights(totals.where("tokens > 0"), **goal)
     if mix is None:
-        return docs.select(*names, F.lit(0).alias("mix_pass"), F.lit(0).cast("bigint").alias("mix_block"), F.lit(0).cast("bigint").alias("mix_key"))
+        return docs.select(*names, F.lit(0).alias("mix_pass"), *[F.lit(0).cast("bigint").alias(c) for c in ADDED[1:]])
     size = F.greatest(F.lit(BLOCK_TOKENS), F.ceil(F.lit(float(totals.agg(F.sum("tokens")).first()[0]) / MOST_BLOCKS)))
     plan = mix.plan.withColumn("blocks", F.ceil(F.col("tokens") / size).cast("bigint")).withColumn("whole", F.floor("epochs").cast("int"))
     plan = cut(plan.withColumn("quota", (F.col("epochs") - F.col("whole")) * F.col("tokens")).select("source", "blocks", "whole", "quota"))
@@ -125,7 +127,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = _keys(rows.join(near(plan), "source"), seed)
     sums = placed.groupBy("source", "block", "block_key", "quota").agg(F.sum("tokens").alias("t"))
     upto = F.sum("t").over(Window.partitionBy("source").orderBy("block_key", "block").rowsBetween(Window.unboundedPreceding, 0))
-    edge = sums.withColumn("upto", upto).where("upto > quota").groupBy("source").agg(F.min(F.struct("upto", "block_key", "block", F.expr("quota - (upto - t)").alias("room"))).alias("e"))
+    edge = sums.where("quota > 0").withColumn("upto", upto).where("upto > quota").groupBy("source").agg(F.min(F.struct("upto", "block_key", "block", F.expr("quota - (upto - t)").alias("room"))).alias("e"))
     edge = cut(edge.select("source", F.col("e.block").alias("edge_block"), F.col("e.block_key").alias("edge_key"), F.col("e.room").alias("room")))
     inside = placed.join(near(edge), "source").where("block = edge_block")
     running = F.sum("tokens").over(Window.partitionBy("source").orderBy("doc_key").rangeBetween(Window.unboundedPreceding, 0))
@@ -140,9 +142,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     passes = F.col("whole") + F.coalesce(more, F.lit(False)).cast("int")
     wide = wide.where(passes > 0).withColumn("mix_pass", F.explode(F.sequence(F.lit(0), passes - 1)))
     key = F.xxhash64(F.lit(seed), "mix_pass", "source", "block")
-    return wide.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "mix_pass", F.col("block").alias("mix_block"), key.alias("mix_key"))
+    # The text is in the hash so that rows with a null id don't lie together.
+    place = F.xxhash64(F.lit(seed), "mix_pass", "id", *([F.col(at[text_col])] if text_col in at else []))
+    return wide.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "mix_pass", F.col("block").alias("mix_block"), key.alias("mix_key"), place.alias("mix_place"))
 
 
 def mix_report(docs: DataFrame, **goal) -> DataFrame:
-    """doc_id, source, mix_pass, mix_block, mix_key of every row that the mix takes."""
-    return mix_sources(docs, **goal).select("doc_id", "source", "mix_pass", "mix_block", "mix_key")
+    """doc_id, source, mix_pass, mix_block, mix_key, mix_place of every row that the mix takes."""
+    return mix_sources(docs, **goal).select("doc_id", "source", *ADDED)
