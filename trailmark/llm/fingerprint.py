@@ -86,24 +86,39 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(norm == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b) / norm)))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, sha): the id in a struct, so that a null one is a value like others, the least; null texts are empty."""
+    rows = docs.select(F.struct(F.col(id_col).alias("id")).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    return rows.withColumn("sha", F.sha2("text", 256))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Rows equal in id and text as one, with `copies`."""
+    return rows.groupBy("id", "sha").agg(*[F.first(c).alias(c) for c in rows.columns if c not in ("id", "sha")], F.count(F.lit(1)).alias("copies"))
+
+
+def _as_often(rows: DataFrame) -> DataFrame:
+    """Each row `copies` times."""
+    return rows.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copies")
+
+
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint array) of every row's whole text; null and empty texts are one empty paragraph.
 
-    Rows with equal ids are told apart by their texts; rows equal in both give one row. Map-side sums go before the
-    shuffle, which moves one vector a document and task.
+    Rows with equal ids, or without one, are told apart by their texts; rows equal in both are worked on once and come as
+    often as they are in the input.
     """
-    sums = multiset_sums(docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("h"), F.col(text_col).alias("text")).dropDuplicates(["id", "h"]))
-    return sums.select(F.col("id").alias(id_col), fingerprint_of().alias("fingerprint"))
+    sums = multiset_sums(_counted(_keyed(docs, id_col, text_col)))
+    return _as_often(sums.select(F.col("id.id").alias(id_col), fingerprint_of().alias("fingerprint"), "copies"))
 
 
-def next_ids(docs: DataFrame, id_col: str) -> DataFrame:
-    """(id, next_id): the next larger id of each distinct id that isn't null, the first after the last.
+def next_ids(ids: DataFrame) -> DataFrame:
+    """(id, next_id): the next larger one of each distinct id, the first after the last.
 
     Ids are range-partitioned and ordered inside each range. The ranges' ends meet in a table with a row for each
     range, so no task holds more than a range.
     """
-    ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct().repartitionByRange("id").withColumn("part", F.spark_partition_id())
-    ids = cut(ids)
+    ids = cut(ids.distinct().repartitionByRange("id").withColumn("part", F.spark_partition_id()))
     inner = ids.withColumn("next_id", F.lead("id").over(Window.partitionBy("part").orderBy("id")))
     ends = ids.groupBy("part").agg(F.min("id").alias("low"))
     order = Window.orderBy("part")
@@ -112,39 +127,41 @@ def next_ids(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, next_id, n_chars, text, edited): the edit takes the last floor(n_chars/2) code points away and appends the
-    first as many (or all) of the next document's text, in ascending order of ids; the first follows the last.
+    """(id, next_id, sha, n_chars, text, edited), the ids in structs: the edit takes the last floor(n_chars/2) code points
+    away and appends the first as many (or all) of the next document's text, in ascending order of ids, a null id before
+    all others; the first follows the last.
 
-    Null texts are empty. Rows with a null id have no place in the order and go. Where rows share an id, each is edited
-    for itself, and the smallest fitting head of the next id's texts is taken. The texts are shuffled once by id and
-    their heads (half of them at most) once more.
+    Null texts are empty. Where rows share an id, each is edited for itself, and the smallest fitting head of the next
+    id's texts is taken. The texts are shuffled once by id and their heads (half of them at most) once more.
     """
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    texts = _keyed(docs, id_col, text_col)
     half = F.floor(F.char_length("text") / 2).cast("int")
     sizes = texts.groupBy("id").agg(F.max(half).alias("half"))
-    links = cut(sizes.join(next_ids(docs, id_col), "id"))
+    links = cut(sizes.join(next_ids(texts.select("id")), "id"))
     wanted = links.select(F.col("next_id").alias("id"), F.col("id").alias("target"), "half")
     heads = texts.join(wanted, "id").select("target", F.substring("text", F.lit(1), F.col("half")).alias("head"))
     heads = heads.groupBy("target").agg(F.min("head").alias("head"))
     both = texts.join(links.select("id", "next_id"), "id").join(heads, F.col("id") == F.col("target"))
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring("head", F.lit(1), half))
-    return both.select("id", "next_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    return both.select("id", "next_id", "sha", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edit, and how alike the fingerprints say they are.
 
-    Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hex), near_edited, near_next. Where rows share
-    an id, each distinct text has a row.
+    Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hex), near_edited, near_next, a row for each row of
+    the input: rows equal in id and text are worked on once. Where the next id has several texts, near_next is to the one
+    with the least fingerprint. Lanes hold 16 bits, so a word triple that a text repeats over 32,767 times makes its
+    likeness (never its equality) meaningless.
     """
-    rows = with_edits(docs, id_col, text_col).withColumn("sha", F.sha2("text", 256)).withColumn("edited_sha256", F.sha2("edited", 256))
+    rows = _counted(with_edits(docs, id_col, text_col).withColumn("edited_sha256", F.sha2("edited", 256)))
     versions = F.explode(F.array(F.struct(F.lit(0).alias("edit"), F.col("text").alias("text")), F.struct(F.lit(1).alias("edit"), F.col("edited").alias("text"))))
-    keys = ["id", "next_id", "n_chars", "sha", "edited_sha256"]
-    sums = multiset_sums(rows.dropDuplicates(["id", "sha"]).select(*keys, versions.alias("v")).select(*keys, "v.edit", "v.text"))
+    keys = ["id", "next_id", "n_chars", "sha", "edited_sha256", "copies"]
+    sums = multiset_sums(rows.select(*keys, versions.alias("v")).select(*keys, "v.edit", "v.text"))
     prints = sums.select(*keys, "edit", fingerprint_of().alias("f"))
     pick = lambda e: F.max(F.when(F.col("edit") == e, F.col("f")))
     prints = cut(prints.groupBy(*keys).agg(pick(0).alias("f"), pick(1).alias("g")))
     following = prints.groupBy(F.col("id").alias("follows")).agg(F.min("f").alias("h"))
     both = prints.join(following, F.col("next_id") == F.col("follows"), "left")
-    return both.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", to_hex(F.col("f")).alias("fingerprint"), to_hex(F.col("g")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("g")).alias("near_edited"), likeness(F.col("f"), F.col("h")).alias("near_next"))
+    return _as_often(both.select(F.col("id.id").alias(id_col), "n_chars", "edited_sha256", to_hex(F.col("f")).alias("fingerprint"), to_hex(F.col("g")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("g")).alias("near_edited"), likeness(F.col("f"), F.col("h")).alias("near_next"), "copies"))
