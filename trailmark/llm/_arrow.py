@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -13,6 +15,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one step of a task works on; a longer single text is one step of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch about, unless the session asks for less: 10,000 long texts at once would take both sides' memory.
+BATCH_BYTES = 4 << 20
+
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Hand the memory that a worker has freed back to the system, which it would keep for its next tasks."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
+
+
+def own_memory(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function that starts and ends with a worker's freed memory handed back."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+def map_arrow(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches of BATCH_BYTES about, whose tasks leave no memory behind."""
+    conf = frame.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(_BATCHES))) > BATCH_BYTES:
+        conf.set(_BATCHES, str(BATCH_BYTES))
+    return frame.mapInArrow(own_memory(run), schema)
 
 
 def text_array(column: pa.Array) -> pa.Array:
@@ -47,24 +80,28 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
         start = stop
 
 
-def map_texts(frame: DataFrame, text: str, schema: str, step: Callable[[pa.RecordBatch, pa.Array], pa.RecordBatch | None]) -> DataFrame:
-    """mapInArrow over slices of bounded text size; `step` gets the slice and its texts (null: empty)."""
+def map_texts(frame: DataFrame, text: str, schema: str, step: Callable[[pa.RecordBatch, pa.Array], pa.RecordBatch | None] | None = None, task: Callable[[], Callable] | None = None, limit: int = CHUNK_BYTES) -> DataFrame:
+    """mapInArrow over slices of bounded text size; `step` gets the slice and its texts (null: empty). With `task`, each
+    task calls that for a step of its own, which lives as long as the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = task() if task else step
         for batch in batches:
-            for part, texts in chunks(batch, text):
-                out = step(part, texts)
+            for part, texts in chunks(batch, text, limit):
+                out = own(part, texts)
                 if out is not None and out.num_rows:
                     yield out
 
-    return frame.mapInArrow(run, schema)
+    return map_arrow(frame, run, schema)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that spark.checkpoint.dir names; only where none is set (tests), a new local one."""
+    """Use the folder that spark.checkpoint.dir names; where none is set, a new local one in local mode, else an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 

@@ -1,16 +1,23 @@
-"""Token ids of many texts with a word-level BPE file of the `tokenizers` library, through a bounded word cache."""
+"""Token ids of many texts with a BPE file of the `tokenizers` library, through a bounded word cache."""
 
 from __future__ import annotations
 
+import json
+import re
 from array import array
+from functools import partial
 
 import numpy as np
+import regex
 
-#: Cached words at most; then the cache starts anew. Bounds the memory of a task.
-CACHE_WORDS = 200_000
+#: Cached words at most (about 200 bytes each); then the cache starts anew. Bounds the memory of a task.
+CACHE_WORDS = 400_000
 #: Separators that str.split() knows and the tokenizer's white space doesn't include: such texts take the plain path.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-_TAIL = ".,;:!?|"
+#: Letters beyond these have rules of their own in lower case or composition; texts with them aren't lowered as a whole.
+_RARE = re.compile(r"[^\x00-įı-ɏ]")
+#: Marks that end many words; each is a piece of its own.
+_MARKS = frozenset(".,;:!?")
 
 
 def byte_letters() -> dict[int, str]:
@@ -35,36 +42,53 @@ class _Codes(dict):
 class WordEncoder:
     """Same ids as Tokenizer.encode(text, add_special_tokens=False).
 
-    White space separates words and never joins in a token of this kind of file (BPE with word ends), so a text's
-    ids are its words' ids in turn. Plain Latin words skip the normaliser and go to the BPE model; all other words
-    go through the whole tokenizer. Texts with separators of unequal meaning are encoded whole.
+    White space separates words and never joins in a token of this kind of file (lower case, BPE with word ends), so a
+    text's ids are its words' ids in turn. Words of Latin letters go to the BPE model straight away; others are first
+    parted by the file's own pattern, and words with rarer letters go through the whole tokenizer. Texts with separators
+    of unequal meaning are encoded whole. Holds CACHE_WORDS words and the tokenizer; meant to live for one task.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = byte_letters()
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)["pre_tokenizer"]["pretokenizers"]
+        self.pieces = regex.compile(parts[0]["pattern"]["Regex"]).findall
+        self.letters, self.tokenize, self.rare = byte_letters(), self.tokenizer.model.tokenize, False
         self._reset()
 
     def _reset(self) -> None:
-        self.codes, self.bodies = _Codes(self._add), {}
-        self.flat, self.starts, self.lens = array("i"), array("q"), array("q")
+        self.codes = _Codes(self._add)
+        self.flat, self.starts, self.lens = array("i"), array("q"), array("i")
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _body(self, word: str) -> list[int]:
-        if (ids := self.bodies.get(word)) is None:
-            mapped = "".join(map(self.letters.__getitem__, word.encode()))
-            ids = self.bodies[word] = [t.id for t in self.tokenizer.model.tokenize(mapped)]
-        return ids
+    def _model(self, piece: str) -> list[int]:
+        if not piece.isascii():
+            piece = "".join(map(self.letters.__getitem__, piece.encode()))
+        return [t.id for t in self.tokenize(piece)]
 
     def _ids(self, word: str) -> list[int]:
-        body = word.rstrip(_TAIL)
-        if body.isalpha() and max(body) < "ɐ" and "İ" not in body:
-            return self._body(body.lower()) + (self._body(word[len(body) :]) if len(body) < len(word) else [])
-        return self._whole(word)
+        if self.rare and _RARE.search(word):
+            return self._whole(word)
+        if self.rare:
+            word = word.lower()
+        if word.isalpha():
+            return self._model(word)
+        if word[-1] in _MARKS and word[:-1].isalpha():
+            pieces = [word[:-1], word[-1]]
+        else:
+            pieces = self.pieces(word)
+        if len(pieces) == 1 and pieces[0] == word:
+            return self._model(word)
+        out: list[int] = []
+        for piece in pieces:
+            code = self.codes[piece]
+            at = self.starts[code]
+            out += self.flat[at : at + self.lens[code]]
+        return out
 
     def _add(self, word: str) -> int:
         ids = self._ids(word)
@@ -74,41 +98,38 @@ class WordEncoder:
         return len(self.lens) - 1
 
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in turn (int32) and each text's offsets; end_id, if given, follows each text."""
+        """All ids in turn ("<u4") and each text's offsets; end_id, if given, follows each text."""
         if len(self.codes) > CACHE_WORDS:
             self._reset()
         codes, counts, odd = [], np.zeros(len(texts), np.int64), {}
+        look = partial(map, self.codes.__getitem__)
+        end = None
+        if end_id is not None:
+            # The end is a word that white space can't give.
+            if "" not in self.codes:
+                self.codes[""] = len(self.lens)
+                self.starts.append(len(self.flat))
+                self.lens.append(1)
+                self.flat.append(end_id)
+            end = np.array([self.codes[""]])
         for i, text in enumerate(texts):
             if any(c in text for c in _ODD_SPACE):
                 odd[i] = self._whole(text)
-                continue
-            words = text.split()
-            counts[i] = len(words)
-            codes.extend(map(self.codes.__getitem__, words))
-        code = np.array(codes, np.int64)
+                words = []
+            else:
+                self.rare = not text.isascii() and _RARE.search(text) is not None
+                words = (text if self.rare else text.lower()).split()
+            counts[i] = len(words) + (end is not None)
+            codes.append(np.fromiter(look(words), np.int64, len(words)))
+            if end is not None:
+                codes.append(end)
+        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
         starts, lens, flat = (np.array(x) for x in (self.starts, self.lens, self.flat))
-        n, at = (lens[code], starts[code]) if len(code) else (np.zeros(0, np.int64),) * 2
-        total = int(n.sum())
-        before = np.cumsum(n) - n
-        ids = flat[np.repeat(at - before, n) + np.arange(total)].astype(np.int32) if total else np.zeros(0, np.int32)
-        bounds = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
-        if end_id is None and not odd:
+        n, at = lens[code].astype(np.int64), starts[code]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(at - ends + n, n) + np.arange(n.sum())].astype("<u4")
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        if not odd:
             return ids, bounds
-        parts = []
-        for i in range(len(texts)):
-            parts.append(np.array(odd[i], np.int32) if i in odd else ids[bounds[i] : bounds[i + 1]])
-            if end_id is not None:
-                parts.append(np.array([end_id], np.int32))
-        step = 1 + (end_id is not None)
-        sizes = np.array([len(p) for p in parts]).reshape(-1, step).sum(1) if parts else np.zeros(0, np.int64)
-        return np.concatenate(parts) if parts else ids, np.concatenate([[0], np.cumsum(sizes)])
-
-
-_made: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    """This process's encoder of a file."""
-    if path not in _made:
-        _made[path] = WordEncoder(path)
-    return _made[path]
+        parts = [np.concatenate([np.array(odd.get(i, []), "<u4"), ids[bounds[i] : bounds[i + 1]]]) for i in range(len(texts))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])

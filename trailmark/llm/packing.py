@@ -12,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm._arrow import chunks, cut
-from trailmark.llm._tokens import encoder
+from trailmark.llm._arrow import chunks, cut, map_arrow
+from trailmark.llm._tokens import WordEncoder
 
 #: Partitions whose last, partly filled windows are merged by one task.
 MERGE_PARTITIONS = 256
@@ -87,7 +87,7 @@ def _powers(window: list[tuple], length: int) -> Iterator[list[tuple]]:
 def _rows(window: list[tuple], sequence: int, with_ids: bool) -> list[tuple]:
     out, offset = [], 0
     for key, start, ids, doc_tokens in window:
-        crc = zlib.crc32(ids.astype("<u4").tobytes())
+        crc = zlib.crc32(ids)
         out.append((key, start, len(ids), crc, doc_tokens, sequence, offset, ids.tolist() if with_ids else None))
         offset += len(ids)
     return out
@@ -112,7 +112,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer, part, made = encoder(tokenizer_path), Packer(length, open_windows), TaskContext.get().partitionId(), 0
+        coder, packer, part, made = WordEncoder(tokenizer_path), Packer(length, open_windows), TaskContext.get().partitionId(), 0
         schema: pa.Schema | None = None
 
         def table(rows: list[tuple], left: bool) -> pa.RecordBatch:
@@ -140,14 +140,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         packer, out = Packer(length, 1), []
         group = int(pieces["part"].iloc[0]) // MERGE_PARTITIONS
         pieces = pieces.sort_values(["part", "offset"], kind="stable")
-        windows = [w for p in pieces.itertuples() for w in packer.add(p.id, p.start, np.asarray(p.ids, np.int32), p.doc_tokens)]
+        windows = [w for p in pieces.itertuples() for w in packer.add(p.id, p.start, np.asarray(p.ids, "<u4"), p.doc_tokens)]
         for window in packer.drain():
             windows += [window] if sum(len(p[2]) for p in window) == length else _powers(window, length)
         for k, window in enumerate(windows):
             out += _rows(window, (1 << 62) + (group << 32) + k, keep_ids)
         return pd.DataFrame([(*r, None) for r in out], columns=names)
 
-    first = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, columns))
+    first = cut(map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, columns))
     last = first.where(F.col("part").isNotNull()).groupBy(F.floor(F.col("part") / MERGE_PARTITIONS).alias("group")).applyInPandas(merge, columns)
     out = first.where(F.col("part").isNull()).unionByName(last).drop("part").withColumnRenamed("id", id_col)
     return out if keep_ids else out.drop("ids")
