@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
@@ -19,16 +20,20 @@ SPACE = 1 << 16
 #: Letters of a word at most. A longer run (scripts without blanks) is several words, which overlap by two letters, so that
 #: none of its n-grams is lost; JOINT, which white-space splitting never leaves in a word, marks their inner ends.
 PIECE, JOINT = 30, "\x1f"
-#: A text is labelled in blocks of so many words; messages from so many words beyond both edges are computed anew.
-BLOCK, EDGE = 512, 32
+#: Words of a block: blocks of a text are worked on side by side once the messages at their edges are known.
+BLOCK = 256
 #: Distinct words that a task remembers before it starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+#: Text bytes of one step of a task.
+SLICE = 2 << 20
 UNKNOWN = "und"
+_OTHER = re.compile(rf"(?![{JOINT}])[\W\d_]")
 
 
 def letters(word: str) -> str:
     """The letters of a word in lower case, other characters dropped."""
-    return word.lower() if word.isalpha() else "".join(c for c in word if c.isalpha() or c == JOINT).lower()
+    kept = _OTHER.sub("", word)
+    return kept.lower() if kept.isalpha() else "".join(c for c in kept if c.isalpha() or c == JOINT).lower()
 
 
 def split_words(text: str) -> list[str]:
@@ -46,31 +51,42 @@ def split_words(text: str) -> list[str]:
     return out
 
 
-def features(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Hashed affix, n-gram and lexicon features of a word of letters; a piece has no affixes at its inner ends."""
-    found = [f"w{word}"] if word in lexicon else []
-    marked = f"<{word}>".replace(f"<{JOINT}", "").replace(f"{JOINT}>", "")
-    if marked[0] == "<":
-        found += [f"p{marked[1 : 1 + k]}" for k in range(1, min(4, len(word)) + 1)]
-    if marked[-1] == ">":
-        found += [f"s{marked[-1 - k : -1]}" for k in range(1, min(4, len(word)) + 1)]
-    found += [f"g{marked[i : i + k]}" for k in (2, 3) for i in range(len(marked) - k + 1)]
-    return [crc32(f.encode()) % SPACE for f in found]
-
-
-class _Ragged:
-    """Feature lists of words, one after the other."""
-
-    def __init__(self, lists: list[list[int]]):
-        self.size = np.array([len(f) for f in lists], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.flat = np.fromiter((f for one in lists for f in one), np.int64, int(self.size.sum()))
-
-    def take(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(features of the words, first place of each word in them); every word has a feature."""
-        size = self.size[words]
-        first = np.cumsum(size) - size
-        return self.flat[np.arange(size.sum()) + np.repeat(self.start[words] - first, size)], first
+def _hashed(kind: int, parts: list[np.ndarray]) -> np.ndarray:
+    """A feature number below SPACE for each row of code points."""
+    h = np.full(len(parts[0]), kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for part in parts:
+        h = (h + part + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return (h >> np.uint64(8)).astype(np.int64) & (SPACE - 1)
+
+
+def features(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, feature) of all affixes to four letters, bigrams, trigrams and lexicon words; a piece has no affixes
+    and no edge at its inner ends."""
+    edged = [f"<{w}>".replace(f"<{JOINT}", "").replace(f"{JOINT}>", "") if JOINT in w else f"<{w}>" for w in words]
+    chars = np.frombuffer("".join(edged).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, edged), np.int64, len(edged))
+    end = np.cumsum(size)
+    start, word = end - size, np.repeat(np.arange(len(edged)), size)
+    left = np.repeat(end, size) - np.arange(len(chars))
+    row, out = [], []
+    for k in (2, 3):
+        at = np.flatnonzero(left >= k)
+        row.append(word[at])
+        out.append(_hashed(k, [chars[at + i] for i in range(k)]))
+    head, tail = chars[start] == ord("<"), chars[end - 1] == ord(">")
+    letters_in = size - head - tail
+    for k in range(1, 5):
+        own = np.flatnonzero(head & (letters_in >= k))
+        row.append(own)
+        out.append(_hashed(10 + k, [chars[start[own] + 1 + i] for i in range(k)]))
+        own = np.flatnonzero(tail & (letters_in >= k))
+        row.append(own)
+        out.append(_hashed(20 + k, [chars[end[own] - 1 - k + i] for i in range(k)]))
+    known = [i for i, w in enumerate(words) if w in lexicon]
+    row.append(np.array(known, np.int64))
+    out.append(np.array([crc32(words[i].encode()) % SPACE for i in known], np.int64))
+    return np.concatenate(row), np.concatenate(out)
 
 
 @dataclass
@@ -82,34 +98,123 @@ class Field:
     weights: np.ndarray
     transition: np.ndarray
 
+    def emission(self, words: list[str]) -> np.ndarray:
+        """Log potentials (words x labels) of words of letters."""
+        row, f = features(words, self.lexicon)
+        return np.stack([np.bincount(row, self.weights[f, j], len(words)) for j in range(len(self.labels))], 1).astype(np.float32)
 
-def forward_backward(emission: np.ndarray, ends: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """Posterior label probabilities of each word. emission: words x labels (log); ends: exclusive ends of the sequences."""
-    starts = np.concatenate([[0], ends[:-1]])
-    order = np.argsort(starts - ends, kind="stable")
-    start, size = starts[order], (ends - starts)[order]
-    local = np.exp(emission - emission.max(1, keepdims=True))
-    move = np.exp(transition - transition.max())
-    alpha, beta = np.empty_like(local), np.empty_like(local)
+
+@dataclass
+class Messages:
+    """Scaled messages of words in the order `place` (numbers into the given words): local potentials, forward and backward
+    messages, and `last`, which words end a block of the work (but maybe not a sequence)."""
+
+    place: np.ndarray
+    local: np.ndarray
+    alpha: np.ndarray
+    beta: np.ndarray
+
+    def posteriors(self) -> np.ndarray:
+        out = self.alpha * self.beta
+        return out / out.sum(1, keepdims=True)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(-1, keepdims=True)
+
+
+def messages(emission: np.ndarray, ends: np.ndarray, transition: np.ndarray, block: int = BLOCK) -> Messages:
+    """Forward and backward messages of whole sequences, exactly. emission: words x labels; ends: their exclusive ends.
+
+    Sequences are cut into blocks that are worked on side by side, the t-th words of all blocks in one step. What goes in
+    at a block's edges comes from products of the blocks' own transfer matrices, so the cuts change nothing.
+    """
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    parts = -(-(ends - starts) // block)
+    seq = np.repeat(np.arange(len(ends)), parts)
+    k = np.arange(len(seq)) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = starts[seq] + k * block
+    size = np.minimum(ends[seq], start + block) - start
+    order = np.argsort(-size, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    start, size = start[order], size[order]
     longest = int(size[0]) if len(size) else 0
-    active = np.searchsorted(-size, -np.arange(longest), "left")  # sequences longer than t
+    live = np.searchsorted(-size, -np.arange(longest), "left")  # blocks of more than t words
+    at = np.cumsum(live) - live
+    step = np.repeat(np.arange(longest), live)
+    place = start[np.arange(len(step)) - at[step]] + step
+    local = emission[place]
+    local = np.exp(local - local.max(1, keepdims=True))
+    move = np.exp(transition - transition.max()).astype(local.dtype)
+    into = np.ones((len(order), local.shape[1]), local.dtype)
+    back_into = into.copy()
+    if longest and parts.max() > 1:
+        # S of a block: its words' potentials with the moves between them, from any label at its start to any at its end.
+        many = parts[seq][order] > 1
+        s = np.zeros((len(order), *move.shape), local.dtype)
+        for t in range(longest):
+            n = live[t]
+            now = local[at[t] : at[t] + n, None, :]
+            own = (s[:n].reshape(-1, len(move)) @ move).reshape(n, *move.shape) * now if t else np.eye(len(move), dtype=local.dtype) * now
+            s[:n] = own / own.sum((1, 2), keepdims=True)
+        s[~many] = 0
+        first = np.cumsum(parts) - parts
+        for j in range(1, int(parts.max())):
+            own = first[parts > j] + j
+            before, here = rank[own - 1], rank[own]
+            into[here] = _unit(np.einsum("bi,bij->bj", into[before], s[before]) @ move)
+        for j in range(int(parts.max()) - 2, -1, -1):
+            own = first[parts > j + 1] + j
+            here, after = rank[own], rank[own + 1]
+            back_into[here] = _unit(np.einsum("bij,bj->bi", s[after], back_into[after]) @ move.T)
+    alpha, beta = np.empty_like(local), np.empty_like(local)
+    now = into
     for t in range(longest):
-        at = start[: active[t]] + t
-        now = local[at] if t == 0 else (now[: active[t]] @ move) * local[at]  # noqa: F821
+        n, a = live[t], at[t]
+        now = ((now[:n] @ move) if t else now) * local[a : a + n]
         now /= now.sum(1, keepdims=True)
-        alpha[at] = now
+        alpha[a : a + n] = now
     for t in range(longest - 1, -1, -1):
-        at = start[: active[t]] + t
-        back = np.ones((active[t], local.shape[1]), local.dtype)
-        if t + 1 < longest and (more := active[t + 1]):
-            back[:more] = (local[at[:more] + 1] * beta[at[:more] + 1]) @ move.T
-            back /= back.sum(1, keepdims=True)
-        beta[at] = back
-    out = alpha * beta
-    return out / out.sum(1, keepdims=True)
+        n, a = live[t], at[t]
+        back = back_into[:n].copy()
+        if t + 1 < longest and (m := live[t + 1]):
+            b = at[t + 1]
+            back[:m] = _unit((local[b : b + m] * beta[b : b + m]) @ move.T)
+        beta[a : a + n] = back
+    return Messages(place, local, alpha, beta)
+
+
+def forward_backward(emission: np.ndarray, ends: np.ndarray, transition: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Posterior label probabilities of each word, in the order given."""
+    found = messages(emission, ends, transition, block)
+    out = np.empty_like(found.alpha)
+    out[found.place] = found.posteriors()
+    return out
 
 
-def fit_field(snippets: list[tuple[str, list[str]]], epochs: int = 12, seed: int = 11) -> Field:
+def gradient(emission: np.ndarray, gold: np.ndarray, ends: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the negative conditional log likelihood of the gold labels: by the emissions and by the transitions.
+
+    Both are expected minus observed counts; the expected pairs come from the messages on both sides of a transition.
+    """
+    found = messages(emission, ends, transition)
+    alpha, after = np.empty_like(found.alpha), np.empty_like(found.alpha)
+    alpha[found.place], after[found.place] = found.alpha, found.local * found.beta
+    d = np.empty_like(found.alpha)
+    d[found.place] = found.posteriors()
+    d[np.arange(len(gold)), gold] -= 1
+    inside = np.ones(len(gold), bool)
+    inside[ends - 1] = False
+    i = np.flatnonzero(inside)
+    pair = alpha[i][:, :, None] * np.exp(transition - transition.max())[None] * after[i + 1][:, None, :]
+    pair /= pair.sum((1, 2), keepdims=True)
+    dt = pair.sum(0)
+    np.add.at(dt, (gold[i], gold[i + 1]), -1)
+    return d, dt
+
+
+def fit_field(snippets: list[tuple[str, list[str]]], epochs: int = 8, group: int = 32, seed: int = 11) -> Field:
     """Fit on (language, words) snippets by AdaGrad on the conditional log likelihood.
 
     Training sequences join two to four snippets of any languages, so the transitions learn both staying and switching.
@@ -120,43 +225,41 @@ def fit_field(snippets: list[tuple[str, list[str]]], epochs: int = 12, seed: int
     seen = Counter(w for _, words in snippets for w in set(words))
     lexicon = frozenset(w for w, n in seen.items() if n >= 10)
     code = {w: i for i, w in enumerate(seen)}
-    listed = _Ragged([features(w, lexicon) for w in code])
-    size = len(labels)
-    weights, transition = np.zeros((SPACE, size)), np.zeros((size, size))
+    word, feature = features(list(code), lexicon)
+    order = np.argsort(word, kind="stable")
+    # Only features that occur are fitted.
+    used, own = np.unique(feature[order], return_inverse=True)
+    size = np.bincount(word, minlength=len(code))
+    start = np.cumsum(size) - size
+    weights, transition = np.zeros((len(used), len(labels))), np.zeros((len(labels), len(labels)))
     g_w, g_t = np.full_like(weights, 1e-6), np.full_like(transition, 1e-6)
+    coded = [(number[lang], np.array([code[w] for w in words])) for lang, words in snippets]
     rng = np.random.default_rng(seed)
-    for _ in range(epochs if size > 1 else 0):
-        order, joined, at = rng.permutation(len(snippets)), [], 0
-        while at < len(order):
+    for _ in range(epochs if len(labels) > 1 else 0):
+        mixed, joined, at = rng.permutation(len(coded)), [], 0
+        while at < len(mixed):
             n = int(rng.integers(2, 5))
-            joined.append(order[at : at + n])
+            joined.append(mixed[at : at + n])
             at += n
-        for lo in range(0, len(joined), 24):
-            group = joined[lo : lo + 24]
-            words = np.array([code[w] for seq in group for k in seq for w in snippets[k][1]])
-            gold = np.array([number[snippets[k][0]] for seq in group for k in seq for _ in snippets[k][1]])
-            ends = np.cumsum([sum(len(snippets[k][1]) for k in seq) for seq in group])
-            used, first = listed.take(words)
-            emission = np.add.reduceat(weights[used], first)
-            p = forward_backward(emission, ends, transition)
-            d = p.copy()
-            d[np.arange(len(gold)), gold] -= 1
-            # Expected and observed transitions; pair posteriors from the same messages, by their local form.
-            inside = np.ones(len(gold), bool)
-            inside[ends - 1] = False
-            i = np.flatnonzero(inside)
-            pair = p[i][:, :, None] * np.exp(transition)[None] * p[i + 1][:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            dt = pair.sum(0)
-            np.add.at(dt, (gold[i], gold[i + 1]), -1)
-            dw = np.zeros_like(weights)
-            np.add.at(dw, used, np.repeat(d, np.diff(first, append=len(used)), 0))
-            dw, dt = dw / len(gold) + 1e-6 * weights, dt / len(gold)
+        for lo in range(0, len(joined), group):
+            part = joined[lo : lo + group]
+            words = np.concatenate([coded[k][1] for seq in part for k in seq])
+            gold = np.concatenate([np.full(len(coded[k][1]), coded[k][0]) for seq in part for k in seq])
+            ends = np.cumsum([sum(len(coded[k][1]) for k in seq) for seq in part])
+            n = size[words]
+            first = np.cumsum(n) - n
+            f = own[np.arange(n.sum()) + np.repeat(start[words] - first, n)]
+            d, dt = gradient(np.add.reduceat(weights[f], first), gold, ends, transition)
+            spread = np.repeat(np.arange(len(words)), n)
+            dw = np.stack([np.bincount(f, d[spread, j], len(used)) for j in range(len(labels))], 1) / len(gold) + 1e-6 * weights
+            dt = dt / len(gold)
             g_w += dw * dw
             g_t += dt * dt
             weights -= 0.3 * dw / np.sqrt(g_w)
             transition -= 0.1 * dt / np.sqrt(g_t)
-    return Field(labels, lexicon, weights.astype(np.float32), transition.astype(np.float32))
+    whole = np.zeros((SPACE, len(labels)), np.float32)
+    whole[used] = weights
+    return Field(labels, lexicon, whole, transition.astype(np.float32))
 
 
 def fit_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = 6000, snippet: int = 40, **options) -> Field | None:
@@ -179,7 +282,7 @@ def fit_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 class _Labeller:
-    """A process's word cache: word -> code, code -> emission; code 0 is a word without letters."""
+    """A task's word cache: word -> code, code -> emission; code 0 is a word without letters."""
 
     def __init__(self, field: Field):
         self.field = field
@@ -188,57 +291,52 @@ class _Labeller:
     def reset(self) -> None:
         self.codes: dict[str, int] = {}
         self.new: list[str] = []
-        self.emission = np.zeros((1, len(self.field.labels)), np.float32)
+        self.held = 1
+        self.emission = np.zeros((1 << 14, len(self.field.labels)), np.float32)
 
     def code(self, word: str) -> int:
+        if (known := self.codes.get(word)) is not None:
+            return known
         if (w := letters(word)) == "":
             out = 0
         elif w != word:
-            out = self.codes.get(w)
-            out = self.code(w) if out is None else out
+            out = self.code(w)
         else:
             self.new.append(w)
-            out = len(self.emission) + len(self.new) - 1
+            out = self.held + len(self.new) - 1
         self.codes[word] = out
         return out
 
     def flush(self) -> None:
+        while self.held + len(self.new) > len(self.emission):
+            self.emission = np.concatenate([self.emission, np.zeros_like(self.emission)])
         for lo in range(0, len(self.new), 4096):
             words = self.new[lo : lo + 4096]
-            used, first = _Ragged([features(w, self.field.lexicon) for w in words]).take(np.arange(len(words)))
-            self.emission = np.concatenate([self.emission, np.add.reduceat(self.field.weights[used], first)])
+            self.emission[self.held : self.held + len(words)] = self.field.emission(words)
+            self.held += len(words)
         self.new = []
 
     def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x labels) mean posteriors over each text's words with letters, and how many such words there are."""
         if len(self.codes) > CACHE_WORDS:
             self.reset()
-        codes, counts = [], []
+        codes, counts, look = [], [], self.codes.get
         for text in texts:
-            words = split_words(text)
+            words = split_words(text.lower())
             counts.append(len(words))
-            for w in words:
-                c = self.codes.get(w)
-                codes.append(self.code(w) if c is None else c)
+            found = [look(w) for w in words]
+            if None in found:
+                found = [self.code(w) if c is None else c for w, c in zip(words, found, strict=True)]
+            codes.append(np.array(found, np.int32))
         self.flush()
-        code, row = np.array(codes, np.int64), np.repeat(np.arange(len(texts)), counts)
+        code, row = np.concatenate(codes), np.repeat(np.arange(len(texts)), counts)
         lettered = code > 0
         code, row = code[lettered], row[lettered]
         n = np.bincount(row, minlength=len(texts))
-        first = np.cumsum(n) - n
-        blocks = np.maximum(1, -(-n // BLOCK)) * (n > 0)
-        text = np.repeat(np.arange(len(texts)), blocks)
-        k = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        lo = np.maximum(0, k * BLOCK - EDGE)
-        hi = np.minimum(n[text], (k + 1) * BLOCK + EDGE)
-        sizes = hi - lo
-        ends = np.cumsum(sizes)
-        place = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes) + np.repeat(lo, sizes)
-        p = forward_backward(self.emission[code[np.repeat(first[text], sizes) + place]], ends, self.field.transition)
-        block = np.repeat(k, sizes)
-        own = (place >= block * BLOCK) & (place < (block + 1) * BLOCK)
-        rows = np.repeat(text, sizes)[own]
-        total = np.stack([np.bincount(rows, p[own, j], len(texts)) for j in range(p.shape[1])], 1)
+        some = n > 0
+        found = messages(self.emission[code], np.cumsum(n[some]), self.field.transition)
+        p, row = found.posteriors(), row[found.place]
+        total = np.stack([np.bincount(row, p[:, j], len(texts)) for j in range(p.shape[1])], 1)
         return total / np.maximum(n, 1)[:, None], n
 
 
@@ -261,23 +359,26 @@ def with_language(docs: DataFrame, field: Field | None, text_col: str = "text")
     and texts without a letter are "und" with score 0, as is everything when nothing could be learned. Columns of the
     input with those names are replaced. Map-only; the broadcast field has a fixed size (SPACE weights a label).
     """
-    shared, made = docs.sparkSession.sparkContext.broadcast(field), []
+    shared = docs.sparkSession.sparkContext.broadcast(field)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
-    def step(part: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
-        pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        if shared.value is not None:
-            if not made:
-                made.append(_Labeller(shared.value))
-            share, n = made[0].shares(texts.to_pylist())
-            best = share.argmax(1)
-            pred = [shared.value.labels[j] if k else UNKNOWN for j, k in zip(best, n, strict=True)]
-            score = np.where(n > 0, np.minimum(1.0, share[np.arange(len(best)), best]), 0.0)
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*part.schema.names, "p", "s"])
+    def task():
+        labeller = _Labeller(shared.value) if shared.value is not None else None
+
+        def step(part: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
+            pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            if labeller is not None:
+                share, n = labeller.shares(texts.to_pylist())
+                best = share.argmax(1)
+                pred = [labeller.field.labels[j] if k else UNKNOWN for j, k in zip(best, n, strict=True)]
+                score = np.where(n > 0, np.minimum(1.0, share[np.arange(len(best)), best]), 0.0)
+            return pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*part.schema.names, "p", "s"])
+
+        return step
 
     frame = docs.select(names).toDF(*[f"c{i}" for i in range(len(names))])
     schema = ", ".join([*[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)], "p string, s double"])
-    return map_texts(frame, f"c{names.index(text_col)}", schema, step).toDF(*names, "lang_pred", "score")
+    return map_texts(frame, f"c{names.index(text_col)}", schema, task=task, limit=SLICE).toDF(*names, "lang_pred", "score")
 
 
 def language_report(docs: DataFrame, bound: int = 6000) -> DataFrame:
