@@ -41,18 +41,21 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component; rows with a null id stay."""
-    first = similar_components(docs).where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """Keeps one document of each component: the one with the smallest id, a null one last, then with the smallest hash of
+    its text. Documents are told apart by id and text, so different texts under one id, or without one, are different
+    documents; rows equal in both are copies. Documents without words have no links; of those equal in id and text one stays.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+    keyed = docs.select(key.alias("key"), *COLUMNS)
+    first = similar_components(keyed, "key").where("component_id = key").select("key").distinct()
+    return keyed.join(first, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Raises small sources by whole and part passes; every document is taken once at least. The rows lie in the order of
-    the passes and their permuted blocks, as packing takes them as they come."""
+    the passes, their permuted blocks and the permuted rows of these, as packing takes them as they come."""
     mixed = mix_sources(docs, repetition_limit=REPETITION_LIMIT, cover=True)
-    # The text is in the hash so that rows with a null id don't meet in one range.
-    order = ["mix_pass", "mix_key", F.xxhash64("mix_pass", "doc_id", "text")]
+    order = ["mix_pass", "mix_key", "mix_place"]
     return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*COLUMNS)
 
 
