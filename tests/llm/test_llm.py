@@ -232,16 +232,53 @@ def test_language_id_and_toxicity(spark):
     assert langid.language_report(empty).count() == 0 and toxicity.toxicity_report(empty, empty.select("doc_id", "toxic")).count() == 0
 
 
-def test_forward_backward_against_enumeration():
-    rng = np.random.default_rng(0)
-    e, t = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
-    total, want = 0.0, np.zeros((5, 3))
-    for path in np.ndindex(*[3] * 5):
+def enumerated(e, t):
+    """(sum of all paths' weights, posteriors) of one sequence."""
+    total, want = 0.0, np.zeros(e.shape)
+    for path in np.ndindex(*[e.shape[1]] * len(e)):
         w = np.exp(sum(e[i, s] for i, s in enumerate(path)) + sum(t[a, b] for a, b in zip(path, path[1:], strict=False)))
         total += w
         for i, s in enumerate(path):
             want[i, s] += w
-    assert np.allclose(langid.forward_backward(e, np.array([5]), t), want / total)
+    return total, want / total
+
+
+def test_forward_backward_against_enumeration():
+    rng = np.random.default_rng(0)
+    sizes = [5, 1, 6, 2, 7, 3]
+    e, t, ends = rng.normal(size=(sum(sizes), 3)), 2 * rng.normal(size=(3, 3)), np.cumsum(sizes)
+    want = np.concatenate([enumerated(e[b - n : b], t)[1] for n, b in zip(sizes, ends, strict=True)])
+    for block in (1, 2, 3, 256):
+        assert np.allclose(langid.forward_backward(e, ends, t, block), want)
+
+
+def test_long_texts_are_labelled_exactly():
+    rng = np.random.default_rng(1)
+    e, t = rng.normal(size=(3000, 4)), rng.normal(size=(4, 4)) + 6 * np.eye(4)
+    assert np.allclose(langid.forward_backward(e, np.array([3000]), t), langid.forward_backward(e, np.array([3000]), t, 3000))
+
+
+def test_gradient_against_finite_differences():
+    rng = np.random.default_rng(2)
+    sizes = [4, 3, 1]
+    ends = np.cumsum(sizes)
+    e, t, gold = rng.normal(size=(8, 3)), rng.normal(size=(3, 3)), rng.integers(0, 3, 8)
+
+    def loss(e, t):
+        out = 0.0
+        for n, b in zip(sizes, ends, strict=True):
+            own, g = e[b - n : b], gold[b - n : b]
+            out += np.log(enumerated(own, t)[0]) - sum(own[i, s] for i, s in enumerate(g)) - sum(t[x, y] for x, y in zip(g, g[1:], strict=False))
+        return out
+
+    d, dt = langid.gradient(e, gold, ends, t)
+    for x, found in ((e, d), (t, dt)):
+        for at in np.ndindex(*x.shape):
+            up, down = x.copy(), x.copy()
+            up[at] += 1e-5
+            down[at] -= 1e-5
+            want = (loss(up, t) - loss(down, t)) if x is e else (loss(e, up) - loss(e, down))
+            assert abs(want / 2e-5 - found[at]) < 1e-6
 
 
 def test_license_scan(spark):
@@ -298,7 +335,19 @@ def test_pipeline_stages(spark, corpus):
     assert {r.doc_id for r in told.collect()} == lettered
     lines = corpus_pipeline.remove_repeated_lines(spark, told, "")
     single = corpus_pipeline.keep_one_of_similar(spark, lines, "")
-    groups = {r.component_id for r in ngram_join.similar_components(lines).collect()}
+    texts = {r.doc_id: r.text for r in lines.collect()}
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    groups, left = set(), set(sets)
+    while left:
+        todo = [min(left)]
+        groups.add(todo[0])
+        while todo:
+            i = todo.pop()
+            left.discard(i)
+            todo += [j for j in left if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
     assert {r.doc_id for r in single.collect()} == groups
     mixed = corpus_pipeline.mix_by_source(spark, single, "")
     assert {r.doc_id for r in mixed.collect()} == groups and tuple(mixed.columns) == corpus_pipeline.COLUMNS
@@ -343,5 +392,161 @@ def test_language_id_of_runs_without_blanks():
     pieces = langid.split_words(run)
     grams = lambda w: {w[i : i + 3] for i in range(len(w) - 2)}
     assert set().union(*(grams(p.strip(langid.JOINT)) for p in pieces)) == grams(run)
-    long = "abcdefgabcdefgabcdefgtuvw"
-    assert {zlib.crc32(f"g{g}".encode()) % langid.SPACE for g in grams(f"<{long}>")} <= set(langid.features(long, frozenset()))
+    # Every n-gram and affix of a word counts, whatever its length; a piece has no affixes at its inner ends.
+    for word, affixes in (("abcdefgabcdefgabcdefgtuvw", 8), ("ab", 4), ("a", 2), (langid.JOINT + "abcde", 4)):
+        inner = f"<{word}>".replace("<" + langid.JOINT, "")
+        row, found = langid.features([word, "x"], frozenset())
+        assert (row == 0).sum() == len(inner) - 1 + max(0, len(inner) - 2) + affixes and found.max() < langid.SPACE
+
+
+def test_fingerprint_keeps_every_row(spark):
+    rows = [(1, "a b c d"), (None, "x y z"), (2, "q r s t"), (2, "q r s t"), (2, "other words here"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = fingerprint.edit_report(frame).collect()
+    assert sorted(((r.doc_id is None, r.doc_id, r.n_chars) for r in got), key=str) == sorted(((i is None, i, len(t or "")) for i, t in rows), key=str)
+    one = next(r for r in got if r.doc_id == 1)
+    # The order is null, 1, 2; of the texts that share id 2 the least head is taken.
+    assert one.edited_sha256 == hashlib.sha256(b"a bot").hexdigest() or one.edited_sha256 == hashlib.sha256(b"a b " + b"othe"[:3]).hexdigest()
+    assert fingerprint.fingerprint(frame).count() == len(rows)
+
+
+def test_likeness_estimates_the_cosine(spark):
+    rng = random.Random(8)
+    words = [rng.choice(WORDS) for _ in range(3000)]
+    texts = [" ".join(words), " ".join(words[:2000] + [rng.choice(WORDS) for _ in range(1000)]), " ".join(words[:1000]), " ".join(rng.choice(WORDS) for _ in range(3000)), ""]
+
+    def grams(t):
+        w = t.split()
+        return {g: sum(1 for _ in own) for g, own in __import__("itertools").groupby(sorted(zip(w, w[1:], w[2:], strict=False)))}
+
+    prints = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    f = fingerprint.fingerprint(prints)
+    pairs = f.toDF("i", "a").crossJoin(f.toDF("j", "b")).select("i", "j", fingerprint.likeness(F.col("a"), F.col("b")).alias("near"))
+    for r in pairs.collect():
+        x, y = grams(texts[r.i]), grams(texts[r.j])
+        dot = lambda p, q: sum(n * q.get(g, 0) for g, n in p.items())
+        want = 1.0 if r.i == r.j else (dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5 if x and y else 0.0)
+        # 128 lanes of +1 and -1: a standard error of about 0.09.
+        assert abs(r.near - want) < 0.35
+
+
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    window = "first line\nsecond line\nthird line"
+    frame = spark.createDataFrame([(1, window + "\nhere"), (1, window + "\nthere"), (None, window)], "doc_id bigint, text string")
+    removed = sorted(r.lines_removed for r in line_dedup.dedup_lines(frame).collect())
+    assert removed == [0, 0, 3]
+
+
+def test_mixing_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 40)) if i % 50 else None, "large" if i % 3 else ("small" if i % 2 else None), i) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, mix_place int")
+    tokens = {i: len((t or "").split()) for i, t, _, _ in rows}
+    source = {i: s or "" for i, _, s, _ in rows}
+    totals = {s: sum(n for i, n in tokens.items() if source[i] == s) for s in set(source.values())}
+    mix = mixing.temperature_weights(spark.createDataFrame(list(totals.items()), "source string, tokens bigint"), repetition_limit=1.3)
+    share = {s: n / sum(totals.values()) for s, n in totals.items()}
+    z = sum(p**mix.exponent for p in share.values())
+    for r in mix.plan.collect():
+        assert abs(r.weight - share[r.source] ** mix.exponent / z) < 1e-9
+        assert abs(r.epochs - mix.budget * r.weight / totals[r.source]) < 1e-6 and r.epochs <= 1.3 + 1e-9
+    out = mixing.mix_sources(frame, repetition_limit=1.3)
+    got = out.select("doc_id", "mix_pass", "mix_block", "mix_key", "mix_place").collect()
+    taken = {s: 0 for s in totals}
+    for r in got:
+        taken[source[r.doc_id]] += tokens[r.doc_id]
+    for r in mix.plan.collect():
+        # The part pass stops inside one block at the last row that fits.
+        assert taken[r.source] <= mix.budget * r.weight + 1e-6 < taken[r.source] + 41
+    again = mixing.mix_sources(frame.repartition(7), repetition_limit=1.3).select("doc_id", "mix_pass", "mix_block", "mix_key", "mix_place").collect()
+    order = lambda rows: [(r.mix_pass, r.doc_id) for r in sorted(rows, key=lambda r: (r.mix_pass, r.mix_key, r.mix_place))]
+    assert order(got) == order(again)
+    first = [i for p, i in order(got) if p == 0]
+    assert sum(a > b for a, b in zip(first, first[1:], strict=False)) > len(first) / 3
+
+
+def test_machine_learns_interactions():
+    def made(n, seed):
+        rng = np.random.default_rng(seed)
+        sets, y = [], []
+        for _ in range(n):
+            has = rng.random(2) < 0.5
+            sets.append(sorted({*rng.integers(100, 600, 40).tolist(), *(np.flatnonzero(has) + 1).tolist()}))
+            y.append(float(has[0] == has[1]))
+        return np.repeat(np.arange(n), [len(s) for s in sets]), np.concatenate(sets), np.array(y)
+
+    machine = toxicity.fit_machine(*made(2000, 1))
+    row, bucket, y = made(1000, 2)
+    term = machine.slot[bucket]
+    logit = machine.logits(row[term >= 0], term[term >= 0], len(y))
+    assert ((logit >= 0) == (y == 1)).mean() >= 0.95
+    for i in range(20):
+        own = term[(row == i) & (term >= 0)]
+        pairs = sum(machine.v[p] @ machine.v[q] for k, p in enumerate(own) for q in own[:k])
+        assert abs(machine.bias + machine.w[own].sum() + pairs - logit[i]) < 1e-9
+
+
+def test_toxicity_of_odd_samples(spark):
+    frame = docs(spark, ["good words", None, "bad words", "bad words"])
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    for labels in (none, spark.createDataFrame([(0, 0), (1, 0), (2, 0), (2, 0)], none.schema), spark.createDataFrame([(None, 1), (2, 7), (3, 1)], none.schema)):
+        scores = toxicity.toxicity_report(frame, labels).collect()
+        assert len(scores) == 4 and all(0 <= r.score <= 1 for r in scores)
+
+
+def test_batched_bounds_are_those_of_a_pair():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    n, bits = [], []
+    for _ in range(80):
+        s = rng.choice(300, int(rng.integers(1, 200)), replace=False)
+        width = int(ngram_join.bitmap_bits(len(s)))
+        n.append(len(s))
+        bits.append(np.packbits(np.bincount(s & (width - 1), minlength=width).astype(np.uint8) & 1, bitorder="little").tobytes())
+    p, q = rng.integers(0, 80, 400), rng.integers(0, 80, 400)
+    near = [k for k in range(400) if p[k] != q[k] and min(n[p[k]], n[q[k]]) * 100 >= 75 * max(n[p[k]], n[q[k]])]
+    p, q = p[near], q[near]
+    got = ngram_join.bounded_rows(np.array(n)[p], np.array(n)[q], pa.array([bits[i] for i in p]), pa.array([bits[i] for i in q]), 75)
+    assert got.tolist() == [len(ngram_join.bound_pairs(np.array([n[i], n[j]]), [bits[i], bits[j]], 75)[0]) > 0 for i, j in zip(p, q, strict=True)]
+
+
+def test_tables_of_many_tasks_are_gathered_in_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GATHER", 3)
+    texts = [f"a b c d e f{i}" for i in range(40)]
+    whole = ngram_join.frequency_sketch(docs(spark, texts).coalesce(1), 5)
+    assert (ngram_join.frequency_sketch(docs(spark, texts).repartition(16), 5) == whole).all() and whole.sum() == 80
+
+
+@pytest.mark.parametrize("sized", [0, 30_000])
+def test_null_and_shared_ids_and_long_texts(spark, sized):
+    """Null ids, rows that share an id, a very long text and names that clash go through every operator."""
+    rng = random.Random(3)
+    long = "\n".join(" ".join(rng.choice(WORDS) for _ in range(12)) for _ in range(sized // 12)) or None
+    rows = [(1, "one two three four five six"), (1, "a different text under the same id"), (None, "one two three four five six"), (None, None), (3, long), (3, long), (4, "")]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0, 1.0, "c0", "x") for i, t in rows], "doc_id bigint, text string, lang string, source string, mix_pass int, score double, lang_pred string, lines_before string")
+    labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1)], "doc_id bigint, toxic int")
+    assert langid.language_report(frame).count() == len(rows)
+    assert toxicity.toxicity_report(frame, labels).count() == len(rows)
+    assert fingerprint.edit_report(frame).count() == len(rows)
+    assert ngram_join.similar_components(frame).count() == len(rows)
+    assert pii.digest(pii.find_pii(frame)).count() == len(rows)
+    assert license_scan.scan_licenses(frame).count() == 0
+    assert line_dedup.dedup_lines(frame).count() == len(rows)
+    mixed = mixing.mix_sources(frame, cover=True)
+    assert mixed.count() == len(rows) and mixed.columns.count("mix_pass") == 1
+    packed = packing.pack_documents(frame, TOKENIZER)
+    assert packed.where("start = 0").count() == len(rows)
+
+
+def test_similar_documents_under_one_id(spark):
+    import corpus_pipeline
+
+    same, other = "one two three four five six seven", "quite another text that shares no words"
+    rows = [(None, same), (1, same), (1, other), (1, other), (None, "a lone text without any name"), (2, None), (3, "")]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.keep_one_of_similar(spark, frame, "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, same), (1, other), (None, "a lone text without any name"), (2, None), (3, "")], key=str)
+    empty = frame.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name

@@ -12,8 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.llm._arrow import map_arrow
+
 #: Rows that one task compares with so many queries at a time, both about.
 ROW_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Queries whose visits one task finds.
+VISIT_BLOCK = 256
 
 
 @dataclass
@@ -195,14 +199,15 @@ def indexed_rows(vectors: DataFrame, tree: Tree, copies: int | None = None) -> D
                 part = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared.value.assign(x), pa.int32())], names=["vec_id", "v", "leaf"])
 
-    return vectors.mapInArrow(run, "vec_id bigint, v array<double>, leaf int")
+    return map_arrow(vectors, run, "vec_id bigint, v array<double>, leaf int")
 
 
 def build_index(frame: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 20_000, calibration: int = 200, k: int = 20, target: float = 0.95, branch: int = 16, leaf_size: int = 64) -> Index | None:
     """Fit the tree on at most `sample` vectors, and calibrate how many leaves a search visits. None without vectors.
 
     Calibration takes `calibration` rows as queries, finds their k best among all rows exactly (each task keeps k for
-    each query), and takes the smallest number of leaves whose best-bin-first visits find `target` of them.
+    each query), and takes the smallest number of leaves whose best-bin-first visits find `target` of them. They are kept
+    out of the fit where the sample has four times as many.
     The sample and the queries are the rows whose ids hash lowest; their number bounds what the driver holds.
     """
     vectors = _vectors(frame, id_col, vec_col)
@@ -214,7 +219,8 @@ def build_index(frame: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     rows, x = _matrix(few["v"], dim)
     if not len(rows):
         return None
-    tree = fit_tree(x, branch, leaf_size)
+    # A tree fits its own vectors better than others, so the queries are kept out of it where there are enough.
+    tree = fit_tree(x[calibration:] if len(x) >= 4 * calibration else x, branch, leaf_size)
     q_id, q = np.asarray(few["vec_id"])[rows][:calibration], x[:calibration]
     shared = frame.sparkSession.sparkContext.broadcast((q_id, q))
 
@@ -225,7 +231,7 @@ def build_index(frame: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
                 i, j, score = best(*shared.value, np.asarray(batch.column(0))[r], own, k)
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(np.asarray(batch.column(0))[r][j]), pa.array(score), pa.array(np.asarray(batch.column(2))[r][j])], names=["q", "vec_id", "score", "leaf"])
 
-    near = indexed_rows(vectors, tree, k + 1).mapInArrow(exact, "q int, vec_id bigint, score double, leaf int")
+    near = map_arrow(indexed_rows(vectors, tree, k + 1), exact, "q int, vec_id bigint, score double, leaf int")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("q", "leaf").toArrow()
     place = np.zeros((len(q), max(1, tree.leaves)), np.int64)
     for i in range(len(q)):
@@ -261,7 +267,8 @@ def search(frame: DataFrame, queries: DataFrame, index: Index | None, id_col: st
     for r in rows.groupBy("leaf").count().collect():
         counts[r["leaf"]] = r["count"]
     pack, blocks = packs(counts)
-    groups = max(1, -(-asked.count() // QUERY_BLOCK))
+    count = asked.count()
+    groups = max(1, -(-count // QUERY_BLOCK))
     shared = spark.sparkContext.broadcast((index, pack, counts))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +287,8 @@ def search(frame: DataFrame, queries: DataFrame, index: Index | None, id_col: st
     part = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
     places = spark.createDataFrame([(i, int(p), int(blocks[p])) for i, p in enumerate(pack)], "leaf int, pack int, blocks int")
     sizes = F.broadcast(places.select("pack", "blocks").distinct())
-    left = asked.join(same, "vec_id", "left").select("vec_id", "v", F.coalesce("same", F.lit(0)).alias("same")).mapInArrow(visits, "query_id bigint, q array<double>, goals array<struct<pack:int,leaves:array<int>>>")
+    left = asked.join(same, "vec_id", "left").select("vec_id", "v", F.coalesce("same", F.lit(0)).alias("same")).repartition(max(1, -(-count // VISIT_BLOCK)))
+    left = map_arrow(left, visits, "query_id bigint, q array<double>, goals array<struct<pack:int,leaves:array<int>>>")
     left = left.select("query_id", "q", F.explode("goals").alias("g")).select("query_id", "q", "g.pack", "g.leaves").join(sizes, "pack")
     left = left.select("query_id", "q", "leaves", "pack", part("query_id", F.lit(groups)).alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
     right = rows.join(F.broadcast(places), "leaf").select("vec_id", "v", "leaf", "pack", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("a"), part("vec_id", F.col("blocks")).alias("b"))

@@ -14,10 +14,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm._arrow import chunks, cut, map_texts, release
+from trailmark.llm._arrow import chunks, cut, map_arrow, map_texts, release
 from trailmark.llm._components import connected_components
 from trailmark.llm._words import Words, mix
 
@@ -27,6 +28,8 @@ SKETCH, CHUNK = 1 << 20, 1 << 13
 FILTER_BITS = 1 << 26
 #: Documents of a tile that one task compares with as many others at a time, and rows of small tiles that it takes together.
 BLOCK, LUMP = 4096, 2_000
+#: Tasks whose parts of a table are put together by one group; what these give is put together then.
+GATHER = 256
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -70,22 +73,28 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _gathered(rows: DataFrame, dtype: str, size: int, add: np.ufunc) -> np.ndarray:
-    """A table of `size` numbers of which tasks made parts (chunk, values): the parts of a chunk are reduced by `add`."""
+    """A table of `size` numbers of which tasks made parts (chunk, task, values): the parts of a chunk are reduced by `add`,
+    those of GATHER tasks at a time, so that a group stays small however many tasks there are."""
 
     def reduce(key, parts):
         values = add.reduce([np.frombuffer(x.as_py(), dtype) for x in parts["values"]], 0, dtype)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "values": pa.array([values.tobytes()], pa.binary())})
+        return pa.table({"chunk": parts["chunk"][:1], "task": pa.array([key[-1].as_py() if len(key) > 1 else 0], pa.int64()), "values": pa.array([values.tobytes()], pa.binary())})
 
+    some = rows.groupBy("chunk", F.floor(F.col("task") / GATHER).alias("tasks")).applyInArrow(reduce, _PARTS)
     out = np.zeros(size, dtype).reshape(-1, CHUNK)
-    for r in rows.groupBy("chunk").applyInArrow(reduce, "chunk int, values binary").collect():
+    for r in some.groupBy("chunk").applyInArrow(reduce, _PARTS).collect():
         out[r["chunk"]] = np.frombuffer(r["values"], dtype)
     return out.ravel()
 
 
+_PARTS = "chunk int, task bigint, values binary"
+
+
 def _parts(table: np.ndarray) -> pa.RecordBatch:
     parts = table.reshape(-1, CHUNK)
     own = np.flatnonzero(parts.any(1))
-    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([parts[k].tobytes() for k in own], pa.binary())], names=["chunk", "values"])
+    task = pa.array(np.full(len(own), TaskContext.get().partitionId()), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), task, pa.array([parts[k].tobytes() for k in own], pa.binary())], names=["chunk", "task", "values"])
 
 
 def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
@@ -98,7 +107,7 @@ def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
                 total += np.bincount((Words(texts).shingles(size)[1] >> np.uint64(44)).astype(np.int64), minlength=SKETCH).astype("<u4")
         yield _parts(total)
 
-    return _gathered(docs.select("text").mapInArrow(run, "chunk int, values binary"), "<u4", SKETCH, np.add)
+    return _gathered(map_arrow(docs.select("text"), run, _PARTS), "<u4", SKETCH, np.add)
 
 
 def bit_filter(keys: DataFrame) -> np.ndarray:
@@ -111,7 +120,7 @@ def bit_filter(keys: DataFrame) -> np.ndarray:
             np.bitwise_or.at(bits, h >> 3, (1 << (h & 7)).astype(np.uint8))
         yield _parts(bits)
 
-    return _gathered(keys.toDF("h").mapInArrow(run, "chunk int, values binary"), "u1", FILTER_BITS // 8, np.bitwise_or)
+    return _gathered(map_arrow(keys.toDF("h"), run, _PARTS), "u1", FILTER_BITS // 8, np.bitwise_or)
 
 
 def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -161,6 +170,34 @@ def bound_pairs(n: np.ndarray, bits: list[bytes], percent: int) -> tuple[np.ndar
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
+def _rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, starts and lengths of a binary column."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at[:-1], np.diff(at)
+
+
+def bounded_rows(p: np.ndarray, q: np.ndarray, x: pa.Array, y: pa.Array, percent: int) -> np.ndarray:
+    """Which pairs of sets of p and q members, with bitmaps x and y, may have the similarity; pairs of equal widths at once."""
+    out = np.zeros(len(p), bool)
+    (x_data, x_at, x_len), (y_data, y_at, y_len) = _rows_of(x), _rows_of(y)
+    shape = x_len << 32 | y_len
+    for one in np.unique(shape):
+        own = np.flatnonzero(shape == one)
+        width = int(min(x_len[own[0]], y_len[own[0]]))
+        step = max(1, (1 << 22) // max(1, int(x_len[own[0]] + y_len[own[0]])))
+        for lo in range(0, len(own), step):
+            k = own[lo : lo + step]
+            sides = [np.bitwise_xor.reduce(data[at[k][:, None] + np.arange(size[k[0]])].reshape(len(k), -1, width), 1) for data, at, size in ((x_data, x_at, x_len), (y_data, y_at, y_len))]
+            differ = np.bitwise_count((sides[0] ^ sides[1]).view(np.uint64)).sum(1).astype(np.int64)
+            both = p[k].astype(np.int64) + q[k]
+            overlap = np.minimum((both - differ) // 2, np.minimum(p[k], q[k]))
+            out[k] = 100 * overlap >= percent * (both - overlap)
+    return out
+
+
 def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes whose sizes and bitmaps allow the similarity."""
     side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
@@ -168,11 +205,10 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            kept = [len(bound_pairs(np.array([p, q]), [x, y], percent)[0]) > 0 for p, q, x, y in zip(*columns, strict=True)]
-            yield batch.select([4, 5]).filter(pa.array(kept, pa.bool_()))
+            ok = bounded_rows(np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2), batch.column(3), percent)
+            yield batch.select([4, 5]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("na", "nb", "xa", "xb", "a", "b").mapInArrow(run, "a bigint, b bigint")
+    return map_arrow(both.select("na", "nb", "xa", "xb", "a", "b"), run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -188,17 +224,25 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             while lo < batch.num_rows:
                 done = work[lo - 1] if lo else 0
                 hi = max(lo + 1, int(np.searchsorted(work, done + 150_000, "right")))
-                part = batch.slice(lo, hi - lo)
-                sets = [_sets(pa.array([unpack(z).decode() for z in part.column(c).to_pylist()], pa.large_string()), size) for c in (4, 5)]
-                row, h = (np.concatenate([s[k] for s in sets]) for k in (0, 1))
+                part, pairs = batch.slice(lo, hi - lo), hi - lo
+                # A leader comes in many pairs; each text is unpacked and hashed once.
+                nodes = np.concatenate([np.asarray(part.column(c), np.int64) for c in (0, 1)])
+                _, first, which = np.unique(nodes, return_index=True, return_inverse=True)
+                packed = [part.column(4 if k < pairs else 5)[k % pairs].as_py() for k in first.tolist()]
+                row, h, n = _sets(pa.array([unpack(z).decode() for z in packed], pa.large_string()), size)
+                start = np.cumsum(n) - n
+                take = n[which]
+                at = np.repeat(start[which] - np.cumsum(take) + take, take) + np.arange(take.sum())
+                row, h = np.repeat(np.arange(2 * pairs) % pairs, take), h[at]
                 order = np.lexsort((h, row))
                 row, h = row[order], h[order]
                 same = (row[1:] == row[:-1]) & (h[1:] == h[:-1])
-                shared = np.bincount(row[1:][same], minlength=hi - lo)
-                yield part.select([0, 1]).filter(pa.array(100 * shared >= percent * (sets[0][2] + sets[1][2] - shared)))
+                shared = np.bincount(row[1:][same], minlength=pairs)
+                total = take[:pairs] + take[pairs:]
+                yield part.select([0, 1]).filter(pa.array(100 * shared >= percent * (total - shared)))
                 lo = hi
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return map_arrow(both, run, "a bigint, b bigint")
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -213,7 +257,7 @@ def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack((x or "").encode()) for x in part.column(2).to_pylist()], pa.binary())], names=["id", "z"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    packed = docs.select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(run, f"id {kind}, z binary")
+    packed = map_arrow(docs.select("id", F.xxhash64("id").alias("h"), "text"), run, f"id {kind}, z binary")
     return packed.join(wanted, F.col("id") == F.col("cid")).select("node", "n", "z")
 
 
@@ -255,10 +299,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shingles; a shorter text is one shingle; null, empty and blank texts have an empty set and no link. Sets link when
     100 |A and B| >= percent |A or B|; component_id is the smallest id that links reach, the row's own included. Equal
     sets are one node, so copies, repeated rows and rows that share an id need no pairs. Rows with a null id keep their
-    n_shingles and have no component. Links are exact but for collisions of 64-bit hashes.
+    n_shingles and have no component. Links are exact but for collisions of 64-bit
+    hashes, and of tiles that agree in both ends and 62 further bits.
 
-    First each document is compared with the leader of each of its tiles; then tiles whose documents aren't yet in one component are compared in full. Only pairs in one
-    component are left out, which loses no component.
+    First each document is compared with the leader of each of its tiles; then tiles whose documents aren't yet in one
+    component are compared in full. Only pairs in one component are left out, which loses no component.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -268,13 +313,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = frequency_sketch(named, size)
 
     # Shingles with the same documents make the same tile, and one of them is enough. Their documents are compared by
-    # number, least, greatest and a sum of 31 bits of each, which can't overflow.
-    some = F.shiftrightunsigned("node", 33)
-    tiles = prefix_rows(named, size, percent, counts).groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(some).alias("s")).where("lo < hi")
-    tiles = cut(tiles.groupBy("c", "lo", "hi", "s").agg(F.min("token").alias("token")).select("token"))
+    # least, greatest and two sums of 31 independent bits of each (with a bound of 2^32 rows, so that they can't overflow).
+    one, two = F.shiftrightunsigned("node", 33), F.shiftrightunsigned(F.xxhash64("node"), 33)
+    tiles = prefix_rows(named, size, percent, counts).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(one).alias("s"), F.sum(two).alias("u")).where("lo < hi")
+    tiles = cut(tiles.groupBy("lo", "hi", "s", "u").agg(F.min("token").alias("token")).select("token"))
     release(spark)
     bits = bit_filter(tiles)
-    members = cut(prefix_rows(named, size, percent, counts, bits).join(tiles, "token").select("token", "node").distinct())
+    # Made distinct before they meet the tiles, so that a popular shingle's rows lie in many tasks and the join can be split.
+    members = cut(prefix_rows(named, size, percent, counts, bits).distinct().join(tiles, "token").select("token", "node"))
     wanted = cut(members.select("node").distinct().join(classes.drop("bits"), "node"))
     texts = cut(packed_texts(named, wanted))
     release(spark)
