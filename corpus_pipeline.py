@@ -45,10 +45,11 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     its text. Documents are told apart by id and text, so different texts under one id, or without one, are different
     documents; rows equal in both are copies. Documents without words have no links; of those equal in id and text one stays.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
-    keyed = docs.select(key.alias("key"), *COLUMNS)
-    first = similar_components(keyed, "key").where("component_id = key").select("key").distinct()
-    return keyed.join(first, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+    # Parts that are never null, so that the join and the copies' removal share one shuffle of the texts.
+    parts = {"k0": F.col("doc_id").isNull(), "k1": F.coalesce("doc_id", F.lit(0)), "k2": F.xxhash64("text")}
+    keyed = docs.select(*[c.alias(k) for k, c in parts.items()], *COLUMNS)
+    first = similar_components(keyed.select(F.struct(*parts).alias("key"), "text"), "key").where("component_id = key").select("key.*").distinct()
+    return keyed.join(first, list(parts), "left_semi").dropDuplicates(list(parts)).select(*COLUMNS)
 
 
 def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
