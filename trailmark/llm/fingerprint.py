@@ -87,13 +87,13 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, sha): the id in a struct, so that a null one is a value like others, the least; null texts are empty."""
-    rows = docs.select(F.struct(F.col(id_col).alias("id")).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.withColumn("sha", F.sha2("text", 256))
+    """(id, text): the id in a struct, so that a null one is a value like others, the least; null texts are empty."""
+    return docs.select(F.struct(F.col(id_col).alias("id")).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """Rows equal in id and text as one, with `copies`."""
+    """Rows equal in id and text as one, with `sha` and `copies`."""
+    rows = rows.withColumn("sha", F.sha2("text", 256))
     return rows.groupBy("id", "sha").agg(*[F.first(c).alias(c) for c in rows.columns if c not in ("id", "sha")], F.count(F.lit(1)).alias("copies"))
 
 
@@ -127,13 +127,14 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, next_id, sha, n_chars, text, edited), the ids in structs: the edit takes the last floor(n_chars/2) code points
+    """(id, next_id, n_chars, text, edited), the ids in structs: the edit takes the last floor(n_chars/2) code points
     away and appends the first as many (or all) of the next document's text, in ascending order of ids, a null id before
     all others; the first follows the last.
 
     Null texts are empty. Where rows share an id, each is edited for itself, and the smallest fitting head of the next
     id's texts is taken. The texts are shuffled once by id and their heads (half of them at most) once more.
     """
+    # Read twice below with the same columns, so that Spark shuffles it once.
     texts = _keyed(docs, id_col, text_col)
     half = F.floor(F.char_length("text") / 2).cast("int")
     sizes = texts.groupBy("id").agg(F.max(half).alias("half"))
@@ -144,7 +145,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     both = texts.join(links.select("id", "next_id"), "id").join(heads, F.col("id") == F.col("target"))
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring("head", F.lit(1), half))
-    return both.select("id", "next_id", "sha", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    return both.select("id", "next_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
