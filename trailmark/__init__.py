@@ -4,6 +4,5 @@ operators/  the operators, by family; each takes and returns DataFrames
 functions/  column expressions that several families share
 sources/    schemas, readers and writers
 plans/      views of the driver's tables, and the registered queries with their SQL
-streaming/  empty: the surveyed project has no streams
 llm/        operators for training data; independent of everything above
 """

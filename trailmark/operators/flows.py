@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.operators.written import written
+
 
 def transition_counts(sequences: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, src, dst, n over adjacent states."""
@@ -30,15 +32,18 @@ def non_empty(sequences: DataFrame) -> DataFrame:
     return sequences.where(F.size("sequence") > 2)
 
 
-def top_k_paths(edges: DataFrame, k: int = 1, start: str = "START", end: str = "END", most_states: int = 8) -> DataFrame:
+def top_k_paths(edges: DataFrame, k: int = 1, start: str = "START", end: str = "END") -> DataFrame:
     """rank, path (joined by " > "), probability, cost (-log p) of the k most probable simple paths.
 
-    Paths grow by an equi-join on their last state, for at most `most_states` steps; the graph has that many states.
+    Paths grow by an equi-join on their last state, as many times as the graph has states, which no simple path outgrows.
     """
-    e = F.broadcast(edges.select("src", "dst", "p"))  # at most most_states ** 2 rows
+    edges = written(edges.select("src", "dst", "p"))
+    states = edges.select(F.explode(F.array("src", "dst"))).distinct().count()
+    # At most a row for each pair of states.
+    e = F.broadcast(edges) if states <= 1000 else edges
     paths = edges.where(F.col("src") == start).select(F.array("src", "dst").alias("path"), F.col("dst").alias("last"), F.col("p").alias("probability"))
     done = paths.where(F.col("last") == end)
-    for _ in range(most_states - 2):
+    for _ in range(max(0, states - 2)):
         paths = paths.where(F.col("last") != end).join(e, F.col("last") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         paths = paths.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last"), (F.col("probability") * F.col("p")).alias("probability"))
         done = done.unionByName(paths.where(F.col("last") == end))

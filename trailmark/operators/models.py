@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from trailmark.functions.columns import correlation
 from trailmark.operators import stats
 
+#: Rows of a hash bucket about, in which rows are numbered or values dealt anew.
+BUCKET_ROWS = 20_000
+
 
 def stratified_kfold(frame: DataFrame, label: str, ids: Sequence[str], folds: int = 5, seed: int = 42) -> DataFrame:
     """Adds fold: rows of each label in hashed order, dealt in turn. Rows of a label are numbered inside hash buckets, so a
@@ -92,23 +95,23 @@ def tree_importance(model: PipelineModel, features: Sequence[str], spark) -> Dat
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, model.stages[-1].featureImportances.toArray(), strict=True)], "feature string, importance double")
 
 
-def permutation_importance(model: PipelineModel, frame: DataFrame, features: Sequence[str], label: str, ids: Sequence[str], name: str = "forest", repeats: int = 3) -> DataFrame:
-    """feature, drop: mean loss of ROC AUC when the feature's values are dealt anew. Values move inside hash buckets, by
-    joining each row with the row at the next place of a hashed order."""
-    rows = frame.withColumn("bucket", F.pmod(F.xxhash64(*ids), F.lit(64))).persist()
-
-    def auc(scored: DataFrame) -> float:
-        return eval_binary(model.transform(scored).select(label, score_column(name).alias("score")), label).first()["roc_auc"]
+def permutation_importance(model: PipelineModel, frame: DataFrame, features: Sequence[str], label: str, ids: Sequence[str], name: str = "forest", repeats: int = 10) -> DataFrame:
+    """feature, drop, spread: mean and deviation of the loss of ROC AUC when the feature's values are dealt anew.
 
-    base, out = auc(rows), []
+    Values move inside hash buckets of about BUCKET_ROWS rows, each to the next row of an order hashed anew for a repeat.
+    All dealt tables are scored and evaluated in one plan, by (feature, repeat)."""
+    rows = frame.withColumn("bucket", F.pmod(F.xxhash64(*ids), F.lit(max(1, frame.count() // BUCKET_ROWS))))
+    dealt = rows.withColumn("feature", F.lit("")).withColumn("repeat", F.lit(0))
     for f in features:
-        drops = []
         for k in range(repeats):
             order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(k), *ids), *ids)
-            moved = rows.withColumn(f, F.coalesce(F.lag(f).over(order), F.last(f).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-            drops.append(base - auc(moved))
-        out.append((f, sum(drops) / repeats))
-    return frame.sparkSession.createDataFrame(out, "feature string, drop double")
+            moved = F.coalesce(F.lag(f).over(order), F.last(f).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+            dealt = dealt.unionByName(rows.withColumn(f, moved).withColumn("feature", F.lit(f)).withColumn("repeat", F.lit(k)))
+    scored = model.transform(dealt).select("feature", "repeat", label, score_column(name).alias("score"))
+    found = eval_binary(scored, label, keys=["feature", "repeat"]).select("feature", "repeat", "roc_auc").toPandas()  # a row a table
+    base = float(found.loc[found["feature"] == "", "roc_auc"].iloc[0])
+    drops = {f: base - found.loc[found["feature"] == f, "roc_auc"] for f in features}
+    return frame.sparkSession.createDataFrame([(f, float(d.mean()), float(d.std(ddof=0))) for f, d in drops.items()], "feature string, drop double, spread double")
 
 
 def feature_label_tests(long: DataFrame, label: str, bins: int = 10) -> DataFrame:

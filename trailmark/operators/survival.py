@@ -164,8 +164,7 @@ def cox_ph(survival: DataFrame, covariates: Sequence[str], steps: int = 25, tole
     """
     names = list(covariates)
     rows = survival.select(F.col("duration").cast("double").alias("duration"), F.col("event").cast("int").alias("event"), *[F.col(c).cast("double").alias(c) for c in names]).dropna()
-    if rows.select("duration").distinct().limit(MOST_TIMES + 1).count() > MOST_TIMES:
-        raise ValueError("too many distinct durations; round them first")
+    _few_times(rows)
     p, beta = len(names), np.zeros(len(names))
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     last = -np.inf
@@ -207,9 +206,30 @@ def cox_ph(survival: DataFrame, covariates: Sequence[str], steps: int = 25, tole
     return model
 
 
+def cox_models(survival: DataFrame, covariates: Sequence[str], group: str = "project_type", indicator: str = "is_second") -> DataFrame:
+    """model, covariate, coef, ..., events, concordance of the model with the group alone, of the full one, and of one for
+    each group without what the group decides. `indicator` starts the names of covariates that hold the group."""
+    inner = [c for c in covariates if c != indicator and not c.startswith(indicator.removeprefix("is_"))]
+    parts = [("group", survival, [indicator]), ("full", survival, list(covariates))]
+    parts += [(r[group], survival.where(F.col(group) == r[group]), inner) for r in survival.select(group).distinct().orderBy(group).collect()]
+    out = None
+    for name, rows, names in parts:
+        model = cox_ph(rows, names)
+        index = concordance(model.risk(rows)).select(F.col("index").alias("concordance"))
+        one = model.summary(survival.sparkSession).withColumn("model", F.lit(name)).withColumn("events", F.lit(model.events)).crossJoin(index)  # one row
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _few_times(rows: DataFrame) -> None:
+    if rows.select("duration").distinct().limit(MOST_TIMES + 1).count() > MOST_TIMES:
+        raise ValueError("too many distinct durations; round them first")
+
+
 def baseline_hazard(model: CoxModel, survival: DataFrame) -> DataFrame:
     """duration, hazard (cumulative, Breslow)."""
     rows = model.risk(survival.select("duration", "event", *model.covariates).dropna())
+    _few_times(rows)
     at = rows.groupBy("duration").agg(F.sum(F.exp("risk")).alias("w"), F.sum("event").alias("d"))
     # One row for each distinct duration.
     at = at.withColumn("risk_set", F.sum("w").over(Window.orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)))
@@ -225,6 +245,7 @@ def cox_predict(model: CoxModel, survival: DataFrame, people: DataFrame, person:
 def ph_test(model: CoxModel, survival: DataFrame) -> DataFrame:
     """covariate, rho (correlation of the Schoenfeld residuals with the rank of the event time), chi2 = events * rho^2."""
     rows = model.risk(survival.select("duration", "event", *model.covariates).dropna()).withColumn("w", F.exp("risk"))
+    _few_times(rows)
     at = rows.groupBy("duration").agg(F.sum("w").alias("w0"), *[F.sum(F.col("w") * F.col(c)).alias(f"w_{c}") for c in model.covariates])
     back = Window.orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)
     mean = at.select("duration", F.row_number().over(Window.orderBy("duration")).alias("place"), *[(F.sum(f"w_{c}").over(back) / F.sum("w0").over(back)).alias(f"m_{c}") for c in model.covariates])

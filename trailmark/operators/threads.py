@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import clean_email, count_if
+from trailmark.operators.written import written
 
 #: Timeline items that are messages.
 MESSAGE_KINDS = ("IssueComment", "PullRequestReview")
@@ -109,7 +110,7 @@ def thread_tables(timeline: DataFrame, keys: Sequence[str] = ("person",)) -> tup
     hours = F.transform(approvals, lambda r: (F.unix_seconds(F.try_to_timestamp(text_at(r, "$.submittedAt", "$.submitted_at"))) - F.unix_seconds("created_at")) / 3600.0)
     labels = F.transform(_array_at(v, "$.labels.nodes", "$.labels"), lambda x: F.lower(F.coalesce(text_at(x, "$.name"), F.try_variant_get(x, "$", "string"))))
     rows = rows.withColumn("created_at", created).withColumn("item_author", extract_author(v)).withColumn("messages", extract_conversations(v))
-    items = rows.select(
+    rows = rows.select(
         *keys,
         F.col("event_id").alias("thread_id"),
         "event_type",
@@ -130,8 +131,11 @@ def thread_tables(timeline: DataFrame, keys: Sequence[str] = ("person",)) -> tup
         list_size(v, "projectCards", "project_cards").alias("n_projects"),
         list_size(v, "assignees").alias("n_assignees"),
         (text_at(v, "$.closedBy.login", "$.mergedBy.login")).isNotNull().alias("administrative"),
+        "messages",
     )
-    flat = rows.select(*keys, F.col("event_id").alias("thread_id"), "event_type", "created_at", "item_author", F.posexplode("messages").alias("pos", "m"))
+    # Both tables come from one pass over the payloads.
+    rows = written(rows)
+    items, flat = rows.drop("messages"), rows.select(*keys, "thread_id", "event_type", "created_at", "item_author", F.posexplode("messages").alias("pos", "m"))
     return items, flat.select(*keys, "thread_id", "event_type", "created_at", "item_author", "pos", "m.author", F.col("m.timestamp").alias("replied_at"), "m.body", "m.role")
 
 

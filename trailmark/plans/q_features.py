@@ -123,26 +123,37 @@ def stratified_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def train_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for name in ("logistic", "forest", "boosting", "svm"):
-        scored = models.cross_validated(_frame(spark, sf_dir), ["price", "cust"], "label", ["id"], name, folds=2)
-        row = models.eval_binary(scored, "label").withColumn("model", F.lit(name))
+    """Four models on all rows and the logistic one on each group."""
+    frame, out = _frame(spark, sf_dir), None
+    for grp, name in (("all", "logistic"), ("all", "forest"), ("all", "boosting"), ("all", "svm"), ("A", "logistic"), ("B", "logistic")):
+        own = frame if grp == "all" else frame.where(F.col("grp") == grp)
+        scored = models.cross_validated(own, ["price", "cust"], "label", ["id"], name, folds=2)
+        row = models.eval_binary(scored, "label").withColumn("model", F.lit(name)).withColumn("grp", F.lit(grp))
         out = row if out is None else out.unionByName(row)
     return out
 
 
 @query()
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = models.with_balance(_frame(spark, sf_dir).withColumn("label", F.col("label").cast("double")), "label")
-    model = models.prepared(["price", "cust"], models.estimator("forest", "label", numTrees=10)).fit(frame)
-    return models.tree_importance(model, ["price", "cust"], spark).join(models.permutation_importance(model, frame, ["price", "cust"], "label", ["id"], repeats=1), "feature")
+    """Of the trees and by ten permutations, on all rows and on each group."""
+    frame, names, out = _frame(spark, sf_dir).withColumn("label", F.col("label").cast("double")), ["price", "cust"], None
+    for grp in ("all", "A", "B"):
+        own = models.with_balance(frame if grp == "all" else frame.where(F.col("grp") == grp), "label")
+        model = models.prepared(names, models.estimator("forest", "label", numTrees=10)).fit(own)
+        both = models.tree_importance(model, names, spark).join(models.permutation_importance(model, own, names, "label", ["id"]), "feature").withColumn("grp", F.lit(grp))
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
-@query("SELECT 'a' AS feature, 1 AS rank_first, 2 AS rank_second, -1 AS difference, 'both' AS found_in UNION ALL SELECT 'b', 2, 1, 1, 'both'")
+@query(f"""WITH {FRAME}, long AS (SELECT grp, label, 'price' AS metric, price AS x FROM fr UNION ALL SELECT grp, label, 'cust', cust FROM fr UNION ALL SELECT grp, label, 'both', price * cust FROM fr),
+i AS (SELECT grp, metric AS feature, round(abs(corr(x, label)), 9) AS importance FROM long GROUP BY 1, 2), r AS (SELECT grp, feature, row_number() OVER (PARTITION BY grp ORDER BY importance DESC, feature) AS place FROM i)
+SELECT coalesce(a.feature, b.feature) AS feature, a.place::INT AS rank_first, b.place::INT AS rank_second, (a.place - b.place)::INT AS difference, CASE WHEN a.place IS NULL THEN 'only_second' WHEN b.place IS NULL THEN 'only_first' ELSE 'both' END AS found_in
+FROM (SELECT * FROM r WHERE grp = 'A' AND place <= 2) a FULL JOIN (SELECT * FROM r WHERE grp = 'B' AND place <= 2) b ON a.feature = b.feature""")
 def feature_rank_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    rows = n.select(F.explode(F.array(*[F.struct(F.lit(g).alias("project_type"), F.lit(f).alias("feature"), (F.lit(v) * F.col("n")).alias("importance")) for g, f, v in (("A", "a", 3.0), ("A", "b", 2.0), ("B", "b", 3.0), ("B", "a", 2.0))])).alias("r")).select("r.*")
-    return models.feature_rank_compare(rows, "A", "B")
+    """Importance is the strength of a feature's correlation with the label in each group."""
+    long = stats.unpivot_metrics(_frame(spark, sf_dir).withColumn("both", F.col("price") * F.col("cust")), ["id", "grp", "label"], ["price", "cust", "both"])
+    found = models.pearson_by_group(long, "label", "grp").select("grp", "feature", F.round(F.abs("r"), 9).alias("importance"))
+    return models.feature_rank_compare(found, "A", "B", "grp", 2)
 
 
 @query("SELECT unnest(['null_keys', 'cumulative_falls', 'cumulative_not_sum', 'week_not_next', 'share_out_of_range', 'negative_commits', 'core_flag_unlike_timeline', 'censored_unlike_core', 'negative_time', 'event_time_unlike_weeks', 'duplicate_people']) AS check, 0::BIGINT AS violations")

@@ -84,7 +84,7 @@ def concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cox_ph(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = survival.cox_frame(_survival(spark, sf_dir), "B").persist()
-    return stats.p_from_z(survival.cox_ph(frame, COVARIATES).summary(spark), "z")
+    return stats.p_from_z(survival.cox_models(frame, COVARIATES), "z")
 
 
 @query()

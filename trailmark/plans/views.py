@@ -61,7 +61,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplier's lines as events: 1-2 pull requests, 3 issues, else commits; the return flag is the request's state."""
     kind = F.when(F.col("l_linenumber") <= 2, "pull_request").when(F.col("l_linenumber") == 3, "issue").otherwise("commit")
     state = F.when(F.col("l_returnflag") == "A", "merged").when(F.col("l_returnflag") == "R", "closed").otherwise("open")
-    both = table(spark, sf_dir, "lineitem").join(F.broadcast(table(spark, sf_dir, "supplier")), F.col("l_suppkey") == F.col("s_suppkey"))
+    both = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return both.select(
         F.concat(F.lit("s"), F.col("l_suppkey")).alias("person"),
         F.when(F.col("s_nationkey") % 2 == 0, "A").otherwise("B").alias("project_type"),
