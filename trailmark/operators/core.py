@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.functions.columns import count_if, month_of, week_start
+from trailmark.functions.columns import count_if, month_of, week_start, weeks_between
+from trailmark.operators.steps import core_cuts, count_levels, with_core_steps
+from trailmark.operators.written import spread, written
 
 
 def contributor_counts(commits: DataFrame, keys: Sequence[str] = ("project_name",), person: str = "author_email") -> DataFrame:
@@ -101,30 +103,24 @@ def cumulative_counts(commits: DataFrame, period: Column, keys: Sequence[str] =
     return each.withColumn("n_to_date", F.sum("n").over(Window.partitionBy(*keys, person).orderBy("period").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def _to_date_intervals(commits: DataFrame, period: Column, keys: Sequence[str], person: str) -> DataFrame:
-    """keys, person, period, until, n_to_date: from `period` (included) to `until` (excluded, null: open) that count holds."""
-    each = cumulative_counts(commits, period, keys, person)
-    return each.withColumn("until", F.lead("period").over(Window.partitionBy(*keys, person).orderBy("period"))).drop("n")
-
-
 def core_timeline_weekly(commits: DataFrame, percent: int = 80, keys: Sequence[str] = ("project_name",), person: str = "author_email", ts: str = "commit_date") -> DataFrame:
     """For every week from a project's first to its last: week_number, week_date, commits and contributors to date, the core
     (sorted array), core_size, and the core's smallest commit count.
 
-    A person's count is held from the week it is reached until the next one, so weeks are joined by exploding intervals;
-    nothing earlier is scanned again. Ranks are taken per (project, week).
+    Cuts come from change points (see steps); only the core itself, which is the result, has a row for a person and week.
     """
-    held = _to_date_intervals(commits, week_start(F.col(ts)), keys, person)
-    span = Window.partitionBy(*keys)
-    held = held.withColumn("start", F.min("period").over(span)).withColumn("stop", F.max("period").over(span))
-    last = F.coalesce(F.date_sub("until", 7), F.col("stop"))
-    grid = held.select(*keys, person, "start", F.col("n_to_date").alias("n"), F.explode(F.sequence("period", last, F.expr("interval 7 days"))).alias("week_date"))
-    week = [*keys, "week_date"]
-    whole = grid.groupBy(*week, "start").agg(F.sum("n").alias("commits_to_date"), F.count(F.lit(1)).alias("contributors_to_date"))
-    core = core_members(grid.select(*week, person, "n"), week, person, percent)
-    core = core.groupBy(*week).agg(F.sort_array(F.collect_list(person)).alias("core"), F.count(F.lit(1)).alias("core_size"), F.min("n").alias("core_min_commits"))
-    number = (F.datediff("week_date", "start") / 7).cast("int") + 1
-    return whole.join(core, week).select(*keys, number.alias("week_number"), "week_date", "commits_to_date", "contributors_to_date", "core", "core_size", "core_min_commits")
+    each = written(cumulative_counts(commits, week_start(F.col(ts)), keys, person))
+    span = each.groupBy(*keys).agg(F.min("period").alias("start"), F.max("period").alias("stop"))
+    at = lambda c: weeks_between(F.col(c), F.col("start")) + 1
+    until = F.lead("at").over(Window.partitionBy(*keys, person).orderBy("at"))
+    held = each.join(span, list(keys)).select(*keys, person, F.col("n_to_date").alias("n"), at("period").alias("at"), (at("stop") + 1).alias("end"))
+    held = written(spread(held, *keys, person).withColumn("until", F.coalesce(until, "end")).drop("end"))
+    cuts = written(core_cuts(count_levels(held, keys), keys, percent))
+    core = with_core_steps(held, cuts, keys, person).select(*keys, person, F.explode("core_steps").alias("at"))
+    core = core.groupBy(*keys, "at").agg(F.sort_array(F.collect_list(person)).alias("core"))
+    out = cuts.join(core, [*keys, "at"]).join(span.drop("stop"), list(keys))
+    day = F.date_add("start", (F.col("at") - 1) * 7)
+    return out.select(*keys, F.col("at").alias("week_number"), day.alias("week_date"), F.col("total").alias("commits_to_date"), F.col("people").alias("contributors_to_date"), "core", (F.col("higher") + F.col("taken")).alias("core_size"), F.col("level").alias("core_min_commits"))
 
 
 def core_monthly(commits: DataFrame, keys: Sequence[str] = ("project_name",), person: str = "author_email", ts: str = "commit_date", percent: int = 80, min_commits: int = 50, min_months: int = 12, min_core_commits: int = 3) -> DataFrame:
@@ -132,19 +128,20 @@ def core_monthly(commits: DataFrame, keys: Sequence[str] = ("project_name",), pe
     core, entered (in the core, not in the previous), first_ever, transition_rate (entered over previous, 0 without one),
     ever_core (people so far), commits_this_month, commits_to_date. A core needs `min_core_commits` commits to date.
     """
-    held = _to_date_intervals(commits, month_of(F.col(ts)), keys, person)
-    months = commits.groupBy(*keys, month_of(F.col(ts)).alias("month")).agg(F.count(F.lit(1)).alias("commits_this_month"))
+    each = written(cumulative_counts(commits, month_of(F.col(ts)), keys, person))
+    months = each.groupBy(*keys, F.col("period").alias("month")).agg(F.sum("n").alias("commits_this_month"))
     order = Window.partitionBy(*keys).orderBy("month")
     months = months.withColumn("month_index", F.row_number().over(order) - 1).withColumn("commits_to_date", F.sum("commits_this_month").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     months = months.withColumn("last_index", F.max("month_index").over(Window.partitionBy(*keys))).withColumn("total", F.sum("commits_this_month").over(Window.partitionBy(*keys)))
     months = months.where((F.col("total") >= min_commits) & (F.col("last_index") + 1 >= min_months))
-    index = months.select(*keys, F.col("month").alias("period"), "month_index", "last_index")
-    # Both ends of each interval become month numbers, so that the interval is a sequence of them.
-    held = held.join(index, [*keys, "period"]).join(index.select(*keys, F.col("period").alias("until"), F.col("month_index").alias("end_index")), [*keys, "until"], "left")
-    stop = F.coalesce(F.col("end_index") - 1, F.col("last_index"))
-    grid = held.select(*keys, person, F.col("n_to_date").alias("n"), F.explode(F.sequence("month_index", stop)).alias("month_index"))
+    months = written(months)
+    index = months.select(*keys, F.col("month").alias("period"), (F.col("month_index") + 1).alias("at"), (F.col("last_index") + 2).alias("end"))
+    until = F.lead("at").over(Window.partitionBy(*keys, person).orderBy("at"))
+    held = each.join(index, [*keys, "period"]).select(*keys, person, F.col("n_to_date").alias("n"), "at", "end")
+    held = written(spread(held, *keys, person).withColumn("until", F.coalesce(until, "end")).drop("end"))
     at = [*keys, "month_index"]
-    core = core_members(grid, at, person, percent)
+    cuts = written(core_cuts(count_levels(held, keys), keys, percent))
+    core = with_core_steps(held, cuts, keys, person).select(*keys, person, F.explode(F.transform("core_steps", lambda i: i - 1)).alias("month_index"))
     first = core.withColumn("first_index", F.min("month_index").over(Window.partitionBy(*keys, person)))
     core = first.groupBy(*at).agg(F.sort_array(F.collect_list(person)).alias("core"), F.sort_array(F.collect_list(F.when(F.col("first_index") == F.col("month_index"), F.col(person)))).alias("first_ever"))
     out = months.join(core, at, "left")

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.functions.columns import correlation, count_if
-from trailmark.operators.activity import PERSON
+from trailmark.functions.columns import correlation, count_if, week_start, weeks_between
+from trailmark.operators.activity import PERSON, PROJECT
+from trailmark.operators.steps import core_cuts, count_levels, with_core_steps
+from trailmark.operators.written import spread, written
 
 #: Join no later than the first of these project weeks and reach the core within the second number of weeks: early core.
 EARLY_JOIN_WEEKS, EARLY_CORE_WEEKS = 8, 4
@@ -77,6 +79,61 @@ def contributor_transitions(activity: DataFrame, mode: str = "all", min_commits:
         F.max_by(core, "week_number").alias("core_in_last"),
         F.count(F.lit(1)).alias("weeks"),
     )
+    return _with_derived(t, mode, min_commits)
+
+
+def contributor_journeys(commits: DataFrame, percent: int = 80, mode: str = "all", min_commits: int = 1) -> DataFrame:
+    """The rows of contributor_transitions straight from commits, without the dense grid: a row for each active week, the
+    core's steps from change points (see steps), the rank at the first core week from the counts' levels."""
+    lines = F.col("total_insertions") + F.col("total_deletions")
+    weekly = written(commits.groupBy(*PERSON, week_start(F.col("commit_date")).alias("week_date")).agg(F.count(F.lit(1)).alias("c"), F.sum(lines).alias("lines")))
+    span = weekly.groupBy(*PROJECT).agg(F.min("week_date").alias("start"), F.max("week_date").alias("stop"))
+    order, person = Window.partitionBy(*PERSON).orderBy("week_date"), Window.partitionBy(*PERSON)
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    week = lambda c: weeks_between(F.col(c), F.col("start")) + 1
+    held = spread(weekly.join(span, list(PROJECT)), *PERSON).withColumn("at", week("week_date")).withColumn("last", week("stop"))
+    held = held.withColumn("n", F.sum("c").over(run)).withColumn("lines", F.sum("lines").over(run)).withColumn("until", F.coalesce(F.lead("at").over(order), F.col("last") + 1))
+    held = written(held)
+    levels = written(count_levels(held, PROJECT))
+    cuts = written(core_cuts(levels, PROJECT, percent))
+    steps = F.col("core_steps")
+    rows = with_core_steps(held, cuts, PROJECT).withColumn("core_first", F.get(steps, F.lit(0))).withColumn("core_weeks", F.size(steps)).withColumn("core_in_last", F.array_contains(steps, F.col("last")))
+    rows = rows.drop("core_steps").repartition(*PERSON)  # apart from the join by project, so that a large one can be split
+    rows = rows.withColumn("core_week", F.min("core_first").over(person)).withColumn("joined", F.min("at").over(person))
+    i, to_core = F.col("at") - F.col("joined"), F.col("core_week") - F.col("joined")
+    pre = F.when(F.col("core_week").isNull() | (F.col("at") <= F.col("core_week")), F.col("c"))
+    at_core = lambda c: F.max(F.when((F.col("at") <= F.col("core_week")) & (F.col("core_week") < F.col("until")), F.col(c)))
+    quarter = F.greatest(F.lit(1), F.floor((to_core + 1) / 4))
+    early = F.sum(F.when(i < quarter, F.col("c")).otherwise(0))
+    late = F.sum(F.when((i > to_core - quarter) & (i <= to_core), F.col("c")).otherwise(0))
+    t = rows.groupBy(*PERSON).agg(
+        F.min("week_date").alias("first_commit_date"),
+        F.min("at").alias("first_commit_week"),
+        F.max("stop").alias("last_observed_date"),
+        F.max("last").alias("last_observed_week"),
+        F.max("n").alias("total_commits"),
+        F.max("lines").alias("total_lines_changed"),
+        F.count(F.lit(1)).alias("total_active_weeks"),
+        F.max("core_week").alias("first_core_week"),
+        F.max(F.date_add("start", (F.col("core_week") - 1) * 7)).alias("first_core_date"),
+        F.max(to_core).alias("weeks_to_core"),
+        at_core("n").alias("commits_to_core"),
+        at_core("lines").alias("lines_changed_to_core"),
+        F.count(pre).alias("active_before"),
+        F.coalesce(F.avg(pre), F.lit(0.0)).alias("avg_commits_per_active_week_before_core"),
+        F.coalesce(F.max(pre), F.lit(0)).alias("max_commits_week_before_core"),
+        F.coalesce(F.stddev_samp(pre), F.lit(0.0)).alias("std_commits_before_core"),
+        F.when(F.max(to_core) >= 8, late / (early + 1) - 1).otherwise(F.lit(0.0)).alias("growth_rate_before_core"),
+        F.sum("core_weeks").alias("core_weeks"),
+        F.max("core_in_last").alias("core_in_last"),
+        (F.max("last") - F.min("at") + 1).alias("weeks"),
+    )
+    percentage = F.round(F.col("n") * 100.0 / F.col("total"), 4).alias("contribution_percentage_at_first_core")
+    places = levels.select(*PROJECT, F.col("at").alias("first_core_week"), F.col("n").alias("commits_to_core"), (F.col("higher") + 1).cast("int").alias("rank_at_first_core"), percentage)
+    return _with_derived(t.join(places, [*PROJECT, "first_core_week", "commits_to_core"], "left"), mode, min_commits)
+
+
+def _with_derived(t: DataFrame, mode: str, min_commits: int) -> DataFrame:
     became = F.col("first_core_week").isNotNull()
     observed = F.col("last_observed_week") - F.col("first_commit_week") + 1
     after = F.col("last_observed_week") - F.col("first_core_week")

@@ -37,7 +37,7 @@ def _activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journeys.contributor_transitions(_activity(spark, sf_dir))
+    return journeys.contributor_journeys(commits(spark, sf_dir))
 
 
 @query(f"{GRID} SELECT project_name, author_email, week_date, week_number, weeks_since_first, commits_this_week, ins AS lines_added_this_week, del AS lines_deleted_this_week, files AS files_modified_this_week FROM dense")
