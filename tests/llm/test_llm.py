@@ -311,6 +311,29 @@ def test_license_scan_wrapped(name, notice, last):
         assert [(g[0], g[1], g[2], g[4]) for g in got] == [(i, i + last, name, 1.0) for i in starts]
 
 
+def test_license_scan_ranks_templates_by_saving():
+    rnd = random.Random(5)
+    words = [w for _, t in license_scan.TEMPLATES for w in license_scan.wording(t)] + ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(2, 9))) for _ in range(300)]
+    prose = lambda n: " ".join(rnd.choices(words, k=n))
+    for k, (_, text) in enumerate(license_scan.TEMPLATES):
+        assert license_scan.ranked_templates(text)[0][1] == k
+        for _ in range(20):
+            around = prose(rnd.randrange(400)) + "\n" + text + "\n" + prose(rnd.randrange(400))
+            assert k in [n for _, n in license_scan.ranked_templates(around)]
+    assert license_scan.classify_block("") == []
+
+
+def test_license_scan_equals_trying_every_template(monkeypatch):
+    rnd, cases = random.Random(6), []
+    for _ in range(60):
+        parts = [rnd.choice(license_scan.TEMPLATES)[1] if rnd.random() < 0.6 else " ".join(rnd.choices(["some", "other", "licensed", "words", "of", "2.0"], k=rnd.randrange(40))) for _ in range(rnd.randrange(1, 9))]
+        cases.append("\n".join(parts))
+    found = [license_scan.classify_block(c) for c in cases]
+    assert sum(map(len, found)) > 60
+    monkeypatch.setattr(license_scan, "ranked_templates", lambda block, level=19: [(0, k) for k in range(len(license_scan.TEMPLATES))])
+    assert found == [license_scan.classify_block(c) for c in cases]
+
+
 def test_license_scan_of_several_notices():
     isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby given, provided that the above copyright notice and this permission notice appear in all copies."
     names = lambda text: [hit[2] for _, _, block in license_scan.candidate_blocks(text) for hit in license_scan.classify_block(block)]
