@@ -76,9 +76,8 @@ def eval_binary(scored: DataFrame, label: str, score: str = "score", keys: Seque
     rows = scored if keys else scored.withColumn("_all", F.lit(0))
     y = F.col(label).cast("double")
     each = rows.groupBy(*on, F.col(score).alias("s")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q"))
-    down = Window.partitionBy(*on).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*on)
-    each = each.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("q").over(down)).withColumn("all_p", F.sum("p").over(whole)).withColumn("all_q", F.sum("q").over(whole))
+    each = stats.running_sums(each, on, "s", ["p", "q"]).withColumnsRenamed({"p_all": "all_p", "q_all": "all_q"})
+    each = each.withColumn("tp", F.col("all_p") - F.col("p_below")).withColumn("fp", F.col("all_q") - F.col("q_below"))
     auc = F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2)) / (F.max("all_p") * F.max("all_q"))
     precision = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("all_p")
     curve = each.groupBy(*on).agg(F.max("all_p").alias("positives"), (F.max("all_p") + F.max("all_q")).alias("n"), auc.alias("roc_auc"), precision.alias("average_precision"), (F.sum(F.col("p") * (F.col("s") - 1) * (F.col("s") - 1) + F.col("q") * F.col("s") * F.col("s")) / (F.max("all_p") + F.max("all_q"))).alias("brier"))
@@ -120,7 +119,7 @@ def feature_label_tests(long: DataFrame, label: str, bins: int = 10) -> DataFram
     long: ids, feature as `metric`, value `x`, label 0 or 1. Ranks come from value counts, so no task sorts rows."""
     rows = long.where("x is not null").withColumn("g", F.col(label).cast("int").cast("string"))
     counts = stats.value_counts(rows, ["metric"], "g", "x")
-    ranks = stats.mid_ranks(counts, ["metric"]).withColumn("total", F.sum("t").over(Window.partitionBy("metric")))
+    ranks = stats.mid_ranks(counts, ["metric"])
     both = counts.join(ranks, ["metric", "x"])
     n, y, r = F.col("n"), F.col("group").cast("double"), F.col("mid_rank")
     sums = both.groupBy("metric").agg(F.sum(n).alias("n"), F.sum(n * y).alias("sy"), F.sum(n * r).alias("sr"), F.sum(n * r * y).alias("sry"), F.sum(n * r * r).alias("srr"), F.sum(F.when(y == 0, n * F.col("x"))).alias("x0"), F.sum(F.when(y == 1, n * F.col("x"))).alias("x1"))

@@ -1,8 +1,8 @@
 """Rank statistics without pair loops.
 
 All of them start from one table of counts per (metric, value, group): a running sum over the distinct values of a metric
-gives mid-ranks and dominance counts, so the work is a sort of the distinct values. Keys are any columns; `x` is the value
-column and null values don't count.
+gives mid-ranks and dominance counts, so the work is a sort of the distinct values, and that is done in bins, so one metric
+isn't one task. Keys are any columns; `x` is the value column and null values don't count.
 """
 
 from __future__ import annotations
@@ -22,18 +22,48 @@ def value_counts(frame: DataFrame, keys: Sequence[str], group: str, x: str) -> D
     return frame.where(F.col(x).isNotNull()).groupBy(*keys, F.col(group).alias("group"), F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def value_bin(x: Column) -> Column:
+    """A whole number that never falls as x grows: 256 bins for each doubling of |x| above 2^-20, NaN last as in a sort.
+
+    A function of the value alone, so it needs no pass over the data and is the same when a task runs again.
+    """
+    size = F.floor(F.log2(F.abs(x) * float(2**20) + 1.0) * 256.0)
+    return F.when(F.isnan(x), F.lit(2**63 - 1)).when(x < 0, -size).otherwise(size)
+
+
+def running_sums(frame: DataFrame, keys: Sequence[str], x: str, columns: Sequence[str]) -> DataFrame:
+    """Adds, for each column c, c_below (its sum over the key's rows of lesser x) and c_all (over all the key's rows).
+
+    Rows are distinct by (keys, x). Two levels: sums inside a bin of values, and a running sum over the few bins of a key,
+    so that no task holds all values of a key, or of the whole table where there are no keys.
+    """
+    rows = frame.withColumn("_bin", value_bin(F.col(x).cast("double")))
+    of = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy(*keys, "_bin").agg(*[F.sum(c).alias(c) for c in columns])
+    parts = [e for c in columns for e in (of(c, earlier).alias(f"_{c}_earlier"), F.sum(c).over(whole).alias(f"{c}_all"))]
+    bins = bins.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_bin").alias("_of_bin"), *parts)
+    inside = Window.partitionBy(*keys, "_bin").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"{c}_below": of(c, inside) for c in columns})
+    same = F.col("_bin") == F.col("_of_bin")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    out = rows.join(bins, same).withColumns({f"{c}_below": F.col(f"{c}_below") + F.col(f"_{c}_earlier") for c in columns})
+    return out.drop("_bin", "_of_bin", *[f"_of_{k}" for k in keys], *[f"_{c}_earlier" for c in columns])
+
+
 def mid_ranks(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, x, t (ties at x over all groups), mid_rank."""
-    ties = counts.groupBy(*keys, "x").agg(F.sum("n").alias("t"))
-    upto = F.sum("t").over(Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    return ties.select(*keys, "x", "t", (upto - (F.col("t") - 1) / 2.0).alias("mid_rank"))
+    """keys, x, t (ties at x over all groups), mid_rank, total (rows of the key)."""
+    ties = running_sums(counts.groupBy(*keys, "x").agg(F.sum("n").alias("t")), keys, "x", ["t"])
+    return ties.select(*keys, "x", "t", (F.col("t_below") + (F.col("t") + 1) / 2.0).alias("mid_rank"), F.col("t_all").alias("total"))
 
 
 def group_ranks(frame: DataFrame, keys: Sequence[str], group: str, x: str) -> DataFrame:
     """keys, group, n, rank_sum, and the metric's total and tie_sum (sum of t^3 - t)."""
     counts = value_counts(frame, keys, group, x)
     ranks = mid_ranks(counts, keys)
-    sums = counts.join(ranks, [*keys, "x"]).groupBy(*keys, "group").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mid_rank")).alias("rank_sum"))
+    sums = counts.join(ranks.drop("total"), [*keys, "x"]).groupBy(*keys, "group").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mid_rank")).alias("rank_sum"))
     t = F.col("t").cast("double")
     ties = ranks.groupBy(*keys).agg(F.sum("t").alias("total"), F.sum(t * t * t - t).alias("tie_sum")) if keys else ranks.agg(F.sum("t").alias("total"), F.sum(t * t * t - t).alias("tie_sum"))
     return sums.join(ties, list(keys)) if keys else sums.crossJoin(F.broadcast(ties))
@@ -103,8 +133,7 @@ def dominance(frame: DataFrame, group: str, x: str, first: str, second: str, key
     """keys, n1, n2, greater, less: pairs in which the first group's value is greater or less than the second's."""
     counts = value_counts(frame.where(F.col(group).isin(first, second)), keys, group, x)
     pair = counts.groupBy(*keys, "x").agg(F.sum(F.when(F.col("group") == first, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("group") == second, F.col("n")).otherwise(0)).alias("b"))
-    before = lambda c: F.coalesce(F.sum(c).over(Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = pair.withColumn("b_below", before("b")).withColumn("a_below", before("a"))
+    ranked = running_sums(pair, keys, "x", ["a", "b"])
     out = ranked.groupBy(*keys).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("b_below")).alias("greater"), F.sum(F.col("b") * F.col("a_below")).alias("less"))
     return out.where("n1 > 0 and n2 > 0")
 

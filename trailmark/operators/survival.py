@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import correlation, count_if
+from trailmark.operators.stats import running_sums
 
 #: Distinct durations that the Cox steps take to the driver at most.
 MOST_TIMES = 100_000
@@ -271,9 +272,7 @@ def concordance(rows: DataFrame, keys: Sequence[str] = (), score: str = "risk")
     data = ranked.select(*on, "r", "x", level).select(*on, "l", shift().alias("b"), "x", F.lit(1).alias("nd"), F.lit(0).alias("nq"))
     asks = ranked.where("event = 1").select(*on, "r", "x", level).where(F.expr("shiftright(r, l) % 2 = 0")).select(*on, "l", (shift() + 1).alias("b"), "x", F.lit(0).alias("nd"), F.lit(1).alias("nq"))
     cells = data.unionByName(asks).groupBy(*on, "l", "b", "x").agg(F.sum("nd").alias("nd"), F.sum("nq").alias("nq"))
-    block = Window.partitionBy(*on, "l", "b")
-    below = F.coalesce(F.sum("nd").over(block.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.withColumn("below", below).withColumn("size", F.sum("nd").over(block))
+    cells = running_sums(cells, [*on, "l", "b"], "x", ["nd"]).withColumnsRenamed({"nd_below": "below", "nd_all": "size"})
     out = cells.groupBy(*on).agg(F.sum(F.col("nq") * F.col("size")).alias("pairs"), F.sum(F.col("nq") * F.col("below")).alias("concordant"), F.sum(F.col("nq") * F.col("nd")).alias("tied"))
     return out.withColumn("index", (F.col("concordant") + F.col("tied") / 2) / F.when(F.col("pairs") > 0, F.col("pairs")))
 
