@@ -405,6 +405,36 @@ def test_nearest_vectors_fills_up_from_further_leaves(spark):
     assert {r["query_id"]: r["count"] for r in found} == {0: 10, **{i: 19 for i in range(1140, 1150)}}
 
 
+def test_tree_grows_with_the_rows(spark):
+    rng = np.random.default_rng(5)
+    # 60 clusters and a very common vector, which no split can part; clashing names of other columns.
+    centres = rng.normal(size=(60, 8)) * 5
+    x = np.concatenate([centres[rng.integers(0, 60, 3000)] + 0.5 * rng.normal(size=(3000, 8)), np.repeat(centres[:1], 1000, 0)])
+    frame = spark.createDataFrame([(i, v.tolist(), "x", i) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, leaf string, query_id bigint").repartition(3)
+    small = ann.build_index(frame, sample=200, calibration=40, k=5, leaf_rows=10**9)
+    large = ann.build_index(frame, sample=200, calibration=40, k=5, leaf_rows=60)
+    vectors = ann._vectors(frame, "vec_id", "embedding")
+    sizes = [r["count"] for r in ann.indexed_rows(vectors.where("vec_id < 3000"), large.tree).groupBy("leaf").count().collect()]
+    assert large.tree.leaves > 4 * small.tree.leaves and max(sizes) <= 120
+    assert sorted(n for n in large.tree.leaf if n >= 0) == list(range(large.tree.leaves))
+    assert large.recall >= 0.95 and large.visits < large.tree.leaves / 4
+    hits = 0
+    for q, found in spark_lists(ann.search(frame, frame.where("vec_id % 100 = 3"), large, k=5)).items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += sum(v >= np.sort(s)[-5] - 1e-9 for _, _, v in found)
+    assert hits >= 0.9 * 5 * 40
+    # The bound of the broadcast holds: 8 components of 8 bytes a node.
+    assert len(ann.grow(vectors, small.tree, 6, leaf_rows=60, node_bytes=64 * 60).centroids) <= 60
+
+
+def spark_lists(found):
+    out = {}
+    for r in found.collect():
+        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return out
+
+
 def test_language_id_of_runs_without_blanks():
     rng = random.Random(3)
     snippets = [(lang, ["".join(rng.choices(chars, k=rng.randint(2, 9))) for _ in range(20)]) for lang, chars in (("aa", "abcdefg"), ("zz", "tuvwxyz")) for _ in range(60)]

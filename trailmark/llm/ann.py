@@ -12,12 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm._arrow import map_arrow
+from trailmark.llm._arrow import cut, map_arrow
 
 #: Rows that one task compares with so many queries at a time, both about.
 ROW_BLOCK, QUERY_BLOCK = 4096, 1024
 #: Queries whose visits one task finds.
 VISIT_BLOCK = 256
+#: A leaf of more rows is split again, by k-means on at most so many of its vectors, while the tree's centroids take less than
+#: NODE_BYTES: the tree is broadcast, so its size needs a bound. At 64 components that is 131,072 nodes.
+LEAF_ROWS, LEAF_SAMPLE, NODE_BYTES = 2048, 1000, 64 << 20
 
 
 @dataclass
@@ -52,24 +55,47 @@ class Tree:
                     todo.append((self.children[node], own))
         return out
 
+    def order(self, q: np.ndarray) -> Iterator[int]:
+        """The leaves by best-bin-first: always on from the open node whose centroid has the largest product."""
+        heap: list[tuple[float, int]] = []
+        nodes = self.root
+        while True:
+            for node, score in zip(range(*nodes), (self.centroids[slice(*nodes)] @ q).tolist(), strict=True):
+                heapq.heappush(heap, (-score, node))
+            while heap and self.leaf[heap[0][1]] >= 0:
+                yield self.leaf[heapq.heappop(heap)[1]]
+            if not heap:
+                return
+            nodes = self.children[heapq.heappop(heap)[1]]
+
     def visit(self, q: np.ndarray, most: int, counts: np.ndarray | None = None, least: int = 0) -> list[int]:
-        """The first `most` leaves by best-bin-first: always on from the open node whose centroid has the largest product.
-        With `counts` (rows of each leaf), further ones until those visited hold `least` rows."""
-        score = (self.centroids @ q).tolist()
-        heap = [(-score[n], n) for n in range(*self.root)]
-        heapq.heapify(heap)
+        """The first `most` leaves. With `counts` (rows of each leaf), further ones until those visited hold `least` rows."""
         found: list[int] = []
         held = least if counts is None else 0
-        while heap and (len(found) < most or held < least):
-            _, node = heapq.heappop(heap)
-            if self.leaf[node] >= 0:
-                found.append(self.leaf[node])
-                held += 0 if counts is None else int(counts[self.leaf[node]])
-            else:
-                for child in range(*self.children[node]):
-                    heapq.heappush(heap, (-score[child], child))
+        for leaf in self.order(q):
+            if len(found) >= most and held >= least:
+                break
+            found.append(leaf)
+            held += 0 if counts is None else int(counts[leaf])
         return found
 
+    def split(self, parts: dict[int, np.ndarray]) -> Tree:
+        """A tree in which each node of `parts` has these centroids below it. Leaves are numbered along the tree, so that
+        neighbours have neighbouring numbers."""
+        children, made = list(self.children), len(self.centroids)
+        for node, below in parts.items():
+            children[node] = (made, made + len(below))
+            made += len(below)
+        children += [(0, 0)] * (made - len(children))
+        leaf, todo, count = [-1] * made, list(range(*self.root))[::-1], 0
+        while todo:
+            node = todo.pop()
+            if children[node][0] < children[node][1]:
+                todo += list(range(*children[node]))[::-1]
+            else:
+                leaf[node], count = count, count + 1
+        return Tree(self.dim, np.concatenate([self.centroids, *parts.values()]), children, leaf, self.root)
+
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     c = x[rng.choice(len(x), k, replace=False)]
@@ -202,8 +228,43 @@ def indexed_rows(vectors: DataFrame, tree: Tree, copies: int | None = None) -> D
     return map_arrow(vectors, run, "vec_id bigint, v array<double>, leaf int")
 
 
-def build_index(frame: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 20_000, calibration: int = 200, k: int = 20, target: float = 0.95, branch: int = 16, leaf_size: int = 64) -> Index | None:
-    """Fit the tree on at most `sample` vectors, and calibrate how many leaves a search visits. None without vectors.
+def grow(vectors: DataFrame, tree: Tree, copies: int, branch: int = 16, leaf_rows: int = LEAF_ROWS, node_bytes: int = NODE_BYTES) -> Tree:
+    """Split leaves of more than `leaf_rows` rows, level by level, until none is left or the centroids take `node_bytes`.
+
+    A level counts the rows of each leaf over the whole table, and each large leaf is split in a task of its own by k-means on
+    at most LEAF_SAMPLE of its vectors, those whose hashes are lowest. Only the new centroids come to the driver. A leaf whose
+    sampled vectors are all equal stays whole. Where the bound is reached, the largest leaves have gone first.
+    """
+    spark, dim, whole = vectors.sparkSession, tree.dim, set()
+
+    def parts(rows: pa.Table) -> pa.Table:
+        x = np.unique(_matrix(rows["v"], dim)[1], axis=0)
+        _, near = _kmeans(x, min(branch, len(x)), np.random.default_rng(3))
+        centroids = [x[near == g].mean(0).tolist() for g in np.unique(near)]
+        return pa.table({"leaf": pa.array([rows["leaf"][0].as_py()] * len(centroids), pa.int32()), "c": pa.array(centroids, pa.list_(pa.float64()))})
+
+    while True:
+        rows = indexed_rows(vectors, tree, copies)
+        node_of = {leaf: node for node, leaf in enumerate(tree.leaf) if leaf >= 0}
+        counts = {r["leaf"]: r["count"] for r in rows.groupBy("leaf").count().where(F.col("count") > leaf_rows).collect()}
+        room = max(0, node_bytes // (8 * dim) - len(tree.centroids)) // branch
+        large = sorted((leaf for leaf in counts if node_of[leaf] not in whole), key=lambda leaf: (-counts[leaf], leaf))[:room]
+        if not large:
+            return tree
+        # Twice the share of the sample, so that a leaf hardly ever has fewer vectors than that; the rank bounds it.
+        shares = spark.createDataFrame([(leaf, 2.0 * LEAF_SAMPLE / counts[leaf]) for leaf in large], "leaf int, share double")
+        place = F.xxhash64("vec_id", "v")
+        few = rows.join(F.broadcast(shares), "leaf").where(F.pmod(place, F.lit(1 << 30)) < F.col("share") * (1 << 30))
+        few = few.withColumn("place", place).withColumn("n", F.row_number().over(Window.partitionBy("leaf").orderBy("place", "vec_id")))
+        made = few.where(F.col("n") <= LEAF_SAMPLE).select("leaf", "v").groupBy("leaf").applyInArrow(parts, "leaf int, c array<double>").toArrow()
+        of, below = np.asarray(made["leaf"]), np.asarray(made["c"].combine_chunks().flatten()).reshape(-1, dim)
+        new = {node_of[leaf]: own for leaf in large if len(own := below[of == leaf]) > 1}
+        whole |= {node_of[leaf] for leaf in large} - new.keys()
+        tree = tree.split(new)
+
+
+def build_index(frame: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 20_000, calibration: int = 200, k: int = 20, target: float = 0.95, branch: int = 16, leaf_size: int = 64, leaf_rows: int = LEAF_ROWS) -> Index | None:
+    """Fit the upper tree on at most `sample` vectors, split its large leaves further (see grow), and calibrate how many leaves a search visits. None without vectors.
 
     Calibration takes `calibration` rows as queries, finds their k best among all rows exactly (each task keeps k for
     each query), and takes the smallest number of leaves whose best-bin-first visits find `target` of them. They are kept
@@ -221,6 +282,7 @@ def build_index(frame: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
         return None
     # A tree fits its own vectors better than others, so the queries are kept out of it where there are enough.
     tree = fit_tree(x[calibration:] if len(x) >= 4 * calibration else x, branch, leaf_size)
+    tree = grow(vectors, tree, k + 1, branch, leaf_rows)
     q_id, q = np.asarray(few["vec_id"])[rows][:calibration], x[:calibration]
     shared = frame.sparkSession.sparkContext.broadcast((q_id, q))
 
@@ -233,10 +295,19 @@ def build_index(frame: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
 
     near = map_arrow(indexed_rows(vectors, tree, k + 1), exact, "q int, vec_id bigint, score double, leaf int")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("q", "leaf").toArrow()
-    place = np.zeros((len(q), max(1, tree.leaves)), np.int64)
+    asked, leaf = np.asarray(ranked["q"]), np.asarray(ranked["leaf"])
+    needed = []
     for i in range(len(q)):
-        place[i, tree.visit(q[i], tree.leaves)] = np.arange(1, tree.leaves + 1)
-    needed = np.sort(place[np.asarray(ranked["q"]), np.asarray(ranked["leaf"])]) if ranked.num_rows else np.ones(1, int)
+        own = leaf[asked == i].tolist()
+        place: dict[int, int] = {}
+        missing = set(own)
+        for n, found in enumerate(tree.order(q[i]) if own else (), 1):
+            place[found] = n
+            missing.discard(found)
+            if not missing:
+                break
+        needed += [place[found] for found in own]
+    needed = np.sort(needed or [1])
     at = min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)
     visits = int(needed[at])
     return Index(tree, visits, float((needed <= visits).mean()))
@@ -251,9 +322,10 @@ def search(frame: DataFrame, queries: DataFrame, index: Index | None, id_col: st
     Rows and queries whose vector is null, zero, of another length, or holds null or non-finite components take no part;
     a row isn't its own neighbour (rows are told apart by id, so repeated ids count once a vector). A query goes on past the
     calibrated number of leaves until they hold k other rows, so it has fewer than k only where there are fewer.
-    Neighbouring leaves lie together in packs of about ROW_BLOCK rows, larger leaves in several blocks. A query goes once to each pack that it
-    visits, with the leaves it visits there, in groups of about QUERY_BLOCK; a task holds one such pair, whatever the size
-    of a leaf, and gives k rows a query.
+    Neighbouring leaves lie together in packs of about ROW_BLOCK rows, larger leaves in several blocks. A query goes once to
+    each pack that it visits, with the leaves it visits there, in groups of about QUERY_BLOCK of that pack's queries; a task
+    holds one such pair, whatever the size of a leaf, and gives k rows a query. A pack's rows are sent once for each of its
+    own groups, so what is sent grows with the visits, not with rows times queries.
     """
     spark = frame.sparkSession
     if index is None:
@@ -262,13 +334,12 @@ def search(frame: DataFrame, queries: DataFrame, index: Index | None, id_col: st
     # Rows with the query's own id, of which there may be several vectors, come on top of the k others.
     same = _vectors(frame, id_col, vec_col).groupBy("vec_id").agg(F.count(F.lit(1)).alias("same"))
     asked = _vectors(queries, id_col, vec_col).dropDuplicates(["vec_id"])
-    # A row for each leaf at most; their number is bounded by the sample.
+    # A row for each leaf at most; their number is bounded by NODE_BYTES.
     counts = np.zeros(index.tree.leaves, np.int64)
     for r in rows.groupBy("leaf").count().collect():
         counts[r["leaf"]] = r["count"]
     pack, blocks = packs(counts)
     count = asked.count()
-    groups = max(1, -(-count // QUERY_BLOCK))
     shared = spark.sparkContext.broadcast((index, pack, counts))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,23 +356,25 @@ def search(frame: DataFrame, queries: DataFrame, index: Index | None, id_col: st
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(goals, kind)], names=["query_id", "q", "goals"])
 
     part = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-    places = spark.createDataFrame([(i, int(p), int(blocks[p])) for i, p in enumerate(pack)], "leaf int, pack int, blocks int")
-    sizes = F.broadcast(places.select("pack", "blocks").distinct())
-    left = asked.join(same, "vec_id", "left").select("vec_id", "v", F.coalesce("same", F.lit(0)).alias("same")).repartition(max(1, -(-count // VISIT_BLOCK)))
-    left = map_arrow(left, visits, "query_id bigint, q array<double>, goals array<struct<pack:int,leaves:array<int>>>")
-    left = left.select("query_id", "q", F.explode("goals").alias("g")).select("query_id", "q", "g.pack", "g.leaves").join(sizes, "pack")
-    left = left.select("query_id", "q", "leaves", "pack", part("query_id", F.lit(groups)).alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
-    right = rows.join(F.broadcast(places), "leaf").select("vec_id", "v", "leaf", "pack", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("a"), part("vec_id", F.col("blocks")).alias("b"))
+    asked = asked.join(same, "vec_id", "left").select("vec_id", "v", F.coalesce("same", F.lit(0)).alias("same")).repartition(max(1, -(-count // VISIT_BLOCK)))
+    goals = cut(map_arrow(asked, visits, "query_id bigint, q array<double>, goals array<struct<pack:int,leaves:array<int>>>"))
+    groups = goals.select(F.explode("goals.pack").alias("pack")).groupBy("pack").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("groups"))
+    places = spark.createDataFrame([(i, int(p), int(blocks[p])) for i, p in enumerate(pack)], "leaf int, pack int, blocks int").join(F.broadcast(groups), "pack")
+    left = goals.select("query_id", "q", F.explode("goals").alias("g")).select("query_id", "q", "g.pack", "g.leaves").join(F.broadcast(places.drop("leaf").distinct()), "pack")
+    left = left.select("query_id", "q", "leaves", "pack", part("query_id", F.col("groups")).alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    right = rows.join(F.broadcast(places), "leaf").select("vec_id", "v", "leaf", "pack", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("a"), part("vec_id", F.col("blocks")).alias("b"))
 
     def compare(q: pa.Table, r: pa.Table) -> pa.Table:
         ids = [np.asarray(t[c]) for t, c in ((q, "query_id"), (r, "vec_id"))]
         if not q.num_rows or not r.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         tree = shared.value[0].tree
-        leaf, lists = np.asarray(r["leaf"]), q["leaves"].combine_chunks()
-        may = np.zeros((q.num_rows, tree.leaves), bool)
-        may[np.repeat(np.arange(q.num_rows), np.asarray(pc.list_value_length(lists))), np.asarray(lists.flatten())] = True
-        i, j, score = best(ids[0], _matrix(q["q"], tree.dim)[1], ids[1], _matrix(r["v"], tree.dim)[1], k, may[:, leaf])
+        (leaf, row), lists = np.unique(np.asarray(r["leaf"]), return_inverse=True), q["leaves"].combine_chunks()
+        asked, seen = np.repeat(np.arange(q.num_rows), np.asarray(pc.list_value_length(lists))), np.asarray(lists.flatten())
+        at = np.minimum(np.searchsorted(leaf, seen), len(leaf) - 1)
+        may = np.zeros((q.num_rows, len(leaf)), bool)
+        may[asked[leaf[at] == seen], at[leaf[at] == seen]] = True
+        i, j, score = best(ids[0], _matrix(q["q"], tree.dim)[1], ids[1], _matrix(r["v"], tree.dim)[1], k, may[:, row])
         return pa.table({"query_id": ids[0][i], "vec_id": ids[1][j], "score": score})
 
     keys = ["pack", "a", "b"]
