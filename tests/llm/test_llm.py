@@ -411,8 +411,8 @@ def test_tree_grows_with_the_rows(spark):
     centres = rng.normal(size=(60, 8)) * 5
     x = np.concatenate([centres[rng.integers(0, 60, 3000)] + 0.5 * rng.normal(size=(3000, 8)), np.repeat(centres[:1], 1000, 0)])
     frame = spark.createDataFrame([(i, v.tolist(), "x", i) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, leaf string, query_id bigint").repartition(3)
-    small = ann.build_index(frame, sample=200, calibration=40, k=5, leaf_rows=10**9)
-    large = ann.build_index(frame, sample=200, calibration=40, k=5, leaf_rows=60)
+    small = ann.build_index(frame, sample=800, calibration=150, leaf_size=256, k=5, leaf_rows=10**9)
+    large = ann.build_index(frame, sample=800, calibration=150, leaf_size=256, k=5, leaf_rows=60)
     vectors = ann._vectors(frame, "vec_id", "embedding")
     sizes = [r["count"] for r in ann.indexed_rows(vectors.where("vec_id < 3000"), large.tree).groupBy("leaf").count().collect()]
     assert large.tree.leaves > 4 * small.tree.leaves and max(sizes) <= 120

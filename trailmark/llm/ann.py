@@ -59,11 +59,12 @@ class Tree:
         """The leaves by best-bin-first: always on from the open node whose centroid has the largest product."""
         heap: list[tuple[float, int]] = []
         nodes = self.root
+        leaf = self.leaf
         while True:
             for node, score in zip(range(*nodes), (self.centroids[slice(*nodes)] @ q).tolist(), strict=True):
                 heapq.heappush(heap, (-score, node))
-            while heap and self.leaf[heap[0][1]] >= 0:
-                yield self.leaf[heapq.heappop(heap)[1]]
+            while heap and leaf[heap[0][1]] >= 0:
+                yield leaf[heapq.heappop(heap)[1]]
             if not heap:
                 return
             nodes = self.children[heapq.heappop(heap)[1]]
@@ -107,8 +108,13 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     return c, near
 
 
+def _width(rows: int, leaf_rows: int, branch: int) -> int:
+    """Into how many parts a node goes: twice as many as leaves of full size need, as parts differ in size."""
+    return max(2, min(branch, -(-2 * rows // leaf_rows)))
+
+
 def fit_tree(x: np.ndarray, branch: int = 16, leaf_size: int = 64, seed: int = 3) -> Tree:
-    """Split the sample by k-means into `branch` parts, and each part again until it has at most `leaf_size` vectors."""
+    """Split the sample by k-means into `branch` parts or fewer, and each part again until it has at most `leaf_size` vectors."""
     rng = np.random.default_rng(seed)
     centroids: list[np.ndarray] = []
     children: list[tuple[int, int]] = []
@@ -128,7 +134,7 @@ def fit_tree(x: np.ndarray, branch: int = 16, leaf_size: int = 64, seed: int = 3
         node, own = todo.pop()
         parts = []
         if len(own) > leaf_size and len(distinct := np.unique(own, axis=0)) > 1:
-            _, near = _kmeans(distinct, min(branch, len(distinct)), rng)
+            _, near = _kmeans(distinct, min(_width(len(own), leaf_size, branch), len(distinct)), rng)
             groups = [distinct[near == g] for g in np.unique(near)]
             parts = groups if len(groups) > 1 else []
         if parts:
@@ -239,7 +245,7 @@ def grow(vectors: DataFrame, tree: Tree, copies: int, branch: int = 16, leaf_row
 
     def parts(rows: pa.Table) -> pa.Table:
         x = np.unique(_matrix(rows["v"], dim)[1], axis=0)
-        _, near = _kmeans(x, min(branch, len(x)), np.random.default_rng(3))
+        _, near = _kmeans(x, min(_width(rows["count"][0].as_py(), leaf_rows, branch), len(x)), np.random.default_rng(3))
         centroids = [x[near == g].mean(0).tolist() for g in np.unique(near)]
         return pa.table({"leaf": pa.array([rows["leaf"][0].as_py()] * len(centroids), pa.int32()), "c": pa.array(centroids, pa.list_(pa.float64()))})
 
@@ -252,11 +258,11 @@ def grow(vectors: DataFrame, tree: Tree, copies: int, branch: int = 16, leaf_row
         if not large:
             return tree
         # Twice the share of the sample, so that a leaf hardly ever has fewer vectors than that; the rank bounds it.
-        shares = spark.createDataFrame([(leaf, 2.0 * LEAF_SAMPLE / counts[leaf]) for leaf in large], "leaf int, share double")
+        shares = spark.createDataFrame([(leaf, counts[leaf], 2.0 * LEAF_SAMPLE / counts[leaf]) for leaf in large], "leaf int, count bigint, share double")
         place = F.xxhash64("vec_id", "v")
         few = rows.join(F.broadcast(shares), "leaf").where(F.pmod(place, F.lit(1 << 30)) < F.col("share") * (1 << 30))
         few = few.withColumn("place", place).withColumn("n", F.row_number().over(Window.partitionBy("leaf").orderBy("place", "vec_id")))
-        made = few.where(F.col("n") <= LEAF_SAMPLE).select("leaf", "v").groupBy("leaf").applyInArrow(parts, "leaf int, c array<double>").toArrow()
+        made = few.where(F.col("n") <= LEAF_SAMPLE).select("leaf", "count", "v").groupBy("leaf").applyInArrow(parts, "leaf int, c array<double>").toArrow()
         of, below = np.asarray(made["leaf"]), np.asarray(made["c"].combine_chunks().flatten()).reshape(-1, dim)
         new = {node_of[leaf]: own for leaf in large if len(own := below[of == leaf]) > 1}
         whole |= {node_of[leaf] for leaf in large} - new.keys()
@@ -268,7 +274,7 @@ def build_index(frame: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
 
     Calibration takes `calibration` rows as queries, finds their k best among all rows exactly (each task keeps k for
     each query), and takes the smallest number of leaves whose best-bin-first visits find `target` of them. They are kept
-    out of the fit where the sample has four times as many.
+    out of the fit where the sample has four times as many. Of equal vectors in the sample one counts.
     The sample and the queries are the rows whose ids hash lowest; their number bounds what the driver holds.
     """
     vectors = _vectors(frame, id_col, vec_col)
@@ -280,6 +286,9 @@ def build_index(frame: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     rows, x = _matrix(few["v"], dim)
     if not len(rows):
         return None
+    # A very common vector is one query of the calibration, which it would else make up.
+    first = np.sort(np.unique(x, axis=0, return_index=True)[1])
+    rows, x = rows[first], x[first]
     # A tree fits its own vectors better than others, so the queries are kept out of it where there are enough.
     tree = fit_tree(x[calibration:] if len(x) >= 4 * calibration else x, branch, leaf_size)
     tree = grow(vectors, tree, k + 1, branch, leaf_rows)
