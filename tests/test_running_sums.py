@@ -32,3 +32,22 @@ def test_sums_below_and_over_all(spark):
                 assert r[f"{c}_all"] == sum(e[c] for e in own)
                 assert r[f"{c}_below"] == sum(e[c] for e in own if e["x"] < r.x)
     assert stats.running_sums(rows.where("false"), ["k"], "x", ["p"]).count() == 0
+
+
+def test_quantiles_are_those_of_sorted_rows(spark):
+    rnd = random.Random(3)
+    data = [(k, rnd.choice([rnd.uniform(-5, 5), 1.0, 2.0])) for k, n in (("a", 1), ("b", 2), (None, 101), ("c", 40)) for _ in range(n)] + [("c", None), ("empty", None)]
+    rows = spark.createDataFrame(data, "k string, v double")
+    shares = {"low": 0.0, "q": 0.25, "m": 0.5, "late": 0.9, "top": 1.0}
+    got = {r.k: r for r in stats.quantiles(rows, ["k"], "v", shares).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    got["all"] = stats.quantiles(rows, [], "v", shares).first()
+    for k, row in got.items():
+        own = sorted(v for e, v in data if v is not None and k in (e, "all"))
+        for name, p in shares.items():
+            at = p * (len(own) - 1)
+            low, high = own[math.floor(at)], own[math.ceil(at)]
+            assert math.isclose(row[name], low + (high - low) * (at - math.floor(at)), abs_tol=1e-12)
+    assert stats.quantiles(rows.where("false"), [], "v", shares).first() == (None,) * 5
+    summary = {r.k: r for r in stats.quartile_summary(rows, ["k"], "v").collect()}
+    assert set(summary) == {"a", "b", "c", None} and summary[None].n == 101 and summary["a"].std is None

@@ -1,7 +1,8 @@
 """Weekly contribution series: metrics, index, resampling, clustering, and life-cycle stages.
 
 A person's series is an array of doubles in one row, so shapes are changed without a shuffle: by array expressions, or by
-numpy over Arrow batches where every point of the result reads the whole array.
+numpy over Arrow batches where every point of the result reads the whole array (nested array expressions, which Catalyst
+puts into one another, worked the array out anew for each point: a query of seconds did not end in minutes).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import count_if
+from trailmark.operators.stats import on_keys, quantiles
 
 KEYS = ("person",)
 #: Weights of the contribution index.
@@ -217,7 +219,7 @@ def adjusted_rand(labels: DataFrame, first: str, second: str) -> DataFrame:
 def median_centroid(clusters: DataFrame, column: str = "series") -> DataFrame:
     """cluster, centroid: the median of each position."""
     rows = clusters.select("cluster", F.posexplode(F.col(column).cast("array<double>")).alias("i", "v"))
-    each = rows.groupBy("cluster", "i").agg(F.percentile("v", F.lit(0.5)).alias("m"))
+    each = on_keys(rows.select("cluster", "i").distinct(), quantiles(rows, ["cluster", "i"], "v", {"m": 0.5}), ["cluster", "i"])
     return each.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("centroid"))
 
 
@@ -267,8 +269,9 @@ def cluster_journey_join(clusters: DataFrame, transitions: DataFrame, person: st
 def group_time_stats(rows: DataFrame, keys: Sequence[str], value: str = "weeks") -> DataFrame:
     """keys, n, median, mean, std, q25, q75, min, max."""
     v = F.col(value).cast("double")
-    out = rows.where(v.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return out.select(*keys, "n", F.col("q")[1].alias("median"), "mean", "std", F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"), "min", "max")
+    out = rows.where(v.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    out = on_keys(out, quantiles(rows, keys, value, {"median": 0.5, "q25": 0.25, "q75": 0.75}), keys)
+    return out.select(*keys, "n", "median", "mean", "std", "q25", "q75", "min", "max")
 
 
 def lifecycle_stage(commits: DataFrame, project: str = "project_name", ts: str = "commit_date", bounds: Sequence[tuple[str, int]] = (("early", 7), ("middle", 10), ("late", 13))) -> DataFrame:

@@ -53,6 +53,36 @@ def running_sums(frame: DataFrame, keys: Sequence[str], x: str, columns: Sequenc
     return out.drop("_bin", "_of_bin", *[f"_of_{k}" for k in keys], *[f"_{c}_earlier" for c in columns])
 
 
+def quantiles(frame: DataFrame, keys: Sequence[str], x: str, shares: dict[str, float]) -> DataFrame:
+    """keys, and for each name in `shares` the value at that share of the key's rows, linear between neighbours as percentile
+    has it. Keys without values have no row; without keys there is one row, of nulls where there are no values.
+
+    Read off the running sums of the values' counts, so no task holds all values of a key.
+    """
+    v = F.col(x).cast("double")
+    counts = running_sums(frame.where(v.isNotNull()).groupBy(*keys, v.alias("_x")).agg(F.count(F.lit(1)).alias("_t")), keys, "_x", ["_t"])
+    parts = []
+    for name, share in shares.items():
+        at = share * (F.col("_t_all") - 1)
+        for side, place in (("low", F.floor(at)), ("high", F.ceil(at))):
+            parts.append(F.max(F.when((F.col("_t_below") <= place) & (place < F.col("_t_below") + F.col("_t")), F.col("_x"))).alias(f"_{name}_{side}"))
+        parts.append(F.max(at - F.floor(at)).alias(f"_{name}_part"))
+    low, high, part = (lambda n, e=e: F.col(f"_{n}_{e}") for e in ("low", "high", "part"))
+    value = lambda n: F.when(low(n) == high(n), low(n)).otherwise((1.0 - part(n)) * low(n) + part(n) * high(n))
+    return counts.groupBy(*keys).agg(*parts).select(*keys, *[value(n).alias(n) for n in shares])
+
+
+def on_keys(rows: DataFrame, sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows with the sums of their keys, nulls being keys like others; without keys, `sums` is one row."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(sums))
+    sums = sums.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return rows.join(sums, same, "left").drop(*[f"_of_{k}" for k in keys])
+
+
 def mid_ranks(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, x, t (ties at x over all groups), mid_rank, total (rows of the key)."""
     ties = running_sums(counts.groupBy(*keys, "x").agg(F.sum("n").alias("t")), keys, "x", ["t"])
@@ -199,11 +229,10 @@ def rank_buckets(medians: dict[str, float], p_values: dict[tuple[str, str], floa
 def quartile_summary(frame: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """keys, n, mean, median, q25, q75, std (sample) of the values, and the text "median [q25-q75]"."""
     v = F.col(x).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = frame.where(v.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), q.alias("q"), F.stddev_samp(v).alias("std"))
-    q25, q50, q75 = (F.col("q")[i] for i in range(3))
-    text = F.format_string("%.3f [%.3f-%.3f]", q50, q25, q75)
-    return out.select(*keys, "n", "mean", q50.alias("median"), q25.alias("q25"), q75.alias("q75"), "std", text.alias("text"))
+    out = frame.where(v.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
+    out = on_keys(out, quantiles(frame, keys, x, {"q25": 0.25, "median": 0.5, "q75": 0.75}), keys)
+    text = F.format_string("%.3f [%.3f-%.3f]", "median", "q25", "q75")
+    return out.select(*keys, "n", "mean", "median", "q25", "q75", "std", text.alias("text"))
 
 
 def unpivot_metrics(frame: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

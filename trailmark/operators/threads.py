@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import clean_email, count_if
+from trailmark.operators.stats import on_keys, quantiles
 from trailmark.operators.written import written
 
 #: Timeline items that are messages.
@@ -158,9 +159,9 @@ def timeline_outliers(summary: DataFrame, metrics: Sequence[str], keys: Sequence
     """keys and the metrics (array) in which a person lies outside the quartile fences or more than `most_z` population
     standard deviations from the mean. Drop these people with a left_anti join."""
     long = summary.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(list(keys), list(metrics), "metric", "x")
-    q = long.groupBy("metric").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    q = on_keys(long.groupBy("metric").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")), quantiles(long, ["metric"], "x", {"q25": 0.25, "q75": 0.75}), ["metric"])
     both = long.join(F.broadcast(q), "metric")  # a row for each metric
-    spread = F.col("q")[1] - F.col("q")[0]
-    outside = (F.col("x") < F.col("q")[0] - fence * spread) | (F.col("x") > F.col("q")[1] + fence * spread)
+    spread = F.col("q75") - F.col("q25")
+    outside = (F.col("x") < F.col("q25") - fence * spread) | (F.col("x") > F.col("q75") + fence * spread)
     far = (F.col("s") > 0) & (F.abs(F.col("x") - F.col("m")) / F.col("s") > most_z)
     return both.where(outside | far).groupBy(*keys).agg(F.sort_array(F.collect_list("metric")).alias("outlier_metrics"))

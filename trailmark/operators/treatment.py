@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import count_if, is_weekend
+from trailmark.operators.stats import on_keys, quantiles
 
 #: Roles, and the words, marks and phrases that the families look for.
 MAINTAINER_ROLES = ("MEMBER", "OWNER", "MAINTAINER", "ADMIN")
@@ -238,16 +239,19 @@ def metric_category_summary(compared: DataFrame, categories: dict[str, str], sig
 def outlier_impact(long: DataFrame, group: str, fence: float = 1.5, min_n: int = 4) -> DataFrame:
     """(metric, group): n, mean, median before and after values outside the quartile fences go; groups with few values or no
     spread are left out. long: metric, group, x."""
-    q = long.where("x is not null").groupBy("metric", group).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.where((F.col("n") >= min_n) & (F.col("q")[2] > F.col("q")[0]))
-    spread = F.col("q")[2] - F.col("q")[0]
-    kept = long.join(q, ["metric", group]).where((F.col("x") >= F.col("q")[0] - fence * spread) & (F.col("x") <= F.col("q")[2] + fence * spread))
-    after = kept.groupBy("metric", group).agg(F.count(F.lit(1)).alias("n_clean"), F.avg("x").alias("mean_clean"), F.percentile("x", F.lit(0.5)).alias("median_clean"))
-    return q.join(after, ["metric", group]).select("metric", group, "n", "mean", F.col("q")[1].alias("median"), "n_clean", "mean_clean", "median_clean", (F.col("n") - F.col("n_clean")).alias("outliers"))
+    keys = ["metric", group]
+    q = long.where("x is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
+    q = on_keys(q, quantiles(long, keys, "x", {"q25": 0.25, "median": 0.5, "q75": 0.75}), keys)
+    q = q.where((F.col("n") >= min_n) & (F.col("q75") > F.col("q25")))
+    spread = F.col("q75") - F.col("q25")
+    kept = long.join(q, keys).where((F.col("x") >= F.col("q25") - fence * spread) & (F.col("x") <= F.col("q75") + fence * spread))
+    after = on_keys(kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clean"), F.avg("x").alias("mean_clean")), quantiles(kept.select(*keys, "x"), keys, "x", {"median_clean": 0.5}), keys)
+    return q.join(after, keys).select(*keys, "n", "mean", "median", "n_clean", "mean_clean", "median_clean", (F.col("n") - F.col("n_clean")).alias("outliers"))
 
 
 def zero_patterns(long: DataFrame, group: str) -> DataFrame:
     """(metric, group): rows, nulls, zeros, participation_rate (values that are neither), and mean and median of these."""
     x = F.col("x")
     real = F.when(x.isNotNull() & (x != 0), x)
-    return long.groupBy("metric", group).agg(F.count(F.lit(1)).alias("rows"), count_if(x.isNull()).alias("nulls"), count_if(x == 0).alias("zeros"), (F.count(real) / F.count(F.lit(1))).alias("participation_rate"), F.avg(real).alias("nonzero_mean"), F.percentile(real, F.lit(0.5)).alias("nonzero_median"))
+    out = long.groupBy("metric", group).agg(F.count(F.lit(1)).alias("rows"), count_if(x.isNull()).alias("nulls"), count_if(x == 0).alias("zeros"), (F.count(real) / F.count(F.lit(1))).alias("participation_rate"), F.avg(real).alias("nonzero_mean"))
+    return on_keys(out, quantiles(long.where(x != 0), ["metric", group], "x", {"nonzero_median": 0.5}), ["metric", group])
