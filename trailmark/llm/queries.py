@@ -73,6 +73,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_before", "lines_removed")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.decontamination import contamination_report
+
+    return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,10 +86,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard, op3_fingerprint, op4_mixing, op5_language_id, op6_packing, op7_nearest_vectors, op8_toxicity, op9_pii, op10_line_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard, op3_fingerprint, op4_mixing, op5_language_id, op6_packing, op7_nearest_vectors, op8_toxicity, op9_pii, op10_line_dedup, op11_decontamination, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from trailmark.llm import line_dedup, ngram_join
+    from trailmark.llm import decontamination, line_dedup, ngram_join
 
-    return {"op2_ngram_jaccard": ngram_join.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+    return {"op2_ngram_jaccard": ngram_join.ORACLE, "op10_line_dedup": line_dedup.ORACLE, "op11_decontamination": decontamination.ORACLE}
