@@ -6,7 +6,9 @@ import ctypes
 import gc
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +113,21 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+@contextmanager
+def written_table(frame: DataFrame) -> Iterator[DataFrame]:
+    """The rows written as Parquet to the shared checkpoint folder, for steps that read them several times; removed at the end.
+    Takes a fraction of a checkpoint's room. What outlives the block mustn't read it."""
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    try:
+        yield spark.read.schema(frame.schema).parquet(path)
+    finally:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files of steps that nothing refers to any more."""
     gc.collect()

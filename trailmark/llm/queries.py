@@ -79,6 +79,12 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.whitening import whitening_report
+
+    return whitening_report(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard, op3_fingerprint, op4_mixing, op5_language_id, op6_packing, op7_nearest_vectors, op8_toxicity, op9_pii, op10_line_dedup, op11_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard, op3_fingerprint, op4_mixing, op5_language_id, op6_packing, op7_nearest_vectors, op8_toxicity, op9_pii, op10_line_dedup, op11_decontamination, op13_whitening, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
