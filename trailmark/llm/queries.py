@@ -79,6 +79,12 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailmark.llm.collocation import mine_phrases
+
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailmark.llm.whitening import whitening_report
 
@@ -92,10 +98,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard, op3_fingerprint, op4_mixing, op5_language_id, op6_packing, op7_nearest_vectors, op8_toxicity, op9_pii, op10_line_dedup, op11_decontamination, op13_whitening, pipeline)}
+    return {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard, op3_fingerprint, op4_mixing, op5_language_id, op6_packing, op7_nearest_vectors, op8_toxicity, op9_pii, op10_line_dedup, op11_decontamination, op12_collocation, op13_whitening, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from trailmark.llm import decontamination, line_dedup, ngram_join
+    from trailmark.llm import collocation, decontamination, line_dedup, ngram_join
 
-    return {"op2_ngram_jaccard": ngram_join.ORACLE, "op10_line_dedup": line_dedup.ORACLE, "op11_decontamination": decontamination.ORACLE}
+    return {"op2_ngram_jaccard": ngram_join.ORACLE, "op10_line_dedup": line_dedup.ORACLE, "op11_decontamination": decontamination.ORACLE, "op12_collocation": collocation.ORACLE}
