@@ -41,8 +41,14 @@ def gathered(rows: DataFrame, dtype: str, size: int, add: np.ufunc) -> np.ndarra
 
 
 def filter_bits(keys: int, most: int = 1 << 28) -> int:
-    """Bits of a filter of so many keys: 16 to 32 for each, from 2^16 to `most` (a broadcast of `most` / 8 bytes)."""
-    return min(most, 1 << max(16, (16 * keys - 1).bit_length()))
+    """Bits of a filter of so many keys: 32 to 64 for each, from 2^16 to `most` (a broadcast of `most` / 8 bytes)."""
+    return min(most, 1 << max(16, (32 * keys - 1).bit_length()))
+
+
+def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a hashed key, from its lower and its upper half."""
+    h = h.view(np.uint64)
+    return tuple((x & np.uint64(bits - 1)).astype(np.int64) for x in (h, (h >> np.uint64(32)) * np.uint64(0x9E3779B1)))
 
 
 def bit_filter(keys: DataFrame, bits: int) -> np.ndarray:
@@ -51,13 +57,13 @@ def bit_filter(keys: DataFrame, bits: int) -> np.ndarray:
     def run(batches):
         table = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            h = np.asarray(batch.column(0), np.int64) & (bits - 1)
-            np.bitwise_or.at(table, h >> 3, (1 << (h & 7)).astype(np.uint8))
+            for h in _places(np.ascontiguousarray(batch.column(0)), bits):
+                np.bitwise_or.at(table, h >> 3, (1 << (h & 7)).astype(np.uint8))
         yield parts(table)
 
     return gathered(map_arrow(keys.toDF("h"), run, PARTS), "u1", bits // 8, np.bitwise_or)
 
 
 def passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    h = h.view(np.int64) & (8 * len(table) - 1)
-    return (table[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+    a, b = ((table[h >> 3] >> (h & 7).astype(np.uint8)) & 1 for h in _places(h, 8 * len(table)))
+    return a & b == 1

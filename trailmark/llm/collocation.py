@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm._arrow import byte_view, cut, map_texts, written_table
+from trailmark.llm._arrow import byte_view, cut, map_arrow, map_texts, release, written_table
 from trailmark.llm._gather import bit_filter, filter_bits, passes
 from trailmark.llm._words import mix
 
 #: A trigger is hit by one in so many token windows (a power of two). A chunk without triggers ends after LONGEST_CHUNK tokens.
-SPACING, LONGEST_CHUNK = 32, 1024
+SPACING, LONGEST_CHUNK = 64, 1024
+#: Languages whose word totals are broadcast.
+MOST_LANGUAGES = 10_000
 #: Bytes of chunks counted together in a task.
 SLICE_BYTES = 4 << 20
 #: Spark's seed of xxhash64, which hashes words in tasks as xxhash64(lang, word) does in plans.
@@ -166,7 +168,12 @@ def word_counts(chunks: DataFrame, longest: int) -> DataFrame:
     return map_texts(chunks, "chunk", "lang string, phrase string, n bigint", step, limit=SLICE_BYTES).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def frequent_pairs(chunks: DataFrame, longest: int, words: np.ndarray, min_count: int) -> DataFrame:
+def hash_bits(total: int) -> int:
+    """Bits of a pair's hash: 4,096 values for each word of the corpus, so that few rare pairs share one with a frequent pair."""
+    return min(63, max(24, total.bit_length() + 12))
+
+
+def frequent_pairs(chunks: DataFrame, longest: int, words: np.ndarray, min_count: int, bits: int = 63) -> DataFrame:
     """(h) hashes of pairs of words that pass the filter `words` and occur min_count times, and of pairs that share such a hash."""
     shared = chunks.sparkSession.sparkContext.broadcast(words)
 
@@ -176,14 +183,24 @@ def frequent_pairs(chunks: DataFrame, longest: int, words: np.ndarray, min_count
         known = passes(shared.value, hashes)[at]
         both, key = c.bigrams(hashes[at])
         both &= c.own & known & np.append(known[1:], False)
-        h, _, n = _sums(key[both], c.n[both])
+        h, _, n = _sums(key[both] >> _U(64 - bits), c.n[both])
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     counted = map_texts(chunks, "chunk", "h bigint, n bigint", step, limit=SLICE_BYTES).groupBy("h").agg(F.sum("n").alias("n"))
     return counted.where(F.col("n") >= min_count).select("h")
 
 
-def phrase_counts(chunks: DataFrame, longest: int, pairs: np.ndarray) -> DataFrame:
+def pair_filter(pairs: DataFrame) -> np.ndarray:
+    """A filter of pair hashes; they are mixed first, as their upper bits are empty."""
+
+    def spread(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mix(np.ascontiguousarray(batch.column(0)).view(_U)).view(np.int64))], names=["h"])
+
+    return bit_filter(map_arrow(pairs, spread, "h bigint"), filter_bits(pairs.count()))
+
+
+def phrase_counts(chunks: DataFrame, longest: int, pairs: np.ndarray, bits: int = 63) -> DataFrame:
     """(lang, phrase, n) of phrases of 2 to `longest` words all of whose pairs pass the filter."""
     shared = chunks.sparkSession.sparkContext.broadcast(pairs)
 
@@ -191,7 +208,7 @@ def phrase_counts(chunks: DataFrame, longest: int, pairs: np.ndarray) -> DataFra
         c = Chunks(part, texts, longest - 1)
         at, hashes = c.pair_keys()
         both, key = c.bigrams(hashes[at])
-        both[both] = passes(shared.value, key[both])
+        both[both] = passes(shared.value, mix(key[both] >> _U(64 - bits)))
         # A phrase's code is the number of (the code of its words but the last, its last word), exact at each length.
         start = np.flatnonzero(both & c.own)
         code = (c.lang * len(c.words) + c.word)[start]
@@ -214,11 +231,17 @@ def phrase_counts(chunks: DataFrame, longest: int, pairs: np.ndarray) -> DataFra
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 5, min_count: int = 100) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of words and phrases that occur min_count times in a language, and (lang, n) of all its words."""
     with written_table(parsed(docs, text_col, lang_col, longest)) as chunks:
+        # Each step's shuffle files go before the next step makes its own.
+        spark = docs.sparkSession
+        release(spark)
         words = cut(word_counts(chunks, longest).where((F.col("n") >= min_count) | F.col("phrase").isNull()))
+        release(spark)
         single = words.where("phrase IS NOT NULL")
+        bits = hash_bits(words.where("phrase IS NULL").agg(F.sum("n")).first()[0] or 0)
         known = bit_filter(single.select(F.xxhash64("lang", "phrase")), filter_bits(single.count()))
-        pairs = cut(frequent_pairs(chunks, longest, known, min_count))
-        phrases = cut(phrase_counts(chunks, longest, bit_filter(pairs, filter_bits(pairs.count()))).where(F.col("n") >= min_count))
+        pairs = cut(frequent_pairs(chunks, longest, known, min_count, bits))
+        release(spark)
+        phrases = cut(phrase_counts(chunks, longest, pair_filter(pairs), bits).where(F.col("n") >= min_count))
     return single.unionByName(phrases).withColumnRenamed("n", "f"), words.where("phrase IS NULL").select("lang", "n")
 
 
@@ -228,7 +251,9 @@ def scored(frequent: DataFrame, totals: DataFrame) -> DataFrame:
     part = lambda at, n: F.array_join(F.slice("w", at, n), " ")
     cuts = many.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("w") - 1))).select("lang", "phrase", "a", F.size("w").alias("size"), "k", part(F.lit(1), F.col("k")).alias("head"), part(F.col("k") + 1, F.size("w") - F.col("k")).alias("rest"))
     of = lambda name, count: frequent.select("lang", F.col("phrase").alias(name), F.col("f").alias(count))
-    cuts = cuts.join(of("head", "l"), ["lang", "head"]).join(of("rest", "r"), ["lang", "rest"]).join(totals, "lang")
+    cuts = cuts.join(of("head", "l"), ["lang", "head"]).join(of("rest", "r"), ["lang", "rest"])
+    # A row a language; where they are many, none has so many of the rows that a shuffle by language is uneven.
+    cuts = cuts.join(F.broadcast(totals) if totals.count() <= MOST_LANGUAGES else totals, "lang")
     # 37 digits hold both products; a count has 15 digits at most.
     score = F.expr("(CAST(1000 * a AS DECIMAL(18,0)) * CAST(n AS DECIMAL(18,0))) DIV (CAST(l AS DECIMAL(18,0)) * CAST(r AS DECIMAL(18,0)))")
     least = cuts.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"), F.first("a").alias("a"), F.first("n").alias("n"), F.first("size").alias("size"))
