@@ -63,13 +63,6 @@ def test_rank_statistics_against_pairs(spark):
     assert abs(stats.cliffs_delta_ties(frame, "g", "x", "A", "B").first().delta - (lt - gt) / 20) < 1e-12
 
 
-def test_p_values(spark):
-    z = spark.createDataFrame([(1.959963984540054,)], "z double")
-    assert abs(stats.p_from_z(z, "z").first().p_value - 0.05) < 1e-9
-    c = spark.createDataFrame([(3.841458820694124, 1)], "chi2 double, df int")
-    assert abs(stats.p_from_chi2(c, "chi2", "df").first().p_value - 0.05) < 1e-9
-
-
 def test_resample_keeps_ends(spark):
     frame = spark.createDataFrame([("a", [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 0.0])], "person string, series array<double>")
     row = series.resample_series(series.trim_active_segment(frame), 11, sparse=0).first()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import count_if, month_of, week_start, weeks_between
+from trailmark.operators import stats
 from trailmark.operators.steps import core_cuts, count_levels, with_core_steps
 from trailmark.operators.written import spread, written
 
@@ -168,9 +169,13 @@ def yearly_transition_rate(monthly: DataFrame, keys: Sequence[str] = ("project_n
 
 
 def zero_month_share(monthly: DataFrame, group: str = "project_type") -> DataFrame:
-    """group, months, zero_months (without a first-ever core person), share."""
+    """group, months, zero_months (without a first-ever core person), share, and chi2 and p_value of the groups' shares being equal
+    (the same on each row; null where they can't differ)."""
     zero = count_if(F.size("first_ever") == 0)
-    return monthly.groupBy(group).agg(F.count(F.lit(1)).alias("months"), zero.alias("zero_months"), (zero / F.count(F.lit(1))).alias("share"))
+    out = monthly.groupBy(group).agg(F.count(F.lit(1)).alias("months"), zero.alias("zero_months"), (zero / F.count(F.lit(1))).alias("share"))
+    test = stats.chi_square_of_counts(out.withColumn("others", F.col("months") - F.col("zero_months")), "zero_months", "others")
+    # One row a group; the test is one row.
+    return out.crossJoin(F.broadcast(test.select("chi2", "p_value")))
 
 
 def monthly_rate_trend(monthly: DataFrame, group: str = "project_type") -> DataFrame:

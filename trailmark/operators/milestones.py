@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import count_if, wilson_lower_bound
+from trailmark.operators.stats import chi_square_of_counts
 
 KEYS = ("person",)
 #: States of a sequence, by milestone column.
@@ -147,7 +148,7 @@ def milestone_sequences(milestones: DataFrame, keys: Sequence[str] = KEYS, min_e
 
 def milestone_rates(milestones: DataFrame, reached: dict[str, str], group: str = "project_type", week: dict[str, str] | None = None) -> DataFrame:
     """milestone, group, people, achieved, share and, for milestones with a week column, the median week (counted from 1) with
-    and without values outside the quartile fences. reached: milestone -> boolean or nullable column."""
+    and without values outside the quartile fences, and chi2 and p_value of the groups reaching it alike. reached: milestone -> boolean or nullable column."""
     week = week or {}
     tests = F.array(*[F.struct(F.lit(m).alias("milestone"), (F.col(c).isNotNull() & (F.col(c).cast("string") != "false")).alias("hit"), (F.col(week[m]).cast("double") + 1 if m in week else F.lit(None).cast("double")).alias("week")) for m, c in reached.items()])
     rows = milestones.select(group, F.explode(tests).alias("t")).select(group, "t.*")
@@ -156,7 +157,8 @@ def milestone_rates(milestones: DataFrame, reached: dict[str, str], group: str =
     spread = F.col("q")[2] - F.col("q")[0]
     kept = rows.where("hit").join(out, ["milestone", group]).where((F.col("week") >= F.col("q")[0] - 1.5 * spread) & (F.col("week") <= F.col("q")[2] + 1.5 * spread))
     clean = kept.groupBy("milestone", group).agg(F.percentile("week", F.lit(0.5)).alias("median_week_clean"))
-    return out.withColumn("median_week", F.col("q")[1]).drop("q").join(clean, ["milestone", group], "left")
+    test = chi_square_of_counts(out.select("milestone", "achieved", (F.col("people") - F.col("achieved")).alias("missed")), "achieved", "missed", ["milestone"]).select("milestone", "chi2", "p_value")
+    return out.withColumn("median_week", F.col("q")[1]).drop("q").join(clean, ["milestone", group], "left").join(test, "milestone", "left")
 
 
 def precore_activity_sweep(timeline: DataFrame, keys: Sequence[str] = KEYS, thresholds: Sequence[int] = (0, 1, 5, 10, 15, 20, 25, 50)) -> DataFrame:

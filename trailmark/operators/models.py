@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import correlation
+from trailmark.functions.tails import correlation_p
 from trailmark.operators import stats
 
 #: Rows of a hash bucket about, in which rows are numbered or values dealt anew.
@@ -114,7 +115,7 @@ def permutation_importance(model: PipelineModel, frame: DataFrame, features: Seq
 
 
 def feature_label_tests(long: DataFrame, label: str, bins: int = 10) -> DataFrame:
-    """feature, spearman, u, z, rank_biserial (1 - 2U / (n1 n2)), mean0, mean1, mutual_information on equal-count bins.
+    """feature, spearman and spearman_p (Student t; null for a constant feature), u, z, p_value, rank_biserial (1 - 2U / (n1 n2)), mean0, mean1, mutual_information on equal-count bins.
 
     long: ids, feature as `metric`, value `x`, label 0 or 1. Ranks come from value counts, so no task sorts rows."""
     rows = long.where("x is not null").withColumn("g", F.col(label).cast("int").cast("string"))
@@ -125,9 +126,10 @@ def feature_label_tests(long: DataFrame, label: str, bins: int = 10) -> DataFram
     sums = both.groupBy("metric").agg(F.sum(n).alias("n"), F.sum(n * y).alias("sy"), F.sum(n * r).alias("sr"), F.sum(n * r * y).alias("sry"), F.sum(n * r * r).alias("srr"), F.sum(F.when(y == 0, n * F.col("x"))).alias("x0"), F.sum(F.when(y == 1, n * F.col("x"))).alias("x1"))
     m = F.col("n")
     cov, vy, vr = F.col("sry") - F.col("sr") * F.col("sy") / m, F.col("sy") - F.col("sy") * F.col("sy") / m, F.col("srr") - F.col("sr") * F.col("sr") / m
-    head = sums.select("metric", F.when((vy > 0) & (vr > 0), cov / F.sqrt(vy * vr)).alias("spearman"), (F.col("x0") / (m - F.col("sy"))).alias("mean0"), (F.col("x1") / F.col("sy")).alias("mean1"))
+    head = sums.select("metric", F.when((vy > 0) & (vr > 0), cov / F.sqrt(vy * vr)).alias("spearman"), m.alias("n"), (F.col("x0") / (m - F.col("sy"))).alias("mean0"), (F.col("x1") / F.col("sy")).alias("mean1"))
     u = stats.mann_whitney_u(rows, "g", "x", "1", "0", ["metric"])
-    u = u.select("metric", "u", "z", (1 - 2 * F.col("u") / (F.col("n1") * F.col("n2"))).alias("rank_biserial"))
+    head = head.withColumn("spearman_p", correlation_p(F.col("spearman"), F.col("n"))).drop("n")
+    u = u.select("metric", "u", "z", "p_value", (1 - 2 * F.col("u") / (F.col("n1") * F.col("n2"))).alias("rank_biserial"))
     bin_of = F.floor((F.col("mid_rank") - 1) * bins / F.col("total"))
     cells = both.groupBy("metric", "group", bin_of.alias("b")).agg(F.sum(n).alias("k"))
     w = lambda *c: F.sum("k").over(Window.partitionBy("metric", *c))
@@ -136,8 +138,9 @@ def feature_label_tests(long: DataFrame, label: str, bins: int = 10) -> DataFram
 
 
 def pearson_by_group(long: DataFrame, label: str, group: str, top: int | None = None) -> DataFrame:
-    """group, feature, r (null if constant), n and, with `top`, the strongest so many by |r|."""
+    """group, feature, r and p_value (Student t; null if constant or for fewer than 3 rows), n and, with `top`, the strongest so many by |r|."""
     out = long.where("x is not null").groupBy(group, F.col("metric").alias("feature")).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("x"), F.col(label)).alias("r"))
+    out = out.withColumn("p_value", correlation_p(F.col("r"), F.col("n")))
     if top:
         place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc_nulls_last(F.abs("r")), "feature"))
         out = out.withColumn("place", place).where(F.col("place") <= top)

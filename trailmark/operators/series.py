@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import count_if
+from trailmark.operators.medoids import medoids
 from trailmark.operators.stats import on_keys, quantiles
 
 KEYS = ("person",)
@@ -238,17 +239,9 @@ def pattern_label(centroid: Column) -> Column:
 
 
 def medoid(clusters: DataFrame, keys: Sequence[str] = KEYS, column: str = "series") -> DataFrame:
-    """keys, cluster of the member with the least summed squared distance to its cluster (ties to the smallest key).
-
-    That sum is n |x|^2 - 2 x.sum + squares, so the members needn't be paired.
-    """
-    rows = clusters.select(*keys, "cluster", F.col(column).cast("array<double>").alias("x"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
-    parts = rows.select("cluster", F.posexplode("x").alias("i", "v")).groupBy("cluster", "i").agg(F.sum("v").alias("s"))
-    sums = parts.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("sum"))
-    n = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).join(sums, "cluster")
-    cost = F.col("n") * dot(F.col("x"), F.col("x")) - 2 * dot(F.col("x"), F.col("sum"))
-    return rows.join(F.broadcast(n), "cluster").groupBy("cluster").agg(F.min(F.struct(F.round(cost, 9).alias("cost"), *keys)).alias("m")).select("cluster", *[F.col(f"m.{k}").alias(k) for k in keys])
+    """cluster, keys of the member with the least summed Euclidean distance to its cluster (ties to the smallest key); exact,
+    without pairs: see medoids."""
+    return medoids(clusters, keys, column)[0].select("cluster", *keys)
 
 
 def cluster_weeks_to_core(clusters: DataFrame, series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

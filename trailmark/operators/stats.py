@@ -7,14 +7,13 @@ isn't one task. Keys are any columns; `x` is the value column and null values do
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import effect_label
+from trailmark.functions.tails import chi2_p, normal_p
 
 
 def value_counts(frame: DataFrame, keys: Sequence[str], group: str, x: str) -> DataFrame:
@@ -99,54 +98,8 @@ def group_ranks(frame: DataFrame, keys: Sequence[str], group: str, x: str) -> Da
     return sums.join(ties, list(keys)) if keys else sums.crossJoin(F.broadcast(ties))
 
 
-def p_from_z(frame: DataFrame, z: str, p: str = "p_value") -> DataFrame:
-    """Adds the two-sided normal p of z. Runs on small result tables, as neither engine has an error function."""
-
-    @F.pandas_udf("double")
-    def two_sided(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v and v is not None else None)
-
-    return frame.withColumn(p, two_sided(z))
-
-
-def upper_gamma(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma function, by series or continued fraction."""
-    if x <= 0:
-        return 1.0
-    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        k = a
-        while abs(term) > abs(total) * 1e-15:
-            k += 1
-            term *= x / k
-            total += term
-        return max(0.0, 1 - total * front)
-    b, c = x + 1 - a, 1e300
-    d = h = 1 / b
-    for i in range(1, 10_000):
-        n = -i * (i - a)
-        b += 2
-        d = 1 / (n * d + b or 1e-300)
-        c = b + n / c or 1e-300
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return front * h
-
-
-def p_from_chi2(frame: DataFrame, chi2: str, df: str, p: str = "p_value") -> DataFrame:
-    """Adds the upper tail p of a chi-square with `df` degrees of freedom."""
-
-    @F.pandas_udf("double")
-    def tail(x: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([upper_gamma(d / 2, v / 2) if v == v and v is not None and d else None for v, d in zip(x, k, strict=True)], dtype="float64")
-
-    return frame.withColumn(p, tail(chi2, df))
-
-
 def mann_whitney_u(frame: DataFrame, group: str, x: str, first: str, second: str, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, n1, n2, u (of the first group), z (tie-corrected, with continuity correction), and no p yet; see p_from_z."""
+    """keys, n1, n2, u (of the first group), z (tie-corrected, with continuity correction), p_value (two-sided, normal; 1 without spread)."""
     r = group_ranks(frame.where(F.col(group).isin(first, second)), keys, group, x)
     pick = lambda c, g: F.max(F.when(F.col("group") == g, F.col(c)))
     aggs = [pick("n", first).alias("n1"), pick("n", second).alias("n2"), pick("rank_sum", first).alias("r1"), F.max("total").alias("total"), F.max("tie_sum").alias("tie_sum")]
@@ -156,7 +109,8 @@ def mann_whitney_u(frame: DataFrame, group: str, x: str, first: str, second: str
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie_sum") / F.greatest(n * (n - 1), F.lit(1.0))))
     upper = F.greatest(u, n1 * n2 - u)
     z = F.when(sd > 0, (upper - n1 * n2 / 2 - 0.5) / sd).otherwise(F.lit(0.0))
-    return wide.select(*keys, "n1", "n2", u.alias("u"), z.alias("z"))
+    # Where u is half a pair from its mean or less, the corrected z is negative and p is 1.
+    return wide.select(*keys, "n1", "n2", u.alias("u"), z.alias("z")).withColumn("p_value", normal_p(F.greatest(F.col("z"), F.lit(0.0))))
 
 
 def dominance(frame: DataFrame, group: str, x: str, first: str, second: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -181,34 +135,52 @@ def cliffs_delta_ties(frame: DataFrame, group: str, x: str, first: str, second:
 
 
 def chi_square_2x2(frame: DataFrame, group: str, flag: Column, first: str, second: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Yates-corrected chi-square of a yes/no flag against two groups. keys, yes1, no1, yes2, no2, chi2 (null if a margin is 0)."""
+    """Yates-corrected chi-square of a yes/no flag against two groups. keys, yes1, no1, yes2, no2, chi2 and p_value
+    (null if a margin is 0)."""
     cell = lambda g, f: F.sum(F.when((F.col(group) == g) & f, 1).otherwise(0)).cast("bigint")
     t = frame.where(flag.isNotNull()).groupBy(*keys).agg(cell(first, flag).alias("yes1"), cell(first, ~flag).alias("no1"), cell(second, flag).alias("yes2"), cell(second, ~flag).alias("no2"))
     a, b, c, d = (F.col(k).cast("double") for k in ("yes1", "no1", "yes2", "no2"))
     n, gap = a + b + c + d, F.abs(a * d - b * c)
     margins = (a + b) * (c + d) * (a + c) * (b + d)
     # Yates: the correction is half a unit a cell, and never more than the gap itself.
-    return t.withColumn("chi2", F.when(margins > 0, n * F.pow(gap - F.least(n / 2, gap), F.lit(2.0)) / margins))
+    return t.withColumn("chi2", F.when(margins > 0, n * F.pow(gap - F.least(n / 2, gap), F.lit(2.0)) / margins)).withColumn("p_value", chi2_p(F.col("chi2"), F.lit(1)))
+
+
+def chi_square_of_counts(counts: DataFrame, yes: str, no: str, keys: Sequence[str] = ()) -> DataFrame:
+    """From a row of yes and no counts for each group of a key: keys, chi2 (Yates-corrected for two groups), df, p_value;
+    chi2 and p are null with fewer than two groups or a margin of 0."""
+    rows = counts.select(*keys, F.col(yes).cast("double").alias("_y"), F.col(no).cast("double").alias("_n"))
+    sums = rows.groupBy(*keys).agg(F.sum("_y").alias("_ys"), F.sum("_n").alias("_ns"), F.count(F.lit(1)).alias("_groups"), F.min(F.col("_y") + F.col("_n")).alias("_least"))
+    sums = sums.where((F.col("_groups") > 1) & (F.col("_ys") > 0) & (F.col("_ns") > 0) & (F.col("_least") > 0))
+    size, total = F.col("_y") + F.col("_n"), F.col("_ys") + F.col("_ns")
+
+    def part(seen: str, margin: str) -> Column:
+        hoped = size * F.col(margin) / total
+        gap = F.abs(F.col(seen) - hoped)
+        return F.pow(gap - F.when(F.col("_groups") == 2, F.least(F.lit(0.5), gap)).otherwise(0.0), F.lit(2.0)) / hoped
+
+    parts = on_keys(rows, sums, keys).groupBy(*keys).agg(F.sum(part("_y", "_ys") + part("_n", "_ns")).alias("chi2"), F.count(F.lit(1)).alias("df"))
+    return parts.select(*keys, "chi2", F.when(F.col("chi2").isNotNull(), F.col("df") - 1).alias("df")).withColumn("p_value", chi2_p(F.col("chi2"), F.col("df")))
 
 
 def kruskal_wallis(frame: DataFrame, group: str, x: str, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, groups, total, h (tie-corrected), df."""
+    """keys, groups, total, h (tie-corrected), df, p_value (null without spread or with one group)."""
     r = group_ranks(frame, keys, group, x)
     n = F.col("total").cast("double")
     out = r.groupBy(*keys, "total", "tie_sum").agg(F.count(F.lit(1)).alias("groups"), F.sum(F.pow(F.col("rank_sum"), 2) / F.col("n")).alias("s"))
     h = (12.0 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / F.when(F.col("tie_sum") < n * n * n - n, 1 - F.col("tie_sum") / (n * n * n - n))
-    return out.select(*keys, "groups", "total", h.alias("h"), (F.col("groups") - 1).alias("df"))
+    return out.select(*keys, "groups", "total", h.alias("h"), (F.col("groups") - 1).alias("df")).withColumn("p_value", chi2_p(F.col("h"), F.col("df")))
 
 
 def dunn_posthoc(frame: DataFrame, group: str, x: str, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, group_a, group_b (a before b), z of the difference of mean ranks (a minus b)."""
+    """keys, group_a, group_b (a before b), z of the difference of mean ranks (a minus b), p_value (two-sided)."""
     r = group_ranks(frame, keys, group, x).withColumn("m", F.col("rank_sum") / F.col("n"))
     side = lambda s: r.select(*keys, F.col("group").alias(f"group_{s}"), F.col("n").alias(f"n_{s}"), F.col("m").alias(f"m_{s}"), *([F.col("total"), F.col("tie_sum")] if s == "a" else []))
     a, b = side("a"), side("b")
     pairs = a.join(b, list(keys)) if keys else a.join(b, F.col("group_a") < F.col("group_b"))
     n = F.col("total").cast("double")
     var = (n * (n + 1) / 12 - F.col("tie_sum") / (12 * (n - 1))) * (1 / F.col("n_a") + 1 / F.col("n_b"))
-    return pairs.where("group_a < group_b").select(*keys, "group_a", "group_b", ((F.col("m_a") - F.col("m_b")) / F.sqrt(var)).alias("z"))
+    return pairs.where("group_a < group_b").select(*keys, "group_a", "group_b", ((F.col("m_a") - F.col("m_b")) / F.sqrt(F.when(var > 0, var))).alias("z")).withColumn("p_value", normal_p(F.col("z")))
 
 
 def rank_buckets(medians: dict[str, float], p_values: dict[tuple[str, str], float], alpha: float = 0.05) -> dict[str, int]:
@@ -241,10 +213,10 @@ def unpivot_metrics(frame: DataFrame, keys: Sequence[str], metrics: Sequence[str
 
 
 def group_compare(long: DataFrame, group: str, first: str, second: str, min_n: int = 1) -> DataFrame:
-    """From (metric, group, x): for each metric n, mean, median and std of both groups, u, z, delta (ties) and its label.
+    """From (metric, group, x): for each metric n, mean, median and std of both groups, u, z, p_value, delta (ties) and its label.
 
     direction names the group with the larger median (then mean), "equal" if neither. Metrics with fewer than `min_n`
-    values in a group are left out. p_from_z adds p.
+    values in a group are left out.
     """
     sums = quartile_summary(long.where(F.col(group).isin(first, second)), ["metric", group], "x")
     pick = lambda c, g, name: F.max(F.when(F.col(group) == g, F.col(c))).alias(name)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import correlation, count_if
+from trailmark.functions.tails import chi2_p, normal_p
 from trailmark.operators.stats import running_sums
 
 #: Distinct durations that the Cox steps take to the driver at most.
@@ -92,7 +94,7 @@ def _per_time(survival: DataFrame, group: str, keys: Sequence[str]) -> DataFrame
 
 
 def logrank_test(survival: DataFrame, first: str, second: str, group: str = "project_type", keys: Sequence[str] = ()) -> DataFrame:
-    """keys, observed and expected events of the first group, chi2 of the two-sample log-rank test (null without variance)."""
+    """keys, observed and expected events of the first group, chi2 and p_value of the two-sample log-rank test (null without variance)."""
     rows = survival.where(F.col(group).isin(first, second)).withColumn("is_first", F.col(group) == first)
     if not keys:
         rows, keys, dropped = rows.withColumn("_all", F.lit(0)), ["_all"], True
@@ -103,16 +105,65 @@ def logrank_test(survival: DataFrame, first: str, second: str, group: str = "pro
     var = F.when(n > 1, d * n1 / n * (1 - n1 / n) * (n - d) / (n - 1)).otherwise(F.lit(0.0))
     out = t.groupBy(*keys).agg(F.sum("d1").alias("observed"), F.sum(d * n1 / n).alias("expected"), F.sum(var).alias("variance"))
     gap = F.col("observed") - F.col("expected")
-    out = out.withColumn("chi2", F.when(F.col("variance") > 0, gap * gap / F.col("variance")))
+    out = out.withColumn("chi2", F.when(F.col("variance") > 0, gap * gap / F.col("variance"))).withColumn("p_value", chi2_p(F.col("chi2"), F.lit(1)))
     return out.drop("_all") if dropped else out
 
 
-def truncated_logrank(survival: DataFrame, first: str, second: str, group: str = "project_type", cutoffs: Sequence[int] = (10, 20, 30, 52, 78, 104), least: int = 10) -> DataFrame:
-    """cutoff, chi2 on durations up to it, events at the cutoff itself taken as censored; both groups need more than `least` rows."""
+def logrank_k(survival: DataFrame, groups: Sequence[str], group: str = "project_type", keys: Sequence[str] = ()) -> DataFrame:
+    """keys, groups (with rows), observed and expected events of the first of them, chi2, df and p_value of the log-rank test over
+    all given groups; chi2 and p are null with fewer than two groups or without variance.
+
+    The covariance of all groups but one is inverted as far as its rank goes. Work is a row for each duration and pair of groups,
+    so it is meant for few groups; a task that inverts holds one key's matrix.
+    """
+    on = list(keys) or ["_all"]
+    rows = survival.where(F.col(group).isin(*groups)).select(*([] if keys else [F.lit(0).alias("_all")]), *keys, F.col(group).alias("g"), "duration", F.col("event").cast("double").alias("event"))
+    each = rows.groupBy(*on, "duration", "g").agg(F.sum("event").alias("d"), F.count(F.lit(1)).cast("double").alias("c"))
+    own = F.map_from_entries(F.collect_list(F.struct("g", F.struct("d", "c"))))
+    at = each.groupBy(*on, "duration").agg(F.sum("d").alias("d"), own.alias("own"))
+    later = Window.partitionBy(*on).orderBy("duration").rowsBetween(0, Window.unboundedFollowing)
+    name = lambda i, c: f"_{c}{i}"
+    for i, g in enumerate(groups):
+        cell = F.element_at("own", F.lit(g))
+        at = at.withColumns({name(i, "d"): F.coalesce(cell["d"], F.lit(0.0)), name(i, "n"): F.sum(F.coalesce(cell["c"], F.lit(0.0))).over(later)})
+    n = sum((F.col(name(i, "n")) for i in range(1, len(groups))), F.col(name(0, "n")))
+    at = at.withColumn("n", n).where("d > 0")
+    weight = F.when(F.col("n") > 1, F.col("d") * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(F.lit(0.0))
+    share = lambda i: F.col(name(i, "n")) / F.col("n")
+    sums = [e for i in range(len(groups)) for e in (F.sum(name(i, "d")).alias(f"o{i}"), F.sum(F.col("d") * share(i)).alias(f"e{i}"))]
+    sums += [F.sum(weight * share(i) * ((1.0 if i == j else 0.0) - share(j))).alias(f"v{i}_{j}") for i in range(len(groups)) for j in range(i, len(groups))]
+    sizes = rows.groupBy(*on).agg(*[count_if(F.col("g") == g).alias(f"n{i}") for i, g in enumerate(groups)])
+    wide = sizes.join(at.groupBy(*on).agg(*sums), on, "left")
+
+    def tested(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for r in part.itertuples(index=False):
+                held = [i for i in range(len(groups)) if getattr(r, f"n{i}") > 0]
+                chi2 = df = None
+                if len(held) > 1 and not np.isnan(r.o0):
+                    z = np.array([getattr(r, f"o{i}") - getattr(r, f"e{i}") for i in held[:-1]])
+                    v = np.array([[getattr(r, f"v{min(i, j)}_{max(i, j)}") for j in held[:-1]] for i in held[:-1]])
+                    df = int(np.linalg.matrix_rank(v, tol=1e-9))
+                    chi2 = float(z @ np.linalg.pinv(v, rcond=1e-12) @ z) if df else None
+                out.append((len(held), chi2, df))
+            yield part[on].assign(groups=[x[0] for x in out], observed=part["o0"], expected=part["e0"], chi2=pd.array([x[1] for x in out], "Float64"), df=pd.array([x[2] for x in out], "Int64"))
+
+    key_types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in on)
+    found = wide.mapInPandas(tested, f"{key_types}, groups int, observed double, expected double, chi2 double, df bigint").withColumn("p_value", chi2_p(F.col("chi2"), F.col("df")))
+    return found if keys else found.drop("_all")
+
+
+def truncated_logrank(survival: DataFrame, groups: Sequence[str], group: str = "project_type", cutoffs: Sequence[int] = (10, 20, 30, 52, 78, 104), least: int = 10) -> DataFrame:
+    """cutoff and the columns of logrank_k on durations up to it, events at the cutoff itself taken as censored; each group needs
+    more than `least` rows."""
     t = survival.withColumn("cutoff", F.explode(F.array(*[F.lit(c) for c in cutoffs]))).where("duration <= cutoff")
     t = t.withColumn("event", F.when(F.col("duration") == F.col("cutoff"), 0).otherwise(F.col("event")))
-    sizes = t.groupBy("cutoff").agg(count_if(F.col(group) == first).alias("a"), count_if(F.col(group) == second).alias("b")).where((F.col("a") > least) & (F.col("b") > least))
-    return logrank_test(t, first, second, group, ["cutoff"]).join(sizes.select("cutoff"), "cutoff", "left_semi").select("cutoff", "observed", "expected", "chi2")
+    enough = F.lit(True)
+    for i in range(len(groups)):
+        enough = enough & (F.col(f"k{i}") > least)
+    sizes = t.groupBy("cutoff").agg(*[count_if(F.col(group) == g).alias(f"k{i}") for i, g in enumerate(groups)]).where(enough)
+    return logrank_k(t, groups, group, ["cutoff"]).join(sizes.select("cutoff"), "cutoff", "left_semi")
 
 
 def event_rate_ratio(survival: DataFrame, first: str, second: str, group: str = "project_type") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import count_if, is_weekend
-from trailmark.operators.stats import on_keys, quantiles
+from trailmark.operators.stats import chi_square_of_counts, on_keys, quantiles
 
 #: Roles, and the words, marks and phrases that the families look for.
 MAINTAINER_ROLES = ("MEMBER", "OWNER", "MAINTAINER", "ADMIN")
@@ -250,8 +250,12 @@ def outlier_impact(long: DataFrame, group: str, fence: float = 1.5, min_n: int =
 
 
 def zero_patterns(long: DataFrame, group: str) -> DataFrame:
-    """(metric, group): rows, nulls, zeros, participation_rate (values that are neither), and mean and median of these."""
+    """(metric, group): rows, nulls, zeros, participation_rate (values that are neither), mean and median of these,
+    and chi2 and p_value of the groups taking part alike (the same for all groups of a metric; null where they can't differ)."""
     x = F.col("x")
     real = F.when(x.isNotNull() & (x != 0), x)
     out = long.groupBy("metric", group).agg(F.count(F.lit(1)).alias("rows"), count_if(x.isNull()).alias("nulls"), count_if(x == 0).alias("zeros"), (F.count(real) / F.count(F.lit(1))).alias("participation_rate"), F.avg(real).alias("nonzero_mean"))
-    return on_keys(out, quantiles(long.where(x != 0), ["metric", group], "x", {"nonzero_median": 0.5}), ["metric", group])
+    real_rows = F.col("rows") - F.col("nulls") - F.col("zeros")
+    test = chi_square_of_counts(out.select("metric", real_rows.alias("yes"), (F.col("nulls") + F.col("zeros")).alias("no")), "yes", "no", ["metric"]).select("metric", "chi2", "p_value")
+    out = on_keys(out, quantiles(long.where(x != 0), ["metric", group], "x", {"nonzero_median": 0.5}), ["metric", group])
+    return out.join(test, "metric", "left")

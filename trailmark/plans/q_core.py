@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import columns as C
 from trailmark.operators import core, projects, stats
 from trailmark.plans.registry import query
+from trailmark.plans.sql_tails import chi2_p, normal_p, yates_sql
 from trailmark.plans.views import COMMITS, WIDE, commits, table, wide_authors
 
 COUNTS = f"""WITH {COMMITS}, counts AS (SELECT project_name, author_email, count(*) AS n FROM commits GROUP BY ALL),
@@ -227,7 +228,8 @@ def yearly_transition_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core.yearly_transition_rate(_monthly(spark, sf_dir))
 
 
-@query(f"{MONTHLY} SELECT project_type, count(*) AS months, count(*) FILTER (first_ever = 0) AS zero_months, round(count(*) FILTER (first_ever = 0) / count(*), 6) AS share FROM m GROUP BY 1")
+@query(f"""{MONTHLY}, z AS (SELECT project_type, count(*) AS months, count(*) FILTER (first_ever = 0) AS zero_months FROM m GROUP BY 1), {yates_sql('z', 'zero_months', 'months - zero_months')}
+SELECT project_type, months, zero_months, round(zero_months / months, 6) AS share, round(chi2, 6) AS chi2, round({chi2_p('chi2')}, 6) AS p_value FROM z, yates""")
 def zero_month_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core.zero_month_share(_monthly(spark, sf_dir))
 
@@ -259,7 +261,7 @@ U = f"""{LONG}, ties AS (SELECT metric, sum(t * t * t - t)::DOUBLE AS tie_sum FR
 us AS (SELECT metric, n1, n2, (gt + (total - gt - lt) / 2)::DOUBLE AS u, sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - tie_sum / ((n1 + n2)::DOUBLE * (n1 + n2 - 1)))) AS sd FROM dom JOIN sizes USING (metric) JOIN ties USING (metric))"""
 
 
-@query(f"{U} SELECT metric, n1, n2, round(u, 6) AS u, round((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd, 6) AS z FROM us")
+@query(f"{U} SELECT metric, n1, n2, round(u, 6) AS u, round(z, 6) AS z, round({normal_p('greatest(z, 0)')}, 6) AS p_value FROM (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd AS z FROM us)")
 def mann_whitney_u(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.mann_whitney_u(_long(spark, sf_dir), "grp", "x", "A", "B", ["metric"])
 
@@ -285,8 +287,9 @@ def effect_label_and_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT o_orderpriority AS metric, count(*) FILTER (o_custkey % 3 = 0 AND o_orderstatus = 'F') AS yes1, count(*) FILTER (o_custkey % 3 = 0 AND o_orderstatus <> 'F') AS no1,
   count(*) FILTER (o_custkey % 3 <> 0 AND o_orderstatus = 'F') AS yes2, count(*) FILTER (o_custkey % 3 <> 0 AND o_orderstatus <> 'F') AS no2 FROM orders GROUP BY 1),
-f AS (SELECT *, yes1::DOUBLE AS a, no1::DOUBLE AS b, yes2::DOUBLE AS c, no2::DOUBLE AS d FROM t)
-SELECT metric, yes1, no1, yes2, no2, round((a + b + c + d) * pow(abs(a * d - b * c) - least((a + b + c + d) / 2, abs(a * d - b * c)), 2) / ((a + b) * (c + d) * (a + c) * (b + d)), 6) AS chi2 FROM f""")
+f AS (SELECT *, yes1::DOUBLE AS a, no1::DOUBLE AS b, yes2::DOUBLE AS c, no2::DOUBLE AS d FROM t),
+g AS (SELECT *, (a + b + c + d) * pow(abs(a * d - b * c) - least((a + b + c + d) / 2, abs(a * d - b * c)), 2) / ((a + b) * (c + d) * (a + c) * (b + d)) AS x FROM f)
+SELECT metric, yes1, no1, yes2, no2, round(x, 6) AS chi2, round(""" + chi2_p("x") + ", 6) AS p_value FROM g")
 def chi_square_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("metric"), F.when(F.col("o_custkey") % 3 == 0, "A").otherwise("B").alias("grp"), (F.col("o_orderstatus") == "F").alias("yes"))
     return stats.chi_square_2x2(o, "grp", F.col("yes"), "A", "B", ["metric"])
@@ -302,13 +305,15 @@ def _ranked_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("metric"), F.col("o_orderpriority").alias("grp"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("x"))
 
 
-@query(f"{RANKS} SELECT metric, count(*) AS groups, any_value(n)::BIGINT AS total, round((12 / (any_value(n) * (any_value(n) + 1)) * sum(rs * rs / k) - 3 * (any_value(n) + 1)) / (1 - any_value(ts) / (pow(any_value(n), 3) - any_value(n))), 6) AS h, count(*) - 1 AS df FROM g JOIN ties USING (metric) GROUP BY metric")
+@query(f"""{RANKS}, kw AS (SELECT metric, count(*) AS groups, any_value(n)::BIGINT AS total, (12 / (any_value(n) * (any_value(n) + 1)) * sum(rs * rs / k) - 3 * (any_value(n) + 1)) / (1 - any_value(ts) / (pow(any_value(n), 3) - any_value(n))) AS h0, count(*) - 1 AS df FROM g JOIN ties USING (metric) GROUP BY metric)
+SELECT metric, groups, total, round(h0, 6) AS h, df, round({chi2_p('h0', 'df')}, 6) AS p_value FROM kw""")
 def kruskal_wallis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.kruskal_wallis(_ranked_long(spark, sf_dir), "grp", "x", ["metric"])
 
 
-@query(f"""{RANKS} SELECT a.metric, a.grp AS group_a, b.grp AS group_b, round((a.rs / a.k - b.rs / b.k) / sqrt((n * (n + 1) / 12 - ts / (12 * (n - 1))) * (1 / a.k + 1 / b.k)), 6) AS z
-FROM g a JOIN g b ON a.metric = b.metric AND a.grp < b.grp JOIN ties ON ties.metric = a.metric""")
+@query(f"""{RANKS}, dn AS (SELECT a.metric, a.grp AS group_a, b.grp AS group_b, (a.rs / a.k - b.rs / b.k) / sqrt((n * (n + 1) / 12 - ts / (12 * (n - 1))) * (1 / a.k + 1 / b.k)) AS z0
+FROM g a JOIN g b ON a.metric = b.metric AND a.grp < b.grp JOIN ties ON ties.metric = a.metric)
+SELECT metric, group_a, group_b, round(z0, 6) AS z, round({normal_p('z0')}, 6) AS p_value FROM dn""")
 def dunn_posthoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.dunn_posthoc(_ranked_long(spark, sf_dir), "grp", "x", ["metric"])
 
@@ -317,7 +322,7 @@ def dunn_posthoc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = _ranked_long(spark, sf_dir)
     medians = {r["grp"]: r["median"] for r in stats.quartile_summary(long, ["grp"], "x").collect()}
-    p = {(r["group_a"], r["group_b"]): r["p_value"] for r in stats.p_from_z(stats.dunn_posthoc(long, "grp", "x"), "z").collect()}
+    p = {(r["group_a"], r["group_b"]): r["p_value"] for r in stats.dunn_posthoc(long, "grp", "x").collect()}
     ranks = stats.rank_buckets(medians, p)
     return spark.createDataFrame([(g, medians[g], k) for g, k in ranks.items()], "grp string, median double, rank int")
 
@@ -332,8 +337,8 @@ def quartile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{U}, s AS (SELECT metric, grp, avg(x) AS mean, quantile_cont(x, 0.5) AS median, stddev_samp(x) AS std FROM long GROUP BY ALL), w AS (SELECT metric, max(mean) FILTER (grp = 'A') AS mean1, max(median) FILTER (grp = 'A') AS median1, max(std) FILTER (grp = 'A') AS std1,
   max(mean) FILTER (grp = 'B') AS mean2, max(median) FILTER (grp = 'B') AS median2, max(std) FILTER (grp = 'B') AS std2 FROM s GROUP BY 1),
 d AS (SELECT metric, (lt - gt) / (n1 * n2) AS delta FROM dom JOIN sizes USING (metric))
-SELECT metric, n1, n2, round(u, 6) AS u, round((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd, 6) AS z, round(mean1, 6) AS mean1, round(median1, 6) AS median1, round(std1, 6) AS std1, round(mean2, 6) AS mean2, round(median2, 6) AS median2, round(std2, 6) AS std2,
-  round(delta, 6) AS delta, {LABEL}, CASE WHEN median1 > median2 THEN 'A' WHEN median1 < median2 THEN 'B' WHEN mean1 > mean2 THEN 'A' WHEN mean1 < mean2 THEN 'B' ELSE 'equal' END AS direction FROM us JOIN w USING (metric) JOIN d USING (metric)""")
+SELECT metric, n1, n2, round(u, 6) AS u, round(z, 6) AS z, round({normal_p('greatest(z, 0)')}, 6) AS p_value, round(mean1, 6) AS mean1, round(median1, 6) AS median1, round(std1, 6) AS std1, round(mean2, 6) AS mean2, round(median2, 6) AS median2, round(std2, 6) AS std2,
+  round(delta, 6) AS delta, {LABEL}, CASE WHEN median1 > median2 THEN 'A' WHEN median1 < median2 THEN 'B' WHEN mean1 > mean2 THEN 'A' WHEN mean1 < mean2 THEN 'B' ELSE 'equal' END AS direction FROM (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd AS z FROM us) JOIN w USING (metric) JOIN d USING (metric)""")
 def group_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.group_compare(_long(spark, sf_dir), "grp", "A", "B", min_n=5)
 

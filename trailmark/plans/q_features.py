@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.operators import checks, core, features, models, stats
 from trailmark.plans.q_journeys import GRID, JOURNEYS, _activity, _journeys
 from trailmark.plans.registry import query
+from trailmark.plans.sql_tails import normal_p, t_p
 from trailmark.plans.views import COMMITS, commits, table
 
 PERSON = ["project_name", "author_email"]
@@ -92,13 +93,19 @@ def feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FRAME}, long AS (SELECT id, label, 'price' AS metric, price AS x FROM fr UNION ALL SELECT id, label, 'cust', cust FROM fr UNION ALL SELECT id, label, 'flat', flat FROM fr),
-m AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY x) + (count(*) OVER (PARTITION BY metric, x) - 1) / 2.0 AS r FROM long)
-SELECT metric AS feature, round(CASE WHEN var_pop(r) > 0 THEN corr(r, label) END, 6) AS spearman, round(avg(x) FILTER (label = 0), 6) AS mean0, round(avg(x) FILTER (label = 1), 6) AS mean1, round(sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0, 6) AS u FROM m GROUP BY 1""")
+m AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY x) + (count(*) OVER (PARTITION BY metric, x) - 1) / 2.0 AS r FROM long), ties AS (SELECT metric, sum(t * t * t - t) AS ts FROM (SELECT metric, x, count(*)::DOUBLE AS t FROM m GROUP BY ALL) GROUP BY 1),
+s AS (SELECT metric, count(*)::DOUBLE AS n, CASE WHEN var_pop(r) > 0 THEN corr(r, label) END AS rho, avg(x) FILTER (label = 0) AS mean0, avg(x) FILTER (label = 1) AS mean1, count(*) FILTER (label = 1)::DOUBLE AS n1, count(*) FILTER (label = 0)::DOUBLE AS n0, sum(r) FILTER (label = 1) AS rs FROM m GROUP BY 1),
+v AS (SELECT *, rs - n1 * (n1 + 1) / 2 AS u, sqrt(n1 * n0 / 12 * ((n + 1) - ts / (n * (n - 1)))) AS sd FROM s JOIN ties USING (metric)),
+w AS (SELECT *, CASE WHEN sd > 0 THEN (greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5) / sd ELSE 0 END AS z FROM v),
+c AS (SELECT metric, label, floor((r - 1) * 10 / n) AS b, count(*)::DOUBLE AS k, any_value(n) AS n FROM m JOIN s USING (metric) GROUP BY 1, 2, 3),
+mi AS (SELECT metric, sum(k / n * ln(k * n / (kl * kb))) AS mi FROM (SELECT *, sum(k) OVER (PARTITION BY metric, label) AS kl, sum(k) OVER (PARTITION BY metric, b) AS kb FROM c) GROUP BY 1)
+SELECT metric AS feature, round(rho, 6) AS spearman, round({t_p('rho * sqrt((n - 2) / (1 - rho * rho))', 'n - 2')}, 6) AS spearman_p, round(mean0, 6) AS mean0, round(mean1, 6) AS mean1, round(u, 6) AS u, round(z, 6) AS z, round({normal_p('greatest(z, 0)')}, 6) AS p_value,
+  round(1 - 2 * u / (n1 * n0), 6) AS rank_biserial, round(mi, 6) AS mutual_information FROM w JOIN mi USING (metric)""")
 def feature_label_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.feature_label_tests(_long(spark, sf_dir), "label").select("feature", "spearman", "mean0", "mean1", "u")
+    return models.feature_label_tests(_long(spark, sf_dir), "label")
 
 
-@query(f"WITH {FRAME}, long AS (SELECT grp, label, 'price' AS metric, price AS x FROM fr UNION ALL SELECT grp, label, 'cust', cust FROM fr UNION ALL SELECT grp, label, 'flat', flat FROM fr) SELECT grp, metric AS feature, count(*) AS n, round(CASE WHEN var_pop(x) > 0 THEN corr(x, label) END, 6) AS r FROM long GROUP BY 1, 2")
+@query(f"WITH {FRAME}, long AS (SELECT grp, label, 'price' AS metric, price AS x FROM fr UNION ALL SELECT grp, label, 'cust', cust FROM fr UNION ALL SELECT grp, label, 'flat', flat FROM fr), pr AS (SELECT grp, metric AS feature, count(*) AS n, CASE WHEN var_pop(x) > 0 THEN corr(x, label) END AS r FROM long GROUP BY 1, 2) SELECT grp, feature, n, round(r, 6) AS r, round({t_p('r * sqrt((n - 2) / (1 - r * r))', 'n - 2')}, 6) AS p_value FROM pr")
 def pearson_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.pearson_by_group(_long(spark, sf_dir), "label", "grp")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.columns import wilson_lower_bound as wilson
 from trailmark.operators import flows, milestones
 from trailmark.plans.registry import query
+from trailmark.plans.sql_tails import chi2_p, yates_sql
 from trailmark.plans.views import SPARSE, TIMELINE, sparse_timeline, table, timeline
 
 
@@ -106,8 +107,8 @@ def milestone_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{ALL}, r AS (SELECT project_type, 'merged' AS milestone, first_merged_at IS NOT NULL AS hit, first_merged_week + 1.0 AS week FROM ms UNION ALL SELECT project_type, 'returned', return_at IS NOT NULL, NULL FROM ms),
-q AS (SELECT milestone, project_type, count(*) AS people, count(*) FILTER (hit) AS achieved, avg(hit::INT) AS share, quantile_cont(week, 0.25) FILTER (hit) AS a, quantile_cont(week, 0.5) FILTER (hit) AS median_week, quantile_cont(week, 0.75) FILTER (hit) AS b FROM r GROUP BY 1, 2)
-SELECT milestone, project_type, people, achieved, round(share, 6) AS share, median_week::DOUBLE AS median_week, (SELECT quantile_cont(week, 0.5) FROM r WHERE r.milestone = q.milestone AND r.project_type = q.project_type AND hit AND week BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a))::DOUBLE AS median_week_clean FROM q""")
+q AS (SELECT milestone, project_type, count(*) AS people, count(*) FILTER (hit) AS achieved, avg(hit::INT) AS share, quantile_cont(week, 0.25) FILTER (hit) AS a, quantile_cont(week, 0.5) FILTER (hit) AS median_week, quantile_cont(week, 0.75) FILTER (hit) AS b FROM r GROUP BY 1, 2), {yates_sql('q', 'achieved', 'people - achieved', 'milestone')}
+SELECT milestone, project_type, people, achieved, round(share, 6) AS share, median_week::DOUBLE AS median_week, (SELECT quantile_cont(week, 0.5) FROM r WHERE r.milestone = q.milestone AND r.project_type = q.project_type AND hit AND week BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a))::DOUBLE AS median_week_clean, round(chi2, 6) AS chi2, round({chi2_p('chi2')}, 6) AS p_value FROM q LEFT JOIN yates USING (milestone)""")
 def milestone_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return milestones.milestone_rates(_milestones(spark, sf_dir), {"merged": "first_merged_at", "returned": "return_at"}, week={"merged": "first_merged_week"})
 

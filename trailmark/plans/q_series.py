@@ -125,7 +125,9 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.silhouette_rows(_vectors(spark, sf_dir), ["vec_id"])
 
 
-@query(f"{VECTORS} SELECT cluster, arg_min(vec_id, round(n * xx - 2 * d, 9)) AS vec_id FROM dots JOIN sq USING (vec_id, cluster) JOIN tot USING (cluster) WHERE other = cluster GROUP BY 1")
+@query("""WITH v AS (SELECT vec_id, label AS cluster, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT a.cluster, a.vec_id, round(sum(list_distance(a.x, b.x)), 9) AS total FROM v a JOIN v b USING (cluster) GROUP BY 1, 2)
+SELECT cluster, vec_id FROM d QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY total, vec_id) = 1""")
 def medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.medoid(_vectors(spark, sf_dir), ["vec_id"])
 

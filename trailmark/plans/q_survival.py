@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.operators import stats, survival
 from trailmark.plans.q_journeys import JOURNEYS, _journeys
 from trailmark.plans.registry import query
+from trailmark.plans.sql_tails import chi2_p
 
 COVARIATES = ["is_second", "log_commits", "log_lines", "rate", "second_x_commits"]
 SURV = f"""{JOURNEYS}, sv AS (SELECT *, time_to_event_weeks::DOUBLE AS duration, became_core::INT AS event, active_before / CASE WHEN became_core THEN weeks_to_core + 1 ELSE last_observed_week - first_commit_week + 1 END AS consistency FROM j WHERE time_to_event_weeks > 0)"""
@@ -59,15 +60,15 @@ ln AS (SELECT *, sum(c) OVER w::DOUBLE AS n, sum(c1) OVER w::DOUBLE AS n1 FROM l
 ls AS (SELECT {key}, sum(d1)::BIGINT AS observed, sum(d * n1 / n) AS expected, sum(CASE WHEN n > 1 THEN d * n1 / n * (1 - n1 / n) * (n - d) / (n - 1) ELSE 0 END) AS variance FROM ln GROUP BY 1)"""
 
 
-@query(f"{SURV}, s0 AS (SELECT 0 AS z, * FROM sv), {logrank_sql('s0', 'z')} SELECT observed, round(expected, 6) AS expected, round(variance, 6) AS variance, round(pow(observed - expected, 2) / variance, 6) AS chi2 FROM ls")
+@query(f"{SURV}, s0 AS (SELECT 0 AS z, * FROM sv), {logrank_sql('s0', 'z')} SELECT observed, round(expected, 6) AS expected, round(variance, 6) AS variance, round(pow(observed - expected, 2) / variance, 6) AS chi2, round({chi2_p('pow(observed - expected, 2) / variance')}, 6) AS p_value FROM ls")
 def logrank_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survival.logrank_test(_survival(spark, sf_dir), "A", "B")
 
 
 @query(f"""{SURV}, t0 AS (SELECT *, unnest([10, 20, 30, 52, 78, 104]) AS cutoff FROM sv), t1 AS (SELECT cutoff, project_type, duration, CASE WHEN duration = cutoff THEN 0 ELSE event END AS event FROM t0 WHERE duration <= cutoff), {logrank_sql('t1', 'cutoff')}
-SELECT cutoff, observed, round(expected, 6) AS expected, round(CASE WHEN variance > 0 THEN pow(observed - expected, 2) / variance END, 6) AS chi2 FROM ls WHERE cutoff IN (SELECT cutoff FROM t1 GROUP BY 1 HAVING count(*) FILTER (project_type = 'A') > 10 AND count(*) FILTER (project_type = 'B') > 10)""")
+SELECT cutoff, 2 AS groups, observed::DOUBLE AS observed, round(expected, 6) AS expected, round(pow(observed - expected, 2) / variance, 6) AS chi2, 1::BIGINT AS df, round({chi2_p('pow(observed - expected, 2) / variance')}, 6) AS p_value FROM ls WHERE cutoff IN (SELECT cutoff FROM t1 GROUP BY 1 HAVING count(*) FILTER (project_type = 'A') > 10 AND count(*) FILTER (project_type = 'B') > 10)""")
 def truncated_logrank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survival.truncated_logrank(_survival(spark, sf_dir), "A", "B")
+    return survival.truncated_logrank(_survival(spark, sf_dir), ["A", "B"])
 
 
 @query(f"{SURV} SELECT round(avg(event) FILTER (project_type = 'A'), 6) AS rate_first, round(avg(event) FILTER (project_type = 'B'), 6) AS rate_second, round(avg(event) FILTER (project_type = 'B') / avg(event) FILTER (project_type = 'A'), 6) AS ratio FROM sv")
@@ -84,7 +85,7 @@ def concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cox_ph(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = survival.cox_frame(_survival(spark, sf_dir), "B").persist()
-    return stats.p_from_z(survival.cox_models(frame, COVARIATES), "z")
+    return survival.cox_models(frame, COVARIATES)
 
 
 @query()

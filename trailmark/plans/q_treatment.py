@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.operators import stats, threads, treatment
 from trailmark.plans.registry import query
+from trailmark.plans.sql_tails import chi2_p, yates_sql
 from trailmark.plans.views import COMMITS, MESSAGES, REPLIES, TIMELINE, commits, messages, replies, table, timeline
 
 def _json_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,8 +195,9 @@ def outlier_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treatment.outlier_impact(_long(spark, sf_dir), "project_type")
 
 
-@query(f"""{SUMMARY}, z AS (SELECT metric, project_type, CASE WHEN x % 3 = 0 THEN 0.0 WHEN x % 3 = 1 THEN NULL ELSE x END AS x FROM long)
-SELECT metric, project_type, count(*) AS rows, count(*) FILTER (x IS NULL) AS nulls, count(*) FILTER (x = 0) AS zeros, round(count(*) FILTER (x <> 0) / count(*), 6) AS participation_rate, round(avg(x) FILTER (x <> 0), 6) AS nonzero_mean, quantile_cont(x, 0.5) FILTER (x <> 0) AS nonzero_median FROM z GROUP BY 1, 2""")
+@query(f"""{SUMMARY}, z AS (SELECT metric, project_type, CASE WHEN x % 3 = 0 THEN 0.0 WHEN x % 3 = 1 THEN NULL ELSE x END AS x FROM long),
+zp AS (SELECT metric, project_type, count(*) AS rows, count(*) FILTER (x IS NULL) AS nulls, count(*) FILTER (x = 0) AS zeros, round(count(*) FILTER (x <> 0) / count(*), 6) AS participation_rate, round(avg(x) FILTER (x <> 0), 6) AS nonzero_mean, quantile_cont(x, 0.5) FILTER (x <> 0) AS nonzero_median FROM z GROUP BY 1, 2),
+{yates_sql('zp', 'rows - nulls - zeros', 'nulls + zeros', 'metric')} SELECT zp.*, round(chi2, 6) AS chi2, round({chi2_p('chi2')}, 6) AS p_value FROM zp LEFT JOIN yates USING (metric)""")
 def zero_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.when(F.col("x") % 3 == 0, 0.0).when(F.col("x") % 3 == 2, F.col("x"))
     return treatment.zero_patterns(_long(spark, sf_dir).withColumn("x", x), "project_type")
