@@ -61,7 +61,7 @@ def test_cox_curves_residuals_and_concordance(spark, lives):
 
 def test_cox_by_group(lives):
     frame, x, t, e = lives
-    rows = {(r.model, r.covariate): r for r in survival.cox_models(frame.withColumnRenamed("z", "is_second"), ["is_second", "x"]).collect()}
+    rows = {(r.model, r.covariate): r for r in survival.cox_models(frame.withColumnRenamed("z", "is_second"), ["is_second", "x"], least=30).collect()}
     assert set(rows) == {("group", "is_second"), ("full", "is_second"), ("full", "x"), ("A", "x"), ("B", "x")}
     own = x[:, 1] == 1
     assert rows["B", "x"].events == e[own].sum() and all(0 <= r.concordance <= 1 for r in rows.values())
@@ -94,6 +94,62 @@ def test_paths_longer_than_any_fixed_length(spark):
     assert top[1].path == "START > s0 > END"
 
 
+def simple_paths(p, start="START", end="END"):
+    out, todo = [], [(1.0, (start,))]
+    while todo:
+        chance, path = todo.pop()
+        for (a, b), q in p.items():
+            if a == path[-1] and b not in path:
+                todo.append((chance * q, (*path, b))) if b != end else out.append((chance * q, (*path, b)))
+    return sorted(out, key=lambda r: (round(-np.log(r[0]), 9), r[1]))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_paths_equal_enumeration(spark, seed):
+    rng = np.random.default_rng(seed)
+    states = ["START", *[f"s{i}" for i in range(5)], "END"]
+    p = {(a, b): float(rng.choice([0.1, 0.2, 0.25, 0.5, rng.random()])) for a in states for b in states if a != b and a != "END" and b != "START" and rng.random() < 0.8}
+    edges = spark.createDataFrame([(a, b, v) for (a, b), v in p.items()] + [("s0", "s0", 0.9), ("s1", "s2", None)], "src string, dst string, p double")
+    want = simple_paths(p)
+    for k in (1, 7, 10_000):
+        got = flows.top_k_paths(edges, k).orderBy("rank").collect()
+        assert [r.path for r in got] == [" > ".join(path) for _, path in want[:k]]
+        assert all(abs(r.probability - c) < 1e-12 for r, (c, _) in zip(got, want, strict=False))
+
+
+def test_paths_of_a_dense_graph_are_searched_not_enumerated(spark):
+    rng = np.random.default_rng(9)
+    states = ["START", *[f"s{i:02d}" for i in range(14)], "END"]
+    rows = [(a, b, float(rng.uniform(0.05, 0.9))) for a in states for b in states if a != b and a != "END" and b != "START"]
+    top = flows.top_k_paths(spark.createDataFrame(rows, "src string, dst string, p double"), 5).orderBy("rank").collect()
+    assert len(top) == 5 and [r.probability for r in top] == sorted((r.probability for r in top), reverse=True)
+    with pytest.raises(ValueError, match="states"):
+        flows.top_k_paths(spark.range(1001).selectExpr("'START' AS src", "string(id) AS dst", "0.5D AS p"), 1)
+
+
+def test_efron_sums_of_a_million_events_take_little_memory():
+    import tracemalloc
+
+    whole, tied, d = 2.5e6, 1.3e6, 1_000_000
+    tracemalloc.start()
+    got = survival.efron_sums(whole, tied, d)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    f = np.arange(d) / d
+    z = whole - f * tied
+    assert np.allclose(got, [np.log(z).sum(), (1 / z).sum(), (f / z).sum(), (1 / z**2).sum(), (f / z**2).sum(), (f * f / z**2).sum()], rtol=1e-10)
+
+
+def test_small_groups_get_no_cox_model(lives):
+    frame, x, t, e = lives
+    found = survival.cox_models(frame.withColumnRenamed("z", "is_second"), ["is_second", "x"], least=1000)
+    rows = found.collect()
+    assert {r.model for r in rows} == {"group", "full"}
+    full = next(r for r in rows if r.model == "full" and r.covariate == "x")
+    assert full.people == len(t) and abs(full.log_likelihood - efron(np.array([r.coef for r in sorted((r for r in rows if r.model == "full"), key=lambda r: r.covariate != "x")]), x, t, e)) < 1e-6
+    assert abs(full.p_value - __import__("math").erfc(abs(full.z) / 2**0.5)) < 1e-9
+
+
 def test_permutation_importance_finds_the_feature(spark):
     rng = np.random.default_rng(3)
     rows = [(i, float(a), float(b), float(a > 0)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]

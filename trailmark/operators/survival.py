@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.columns import correlation, count_if
 from trailmark.functions.tails import chi2_p, normal_p
-from trailmark.operators.stats import running_sums
+from trailmark.operators.stats import quantiles, running_sums
+from trailmark.operators.written import written
 
 #: Distinct durations that the Cox steps take to the driver at most.
 MOST_TIMES = 100_000
+#: People whose curves are worked out at once: each gets a row for every time.
+MOST_PEOPLE = 10_000
 
 
 def survival_table(transitions: DataFrame) -> DataFrame:
@@ -26,8 +29,9 @@ def survival_table(transitions: DataFrame) -> DataFrame:
 def survival_subsets(survival: DataFrame, group: str = "project_type", commits: str = "total_commits", consistency: str = "commit_consistency_before_core") -> DataFrame:
     """The rows tagged with each subset they belong to: all, the group's name, high_activity (from the third quartile of
     commits on), low_activity (up to the first), consistent (from the median consistency on)."""
-    q = survival.agg(F.percentile(commits, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.percentile(consistency, F.lit(0.5)).alias("m"))
-    rows = survival.crossJoin(q)  # one row
+    survival = written(survival)
+    q = quantiles(survival, [], commits, {"a": 0.25, "b": 0.75}).crossJoin(quantiles(survival, [], consistency, {"m": 0.5}))
+    rows = survival.crossJoin(F.broadcast(q.select(F.array("a", "b").alias("q"), "m")))  # one row
     tags = F.array(
         F.lit("all"),
         F.lower(F.col(group)),
@@ -41,8 +45,9 @@ def survival_subsets(survival: DataFrame, group: str = "project_type", commits:
 def with_strata(survival: DataFrame, commits: str = "total_commits", joined: str = "first_commit_week") -> DataFrame:
     """Adds activity_group (Low up to the first quartile of commits, Medium up to the third, High) and joiner_group (Early up
     to week 10, Mid up to 50, Late)."""
-    q = survival.agg(F.percentile(commits, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    rows = survival.crossJoin(q)  # one row
+    survival = written(survival)
+    q = quantiles(survival, [], commits, {"a": 0.25, "b": 0.75})
+    rows = survival.crossJoin(F.broadcast(q.select(F.array("a", "b").alias("q"))))  # one row
     level = F.when(F.col(commits) <= F.col("q")[0], "Low").when(F.col(commits) <= F.col("q")[1], "Medium").otherwise("High")
     joiner = F.when(F.col(joined) <= 10, "Early").when(F.col(joined) <= 50, "Mid").otherwise("Late")
     return rows.withColumn("activity_group", level).withColumn("joiner_group", joiner).drop("q")
@@ -178,8 +183,12 @@ def cox_frame(survival: DataFrame, second: str, group: str = "project_type", sca
     values by the median first), and second_x_commits."""
     raw = {"log_commits": F.log1p("total_commits"), "log_lines": F.log1p("total_lines_changed"), "rate": F.col("activity_rate").cast("double")}
     rows = survival.withColumns(raw).withColumn("is_second", (F.col(group) == second).cast("double"))
-    stats = rows.agg(*[F.percentile(c, F.lit(0.5)).alias(f"{c}_med") for c in raw])
-    rows = rows.crossJoin(stats).withColumns({c: F.coalesce(c, f"{c}_med") for c in raw})  # one row
+    rows = written(rows)
+    stats = None
+    for c in raw:
+        one = quantiles(rows, [], c, {f"{c}_med": 0.5})
+        stats = one if stats is None else stats.crossJoin(one)
+    rows = rows.crossJoin(F.broadcast(stats)).withColumns({c: F.coalesce(c, f"{c}_med") for c in raw})  # one row
     scale = rows.agg(*[f(c).alias(f"{c}_{n}") for c in raw for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
     rows = rows.crossJoin(scale).withColumns({c: F.when(F.col(f"{c}_sd") > 0, (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_sd")).otherwise(F.lit(0.0)) for c in raw})
     return rows.withColumn("second_x_commits", F.col("is_second") * F.col("log_commits")).drop(*[f"{c}_{n}" for c in raw for n in ("med", "mean", "sd")])
@@ -195,10 +204,10 @@ class CoxModel:
     events: int
 
     def summary(self, spark) -> DataFrame:
-        """covariate, coef, hazard_ratio, std_error, lower, upper (of the ratio), z."""
+        """covariate, coef, hazard_ratio, std_error, lower, upper (of the ratio), z, p_value."""
         se = np.sqrt(np.diag(self.covariance))
         rows = [(c, float(b), float(np.exp(b)), float(s), float(np.exp(b - 1.96 * s)), float(np.exp(b + 1.96 * s)), float(b / s)) for c, b, s in zip(self.covariates, self.beta, se, strict=True)]
-        return spark.createDataFrame(rows, "covariate string, coef double, hazard_ratio double, std_error double, lower double, upper double, z double")
+        return spark.createDataFrame(rows, "covariate string, coef double, hazard_ratio double, std_error double, lower double, upper double, z double").withColumn("p_value", normal_p(F.col("z")))
 
     def risk(self, frame: DataFrame) -> DataFrame:
         """Adds risk: the linear predictor."""
@@ -208,6 +217,18 @@ class CoxModel:
         return frame.withColumn("risk", out)
 
 
+def efron_sums(whole: float, tied: float, d: int, step: int = 1 << 16) -> tuple[float, ...]:
+    """Efron's sums over the d events of a time, with f = k / d and z = whole - f tied: of log z, 1 / z, f / z, 1 / z^2, f / z^2
+    and (f / z)^2. These numbers are all that the d terms of the likelihood, gradient and Hessian need; `step` terms at a time."""
+    out = np.zeros(6)
+    for k in range(0, d, step):
+        f = np.arange(k, min(k + step, d)) / d
+        z = whole - f * tied
+        q = f / z
+        out += [np.log(z).sum(), (1 / z).sum(), q.sum(), (1 / (z * z)).sum(), (q / z).sum(), (q * q).sum()]
+    return tuple(out)
+
+
 def cox_ph(survival: DataFrame, covariates: Sequence[str], steps: int = 25, tolerance: float = 1e-9) -> CoxModel:
     """Cox model with Efron's ties by Newton steps.
 
@@ -241,15 +262,12 @@ def cox_ph(survival: DataFrame, covariates: Sequence[str], steps: int = 25, tole
         for r in table.to_dict("records"):
             s0, s1, s2 = s0 + r["w"], s1 + [r[f"w{i}"] for i in range(p)], s2 + square(r, "w")
             if r["d"]:
-                d, v1, v2 = int(r["d"]), np.array([r[f"v{i}"] for i in range(p)]), square(r, "v")
-                part = np.arange(d) / d
-                z0 = s0 - part * r["v"]
-                z1 = s1[None, :] - part[:, None] * v1
-                z2 = s2[None] - part[:, None, None] * v2
-                mean = z1 / z0[:, None]
-                value += r["s"] - np.log(z0).sum()
-                gradient += [r[f"x{i}"] for i in range(p)] - mean.sum(0)
-                hessian += (z2 / z0[:, None, None]).sum(0) - np.einsum("ki,kj->ij", mean, mean)
+                v1, v2 = np.array([r[f"v{i}"] for i in range(p)]), square(r, "v")
+                logs, a, b, aa, ab, bb = efron_sums(s0, r["v"], int(r["d"]))
+                value += r["s"] - logs
+                gradient += [r[f"x{i}"] for i in range(p)] - (a * s1 - b * v1)
+                crossed = np.outer(s1, v1)
+                hessian += a * s2 - b * v2 - (aa * np.outer(s1, s1) - ab * (crossed + crossed.T) + bb * np.outer(v1, v1))
         covariance = np.linalg.pinv(hessian)
         model = CoxModel(names, beta.copy(), covariance, value, int(table["c"].sum()) if len(table) else 0, int(table["d"].sum()) if len(table) else 0)
         if value - last < tolerance * (abs(value) + 1):
@@ -258,17 +276,18 @@ def cox_ph(survival: DataFrame, covariates: Sequence[str], steps: int = 25, tole
     return model
 
 
-def cox_models(survival: DataFrame, covariates: Sequence[str], group: str = "project_type", indicator: str = "is_second") -> DataFrame:
-    """model, covariate, coef, ..., events, concordance of the model with the group alone, of the full one, and of one for
-    each group without what the group decides. `indicator` starts the names of covariates that hold the group."""
+def cox_models(survival: DataFrame, covariates: Sequence[str], group: str = "project_type", indicator: str = "is_second", least: int = 100) -> DataFrame:
+    """model, covariate, coef, ..., z, p_value, people, events, log_likelihood (partial) and concordance of the model with the group
+    alone, of the full one, and of one for each group of over `least` people without what the group decides. `indicator` starts the names of covariates that hold the group."""
     inner = [c for c in covariates if c != indicator and not c.startswith(indicator.removeprefix("is_"))]
     parts = [("group", survival, [indicator]), ("full", survival, list(covariates))]
-    parts += [(r[group], survival.where(F.col(group) == r[group]), inner) for r in survival.select(group).distinct().orderBy(group).collect()]
+    sizes = survival.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).orderBy(group).collect()
+    parts += [(r[group], survival.where(F.col(group) == r[group]), inner) for r in sizes]
     out = None
     for name, rows, names in parts:
         model = cox_ph(rows, names)
         index = concordance(model.risk(rows)).select(F.col("index").alias("concordance"))
-        one = model.summary(survival.sparkSession).withColumn("model", F.lit(name)).withColumn("events", F.lit(model.events)).crossJoin(index)  # one row
+        one = model.summary(survival.sparkSession).withColumn("model", F.lit(name)).withColumns({"people": F.lit(model.rows), "events": F.lit(model.events), "log_likelihood": F.lit(float(model.log_likelihood))}).crossJoin(index)  # one row
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -289,8 +308,10 @@ def baseline_hazard(model: CoxModel, survival: DataFrame) -> DataFrame:
 
 
 def cox_predict(model: CoxModel, survival: DataFrame, people: DataFrame, person: str = "person") -> DataFrame:
-    """person, duration, survival of the given covariate rows: exp(-H(t) exp(risk))."""
+    """person, duration, survival of the given covariate rows, at most MOST_PEOPLE: exp(-H(t) exp(risk))."""
     few = model.risk(people).select(person, "risk")
+    if few.limit(MOST_PEOPLE + 1).count() > MOST_PEOPLE:
+        raise ValueError(f"curves for more than {MOST_PEOPLE} people; give them in parts")
     return baseline_hazard(model, survival).crossJoin(few).select(person, "duration", F.exp(-F.col("hazard") * F.exp("risk")).alias("survival"))
 
 
@@ -315,6 +336,7 @@ def concordance(rows: DataFrame, keys: Sequence[str] = (), score: str = "risk")
     """
     on = list(keys)
     times = rows.select(*on, "duration").distinct()
+    _few_times(rows)
     times = times.withColumn("r", F.row_number().over(Window.partitionBy(*on, F.lit(0)).orderBy("duration")) - 1)
     levels = max(1, int(times.agg(F.max("r")).first()[0] or 0).bit_length())
     ranked = rows.select(*on, "duration", F.col("event"), F.col(score).alias("x")).join(times, [*on, "duration"])

@@ -173,7 +173,7 @@ def sequence_filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SEQUENCES} SELECT sequence, count(*) AS n, string_agg(person, ',' ORDER BY person) AS members FROM seqs WHERE sequence LIKE '%FailureRecovery%' GROUP BY 1")
 def sequences_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.sequences_with_state(_sequences(spark, sf_dir), "FailureRecovery").withColumn("members", F.array_join("members", ","))
+    return flows.sequences_with_state(_sequences(spark, sf_dir), "FailureRecovery", "person").withColumn("members", F.array_join("members", ","))
 
 
 @query(f"""{sparse("area AS (SELECT *, event_id % 4 AS a FROM wk)", "o AS (SELECT *, lead(event_timestamp, 4) OVER w AS fifth, lag(event_timestamp) OVER w AS b, first_value(a) OVER (PARTITION BY person ORDER BY event_timestamp, event_id) AS fa, min(CASE WHEN pr_state = 'closed' THEN event_timestamp END) OVER (PARTITION BY person) AS ca FROM area WINDOW w AS (PARTITION BY person ORDER BY event_timestamp, event_id))")},

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.operators import stats, survival
+from trailmark.operators import survival
+from trailmark.operators.written import written
 from trailmark.plans.q_journeys import JOURNEYS, _journeys
 from trailmark.plans.registry import query
 from trailmark.plans.sql_tails import chi2_p
@@ -84,13 +85,13 @@ def concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cox_ph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = survival.cox_frame(_survival(spark, sf_dir), "B").persist()
+    frame = written(survival.cox_frame(_survival(spark, sf_dir), "B"))
     return survival.cox_models(frame, COVARIATES)
 
 
 @query()
 def cox_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = survival.cox_frame(_survival(spark, sf_dir), "B").persist()
+    frame = written(survival.cox_frame(_survival(spark, sf_dir), "B"))
     people = spark.createDataFrame([("first, mean", 0.0, 0.0, 0.0), ("second, mean", 1.0, 0.0, 0.0), ("first, active", 0.0, 1.0, 1.0), ("second, active", 1.0, 1.0, 1.0)], "person string, is_second double, log_commits double, rate double")
     model = survival.cox_ph(frame, ["is_second", "log_commits", "rate"])
     return survival.cox_predict(model, frame, people)
@@ -98,13 +99,13 @@ def cox_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ph_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = survival.cox_frame(_survival(spark, sf_dir), "B").persist()
+    frame = written(survival.cox_frame(_survival(spark, sf_dir), "B"))
     return survival.ph_test(survival.cox_ph(frame, COVARIATES), frame)
 
 
 @query()
 def concordance_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = survival.cox_frame(_survival(spark, sf_dir), "B").persist()
+    frame = written(survival.cox_frame(_survival(spark, sf_dir), "B"))
     return survival.concordance_cv(frame, ["is_second", "log_commits", "rate"], ["project_name", "author_email"])
 
 
