@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -15,18 +17,13 @@ from pyspark.sql import functions as F
 from trailmark.functions.columns import correlation
 from trailmark.functions.tails import correlation_p
 from trailmark.operators import stats
-
-#: Rows of a hash bucket about, in which rows are numbered or values dealt anew.
-BUCKET_ROWS = 20_000
-
+from trailmark.operators.numbering import numbered
+from trailmark.operators.written import written
 
 def stratified_kfold(frame: DataFrame, label: str, ids: Sequence[str], folds: int = 5, seed: int = 42) -> DataFrame:
-    """Adds fold: rows of each label in hashed order, dealt in turn. Rows of a label are numbered inside hash buckets, so a
-    common label isn't sorted by one task; folds differ by at most one row a bucket."""
-    h = F.xxhash64(F.lit(seed), *ids)
-    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), *ids), F.lit(64))
-    place = F.row_number().over(Window.partitionBy(label, bucket).orderBy(h, *ids))
-    return frame.withColumn("fold", F.pmod(place + bucket, F.lit(folds)).cast("int"))
+    """Adds fold: rows of each label in hashed order, dealt in turn, so that the folds of a label differ by one row at most. No
+    task numbers all rows of a label; see numbered."""
+    return numbered(frame, ids, [label], seed, "fold").withColumn("fold", F.pmod(F.col("fold"), F.lit(folds)).cast("int"))
 
 
 def prepared(features: Sequence[str], estimator) -> Pipeline:
@@ -59,7 +56,8 @@ def score_column(name: str) -> Column:
 
 def cross_validated(frame: DataFrame, features: Sequence[str], label: str, ids: Sequence[str], name: str = "logistic", folds: int = 5) -> DataFrame:
     """ids, label, fold, score: each row scored by the model of the other folds."""
-    rows = with_balance(stratified_kfold(frame.withColumn(label, F.col(label).cast("double")), label, ids, folds), label).persist()
+    rows = with_balance(stratified_kfold(frame.withColumn(label, F.col(label).cast("double")), label, ids, folds), label)
+    rows = written(rows)
     out = None
     for k in range(folds):
         model = prepared(features, estimator(name, label)).fit(rows.where(F.col("fold") != k))
@@ -95,19 +93,33 @@ def tree_importance(model: PipelineModel, features: Sequence[str], spark) -> Dat
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, model.stages[-1].featureImportances.toArray(), strict=True)], "feature string, importance double")
 
 
+def bijections(n: int, repeats: int, seed: int = 42) -> list[tuple[int, int]]:
+    """(a, b) of i -> (a i + b) mod n, one to one as a shares no factor with n, and without a fixed row where n allows it."""
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < repeats:
+        a, b = int(rng.integers(1, max(2, n))), int(rng.integers(0, max(1, n)))
+        if math.gcd(a, n) == 1:
+            out.append((a, b))
+    return out
+
+
 def permutation_importance(model: PipelineModel, frame: DataFrame, features: Sequence[str], label: str, ids: Sequence[str], name: str = "forest", repeats: int = 10) -> DataFrame:
     """feature, drop, spread: mean and deviation of the loss of ROC AUC when the feature's values are dealt anew.
 
-    Values move inside hash buckets of about BUCKET_ROWS rows, each to the next row of an order hashed anew for a repeat.
-    All dealt tables are scored and evaluated in one plan, by (feature, repeat)."""
-    rows = frame.withColumn("bucket", F.pmod(F.xxhash64(*ids), F.lit(max(1, frame.count() // BUCKET_ROWS))))
-    dealt = rows.withColumn("feature", F.lit("")).withColumn("repeat", F.lit(0))
-    for f in features:
-        for k in range(repeats):
-            order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(k), *ids), *ids)
-            moved = F.coalesce(F.lag(f).over(order), F.last(f).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-            dealt = dealt.unionByName(rows.withColumn(f, moved).withColumn("feature", F.lit(f)).withColumn("repeat", F.lit(k)))
-    scored = model.transform(dealt).select("feature", "repeat", label, score_column(name).alias("score"))
+    Rows are numbered in hashed order, and a repeat gives each row the values of another by a bijection of these numbers, the same
+    for all features: one join deals all repeats. Dealt tables are scored and evaluated in one plan, by (feature, repeat), whose
+    size doesn't grow with the features' number but for a column each.
+    """
+    rows = written(numbered(frame.select(*ids, label, *features), ids, name="_i"))
+    n = rows.count()
+    maps = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in bijections(n, repeats)])
+    own = rows.withColumn("_m", maps).select("_i", label, *features, F.posexplode("_m").alias("repeat", "_m"))
+    own = own.withColumn("_j", F.pmod(F.col("_m")["a"] * F.col("_i") + F.col("_m")["b"], F.lit(max(n, 1))))
+    donors = rows.select(F.col("_i").alias("_j"), *[F.col(f).alias(f"_new_{f}") for f in features])
+    dealt = own.join(donors, "_j").withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    dealt = dealt.select("feature", "repeat", label, *[F.when(F.col("feature") == f, F.col(f"_new_{f}")).otherwise(F.col(f)).alias(f) for f in features])
+    plain = rows.select(F.lit("").alias("feature"), F.lit(0).alias("repeat"), label, *features)
+    scored = model.transform(dealt.unionByName(plain)).select("feature", "repeat", label, score_column(name).alias("score"))
     found = eval_binary(scored, label, keys=["feature", "repeat"]).select("feature", "repeat", "roc_auc").toPandas()  # a row a table
     base = float(found.loc[found["feature"] == "", "roc_auc"].iloc[0])
     drops = {f: base - found.loc[found["feature"] == f, "roc_auc"] for f in features}

@@ -11,15 +11,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.columns import count_if
+from trailmark.operators.kmeans import assigned, fit_kmeans
 from trailmark.operators.medoids import medoids
 from trailmark.operators.stats import on_keys, quantiles
+from trailmark.operators.written import written
 
 KEYS = ("person",)
 #: Weights of the contribution index.
@@ -156,32 +155,58 @@ def scale_series(series: DataFrame, method: str = "minmax") -> DataFrame:
     return series.withColumn("series", scaled("series"))
 
 
-def kmeans_series(series: DataFrame, k: int = 3, seeds: Sequence[int] = (42,), column: str = "series") -> DataFrame:
-    """Adds cluster by Euclidean k-means, the run with the least cost over the seeds."""
-    rows = series.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
-    models = [KMeans(k=k, seed=s, featuresCol="features", predictionCol="cluster").fit(rows) for s in seeds]
-    return min(models, key=lambda m: m.summary.trainingCost).transform(rows).drop("features")
+def _points(series: DataFrame, column: str) -> DataFrame:
+    return written(series.where(F.col(column).isNotNull()).withColumn(column, F.col(column).cast("array<double>")))
 
 
-def silhouette(clusters: DataFrame, column: str = "series") -> float:
-    """Mean silhouette on squared Euclidean distances."""
-    rows = clusters.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
-    return ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(rows)
+def _best(runs: dict, k: int) -> tuple[np.ndarray, float]:
+    return min((runs[r] for r in sorted(runs) if r[0] == k), key=lambda run: run[1])
 
 
-def silhouette_rows(clusters: DataFrame, keys: Sequence[str] = KEYS, column: str = "series") -> DataFrame:
-    """keys, cluster, silhouette of each row on squared Euclidean distances, without pairs.
+def kmeans_series(series: DataFrame, k: int = 3, restarts: int = 10, column: str = "series", seed: int = 42) -> DataFrame:
+    """Adds cluster by Euclidean k-means, the run with the least cost of all restarts; see fit_kmeans. Rows without a series go."""
+    rows = _points(series, column)
+    runs = fit_kmeans(rows, column, [k], restarts, seed)
+    return assigned(rows, column, [_best(runs, k)[0]] if runs else [np.zeros((1, 1))], "_c").withColumn("cluster", F.col("_c")[0]).drop("_c")
+
+
+def kmeans_sweep(series: DataFrame, keys: Sequence[str] = KEYS, ks: Sequence[int] = (2, 3, 4, 5, 6), restarts: int = 10, column: str = "series", seed: int = 42) -> DataFrame:
+    """k, cost (least of the restarts), silhouette (mean, on squared distances) for each number of clusters, all fitted in the
+    same passes and judged in one."""
+    rows = _points(series.select(*keys, column), column)
+    runs = fit_kmeans(rows, column, ks, restarts, seed)
+    if not runs:
+        return series.sparkSession.createDataFrame([], "k int, cost double, silhouette double")
+    best = {k: _best(runs, k) for k in ks}
+    labels = assigned(rows, column, [best[k][0] for k in ks], "_c").select(*keys, column, F.posexplode("_c").alias("_i", "cluster"))
+    labels = labels.withColumn("k", F.array(*[F.lit(k) for k in ks])[F.col("_i")])
+    costs = series.sparkSession.createDataFrame([(k, best[k][1]) for k in ks], "k int, cost double")
+    return costs.join(silhouette_rows(labels, [*keys, "k"], column, ["k"]).groupBy("k").agg(F.avg("silhouette").alias("silhouette")), "k")
+
+
+def kmeans_labelings(series: DataFrame, k: int = 3, seeds: int = 5, column: str = "series", seed: int = 42) -> DataFrame:
+    """Adds labelings: the cluster by each of so many single runs from different starts, fitted in the same passes."""
+    rows = _points(series, column)
+    runs = fit_kmeans(rows, column, [k], seeds, seed)
+    return assigned(rows, column, [runs[k, r][0] for r in range(seeds)] if runs else [], "labelings")
+
+
+def silhouette_rows(clusters: DataFrame, keys: Sequence[str] = KEYS, column: str = "series", within: Sequence[str] = ()) -> DataFrame:
+    """keys, cluster, silhouette of each row on squared Euclidean distances, without pairs. within: columns, of the keys, that tell
+    several labelings apart.
 
     The mean squared distance to a cluster follows from its size, its sum and its sum of squares; these are one row a
     cluster, so they are broadcast.
     """
+    on = [*within, "cluster"]
     rows = clusters.select(*keys, "cluster", F.col(column).cast("array<double>").alias("x"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
     rows = rows.withColumn("xx", dot(F.col("x"), F.col("x")))
-    parts = rows.select("cluster", F.posexplode("x").alias("i", "v")).groupBy("cluster", "i").agg(F.sum("v").alias("s"))
-    sums = parts.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("sum"))
-    stats = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("xx").alias("squares")).join(sums, "cluster")
-    both = rows.crossJoin(F.broadcast(stats.select(F.col("cluster").alias("other"), "n", "squares", "sum")))  # a row for each cluster
+    parts = rows.select(*on, F.posexplode("x").alias("i", "v")).groupBy(*on, "i").agg(F.sum("v").alias("s"))
+    sums = parts.groupBy(*on).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("sum"))
+    stats = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.sum("xx").alias("squares")).join(sums, on)
+    stats = F.broadcast(stats.select(*within, F.col("cluster").alias("other"), "n", "squares", "sum"))  # a row for each cluster
+    both = rows.join(stats, list(within)) if within else rows.crossJoin(stats)
     total = F.col("n") * F.col("xx") - 2 * dot(F.col("x"), F.col("sum")) + F.col("squares")
     own = F.col("other") == F.col("cluster")
     dist = both.groupBy(*keys, "cluster").agg(
@@ -192,8 +217,9 @@ def silhouette_rows(clusters: DataFrame, keys: Sequence[str] = KEYS, column: str
     return dist.select(*keys, "cluster", value.alias("silhouette"))
 
 
-def cluster_quality(clusters: DataFrame, keys: Sequence[str] = KEYS, column: str = "series") -> DataFrame:
-    """One row: mean_silhouette, negative_share, davies_bouldin, size_balance (smallest over largest cluster)."""
+def cluster_quality(clusters: DataFrame, keys: Sequence[str] = KEYS, column: str = "series", labelings: str | None = None) -> DataFrame:
+    """One row: mean_silhouette, negative_share, davies_bouldin, size_balance (smallest over largest cluster) and, with a column
+    `labelings` (see kmeans_labelings), stability: the mean adjusted Rand index of its pairs."""
     sil = silhouette_rows(clusters, keys, column).agg(F.avg("silhouette").alias("mean_silhouette"), F.avg(F.when(F.col("silhouette") < 0, 1.0).otherwise(0.0)).alias("negative_share"))
     rows = clusters.select("cluster", F.col(column).cast("array<double>").alias("x"))
     center = rows.select("cluster", F.posexplode("x").alias("i", "v")).groupBy("cluster", "i").agg(F.avg("v").alias("m"))
@@ -202,7 +228,24 @@ def cluster_quality(clusters: DataFrame, keys: Sequence[str] = KEYS, column: str
     spread = rows.join(F.broadcast(center), "cluster").groupBy("cluster", "c").agg(F.avg(gap(F.col("x"), F.col("c"))).alias("s"), F.count(F.lit(1)).alias("n"))
     a, b = spread.select(F.col("cluster").alias("i"), F.col("c").alias("ci"), F.col("s").alias("si")), spread.select(F.col("cluster").alias("j"), F.col("c").alias("cj"), F.col("s").alias("sj"))
     worst = a.join(b, F.col("i") != F.col("j")).groupBy("i").agg(F.max((F.col("si") + F.col("sj")) / gap(F.col("ci"), F.col("cj"))).alias("r"))
-    return sil.crossJoin(worst.agg(F.avg("r").alias("davies_bouldin"))).crossJoin(spread.agg((F.min("n") / F.max("n")).alias("size_balance")))  # one row each
+    out = sil.crossJoin(worst.agg(F.avg("r").alias("davies_bouldin"))).crossJoin(spread.agg((F.min("n") / F.max("n")).alias("size_balance")))  # one row each
+    return out.crossJoin(rand_of_pairs(clusters, labelings).agg(F.avg("rand").alias("stability"))) if labelings else out
+
+
+def rand_of_pairs(labels: DataFrame, column: str = "labelings") -> DataFrame:
+    """first, second, rand: the adjusted Rand index of each pair of a row's labelings (numbers from 0), from the contingency counts
+    of all pairs, which one pass makes."""
+    with_place = F.transform(column, lambda v, i: F.struct(i.alias("i"), v.alias("v")))
+    one, other = labels.select(with_place.alias("a")).withColumn("b", F.col("a")), F.explode("b").alias("q")
+    pairs = one.select(F.explode("a").alias("p"), "b").select("p", other).where("p.i < q.i")
+    cells = pairs.groupBy(F.col("p.i").alias("first"), F.col("q.i").alias("second"), F.col("p.v").alias("x"), F.col("q.v").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    cells = written(cells)
+    two = lambda c: c * (c - 1) / 2
+    side = lambda c, name: cells.groupBy("first", "second", c).agg(F.sum("n").alias("m")).groupBy("first", "second").agg(F.sum(two(F.col("m"))).alias(name))
+    row = cells.groupBy("first", "second").agg(F.sum(two(F.col("n"))).alias("both"), F.sum("n").alias("n")).join(side("x", "a"), ["first", "second"]).join(side("y", "b"), ["first", "second"])
+    chance = F.col("a") * F.col("b") / F.when(F.col("n") > 1, two(F.col("n")))
+    top = (F.col("a") + F.col("b")) / 2
+    return row.select("first", "second", F.when(chance.isNull() | (top == chance), F.lit(1.0)).otherwise((F.col("both") - chance) / (top - chance)).alias("rand"))
 
 
 def adjusted_rand(labels: DataFrame, first: str, second: str) -> DataFrame:

@@ -125,7 +125,7 @@ def eval_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FRAME} SELECT label, count(*) AS n, true AS even FROM fr GROUP BY 1")
 def stratified_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = models.stratified_kfold(_frame(spark, sf_dir), "label", ["id"]).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
-    return by.groupBy("label").agg(F.sum("n").alias("n"), (F.max("n") - F.min("n") <= 64).alias("even"))
+    return by.groupBy("label").agg(F.sum("n").alias("n"), (F.max("n") - F.min("n") <= 1).alias("even"))
 
 
 @query()

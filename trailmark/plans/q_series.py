@@ -108,15 +108,18 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmeans_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = series.kmeans_series(_shapes(spark, sf_dir).persist(), 3, seeds=(42, 43, 44))
-    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("people"))
+    return series.kmeans_series(_shapes(spark, sf_dir), 3).select("person", "cluster")
 
 
 @query()
 def kmeans_best_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes = _shapes(spark, sf_dir).persist()
-    rows = [(k, float(series.silhouette(series.kmeans_series(shapes, k)))) for k in range(2, 7)]
-    return spark.createDataFrame(rows, "k int, silhouette double")
+    return series.kmeans_sweep(_shapes(spark, sf_dir))
+
+
+@query()
+def cluster_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjusted Rand indices of five single runs of k-means, pair by pair."""
+    return series.rand_of_pairs(series.kmeans_labelings(_shapes(spark, sf_dir), 3))
 
 
 @query(f"""{VECTORS}, e AS (SELECT vec_id, dots.cluster, other, CASE WHEN other = dots.cluster THEN CASE WHEN n > 1 THEN (n * xx - 2 * d + squares) / (n - 1) END ELSE (n * xx - 2 * d + squares) / n END AS m FROM dots JOIN sq USING (vec_id) JOIN tot ON tot.cluster = other),
@@ -144,9 +147,18 @@ def pattern_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("vec_id", series.pattern_label(F.col("series")).alias("pattern"))
 
 
-@query()
+@query(f"""{VECTORS}, e AS (SELECT vec_id, dots.cluster, other, CASE WHEN other = dots.cluster THEN CASE WHEN n > 1 THEN (n * xx - 2 * d + squares) / (n - 1) END ELSE (n * xx - 2 * d + squares) / n END AS m FROM dots JOIN sq USING (vec_id) JOIN tot ON tot.cluster = other),
+ab AS (SELECT vec_id, cluster, max(m) FILTER (other = cluster) AS a, min(m) FILTER (other <> cluster) AS b FROM e GROUP BY 1, 2), sil AS (SELECT avg(coalesce((b - a) / greatest(a, b), 0)) AS mean_silhouette, avg(CASE WHEN (b - a) / greatest(a, b) < 0 THEN 1.0 ELSE 0.0 END) AS negative_share FROM ab),
+cen AS (SELECT cluster, i, avg(x) AS m FROM v GROUP BY 1, 2), spread AS (SELECT cluster, avg(d) AS s, count(*) AS n FROM (SELECT v.cluster, vec_id, sqrt(sum(pow(x - m, 2))) AS d FROM v JOIN cen USING (cluster, i) GROUP BY 1, 2) GROUP BY 1),
+gaps AS (SELECT p.cluster AS c, q.cluster AS o, sqrt(sum(pow(p.m - q.m, 2))) AS g FROM cen p JOIN cen q ON p.i = q.i AND p.cluster <> q.cluster GROUP BY 1, 2), db AS (SELECT avg(r) AS davies_bouldin FROM (SELECT c, max((x.s + y.s) / g) AS r FROM gaps JOIN spread x ON x.cluster = c JOIN spread y ON y.cluster = o GROUP BY 1)),
+lab AS (SELECT vec_id, unnest([0, 1, 2]) AS t, unnest([label, vec_id % 7, vec_id % 5]) AS l FROM embeddings WHERE embedding IS NOT NULL), cells AS (SELECT p.t AS f, q.t AS g, p.l AS x, q.l AS y, count(*)::DOUBLE AS n FROM lab p JOIN lab q ON p.vec_id = q.vec_id AND p.t < q.t GROUP BY ALL),
+ar AS (SELECT f, g, sum(n * (n - 1) / 2) AS s, sum(n) AS n FROM cells GROUP BY 1, 2), ax AS (SELECT f, g, sum(m * (m - 1) / 2) AS a FROM (SELECT f, g, x, sum(n) AS m FROM cells GROUP BY 1, 2, 3) GROUP BY 1, 2), ay AS (SELECT f, g, sum(m * (m - 1) / 2) AS b FROM (SELECT f, g, y, sum(n) AS m FROM cells GROUP BY 1, 2, 3) GROUP BY 1, 2),
+st AS (SELECT avg((s - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2))) AS stability FROM ar JOIN ax USING (f, g) JOIN ay USING (f, g))
+SELECT round(mean_silhouette, 6) AS mean_silhouette, round(negative_share, 6) AS negative_share, round(davies_bouldin, 6) AS davies_bouldin, (SELECT round(min(n) / max(n), 6) FROM spread) AS size_balance, round(stability, 6) AS stability FROM sil, db, st""")
 def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.cluster_quality(_vectors(spark, sf_dir), ["vec_id"])
+    """Of the given labels; their stability is against two other given labelings."""
+    rows = _vectors(spark, sf_dir).withColumn("labelings", F.array(F.col("cluster").cast("bigint"), F.col("vec_id") % 7, F.col("vec_id") % 5))
+    return series.cluster_quality(rows, ["vec_id"], labelings="labelings")
 
 
 @query("""WITH n AS (SELECT label AS a, vec_id % 7 AS b, count(*)::DOUBLE AS n FROM embeddings GROUP BY 1, 2), t AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS n, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM n GROUP BY a)) AS x, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM n GROUP BY b)) AS y FROM n)
