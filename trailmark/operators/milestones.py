@@ -35,8 +35,12 @@ def _order(keys: Sequence[str]):
 
 
 def with_event_week(timeline: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Adds event_week: whole weeks since the person's first event."""
-    first = F.min("event_timestamp").over(Window.partitionBy(*keys))
+    """The timeline with event_week. A timeline that has it keeps it (build_timeline counts from the first commit); else it is
+    whole weeks since the person's first commit, or first event where there is no commit."""
+    if "event_week" in timeline.columns:
+        return timeline
+    span = Window.partitionBy(*keys)
+    first = F.coalesce(F.min(F.when(F.col("event_type") == "commit", F.col("event_timestamp"))).over(span), F.min("event_timestamp").over(span))
     return timeline.withColumn("event_week", F.floor(F.datediff("event_timestamp", first) / 7).cast("int"))
 
 
@@ -52,7 +56,7 @@ def sustained_participation(timeline: DataFrame, keys: Sequence[str] = KEYS, wid
     Windows start in the first active week or later and end in the last active week at the latest; with
     reference_compat the very last of them isn't looked at.
     """
-    weeks = with_event_week(timeline, keys).select(*keys, "event_week").distinct()
+    weeks = with_event_week(timeline, keys).where("event_week is not null").select(*keys, "event_week").distinct()
     span = Window.partitionBy(*keys)
     weeks = weeks.withColumn("first", F.min("event_week").over(span)).withColumn("last", F.max("event_week").over(span))
     # The count can only rise in an active week, so each active week can be the first of the window's last weeks.
@@ -115,8 +119,9 @@ def direct_commit_access(timeline: DataFrame, keys: Sequence[str] = KEYS, need:
 
 
 def all_milestones(timeline: DataFrame, keys: Sequence[str] = KEYS, component: str | None = None) -> DataFrame:
-    """A row for each person: start_at and every milestone's columns, null where it isn't reached."""
-    out = timeline.groupBy(*keys).agg(F.min("event_timestamp").alias("start_at"), F.count(F.lit(1)).alias("events"))
+    """A row for each person: start_at, start_week, events and every milestone's columns, null where it isn't reached."""
+    timeline = with_event_week(timeline, keys)
+    out = timeline.groupBy(*keys).agg(F.min("event_timestamp").alias("start_at"), F.min("event_week").alias("start_week"), F.count(F.lit(1)).alias("events"))
     parts = [f(timeline, keys) for f in (first_merged_pr, sustained_participation, failure_recovery, return_after_absence, acceptance_trajectory, direct_commit_access)]
     if component:
         parts.append(component_breadth(timeline, keys, component))
@@ -135,9 +140,9 @@ def milestone_counts(milestones: DataFrame) -> DataFrame:
 def milestone_sequences(milestones: DataFrame, keys: Sequence[str] = KEYS, min_events: int = 0) -> DataFrame:
     """keys, sequence: START, the reached states by time (ties by name) and END; repeats in a row count once.
 
-    Sustained participation is dated from the start by its week; only classic acceptance counts. min_events keeps a cohort.
+    Sustained participation is dated from the start by the weeks since the start's; only classic acceptance counts. min_events keeps a cohort.
     """
-    weeks = F.col("start_at") + F.make_interval(weeks=F.col("sustained_week"))
+    weeks = F.col("start_at") + F.make_interval(weeks=F.col("sustained_week") - F.coalesce(F.col("start_week"), F.lit(0)))
     dated = {"first_merged": F.col("first_merged_at"), "sustained": weeks, "recovery": F.col("recovery_at"), "return": F.col("return_at"), "acceptance": F.when(F.col("acceptance_variant") == "classic", F.col("acceptance_at")), "direct": F.col("direct_at")}
     events = F.array(*[F.struct(c.alias("at"), F.lit(STATES[k]).alias("name")) for k, c in dated.items()])
     names = F.transform(F.sort_array(F.filter(events, lambda e: e["at"].isNotNull())), lambda e: e["name"])
@@ -168,26 +173,67 @@ def precore_activity_sweep(timeline: DataFrame, keys: Sequence[str] = KEYS, thre
     return each.groupBy("threshold").agg(count_if(kept).alias("kept"), count_if(~kept).alias("dropped"))
 
 
-def milestones_v1(timeline: DataFrame, reviews: DataFrame, keys: Sequence[str] = KEYS, component: str = "area", words: str = r"(?i)\b(?:help|fix|try|works|solution)\b", burst: int = 5, days: int = 90, gap: int = 30) -> DataFrame:
-    """keys and seven dates, null where not reached: accepted_at (first merged request), five_at (fifth contribution within 90
-    days), gap_at (first event after a gap of over 30 days), review_at (first message on another's thread), cross_area_at
-    (first event in a second area), helpful_at (first message with a helpful word), recovered_at (first merged request after
-    a closed one). reviews: keys, thread_owner, at, body."""
+#: Key words of areas in commit messages and in titles of pull requests, tried in this order, and of helpful comments.
+COMMIT_AREAS = (("documentation", ("doc", "readme", "tutorial")), ("testing", ("test", "spec", "coverage")), ("bugfix", ("fix", "bug", "patch")))
+TITLE_AREAS = (("documentation", ("doc",)), ("testing", ("test",)), ("bugfix", ("fix", "bug")))
+HELPFUL = ("try", "should", "could", "suggest", "recommend", "here's how", "example", "solution", "fix")
+
+
+def _holds(text: Column, words: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def contribution_area(text: str = "text") -> Column:
+    """The area of a commit by its message, of a pull request by its title: the first whose key words lie anywhere in the text,
+    else feature; null for other events."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+
+    def area(kinds) -> Column:
+        out = F.lit("feature")
+        for name, words in reversed(kinds):
+            out = F.when(_holds(low, words), name).otherwise(out)
+        return out
+
+    return F.when(F.col("event_type") == "commit", area(COMMIT_AREAS)).when(_pr(), area(TITLE_AREAS))
+
+
+def milestones_v1(timeline: DataFrame, reviews: DataFrame, comments: DataFrame, keys: Sequence[str] = KEYS, text: str = "text", burst: int = 5, days: int = 90, gap: int = 30) -> DataFrame:
+    """keys and, for each of seven milestones, its time and week (<name>_at, <name>_week; null where not reached):
+
+    accepted: first merged pull request; sustained: the fifth of five contributions (merged requests and commits) in a row within
+    90 days; returned: first event over 30 whole days after the one before; reviewed: first pull request of another that the
+    person reviewed; crossed: first event in another area than the first (see contribution_area); helped: first thread of
+    another with a comment by the person that holds a helpful word; recovered: first merged request after the first closed one.
+
+    timeline: with `text`, the message or title. reviews, comments (with body): keys, event_id and owner of the person's
+    reviews of pull requests and comments on threads in the timeline; those without an owner don't count.
+    """
     order = _order(keys)
-    span = Window.partitionBy(*keys)
-    rows = timeline.withColumn("fifth", F.lead("event_timestamp", burst - 1).over(order)).withColumn("before", F.lag("event_timestamp").over(order))
-    closed = F.min(F.when(_pr() & (F.col("pr_state") == "closed"), F.col("event_timestamp"))).over(span)
-    first_area = F.first(component, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumn("closed_at", closed).withColumn("first_area", first_area)
-    merged = _pr() & (F.col("pr_state") == "merged")
-    when = lambda test, c="event_timestamp": F.min(F.when(test, F.col(c)))
-    own = rows.groupBy(*keys).agg(
-        when(merged).alias("accepted_at"),
-        when(F.datediff("fifth", "event_timestamp") <= days, "fifth").alias("five_at"),
-        when(F.datediff("event_timestamp", "before") > gap).alias("gap_at"),
-        when(F.col(component) != F.col("first_area")).alias("cross_area_at"),
-        when(merged & (F.col("event_timestamp") > F.col("closed_at"))).alias("recovered_at"),
+    rows = with_event_week(timeline, keys).withColumn("e", F.struct("event_timestamp", "event_id", "event_week"))
+    merged, closed = _pr() & (F.col("pr_state") == "merged"), _pr() & F.col("pr_state").isin("closed", "rejected")
+    first_of = lambda test: F.min(F.when(test, F.col("e")))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    area = rows.withColumn("area", contribution_area(text)).withColumn("first_area", F.first("area", ignorenulls=True).over(whole))
+    before = F.lag("event_timestamp").over(order)
+    away = F.floor((F.unix_seconds("event_timestamp") - F.unix_seconds(before)) / 86400)
+    area = area.withColumn("away", away).withColumn("closed", F.min(F.when(closed, F.col("e"))).over(whole))
+    own = area.groupBy(*keys).agg(
+        first_of(merged).alias("accepted"),
+        first_of(F.col("away") > gap).alias("returned"),
+        first_of(F.col("area") != F.col("first_area")).alias("crossed"),
+        first_of(merged & F.col("closed").isNotNull() & (F.struct("event_timestamp", "event_id") > F.struct("closed.event_timestamp", "closed.event_id"))).alias("recovered"),
     )
-    other = F.col("thread_owner") != F.col(keys[0])
-    said = reviews.groupBy(*keys).agg(F.min(F.when(other, F.col("at"))).alias("review_at"), F.min(F.when(other & F.col("body").rlike(words), F.col("at"))).alias("helpful_at"))
-    return own.join(said, list(keys), "left")
+    run = rows.where(merged | (F.col("event_type") == "commit")).withColumn("fifth", F.lead("e", burst - 1).over(order))
+    run = run.where(F.datediff("fifth.event_timestamp", "event_timestamp") <= days).groupBy(*keys).agg(F.min("fifth").alias("sustained"))
+    by_id = lambda frame: rows.join(frame.where(F.col("owner").isNotNull() & (F.col("owner") != "") & (F.col("owner") != F.col(keys[0]))), [*keys, "event_id"])
+    seen = by_id(reviews.select(*keys, "event_id", "owner")).where(_pr()).groupBy(*keys).agg(F.min("e").alias("reviewed"))
+    words = _holds(F.lower(F.coalesce(F.col("body"), F.lit(""))), HELPFUL)
+    said = by_id(comments.select(*keys, "event_id", "owner", "body")).where(F.col("event_type").isin("pull_request", "issue") & words).groupBy(*keys).agg(F.min("e").alias("helped"))
+    out = own
+    for part in (run, seen, said):
+        out = out.join(part, list(keys), "left")
+    names = ("accepted", "sustained", "returned", "reviewed", "crossed", "helped", "recovered")
+    return out.select(*keys, *[c for n in names for c in (F.col(f"{n}.event_timestamp").alias(f"{n}_at"), F.col(f"{n}.event_week").alias(f"{n}_week"))])

@@ -9,10 +9,23 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.columns import clean_email, count_if, is_blank
 
-#: Owners of community foundations and of companies, lower case.
-FOUNDATIONS = ("apache", "cncf", "eclipse", "gnome", "kde", "kubernetes", "linuxfoundation", "mozilla", "numfocus", "openjs-foundation", "openstack", "python")
-FOUNDATION_SUFFIXES = ("-foundation", "-project", "-community")
-COMPANIES = ("adobe", "airbnb", "alibaba", "amazon", "apple", "aws", "azure", "facebook", "google", "hashicorp", "ibm", "intel", "meta", "microsoft", "netflix", "nvidia", "oracle", "redhat", "salesforce", "shopify", "spotify", "tencent", "twitter", "uber", "vmware")
+#: Owners backed by companies, and owners of community foundations, lower case.
+COMPANIES = (
+    "google", "googleapis", "google-research", "chromium", "android", "tensorflow", "bazelbuild",
+    "microsoft", "azure", "dotnet", "microsoftgraph",
+    "meta", "facebook", "fbsamples",
+    "uber", "airbnb", "square", "paypal", "stripe", "shopify", "netflix", "linkedin", "oracle", "ibm",
+    "adobe", "intel", "nvidia", "bytedance", "alibaba", "baidu", "tencent", "salesforce", "heroku",
+    "atlassian", "elastic", "databricks", "confluentinc", "redhat", "aws", "awslabs", "amzn",
+    "docker", "hashicorp", "github", "gitlab", "canonical", "jetbrains", "yandex", "spotify",
+    "twitter", "x", "pinterest", "dropbox", "cloudflare", "digitalocean", "cisco", "juniper",
+    "samsung", "apple", "arm", "sony", "nokia", "wechat", "meituan", "huawei", "antfin",
+)
+FOUNDATIONS = (
+    "apache", "eclipse", "openstack", "mozilla", "linuxfoundation", "cncf", "kubernetes", "lfai",
+    "theupdateframework", "cdfoundation", "openjs-foundation", "openjs", "opentelemetry", "opentracing",
+    "cloudfoundry", "joomla", "drupal", "gnome", "kde", "qt", "opendaylight",
+)
 
 
 def normalize_identity(commits: DataFrame, project: str = "project_name", email: str = "author_email", name: str = "author_name") -> DataFrame:
@@ -50,13 +63,12 @@ def bot_shares(commits: DataFrame, group: str = "project_type", message: str | N
     return commits.groupBy(group).agg(n.alias("commits"), count_if(named).alias("bot_commits"), (count_if(named) * 100.0 / n).alias("bot_pct"), *extra)
 
 
-def owner_class(project: Column) -> Column:
-    """community-led or company-backed by the owner before the slash; unknown for a blank one, community-led if not listed."""
+def owner_class(project: Column, companies: Sequence[str] = COMPANIES, foundations: Sequence[str] = FOUNDATIONS) -> Column:
+    """community-led or company-backed by the owner before the slash: unknown for a blank one, community-led if it holds
+    "foundation" or is a listed foundation, company-backed if it is a listed company, else community-led."""
     owner = F.lower(F.trim(F.split_part(project, F.lit("/"), F.lit(1))))
-    suffix = F.lit(False)
-    for s in FOUNDATION_SUFFIXES:
-        suffix = suffix | owner.endswith(s)
-    return F.when(owner.isNull() | (owner == ""), "unknown").when(owner.isin(*FOUNDATIONS) | suffix, "community-led").when(owner.isin(*COMPANIES), "company-backed").otherwise("community-led")
+    led = owner.contains("foundation") | owner.isin(*foundations)
+    return F.when(owner.isNull() | (owner == ""), "unknown").when(led, "community-led").when(owner.isin(*companies), "company-backed").otherwise("community-led")
 
 
 def owner_class_counts(projects: DataFrame, project: str = "project_name", group: str = "project_type") -> DataFrame:

@@ -13,7 +13,7 @@ from trailmark.plans.views import SPARSE, TIMELINE, sparse_timeline, table, time
 
 
 def weeks(view: str) -> str:
-    return f"wk AS (SELECT *, (date_diff('day', min(event_timestamp) OVER (PARTITION BY person)::DATE, event_timestamp::DATE) // 7)::INT AS event_week FROM {view})"
+    return f"wk AS (SELECT *, floor(date_diff('day', coalesce(min(event_timestamp) FILTER (event_type = 'commit') OVER (PARTITION BY person), min(event_timestamp) OVER (PARTITION BY person))::DATE, event_timestamp::DATE) / 7)::INT AS event_week FROM {view})"
 
 
 SUSTAINED = """active AS (SELECT DISTINCT person, event_week FROM wk), ends AS (SELECT person, min(event_week) AS a, max(event_week) AS b FROM active GROUP BY 1),
@@ -82,10 +82,10 @@ def direct_commit_access(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = sparse(
     MERGED, SUSTAINED, RECOVERY, ABSENCE, ACCEPT, DIRECT,
-    "base AS (SELECT person, any_value(project_type) AS project_type, min(event_timestamp) AS start_at, count(*) AS events FROM wk GROUP BY 1)",
+    "base AS (SELECT person, any_value(project_type) AS project_type, min(event_timestamp) AS start_at, min(event_week) AS start_week, count(*) AS events FROM wk GROUP BY 1)",
     "ms AS (SELECT * FROM base LEFT JOIN fm USING (person) LEFT JOIN sustained USING (person) LEFT JOIN rec USING (person) LEFT JOIN ret USING (person) LEFT JOIN accepted USING (person) LEFT JOIN dir USING (person))",
 )
-SEQUENCES = f"""{ALL}, dated AS (SELECT person, first_merged_at AS t, 'FirstMergedPullRequest' AS s FROM ms UNION ALL SELECT person, start_at + sustained_week * INTERVAL 7 DAY, 'SustainedParticipation12w' FROM ms UNION ALL SELECT person, recovery_at, 'FailureRecovery' FROM ms
+SEQUENCES = f"""{ALL}, dated AS (SELECT person, first_merged_at AS t, 'FirstMergedPullRequest' AS s FROM ms UNION ALL SELECT person, start_at + (sustained_week - start_week) * INTERVAL 7 DAY, 'SustainedParticipation12w' FROM ms UNION ALL SELECT person, recovery_at, 'FailureRecovery' FROM ms
 UNION ALL SELECT person, return_at, 'ReturnAfterExtendedAbsence' FROM ms UNION ALL SELECT person, acceptance_at, 'HighAcceptanceTrajectory' FROM ms WHERE acceptance_variant = 'classic' UNION ALL SELECT person, direct_at, 'DirectCommitAccessProxy' FROM ms),
 seqs AS (SELECT person, project_type, 'START' || coalesce(',' || s, '') || ',END' AS sequence FROM ms LEFT JOIN (SELECT person, string_agg(s, ',' ORDER BY t, s) AS s FROM dated WHERE t IS NOT NULL GROUP BY 1) USING (person)),
 steps AS (SELECT project_type, l[i] AS src, l[i + 1] AS dst FROM (SELECT project_type, string_split(sequence, ',') AS l, unnest(range(1, len(string_split(sequence, ',')))) AS i FROM seqs))"""
@@ -176,12 +176,31 @@ def sequences_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.sequences_with_state(_sequences(spark, sf_dir), "FailureRecovery", "person").withColumn("members", F.array_join("members", ","))
 
 
-@query(f"""{sparse("area AS (SELECT *, event_id % 4 AS a FROM wk)", "o AS (SELECT *, lead(event_timestamp, 4) OVER w AS fifth, lag(event_timestamp) OVER w AS b, first_value(a) OVER (PARTITION BY person ORDER BY event_timestamp, event_id) AS fa, min(CASE WHEN pr_state = 'closed' THEN event_timestamp END) OVER (PARTITION BY person) AS ca FROM area WINDOW w AS (PARTITION BY person ORDER BY event_timestamp, event_id))")},
-own AS (SELECT person, min(event_timestamp) FILTER (pr_state = 'merged') AS accepted_at, min(fifth) FILTER (date_diff('day', event_timestamp::DATE, fifth::DATE) <= 90) AS five_at, min(event_timestamp) FILTER (date_diff('day', b::DATE, event_timestamp::DATE) > 30) AS gap_at, min(event_timestamp) FILTER (a <> fa) AS cross_area_at, min(event_timestamp) FILTER (pr_state = 'merged' AND event_timestamp > ca) AS recovered_at FROM o GROUP BY 1),
-rv AS (SELECT 'c' || (l_suppkey % 500) AS person, min(l_shipdate::TIMESTAMP) FILTER ('c' || (l_orderkey % 500) <> 'c' || (l_suppkey % 500)) AS review_at, min(l_shipdate::TIMESTAMP) FILTER ('c' || (l_orderkey % 500) <> 'c' || (l_suppkey % 500) AND l_returnflag = 'R') AS helpful_at FROM lineitem GROUP BY 1)
-SELECT * FROM own LEFT JOIN rv USING (person)""")
+#: Texts of the made events, with what they are by hand: (message or title, area of a commit, area of a request).
+TEXTS = (("Update README", "documentation", "feature"), ("Add spec for parser", "testing", "feature"), ("PATCH the loader", "bugfix", "feature"), ("Fix doctest", "documentation", "documentation"), ("New widget", "feature", "feature"), ("debugging aid", "bugfix", "bugfix"), ("latest release", "testing", "testing"), (None, "feature", "feature"))
+#: Comments, and whether they help.
+BODIES = (("You should see this example", 1), ("thanks!", 0), ("HERE'S HOW it works", 1), ("noted", 0), ("prefixes are fine", 1), ("help me", 0), (None, 0))
+
+
+def _choice(at: str, values) -> str:
+    return f"CASE {at} " + " ".join(f"WHEN {i} THEN " + ("NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)) for i, v in enumerate(values)) + " END"
+
+
+@query(f"""{sparse()}, ev AS (SELECT *, CASE event_type WHEN 'commit' THEN {_choice(f'event_id % {len(TEXTS)}', [t[1] for t in TEXTS])} WHEN 'pull_request' THEN {_choice(f'event_id % {len(TEXTS)}', [t[2] for t in TEXTS])} END AS area,
+  row_number() OVER (PARTITION BY person ORDER BY event_timestamp, event_id) AS i, lag(event_timestamp) OVER (PARTITION BY person ORDER BY event_timestamp, event_id) AS b FROM wk),
+runs AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY i) AS k FROM ev WHERE event_type = 'commit' OR pr_state = 'merged'),
+five AS (SELECT x.person, min(y.i) AS i FROM runs x JOIN runs y ON y.person = x.person AND y.k = x.k + 4 AND date_diff('day', x.event_timestamp::DATE, y.event_timestamp::DATE) <= 90 GROUP BY 1),
+heads AS (SELECT person, arg_min(area, i) FILTER (area IS NOT NULL) AS head, min(i) FILTER (pr_state = 'closed') AS shut FROM ev GROUP BY 1),
+own AS (SELECT person, min(i) FILTER (pr_state = 'merged') AS accepted, min(i) FILTER (floor((epoch(event_timestamp) - epoch(b)) / 86400) > 30) AS returned, min(i) FILTER (area <> head) AS crossed, min(i) FILTER (pr_state = 'merged' AND i > shut) AS recovered FROM ev JOIN heads USING (person) GROUP BY 1),
+msgs AS (SELECT ev.person, ev.i, ev.event_type, CASE WHEN l_suppkey % 3 > 0 THEN 'c' || l_suppkey END AS owner, {_choice(f'l_partkey % {len(BODIES)}', [b[1] for b in BODIES])} AS helps FROM lineitem JOIN ev ON l_orderkey = event_id),
+seen AS (SELECT person, min(i) FILTER (event_type = 'pull_request') AS reviewed, min(i) FILTER (event_type <> 'commit' AND helps = 1) AS helped FROM msgs WHERE owner <> person GROUP BY 1),
+reached AS (SELECT own.*, five.i AS sustained, reviewed, helped FROM own LEFT JOIN five USING (person) LEFT JOIN seen USING (person))
+SELECT reached.person, {', '.join(f"(SELECT event_timestamp FROM ev WHERE ev.person = reached.person AND i = {m}) AS {m}_at, (SELECT event_week FROM ev WHERE ev.person = reached.person AND i = {m}) AS {m}_week" for m in ("accepted", "sustained", "returned", "reviewed", "crossed", "helped", "recovered"))} FROM reached""")
 def milestones_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = sparse_timeline(spark, sf_dir).withColumn("area", F.col("event_id") % 4)
-    line = table(spark, sf_dir, "lineitem")
-    said = line.select(F.concat(F.lit("c"), F.col("l_suppkey") % 500).alias("person"), F.concat(F.lit("c"), F.col("l_orderkey") % 500).alias("thread_owner"), F.col("l_shipdate").cast("timestamp").alias("at"), F.when(F.col("l_returnflag") == "R", "This works now").otherwise("noted").alias("body"))
-    return milestones.milestones_v1(t, said)
+    """An order's lines are reviews of it and comments on it by its customer; the line's supplier owns the thread."""
+    pick = lambda c, n, values: F.array(*[F.lit(v) for v in values])[(F.col(c) % n).cast("int")]
+    t = sparse_timeline(spark, sf_dir).withColumn("text", pick("event_id", len(TEXTS), [x[0] for x in TEXTS]))
+    line = table(spark, sf_dir, "lineitem").join(t.select("person", "event_id"), F.col("l_orderkey") == F.col("event_id"))
+    owner = F.when(F.col("l_suppkey") % 3 > 0, F.concat(F.lit("c"), F.col("l_suppkey")))
+    said = line.select("person", "event_id", owner.alias("owner"), pick("l_partkey", len(BODIES), [b[0] for b in BODIES]).alias("body"))
+    return milestones.milestones_v1(t, said.drop("body"), said)
