@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.columns import effect_label
 from trailmark.functions.tails import chi2_p, normal_p
+from trailmark.operators.written import written
 
 
 def value_counts(frame: DataFrame, keys: Sequence[str], group: str, x: str) -> DataFrame:
@@ -98,17 +99,22 @@ def group_ranks(frame: DataFrame, keys: Sequence[str], group: str, x: str) -> Da
     return sums.join(ties, list(keys)) if keys else sums.crossJoin(F.broadcast(ties))
 
 
+def rank_sum_z(u: Column, n1: Column, n2: Column, tie_sum: Column) -> Column:
+    """Normal deviate of U, corrected for ties and continuity; 0 without spread."""
+    n = n1 + n2
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - tie_sum / F.greatest(n * (n - 1), F.lit(1.0))))
+    return F.when(sd > 0, (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd).otherwise(F.lit(0.0))
+
+
 def mann_whitney_u(frame: DataFrame, group: str, x: str, first: str, second: str, keys: Sequence[str] = ()) -> DataFrame:
     """keys, n1, n2, u (of the first group), z (tie-corrected, with continuity correction), p_value (two-sided, normal; 1 without spread)."""
     r = group_ranks(frame.where(F.col(group).isin(first, second)), keys, group, x)
     pick = lambda c, g: F.max(F.when(F.col("group") == g, F.col(c)))
     aggs = [pick("n", first).alias("n1"), pick("n", second).alias("n2"), pick("rank_sum", first).alias("r1"), F.max("total").alias("total"), F.max("tie_sum").alias("tie_sum")]
     wide = r.groupBy(*keys).agg(*aggs).where("n1 > 0 and n2 > 0")
-    n1, n2, n = F.col("n1").cast("double"), F.col("n2").cast("double"), F.col("total").cast("double")
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie_sum") / F.greatest(n * (n - 1), F.lit(1.0))))
-    upper = F.greatest(u, n1 * n2 - u)
-    z = F.when(sd > 0, (upper - n1 * n2 / 2 - 0.5) / sd).otherwise(F.lit(0.0))
+    z = rank_sum_z(u, n1, n2, F.col("tie_sum"))
     # Where u is half a pair from its mean or less, the corrected z is negative and p is 1.
     return wide.select(*keys, "n1", "n2", u.alias("u"), z.alias("z")).withColumn("p_value", normal_p(F.greatest(F.col("z"), F.lit(0.0))))
 
@@ -213,16 +219,35 @@ def unpivot_metrics(frame: DataFrame, keys: Sequence[str], metrics: Sequence[str
 
 
 def group_compare(long: DataFrame, group: str, first: str, second: str, min_n: int = 1) -> DataFrame:
-    """From (metric, group, x): for each metric n, mean, median and std of both groups, u, z, p_value, delta (ties) and its label.
+    """From (metric, group, x): for each metric n, mean, median and std of both groups, u, z, p_value, delta (ties count for
+    neither side) and its label, and delta_strict (ties count as less, first over second).
 
     direction names the group with the larger median (then mean), "equal" if neither. Metrics with fewer than `min_n`
-    values in a group are left out.
+    values in a group are left out. The rows are read once, for the counts of values; their running sums give medians, ranks
+    and dominance together.
     """
-    sums = quartile_summary(long.where(F.col(group).isin(first, second)), ["metric", group], "x")
-    pick = lambda c, g, name: F.max(F.when(F.col(group) == g, F.col(c))).alias(name)
-    wide = sums.groupBy("metric").agg(*[pick(c, g, f"{c}{i}") for i, g in ((1, first), (2, second)) for c in ("mean", "median", "std")])
-    u = mann_whitney_u(long, group, "x", first, second, ["metric"])
-    d = cliffs_delta_ties(long, group, "x", first, second, ["metric"]).select("metric", "delta", "label")
+    counts = value_counts(long.where(F.col(group).isin(first, second)), ["metric"], group, "x")
+    of = lambda g: F.sum(F.when(F.col("group") == g, F.col("n")).otherwise(0))
+    pair = written(counts.groupBy("metric", "x").agg(of(first).alias("a"), of(second).alias("b")))
+    x = F.col("x")
+    means = pair.groupBy("metric").agg(*[(F.sum(x * c) / F.when(F.sum(c) > 0, F.sum(c))).alias(f"mean{i}") for i, c in ((1, F.col("a")), (2, F.col("b")))])
+    # A row a metric.
+    rows = running_sums(pair, ["metric"], "x", ["a", "b"]).join(means, "metric")
+    n = {c: F.col(f"{c}_all") for c in "ab"}
+    parts = [F.max(n["a"]).alias("n1"), F.max(n["b"]).alias("n2"), F.max("mean1").alias("mean1"), F.max("mean2").alias("mean2")]
+    for i, c in ((1, "a"), (2, "b")):
+        for side, place in (("low", F.floor((n[c] - 1) / 2)), ("high", F.ceil((n[c] - 1) / 2))):
+            parts.append(F.max(F.when((F.col(f"{c}_below") <= place) & (place < F.col(f"{c}_below") + F.col(c)), x)).alias(f"{side}{i}"))
+        gap = x - F.col(f"mean{i}")
+        parts.append(F.sum(F.col(c) * gap * gap).alias(f"squares{i}"))
+    t = (F.col("a") + F.col("b")).cast("double")
+    rank = F.col("a_below") + F.col("b_below") + (t + 1) / 2
+    parts += [F.sum(F.col("a") * rank).alias("r1"), F.sum(t * t * t - t).alias("tie_sum"), F.sum(F.col("a") * F.col("b_below")).alias("greater"), F.sum(F.col("b") * F.col("a_below")).alias("less")]
+    found = rows.groupBy("metric").agg(*parts).where((F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n1") >= min_n) & (F.col("n2") >= min_n))
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    found = found.withColumns({f"median{i}": (F.col(f"low{i}") + F.col(f"high{i}")) / 2 for i in (1, 2)} | {f"std{i}": F.when(m > 1, F.sqrt(F.col(f"squares{i}") / (m - 1))) for i, m in ((1, n1), (2, n2))})
+    found = found.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2).withColumn("z", rank_sum_z(F.col("u"), n1, n2, F.col("tie_sum"))).withColumn("p_value", normal_p(F.greatest(F.col("z"), F.lit(0.0))))
+    found = found.withColumn("delta", (F.col("less") - F.col("greater")) / (n1 * n2)).withColumn("delta_strict", 2.0 * F.col("greater") / (n1 * n2) - 1)
     larger = F.when(F.col("median1") != F.col("median2"), F.col("median1") > F.col("median2")).when(F.col("mean1") != F.col("mean2"), F.col("mean1") > F.col("mean2"))
-    direction = F.when(larger, first).when(~larger, second).otherwise("equal")
-    return u.where((F.col("n1") >= min_n) & (F.col("n2") >= min_n)).join(wide, "metric").join(d, "metric").withColumn("direction", direction)
+    found = found.withColumn("label", effect_label(F.col("delta"))).withColumn("direction", F.when(larger, first).when(~larger, second).otherwise("equal"))
+    return found.select("metric", "n1", "n2", "u", "z", "p_value", *[f"{c}{i}" for i in (1, 2) for c in ("mean", "median", "std")], "delta", "delta_strict", "label", "direction")

@@ -343,9 +343,9 @@ def quartile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{U}, s AS (SELECT metric, grp, avg(x) AS mean, quantile_cont(x, 0.5) AS median, stddev_samp(x) AS std FROM long GROUP BY ALL), w AS (SELECT metric, max(mean) FILTER (grp = 'A') AS mean1, max(median) FILTER (grp = 'A') AS median1, max(std) FILTER (grp = 'A') AS std1,
   max(mean) FILTER (grp = 'B') AS mean2, max(median) FILTER (grp = 'B') AS median2, max(std) FILTER (grp = 'B') AS std2 FROM s GROUP BY 1),
-d AS (SELECT metric, (lt - gt) / (n1 * n2) AS delta FROM dom JOIN sizes USING (metric))
+d AS (SELECT metric, (lt - gt) / (n1 * n2) AS delta, 2.0 * gt / (n1 * n2) - 1 AS delta_strict FROM dom JOIN sizes USING (metric))
 SELECT metric, n1, n2, round(u, 6) AS u, round(z, 6) AS z, round({normal_p('greatest(z, 0)')}, 6) AS p_value, round(mean1, 6) AS mean1, round(median1, 6) AS median1, round(std1, 6) AS std1, round(mean2, 6) AS mean2, round(median2, 6) AS median2, round(std2, 6) AS std2,
-  round(delta, 6) AS delta, {LABEL}, CASE WHEN median1 > median2 THEN 'A' WHEN median1 < median2 THEN 'B' WHEN mean1 > mean2 THEN 'A' WHEN mean1 < mean2 THEN 'B' ELSE 'equal' END AS direction FROM (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd AS z FROM us) JOIN w USING (metric) JOIN d USING (metric)""")
+  round(delta, 6) AS delta, round(delta_strict, 6) AS delta_strict, {LABEL}, CASE WHEN median1 > median2 THEN 'A' WHEN median1 < median2 THEN 'B' WHEN mean1 > mean2 THEN 'A' WHEN mean1 < mean2 THEN 'B' ELSE 'equal' END AS direction FROM (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd AS z FROM us) JOIN w USING (metric) JOIN d USING (metric)""")
 def group_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.group_compare(_long(spark, sf_dir), "grp", "A", "B", min_n=5)
 
@@ -356,5 +356,4 @@ p AS (SELECT count(*) FILTER (a.x > b.x) + count(*) FILTER (a.x = b.x) / 2 AS u,
 SELECT (SELECT count(*) FROM s WHERE grp = 'A') AS n1, (SELECT count(*) FROM s WHERE grp = 'B') AS n2, u::DOUBLE AS u, round(delta, 6) AS delta, round((SELECT quantile_cont(x, 0.5) FROM s WHERE grp = 'A'), 6) AS median1, round((SELECT quantile_cont(x, 0.5) FROM s WHERE grp = 'B'), 6) AS median2 FROM p""")
 def core_share_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = core.project_metrics(commits(spark, sf_dir)).select(F.lit("core_ratio").alias("metric"), F.col("project_type").alias("grp"), F.col("core_ratio").alias("x"))
-    u = stats.group_compare(m, "grp", "A", "B").select("metric", "n1", "n2", "u", "median1", "median2")
-    return u.join(stats.cliffs_delta_strict(m, "grp", "x", "A", "B", ["metric"]).select("metric", "delta"), "metric").drop("metric")
+    return stats.group_compare(m, "grp", "A", "B").select("n1", "n2", "u", "median1", "median2", F.col("delta_strict").alias("delta"))
