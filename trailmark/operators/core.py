@@ -23,10 +23,30 @@ def contributor_counts(commits: DataFrame, keys: Sequence[str] = ("project_name"
     return commits.groupBy(*keys, person).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ranked(counts: DataFrame, keys: Sequence[str], person: str) -> DataFrame:
-    """Adds total, cum (with the row itself) and place."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc(person))
-    return counts.withColumn("total", F.sum("n").over(Window.partitionBy(*keys))).withColumn("cum", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(order))
+def count_table(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, n, people (who have n), people_below (who have fewer), above (commits of those with more), total and contributors of
+    the key. As long as there are distinct counts; running sums give it, so no task holds all people of a key."""
+    rows = counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("people")).withColumn("commits", F.col("n") * F.col("people"))
+    sums = stats.running_sums(rows, keys, "n", ["people", "commits"])
+    above = F.col("commits_all") - F.col("commits_below") - F.col("commits")
+    return sums.select(*keys, "n", "people", "people_below", above.alias("above"), F.col("commits_all").alias("total"), F.col("people_all").alias("contributors"))
+
+
+def _taken(table: DataFrame, keys: Sequence[str], percent: int, rule: str) -> DataFrame:
+    """The table with taken: how many of the people at each count the core takes, by id."""
+    room = F.col("total") * percent - F.col("above") * 100
+    each = F.col("n") * 100
+    if rule == "reach":
+        taken = F.when(room > 0, F.ceil(room / each)).otherwise(0)
+    elif rule == "plus_one":
+        taken = F.when(room >= 0, F.floor(room / each) + 1).otherwise(0)
+    elif rule == "ties":
+        inside = F.min(F.when(each <= room, F.col("n"))).over(Window.partitionBy(*keys))
+        most = F.max("n").over(Window.partitionBy(*keys))
+        taken = F.when(F.col("n") >= F.coalesce(inside, most), F.col("people")).otherwise(0)
+    else:
+        raise ValueError(f"no such rule: {rule}")
+    return table.withColumn("taken", F.least(taken, F.col("people")).cast("bigint"))
 
 
 def core_members(counts: DataFrame, keys: Sequence[str] = ("project_name",), person: str = "author_email", percent: int = 80, rule: str = "reach") -> DataFrame:
@@ -35,47 +55,47 @@ def core_members(counts: DataFrame, keys: Sequence[str] = ("project_name",), per
     rule "reach": the shortest prefix that reaches the share. "plus_one": the prefix that doesn't exceed it, and always
     one more. "ties": the least count inside the prefix that doesn't exceed it (the largest count if that is empty), and
     everyone who has as many.
+
+    The cut comes from the table of counts; only people at a count of which the core takes some, not all, are put in order.
     """
-    ranked = _ranked(counts, keys, person)
-    if rule == "reach":
-        kept = ranked.where((F.col("cum") - F.col("n")) * 100 < F.col("total") * percent)
-    elif rule == "plus_one":
-        kept = ranked.where((F.col("cum") - F.col("n")) * 100 <= F.col("total") * percent)
-    elif rule == "ties":
-        inside = F.min(F.when(F.col("cum") * 100 <= F.col("total") * percent, F.col("n"))).over(Window.partitionBy(*keys))
-        most = F.max("n").over(Window.partitionBy(*keys))
-        kept = ranked.withColumn("least", F.coalesce(inside, most)).where("n >= least")
-    else:
-        raise ValueError(f"no such rule: {rule}")
-    return kept.select(*keys, person, "n")
+    cuts = _taken(count_table(counts, keys), keys, percent, rule).where("taken > 0").select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("n").alias("_n"), "taken", "people")
+    same = F.col("n") == F.col("_n")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    rows = counts.join(cuts, same).select(*keys, person, "n", "taken", "people")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc(person)))
+    split = rows.where("taken < people").withColumn("place", place).where("place <= taken")
+    return rows.where("taken >= people").select(*keys, person, "n").unionByName(split.select(*keys, person, "n"))
 
 
 def core_summary(counts: DataFrame, keys: Sequence[str] = ("project_name",), person: str = "author_email", percent: int = 80, rule: str = "reach") -> DataFrame:
     """keys, core_size, core_commits, contributors, total, coverage, threshold (floor of the share)."""
-    whole = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("contributors"), F.sum("n").alias("total"))
-    core = core_members(counts, keys, person, percent, rule).groupBy(*keys).agg(F.count(F.lit(1)).alias("core_size"), F.sum("n").alias("core_commits"))
-    return core.join(whole, list(keys)).withColumn("coverage", F.col("core_commits") / F.col("total")).withColumn("threshold", F.floor(F.col("total") * percent / 100))
+    table = _taken(count_table(counts, keys), keys, percent, rule)
+    out = table.groupBy(*keys).agg(F.sum("taken").alias("core_size"), F.sum(F.col("taken") * F.col("n")).alias("core_commits"), F.max("contributors").alias("contributors"), F.max("total").alias("total"))
+    return out.withColumn("coverage", F.col("core_commits") / F.col("total")).withColumn("threshold", F.floor(F.col("total") * percent / 100))
 
 
 def concentration(counts: DataFrame, keys: Sequence[str] = ("project_name",), person: str = "author_email") -> DataFrame:
     """keys, gini, bus_factor, one_time, one_time_ratio, casual (2-10), regular (11-100), heavy (more).
 
     gini is 2 sum(i x) / (n sum(x)) - (n + 1) / n over ascending counts. bus_factor: people within half of the commits,
-    and one more, but no more than there are.
+    and one more, but no more than there are. All from the table of counts.
     """
-    order = Window.partitionBy(*keys).orderBy(F.asc("n"), F.asc(person))
-    ranked = _ranked(counts, keys, person).withColumn("i", F.row_number().over(order))
-    n = F.count(F.lit(1))
-    gini = 2.0 * F.sum(F.col("i") * F.col("n")) / (n * F.sum("n")) - (n + 1) / n
-    tier = lambda lo, hi: count_if((F.col("n") >= lo) & (F.col("n") <= hi))
-    return ranked.groupBy(*keys).agg(
+    people, x = F.col("people"), F.col("n")
+    n, total = F.max("contributors"), F.max("total")
+    # Of p people with equal counts and b before them, the places add up to p b + p (p + 1) / 2.
+    places = F.sum(x * (people * F.col("people_below") + people * (people + 1) / 2.0))
+    gini = 2.0 * places / (n * total) - (n + 1) / n
+    within = F.greatest(F.lit(0), F.least(people, F.floor((F.col("total") - 2 * F.col("above")) / (2 * x))))
+    tier = lambda lo, hi: F.sum(F.when((x >= lo) & (x <= hi), people).otherwise(0)).cast("bigint")
+    return count_table(counts, keys).groupBy(*keys).agg(
         gini.alias("gini"),
-        F.least(count_if(F.col("cum") * 2 <= F.col("total")) + 1, n).cast("bigint").alias("bus_factor"),
+        F.least(F.sum(within) + 1, n).cast("bigint").alias("bus_factor"),
         tier(1, 1).alias("one_time"),
         (tier(1, 1) / n).alias("one_time_ratio"),
         tier(2, 10).alias("casual"),
         tier(11, 100).alias("regular"),
-        count_if(F.col("n") > 100).alias("heavy"),
+        F.sum(F.when(x > 100, people).otherwise(0)).cast("bigint").alias("heavy"),
     )
 
 
@@ -90,7 +110,7 @@ def active_recently(commits: DataFrame, keys: Sequence[str] = ("project_name",),
 def project_metrics(commits: DataFrame, min_commits: int = 10, min_people: int = 3) -> DataFrame:
     """One row a project: size, span, core, concentration and activity; small projects are left out."""
     keys = ["project_name", "project_type"]
-    counts = contributor_counts(commits, keys)
+    counts = written(contributor_counts(commits, keys))
     span = commits.groupBy(*keys).agg(F.min("commit_date").alias("first_commit"), F.max("commit_date").alias("last_commit"))
     out = core_summary(counts, keys).where((F.col("total") >= min_commits) & (F.col("contributors") >= min_people))
     for part in (span, concentration(counts, keys), active_recently(commits, keys)):
