@@ -5,9 +5,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from difflib import SequenceMatcher
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -15,37 +15,73 @@ from pyspark.sql import functions as F
 
 from trailmark.llm._arrow import map_texts
 
+_GNU = "is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_2 = f"{_BSD}: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = f"{_BSD_2} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 #: Wordings of public licences and notices, several for a licence.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-2.0", "This program " + _GNU.format(mark=";", kind="", comma=";", version="2")),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("GPL-3.0", "This program " + _GNU.format(mark=":", kind="", comma=",", version="3")),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-2.1", "This library " + _GNU.format(mark=";", kind="Lesser ", comma=";", version="2.1")),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "This program " + _GNU.format(mark=":", kind="Lesser ", comma=",", version="3")),
+    ("LGPL-3.0", "This library " + _GNU.format(mark=":", kind="Lesser ", comma=",", version="3")),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "This program " + _GNU.format(mark=":", kind="Affero ", comma=",", version="3")),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related rights to this work to the public domain worldwide."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD", _BSD),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", _BSD_2),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", _BSD_3),
+    ("ISC", "ISC License"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
 ]
+#: Endings of short names in identifier lines.
+_ENDINGS = ("", "-only", "-or-later")
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}{end}") for name in dict.fromkeys(n for n, _ in TEMPLATES) if name not in ("BSD", "Proprietary") for end in (_ENDINGS if "GPL" in name else ("",))]
 #: A line with one of these words may belong to a licence.
-TRIGGERS = ("licen", "copyright", "permission", "redistribut", "public domain", "all rights reserved", "free software")
+TRIGGERS = ("licen", "copyright", "permission", "redistribut", "public domain", "all rights reserved", "free software", "cc by", "creative commons")
 #: Lines between two lines of one block at most.
 GAP = 3
 #: Characters of a block that are compressed at once, and from one such piece to the next. In longer pieces a short template's
 #: saving drowns in the changes of the entropy code, which may cost up to NOISE bytes more than it saves.
 PIECE, STEP, NOISE = 1024, 512, 16
+#: Bytes of a place whose saving can't show.
+SHORT = 24
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
@@ -113,34 +149,60 @@ def _needed(word: str) -> bool:
     return len(word) <= 3 or any(c.isdigit() for c in word)
 
 
-def _align(words: list[str], own: list[str], coverage: float) -> tuple[int, int, int, list[str], list[str]] | None:
-    """(start, end, words repeated, missing, added) of the run of matching parts with the fewest missing and added words
-    that confirms the template `own`. The ends are free, so a stray word of the surroundings doesn't count as repeated."""
-    parts = [m for m in SequenceMatcher(None, words, own, autojunk=False).get_matching_blocks() if m.size]
-    best = None
-    for i in range(len(parts)):
-        hit = 0
-        for j in range(i, len(parts)):
-            hit += parts[j].size
-            lo, hi = parts[i].a, parts[j].a + parts[j].size
-            added = hi - lo - hit
-            if added > len(own):
-                break
-            cost = len(own) - hit + added
-            if hit < coverage * len(own) or (best and cost >= best[0]):
-                continue
-            kept = {k for m in parts[i : j + 1] for k in range(m.b, m.b + m.size)}
-            missing = [w for k, w in enumerate(own) if k not in kept]
-            if not any(_needed(w) for w in missing):
-                inside = {k for m in parts[i : j + 1] for k in range(m.a, m.a + m.size)}
-                best = (cost, lo, hi, hit, missing, [words[k] for k in range(lo, hi) if k not in inside])
-    return best[1:] if best else None
-
-
-def _places(words: list[str], own: list[str], coverage: float) -> list[tuple[int, int, int, list[str], list[str]]]:
-    """Every place where the words state the template, as _align gives it. A place has at most twice the template's words,
-    so around the longest match no more are looked at; then come the words on both sides. Long texts are searched in
-    pieces that overlap by that much, so the time is linear; a place in two pieces comes twice."""
+#: What a missing word of a template weighs against a strange word inside its place; what rules a place out.
+MISSING, NEVER = 4, 1 << 20
+
+
+@cache
+def refused(k: int) -> frozenset[str]:
+    """Words that may not be added inside a place of template k: those that templates of other licences with much the same words
+    have and it lacks, as "lesser" in the GNU notices or another version's number."""
+    name, own = TEMPLATES[k][0], Counter(wording(TEMPLATES[k][1]))
+    out: set[str] = set()
+    for other, text in TEMPLATES:
+        words = Counter(wording(text))
+        if other != name and 10 * (own & words).total() >= 6 * min(own.total(), words.total()):
+            out |= words.keys() - own.keys()
+    return frozenset(out)
+
+
+def _align(words: list[str], own: list[str], coverage: float, strange: frozenset[str] = frozenset()) -> tuple[int, int, int, list[str], list[str]] | None:
+    """(start, end, words repeated, missing, added) of the place that states `own` in order with the least difference, MISSING for
+    each word missing and 1 for each added; the first of several. None if that place lacks needed words or more than 1 -
+    coverage of all, adds words of `strange`, or adds more words than `own` has.
+
+    Exact, by the table of least differences between beginnings of `own` and stretches of `words` that may start anywhere.
+    """
+    code = {w: i for i, w in enumerate(dict.fromkeys(own))}
+    text = np.array([code.get(w, -1) for w in words])
+    adding = np.concatenate([[0], np.cumsum([NEVER if w in strange else 1 for w in words])])
+    rows = [np.zeros(len(words) + 1, np.int64)]
+    for w in own:
+        row = rows[-1] + (NEVER if _needed(w) else MISSING)
+        hit = np.flatnonzero(text == code[w])
+        row[hit + 1] = np.minimum(row[hit + 1], rows[-1][hit])
+        rows.append(np.minimum.accumulate(row - adding) + adding)
+    j = end = int(rows[-1].argmin())
+    if rows[-1][end] >= NEVER:
+        return None
+    i, missing, added = len(own), [], []
+    while i:
+        if j and words[j - 1] == own[i - 1] and rows[i][j] == rows[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+        elif j and rows[i][j] == rows[i][j - 1] + adding[j] - adding[j - 1]:
+            j -= 1
+            added.append(words[j])
+        else:
+            i -= 1
+            missing.append(own[i])
+    hit = len(own) - len(missing)
+    return (j, end, hit, missing[::-1], added[::-1]) if hit >= coverage * len(own) and len(added) <= len(own) else None
+
+
+def _places(words: list[str], own: list[str], coverage: float, strange: frozenset[str] = frozenset()) -> list[tuple[int, int, int, list[str], list[str]]]:
+    """Places where the words state the template, as _align gives them: the least different of a piece, then those before and after
+    it. A place has at most twice the template's words. Long texts are searched in pieces that overlap by that much, so
+    the time is linear; a place in two pieces comes twice."""
     need, out = Counter(own), []
     todo = [(lo, min(len(words), lo + 8 * len(own))) for lo in range(0, max(1, len(words) - 2 * len(own)), 6 * len(own))]
     while todo:
@@ -148,15 +210,10 @@ def _places(words: list[str], own: list[str], coverage: float) -> list[tuple[int
         have = Counter(words[lo:hi])
         if sum(min(n, have[w]) for w, n in need.items()) < coverage * len(own) or any(have[w] < n for w, n in need.items() if _needed(w)):
             continue
-        long = SequenceMatcher(None, words[lo:hi], own, autojunk=False).find_longest_match()
-        at = lo + long.a
-        start = max(lo, at - 2 * len(own))
-        hit = _align(words[start : min(hi, at + long.size + 2 * len(own))], own, coverage)
+        hit = _align(words[lo:hi], own, coverage, strange)
         if hit:
-            out.append((start + hit[0], start + hit[1], *hit[2:]))
-            todo += [(lo, start + hit[0]), (start + hit[1], hi)]
-        else:
-            todo += [(lo, at), (at + long.size, hi)]
+            out.append((lo + hit[0], lo + hit[1], *hit[2:]))
+            todo += [(lo, lo + hit[0]), (lo + hit[1], hi)]
     return out
 
 
@@ -166,9 +223,11 @@ def classify_block(block: str, level: int = 19, coverage: float = 0.9) -> list[t
 
     The templates are tried by rank of the bytes they save in the block; one that clearly saves none isn't tried. A template is
     confirmed at a place if that repeats at least `coverage` of its words in order, no word with a digit nor
-    a licence's short mark is missing, and the place gets smaller with the template as raw dictionary. reduction: by what
+    a licence's short mark is missing, no added word tells of another licence (see refused), and the place gets smaller with the
+    template as raw dictionary (places of under SHORT bytes needn't, as a frame's overhead hides the saving). reduction: by what
     share; missing: the template's words that the place lacks; added: the place's words inside it. A licence is
-    dropped only where its words overlap those of another confirmed one with fewer missing and added words.
+    dropped only where its words overlap those of another confirmed one that repeats more words, missing and added ones
+    taken off. Of several licences in one identifier line (MIT OR ...) the first alone is found.
     """
     plain, made = _compressors(level)
     low = block.lower()
@@ -176,12 +235,12 @@ def classify_block(block: str, level: int = 19, coverage: float = 0.9) -> list[t
     words, found = [low[a:b] for a, b in at], []
     for _, k in ranked_templates(block, level):
         name, own, c = made[k]
-        for lo, hi, hit, missing, added in _places(words, own, coverage):
+        for lo, hi, hit, missing, added in _places(words, own, coverage, refused(k)):
             data = low[at[lo][0] : at[hi - 1][1]].encode()
             alone = len(plain.compress(data))
             gain = (alone - len(c.compress(data))) / alone
-            if gain > 0:
-                found.append((len(missing) + len(added), -len(own), -gain, lo, hi, name, hit / len(own), " ".join(missing), " ".join(added)))
+            if gain > 0 or len(data) < SHORT:
+                found.append((len(missing) + len(added) - hit, -len(own), -gain, lo, hi, name, hit / len(own), " ".join(missing), " ".join(added)))
     kept, cover = [], [[] for _ in words]
     for e in sorted(found):
         over = [f for k in range(e[3], e[4]) for f in cover[k]]
