@@ -585,11 +585,19 @@ def test_null_and_shared_ids_and_long_texts(spark, sized):
     rows = [(1, "one two three four five six"), (1, "a different text under the same id"), (None, "one two three four five six"), (None, None), (3, long), (3, long), (4, "")]
     frame = spark.createDataFrame([(i, t, "en", "s", 0, 1.0, "c0", "x") for i, t in rows], "doc_id bigint, text string, lang string, source string, mix_pass int, score double, lang_pred string, lines_before string")
     labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1)], "doc_id bigint, toxic int")
-    assert langid.language_report(frame).count() == len(rows)
-    assert toxicity.toxicity_report(frame, labels).count() == len(rows)
+    told = langid.language_report(frame).collect()
+    assert len(told) == len(rows) and all(r.held_out is not None and (r.doc_id is not None or not r.held_out) for r in told)
+    by_text = sorted((str(r.doc_id), r.lang_pred) for r in told)
+    lettered = {(str(i), bool(t)) for i, t in rows}
+    assert all(p == ("en" if (i, True) in lettered and (i, False) not in lettered else p) for i, p in by_text) and sum(p == "und" for _, p in by_text) == sum(not t for _, t in rows)
+    judged = toxicity.toxicity_report(frame, labels).collect()
+    assert len(judged) == len(rows) and all(r.held_out is not None and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in judged)
     assert fingerprint.edit_report(frame).count() == len(rows)
     assert ngram_join.similar_components(frame).count() == len(rows)
-    assert pii.digest(pii.find_pii(frame)).count() == len(rows)
+    assert [(r.n_email, r.spans, r.scores) for r in pii.digest(pii.find_pii(frame)).collect()] == [(0, "", "")] * len(rows)
+    noted = frame.withColumn("text", F.when(F.col("text") == "", "MIT License").when(F.col("text").isNull(), "mail a.b@c.de or +49 30 1234567, SPDX-License-Identifier: ISC").otherwise(F.col("text")))
+    assert sorted((str(r.doc_id), r.license) for r in license_scan.scan_licenses(noted).collect()) == [("4", "MIT"), *[(str(i), "ISC") for i, t in rows if t is None]] or sized == 0
+    assert {(str(r.doc_id), r.spans.count("email"), len(r.scores.split(","))) for r in pii.digest(pii.find_pii(noted)).collect() if r.spans} == {(str(i), 1, 2) for i, t in rows if t is None}
     assert license_scan.scan_licenses(frame).count() == 0
     assert line_dedup.dedup_lines(frame).count() == len(rows)
     mixed = mixing.mix_sources(frame, cover=True)
@@ -598,6 +606,27 @@ def test_null_and_shared_ids_and_long_texts(spark, sized):
     assert packed.where("start = 0").count() == len(rows)
 
 
+def test_rows_without_ids_lie_in_blocks_of_their_own(spark):
+    texts = [f"text number {i} of many " + "w " * (i % 50) for i in range(3000)]
+    frame = spark.createDataFrame([(None, t, "s") for t in texts], "doc_id bigint, text string, source string")
+    mixed = mixing.mix_sources(frame, cover=True)
+    assert mixed.count() == len(texts) and mixed.select("mix_block").distinct().count() > 1
+    half = mixing.mix_sources(frame, repetition_limit=2.0, budget=20_000)
+    assert 0 < half.count() < len(texts)
+
+
+def test_the_fit_passes_over_rows_beyond_its_work(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, " ".join([*rng.sample(WORDS, 30), *(["idiot"] if i % 3 == 0 else [])]) + (" " + " ".join(WORDS) if i == 7 else "")) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "PAIR_WORK", 250 * 31 * 31)
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(frame, toxicity.fit_toxicity(frame, labels)).collect()}
+    assert all((scores[i] >= 0.5) == (i % 3 == 0) for i, _ in rows)
+    monkeypatch.setattr(toxicity, "PAIR_WORK", 0)
+    assert toxicity.score_toxicity(frame, toxicity.fit_toxicity(frame, labels)).select("score").distinct().count() == 1
+
+
 def test_similar_documents_under_one_id(spark):
     import corpus_pipeline
 

@@ -382,6 +382,7 @@ def with_language(docs: DataFrame, field: Field | None, text_col: str = "text")
 
 
 def language_report(docs: DataFrame, bound: int = 6000) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learns from rows whose crc32(doc_id) modulo 4 isn't 2."""
+    """doc_id, held_out (false for a null id), lang_pred, score; learns from rows whose crc32(doc_id) modulo 4 isn't 2. A row for each
+    row of docs; texts that are null or have no letters get "und", as all do where nothing can be learned."""
     field = fit_language_id(docs.where(remainder("doc_id", 4) != 2), bound=bound)
-    return with_language(docs.select("doc_id", "text"), field).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return with_language(docs.select("doc_id", "text"), field).select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

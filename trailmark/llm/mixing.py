@@ -91,8 +91,14 @@ def temperature_weights(totals: DataFrame, target_entropy: float | None = None,
     return Mix(plan, exponent, size, entropy)
 
 
+def _named(id_col: str, text_col: str | None) -> Column:
+    h = F.xxhash64(F.col(text_col)) if text_col else F.lit(0).cast("bigint")
+    return F.struct(F.col(id_col).alias("id"), F.when(F.col(id_col).isNull(), h).alias("h")).alias("id")
+
+
 def _keys(frame: DataFrame, seed: int) -> DataFrame:
-    """Adds block (of `blocks`), block_key and doc_key, the places in the pass after the whole ones."""
+    """Adds block (of `blocks`), block_key and doc_key, the places in the pass after the whole ones. `id` is the row's id, and a
+    hash of its text where that is null, so that rows without ids aren't one group."""
     block = F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("blocks"))
     frame = frame.withColumn("block", block)
     return frame.withColumn("block_key", F.xxhash64(F.lit(seed), "whole", "source", "block")).withColumn("doc_key", F.xxhash64(F.lit(seed), "whole", "id"))
@@ -106,14 +112,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hash; the last pass takes blocks in that order, and of the block where the budget ends the rows that still fit.
     Sorting by mix_pass, mix_key, mix_place gives the permuted order: passes, their permuted blocks, and the permuted rows
     of a block. Null sources are one source named ""; rows of sources without a
-    token are taken once; null texts have no tokens; rows that share an id stay together; an empty table gives no rows.
+    token are taken once; null texts have no tokens; rows that share an id stay together, those without one by their text; an empty table gives no rows.
     Columns of the input with the four added names are replaced.
     Scale: texts are counted once and don't move; only source totals and block sums are shuffled, each after map-side sums.
     """
     names = [c for c in docs.columns if c not in ADDED]
     tokens = F.coalesce(F.col(token_col), F.lit(0)).cast("bigint") if token_col else count_tokens(F.col(text_col))
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    rows = cut(docs.select(source.alias("source"), F.col(id_col).alias("id"), tokens.alias("tokens")))
+    rows = cut(docs.select(source.alias("source"), _named(id_col, text_col if text_col in names else None), tokens.alias("tokens")))
     totals = cut(rows.groupBy("source").agg(F.sum("tokens").alias("tokens")))
     mix = temperature_weights(totals.where("tokens > 0"), **goal)
     if mix is None:
@@ -136,7 +142,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     wide = docs.select(names).toDF(*[f"c{i}" for i in range(len(names))])
     at = {c: f"c{i}" for i, c in enumerate(names)}
-    wide = wide.withColumn("source", F.coalesce(F.col(at[source_col]).cast("string"), F.lit(""))).withColumn("id", F.col(at[id_col]))
+    wide = wide.withColumn("source", F.coalesce(F.col(at[source_col]).cast("string"), F.lit(""))).withColumn("id", _named(at[id_col], at.get(text_col)))
     wide = _keys(wide.join(near(choice), "source", "left").fillna({"blocks": 1, "whole": 1}), seed)
     more = (F.col("block_key") < F.col("edge_key")) | ((F.col("block_key") == F.col("edge_key")) & (F.col("doc_key") <= F.col("last_key")))
     passes = F.col("whole") + F.coalesce(more, F.lit(False)).cast("int")
@@ -148,5 +154,5 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix_report(docs: DataFrame, **goal) -> DataFrame:
-    """doc_id, source, mix_pass, mix_block, mix_key, mix_place of every row that the mix takes."""
+    """doc_id, source, mix_pass, mix_block, mix_key, mix_place of every row that the mix takes; nulls and empty tables as in mix_sources."""
     return mix_sources(docs, **goal).select("doc_id", "source", *ADDED)

@@ -160,7 +160,7 @@ def joined(spans: Column) -> Column:
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The contract's columns from find_pii's rows."""
+    """Counts by kind, a digest of the base spans, all spans, and their scores in the spans' order, from find_pii's rows."""
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    return found.select(id_col, *[count(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select(id_col, *[count(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.concat_ws(",", F.transform("spans", lambda s: s["score"].cast("string"))).alias("scores"))

@@ -10,12 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm._arrow import map_texts
+from trailmark.llm._arrow import cut, map_texts
 from trailmark.llm._sample import labelled_sample, remainder
 from trailmark.llm._words import Words
 
 #: Hash buckets for terms.
 BUCKETS = 1 << 20
+#: Pairs of a row's terms that the fit counts, over all rows of the sample; so at most 13 million terms of 8,000 rows go to the driver.
+PAIR_WORK = 20_000_000_000
 
 
 @dataclass
@@ -132,7 +134,9 @@ def fit_machine(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, rank: int =
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = 8000, **options) -> Machine:
     """Fit on at most `bound` labelled rows (0 or 1; others are passed over). Null texts are empty.
 
-    The tasks hash the sampled texts; the driver gets their distinct buckets only.
+    The tasks hash the sampled texts; the driver gets their distinct buckets only, of as many rows, in hashed order, as PAIR_WORK
+    allows: the squares of their numbers of buckets add up to the work of counting pairs, and bound the memory too. A row that
+    would pass the rest of it is passed over.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("y"))
     sample = labelled_sample(docs.select(F.col(id_col), F.col(text_col).alias("text")), known, id_col, bound)
@@ -140,9 +144,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def step(part: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
         row, bucket = text_terms(texts)
         ends = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], names=["y", "buckets"])
-
-    rows = map_texts(sample.select("text", "y"), "text", "y double, buckets array<int>", step).toArrow()
+        return pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], names=["y", "place", "buckets"])
+
+    found = cut(map_texts(sample.select("text", "y", F.xxhash64(id_col).alias("place")), "text", "y double, place bigint, buckets array<int>", step).withColumn("row", F.monotonically_increasing_id()))
+    sizes = found.select("row", "place", F.size("buckets").alias("n")).orderBy("place", "row").toPandas()
+    room, taken = PAIR_WORK, []
+    for row, n in zip(sizes["row"].tolist(), sizes["n"].tolist(), strict=True):
+        if n * n <= room:
+            room -= n * n
+            taken.append(row)
+    if len(taken) < len(sizes):
+        found = found.join(F.broadcast(found.sparkSession.createDataFrame([(r,) for r in taken], "row bigint")), "row")  # at most `bound` rows
+    rows = found.select("y", "buckets").toArrow()
     y, lists = np.asarray(rows["y"], float), rows["buckets"].combine_chunks()
     bucket = np.asarray(lists.flatten() if len(y) else [], np.int64)
     sizes = np.asarray(pc.list_value_length(lists), np.int64) if len(y) else np.zeros(0, np.int64)
@@ -168,6 +181,7 @@ def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> DataFrame:
-    """doc_id, held_out, score, predicted; learns from labels whose crc32(doc_id) isn't divisible by 5."""
+    """doc_id, held_out (false for a null id), score, predicted; learns from labels whose crc32(doc_id) isn't divisible by 5. A row
+    for each row of docs; an empty table gives none, and without labels every text gets the same score."""
     machine = fit_toxicity(docs, labels.where(remainder("doc_id", 5) != 0), bound=bound)
-    return score_toxicity(docs, machine).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score_toxicity(docs, machine).select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
