@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.columns import count_if
 from trailmark.operators.activity import PERSON
+from trailmark.operators.stats import quantiles
 
 
 def _order():
@@ -164,5 +165,23 @@ def numeric_features(frame: DataFrame, drop: Sequence[str] = ()) -> list[str]:
     names = [c for c, k in frame.dtypes if k in kinds and c not in drop]
     if not names:
         return []
-    varies = frame.agg(*[(F.min(c) < F.max(c)).alias(c) for c in names]).first()
+    # A null counts as a value of its own.
+    varies = frame.agg(*[((F.min(c) < F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count(F.lit(1))))).alias(c) for c in names]).first()
     return [c for c in names if varies[c]]
+
+
+def feature_matrix(frame: DataFrame, ids: Sequence[str], label: str, drop: Sequence[str] = ()) -> DataFrame:
+    """ids, label and the numeric features (see numeric_features; ids, label and `drop` aren't features), nulls replaced by the
+    feature's median, then brought to mean 0 and population deviation 1 (0 for a feature that is flat by then).
+
+    Medians come from counts of values, means and deviations from one aggregate; both are one row.
+    """
+    names = numeric_features(frame, [*ids, label, *drop])
+    if not names:
+        return frame.select(*ids, label)
+    rows = frame.select(*ids, label, *[F.col(c).cast("double").alias(c) for c in names])
+    medians = quantiles(rows.select(*names).unpivot([], names, "metric", "x"), ["metric"], "x", {"m": 0.5}).collect()  # a row a feature
+    fill = {r["metric"]: r["m"] for r in medians}
+    rows = rows.fillna({c: fill[c] for c in names if c in fill})
+    scale = rows.agg(*[f(c).alias(f"{k}_{c}") for c in names for k, f in (("mean", F.avg), ("sd", F.stddev_pop))]).first()
+    return rows.select(*ids, label, *[((F.col(c) - scale[f"mean_{c}"]) / scale[f"sd_{c}"] if scale[f"sd_{c}"] else F.lit(0.0)).alias(c) for c in names])

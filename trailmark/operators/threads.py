@@ -149,10 +149,12 @@ def comment_counts(items: DataFrame, keys: Sequence[str] = ("person",)) -> DataF
 
 
 def timeline_summary(timeline: DataFrame, keys: Sequence[str] = ("person",), kinds: Sequence[str] = ("commit", "issue", "pull_request"), week: str | None = None) -> DataFrame:
-    """keys, events, an n_<kind> for each kind, first_event, last_event, weeks_span."""
+    """keys, events, an n_<kind> for each kind, first_event, last_event, weeks_span and, of a timeline with is_pre_core,
+    pre_core_events and post_core_events."""
     span = F.floor(F.datediff(F.max("event_timestamp"), F.min("event_timestamp")) / 7).cast("int") if week is None else F.max(week) - F.min(week)
     counts = [count_if(F.col("event_type") == k).alias(f"n_{k}") for k in kinds]
-    return timeline.groupBy(*keys).agg(F.count(F.lit(1)).alias("events"), *counts, F.min("event_timestamp").alias("first_event"), F.max("event_timestamp").alias("last_event"), span.alias("weeks_span"))
+    core = [count_if(F.col("is_pre_core")).alias("pre_core_events"), count_if(~F.col("is_pre_core")).alias("post_core_events")] if "is_pre_core" in timeline.columns else []
+    return timeline.groupBy(*keys).agg(F.count(F.lit(1)).alias("events"), *counts, F.min("event_timestamp").alias("first_event"), F.max("event_timestamp").alias("last_event"), span.alias("weeks_span"), *core)
 
 
 def timeline_outliers(summary: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("person",), fence: float = 1.5, most_z: float = 3.0) -> DataFrame:

@@ -196,14 +196,25 @@ def trust_indicators(items: DataFrame, messages: DataFrame, keys: Sequence[str]
     return out.withColumn("trust_score", F.col("review_requests") + F.col("assignments") + F.col("labels_added") + 2 * F.col("sensitive_labels"))
 
 
-def treatment_metrics(items: DataFrame, messages: DataFrame, keys: Sequence[str] = ("person",)) -> DataFrame:
-    """All five families side by side; columns that two of them share get the family's name in front."""
+def treatment_metrics(items: DataFrame, messages: DataFrame, keys: Sequence[str] = ("person",), timeline: DataFrame | None = None, types: DataFrame | None = None) -> DataFrame:
+    """All five families side by side; columns that two of them share get the family's name in front.
+
+    With a timeline (of pre-core events, as a rule), total_pr_events, total_issue_events and total_commit_events count its
+    events, and its people without threads have a row too; with types (keys, project_type), project_type is added,
+    "unknown" where there is none.
+    """
     on = list(keys)
     timing, breadth = response_timing(items, messages, keys), engagement_breadth(items, messages, keys)
     talk, praise, trust = interaction_patterns(messages, keys), recognition_signals(items, messages, keys).withColumnRenamed("prs", "recognition_prs"), trust_indicators(items, messages, keys)
     out = timing
     for part in (breadth, talk, praise, trust):
         out = out.join(part, on, "left")
+    if timeline is not None:
+        kinds = (("pull_request", "total_pr_events"), ("issue", "total_issue_events"), ("commit", "total_commit_events"))
+        out = timeline.groupBy(*on).agg(*[count_if(F.col("event_type") == k).alias(n) for k, n in kinds]).join(out, on, "left")
+    if types is not None:
+        known = types.groupBy(*on).agg(F.min("project_type").alias("project_type"))
+        out = out.join(known, on, "left").fillna("unknown", ["project_type"])
     return out
 
 
@@ -211,9 +222,11 @@ def response_summary_simple(items: DataFrame, messages: DataFrame, keys: Sequenc
     """keys, threads, merge_rate, close_rate, unique_reviewers, first responses (earliest reply by another, in hours): count,
     mean and the upper median."""
     hours = (F.unix_seconds("replied_at") - F.unix_seconds("created_at")) / 3600.0
-    first = by_others(messages).withColumn("h", hours).where("h >= 0").groupBy(*keys, "thread_id").agg(F.min("h").alias("h"))
-    first = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("answered"), F.avg("h").alias("mean_hours"), F.sort_array(F.collect_list("h")).alias("hs"))
-    first = first.withColumn("upper_median_hours", F.element_at("hs", (F.floor(F.size("hs") / 2) + 1).cast("int"))).drop("hs")
+    threads = by_others(messages).withColumn("h", hours).where("h >= 0").groupBy(*keys, "thread_id").agg(F.min("h").alias("h"))
+    first = threads.groupBy(*keys).agg(F.count(F.lit(1)).alias("answered"), F.avg("h").alias("mean_hours"))
+    # The value at place floor(n / 2) from 0: with an even number the upper of the two in the middle.
+    upper = threads.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    first = first.join(upper.where(F.col("place") == F.floor(F.col("n") / 2) + 1).select(*keys, F.col("h").alias("upper_median_hours")), list(keys))
     pr = F.col("event_type") == "pull_request"
     n = F.greatest(count_if(pr), F.lit(1))
     base = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("threads"), (count_if(pr & (F.col("state") == "merged")) / n).alias("merge_rate"), (count_if(pr & (F.col("state") == "rejected")) / n).alias("close_rate"))

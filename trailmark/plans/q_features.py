@@ -87,9 +87,14 @@ def core_label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.agg(F.count("first_core_month").alias("labelled"), F.count(F.lit(1)).alias("people")).crossJoin(missing.agg(F.count(F.lit(1)).alias("unmatched")))
 
 
-@query("SELECT unnest(['price', 'cust']) AS feature")
+@query(f"""WITH {FRAME}, holes AS (SELECT id, label, CASE WHEN id % 5 > 0 THEN price END AS price, CASE WHEN id % 7 > 0 THEN cust END AS cust, CASE WHEN id % 3 > 0 THEN 4.0 END AS partly FROM fr),
+filled AS (SELECT id, label, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM holes)) AS price, coalesce(cust, (SELECT quantile_cont(cust, 0.5) FROM holes)) AS cust FROM holes)
+SELECT id, label, round((price - avg(price) OVER ()) / stddev_pop(price) OVER (), 6) AS price, round((cust - avg(cust) OVER ()) / stddev_pop(cust) OVER (), 6) AS cust, 0.0::DOUBLE AS partly FROM filled""")
 def feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in features.numeric_features(_frame(spark, sf_dir), ["id", "label"])], "feature string")
+    """The imputed, standardised matrix; flat is constant, grp is no number, leak is left out by name."""
+    hole = lambda c, k: F.when(F.col("id") % k > 0, c)
+    holes = _frame(spark, sf_dir).withColumns({"price": hole(F.col("price"), 5), "cust": hole(F.col("cust"), 7), "partly": hole(F.lit(4.0), 3), "leak": F.col("label") * 2})
+    return features.feature_matrix(holes, ["id"], "label", ["leak"])
 
 
 @query(f"""WITH {FRAME}, long AS (SELECT id, label, 'price' AS metric, price AS x FROM fr UNION ALL SELECT id, label, 'cust', cust FROM fr UNION ALL SELECT id, label, 'flat', flat FROM fr),

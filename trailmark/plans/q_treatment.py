@@ -161,10 +161,18 @@ def response_summary_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treatment.response_summary_simple(*_tables(spark, sf_dir)).where("answered > 0").select("person", "answered", "mean_hours", "upper_median_hours")
 
 
-@query(f"{ITEMS} SELECT count(DISTINCT person) AS people FROM items WHERE pr")
+@query(f"""{ITEMS}, ev AS (SELECT DISTINCT person, thread_id, event_type FROM items UNION ALL SELECT 'c' || o_custkey, o_orderkey, 'commit' FROM orders WHERE o_orderkey % 4 = 0),
+n AS (SELECT person, count(*) FILTER (event_type = 'pull_request') AS total_pr_events, count(*) FILTER (event_type = 'issue') AS total_issue_events, count(*) FILTER (event_type = 'commit') AS total_commit_events FROM ev GROUP BY 1),
+t AS (SELECT person, count(*) FILTER (pr) AS recognition_prs FROM items GROUP BY 1)
+SELECT person, CASE WHEN substr(person, 2)::BIGINT % 5 = 0 THEN 'unknown' WHEN substr(person, 2)::BIGINT % 3 = 0 THEN 'A' ELSE 'B' END AS project_type, total_pr_events, total_issue_events, total_commit_events, recognition_prs FROM n LEFT JOIN t USING (person) WHERE total_pr_events > 0 OR total_issue_events > 0""")
 def treatment_metrics_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = treatment.active_only(treatment.treatment_metrics(*_tables(spark, sf_dir)).withColumn("issues", F.lit(0)), "recognition_prs")
-    return wide.agg(F.count(F.lit(1)).alias("people"))
+    """The wide row of people with threads, its counts and metadata; the families' own columns are in their queries."""
+    items, said = _tables(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("person"), F.col("o_orderkey").alias("event_id"), "o_custkey")
+    commits_too = orders.where("event_id % 4 = 0").select("person", F.lit("commit").alias("event_type"))
+    types = orders.where("o_custkey % 5 <> 0").select("person", F.when(F.col("o_custkey") % 3 == 0, "A").otherwise("B").alias("project_type"))
+    wide = treatment.treatment_metrics(items, said, timeline=items.select("person", "event_type").unionByName(commits_too), types=types)
+    return treatment.active_only(wide, "total_pr_events", "total_issue_events").select("person", "project_type", "total_pr_events", "total_issue_events", "total_commit_events", "recognition_prs")
 
 
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,13 +181,13 @@ def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SUMMARY = f"""WITH {TIMELINE}, s AS (SELECT person, project_type, count(*) AS events, count(*) FILTER (event_type = 'commit') AS n_commit, count(*) FILTER (event_type = 'issue') AS n_issue, count(*) FILTER (event_type = 'pull_request') AS n_pull_request,
-  min(event_timestamp) AS first_event, max(event_timestamp) AS last_event, (date_diff('day', min(event_timestamp)::DATE, max(event_timestamp)::DATE) // 7)::INT AS weeks_span FROM timeline GROUP BY 1, 2),
+  min(event_timestamp) AS first_event, max(event_timestamp) AS last_event, (date_diff('day', min(event_timestamp)::DATE, max(event_timestamp)::DATE) // 7)::INT AS weeks_span, count(*) FILTER (event_id % 5 > 0) AS pre_core_events, count(*) FILTER (event_id % 5 = 0) AS post_core_events FROM timeline GROUP BY 1, 2),
 long AS (SELECT person, project_type, metric, x::DOUBLE AS x FROM (UNPIVOT (SELECT person, project_type, n_commit, n_issue, n_pull_request FROM s) ON n_commit, n_issue, n_pull_request INTO NAME metric VALUE x))"""
 
 
 @query(f"{SUMMARY} SELECT * FROM s")
 def timeline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads.timeline_summary(timeline(spark, sf_dir), ["person", "project_type"])
+    return threads.timeline_summary(timeline(spark, sf_dir).withColumn("is_pre_core", F.col("event_id") % 5 > 0), ["person", "project_type"])
 
 
 @query(f"""{SUMMARY}, q AS (SELECT metric, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b, avg(x) AS m, stddev_pop(x) AS sd FROM long GROUP BY 1)

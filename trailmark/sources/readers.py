@@ -50,9 +50,13 @@ def scan_contributor_cache_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_timeline_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All timeline files under a path as one table, with the name of each row's file; unreadable rows have nulls."""
-    rows = spark.read.schema(TIMELINE).option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("pathGlobFilter", "*.csv").csv(path)
-    return rows.withColumn("event_timestamp", F.try_to_timestamp("event_timestamp")).withColumn("file_name", F.col("_metadata.file_name"))
+    """All timeline files under a path as one table, with the name of each row's file and contributor_id: what stands between
+    "timeline_" and ".csv" in it (project and e-mail, "/" and "@" written as "_" and "_at_"), null for other names. Rows
+    without an event type or a time that can be read are skipped, as are files that can't be read."""
+    rows = spark.read.schema(TIMELINE).option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("pathGlobFilter", "*.csv").option("ignoreCorruptFiles", True).csv(path)
+    rows = rows.withColumn("event_timestamp", F.try_to_timestamp("event_timestamp")).withColumn("file_name", F.col("_metadata.file_name"))
+    named = F.regexp_extract("file_name", r"^timeline_(.+)\.csv$", 1)
+    return rows.where(F.col("event_type").isNotNull() & F.col("event_timestamp").isNotNull()).withColumn("contributor_id", F.when(named != "", named))
 
 
 def scan_parquet_features(spark: SparkSession, path: str, label: str, ids: Sequence[str]) -> tuple[DataFrame, list[str]]:
