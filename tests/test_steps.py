@@ -4,9 +4,10 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trailmark.operators import activity, core, journeys
+from trailmark.operators import activity, core, journeys, steps
 
 
 @pytest.fixture(scope="module", params=[1, 2])
@@ -65,3 +66,21 @@ def test_no_commits_give_no_rows(commits):
     assert journeys.contributor_journeys(none).count() == 0
     assert core.core_timeline_weekly(none).count() == 0
     assert core.core_monthly(none).count() == 0
+
+
+def test_steps_are_tested_only_where_the_count_reaches_a_cut(spark):
+    """A project of 40 busy people and 500 who commit once: whoever stays under all cuts of a block isn't tested there."""
+    start = datetime.datetime(2015, 1, 5)
+    rows = [("p", f"busy{i:02d}", start + datetime.timedelta(weeks=w)) for i in range(40) for w in range(200)]
+    rows += [("p", f"once{i:04d}", start + datetime.timedelta(weeks=i % 100)) for i in range(500)]
+    commits = spark.createDataFrame(rows, "project_name string, author_email string, commit_date timestamp").withColumn("week", F.floor(F.datediff("commit_date", F.lit(start).cast("date")) / 7) + 1)
+    each = core.cumulative_counts(commits, F.col("week"))
+    until = F.lead("period").over(Window.partitionBy("author_email").orderBy("period"))
+    held = each.select("project_name", "author_email", F.col("n_to_date").alias("n"), F.col("period").alias("at"), F.coalesce(until, F.lit(201)).alias("until")).persist()
+    cuts = steps.core_cuts(steps.count_levels(held, ["project_name"]), ["project_name"]).persist()
+    found = steps.with_cuts(held, cuts, ["project_name"], ["level"]).withColumn("tested", F.size(steps.reached_blocks()) * steps.BLOCK)
+    sums = found.groupBy(F.substring("author_email", 1, 4).alias("kind")).agg(F.sum("tested").alias("tested"), F.sum(F.col("until") - F.col("at")).alias("whole")).collect()
+    once = next(r for r in sums if r.kind == "once")
+    assert once.whole == sum(200 - i % 100 for i in range(500)) and once.tested < once.whole / 10
+    core_weeks = steps.with_core_steps(held, cuts, ["project_name"]).agg(F.sum(F.size("core_steps"))).first()[0]
+    assert sum(r.tested for r in sums) <= (core_weeks + held.count()) * steps.BLOCK

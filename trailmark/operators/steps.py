@@ -13,6 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Steps of a block of cuts, whose least level is kept.
+BLOCK = 16
+
 
 def count_levels(held: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, at, n, people (who have n commits to date at that step), above (commits of people with more), higher (these
@@ -39,11 +42,26 @@ def core_cuts(levels: DataFrame, keys: Sequence[str], percent: int = 80) -> Data
     return cut.select(*keys, "at", "total", "people", F.col("c.n").alias("level"), F.col("c.higher").alias("higher"), F.col("c.people").alias("tied"), taken.alias("taken"))
 
 
+def with_cuts(held: DataFrame, cuts: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> DataFrame:
+    """held with each project's cuts as an array (`parts` of them) and minima: the least level of each block of BLOCK steps."""
+    arrays = cuts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "level", *[p for p in parts if p != "level"]))).alias("cuts"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size("cuts") - 1) / BLOCK).cast("int"))
+    minima = F.transform(blocks, lambda b: F.array_min(F.transform(F.slice("cuts", b * BLOCK + 1, F.lit(BLOCK)), lambda c: c["level"])))
+    return held.join(arrays.withColumn("minima", minima), list(keys))
+
+
+def reached_blocks() -> Column:
+    """The blocks of a row's interval in which some cut is no higher than the row's count: in others no step can be core."""
+    block = lambda c: F.floor((c - 1) / BLOCK).cast("int")
+    return F.filter(F.sequence(block(F.col("at")), block(F.col("until") - 1)), lambda b: F.col("n") >= F.get("minima", b))
+
+
 def _tested(held: DataFrame, cuts: DataFrame, keys: Sequence[str], parts: Sequence[str], test) -> tuple[DataFrame, Column]:
-    """held with each project's cuts as an array, and the steps of a row's interval whose cut passes the test."""
-    arrays = cuts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", *parts))).alias("cuts"))
-    steps = F.filter(F.sequence("at", F.col("until") - 1), lambda i: test(F.get("cuts", i - 1)))
-    return held.join(arrays, list(keys)), steps
+    """held with each project's cuts, and the steps of a row's interval whose cut passes the test; only steps of blocks that the
+    row's count reaches are tested, so a person who never comes near the core costs a look at each BLOCK steps."""
+    inside = lambda b: F.sequence(F.greatest(F.col("at"), b * BLOCK + 1), F.least(F.col("until") - 1, (b + 1) * BLOCK).cast("int"))
+    steps = F.flatten(F.transform(reached_blocks(), lambda b: F.filter(inside(b), lambda i: test(F.get("cuts", i - 1)))))
+    return with_cuts(held, cuts, keys, parts), steps
 
 
 def with_core_steps(held: DataFrame, cuts: DataFrame, keys: Sequence[str], person: str = "author_email") -> DataFrame:
@@ -62,4 +80,4 @@ def with_core_steps(held: DataFrame, cuts: DataFrame, keys: Sequence[str], perso
     whole = cuts.join(last, [*keys, "at"], "left")
     at_cut = lambda c: (c["level"] == F.col("n")) & (c["last_in"].isNull() | (F.col(person) <= c["last_in"]))
     rows, steps = _tested(held, whole, keys, ["level", "last_in"], lambda c: (F.col("n") > c["level"]) | at_cut(c))
-    return rows.withColumn("core_steps", steps).drop("cuts")
+    return rows.withColumn("core_steps", steps).drop("cuts", "minima")
