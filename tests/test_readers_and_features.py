@@ -57,3 +57,12 @@ def test_wide_rows_hold_people_without_threads(spark):
     assert got["p"].recognition_prs == 1 and got["r"].recognition_prs is None
     summary = {r.person: (r.pre_core_events, r.post_core_events) for r in threads.timeline_summary(timeline).collect()}
     assert summary == {"p": (2, 1), "r": (1, 0)}
+
+
+def test_contributor_texts_as_files_and_as_lines(spark, tmp_path):
+    one = '{"project_name": "p", "contributor_email": "a@b", "raw_data": {"pull_requests": [{"number": 3, "createdAt": "2024-01-01T00:00:00Z"}], "issues": []}}'
+    for name, text in (("files/a.json", one.replace(", ", ",\n ")), ("files/b.json", "{broken"), ("lines/all.json", f"{one}\n{{broken\n{one}\n")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    files, lines = (readers.scan_contributor_cache_json(spark, str(tmp_path / d), lines=d == "lines").drop("event_data").collect() for d in ("files", "lines"))
+    assert len(files) == 1 and lines == files * 2 and files[0].event_identifier == "3"

@@ -325,7 +325,12 @@ def dunn_posthoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.dunn_posthoc(_ranked_long(spark, sf_dir), "grp", "x", ["metric"])
 
 
-@query()
+@query(f"""WITH RECURSIVE long AS (SELECT o_orderpriority AS grp, floor(o_totalprice / 1000) AS x FROM orders), mid AS (SELECT grp, x, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS r FROM long),
+ties AS (SELECT sum(t * t * t - t) AS ts, sum(t) AS n FROM (SELECT x, count(*)::DOUBLE AS t FROM long GROUP BY 1)), g AS (SELECT grp, count(*)::DOUBLE AS k, sum(r) AS rs, quantile_cont(x, 0.5) AS median FROM mid GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY median, grp) AS i FROM g), pz AS (SELECT a.i AS lo, b.i AS hi, (a.rs / a.k - b.rs / b.k) / sqrt((n * (n + 1) / 12 - ts / (12 * (n - 1))) * (1 / a.k + 1 / b.k)) AS z FROM o a JOIN o b ON a.i < b.i, ties),
+p AS (SELECT lo, hi, {normal_p('z')} AS p FROM pz),
+walk AS (SELECT 1::BIGINT AS i, 1::BIGINT AS start, 1 AS rank UNION ALL SELECT i + 1, CASE WHEN far THEN i + 1 ELSE start END, CASE WHEN far THEN rank + 1 ELSE rank END FROM (SELECT walk.*, EXISTS (SELECT 1 FROM p WHERE hi = walk.i + 1 AND lo >= walk.start AND p < 0.05) AS far FROM walk WHERE i < (SELECT count(*) FROM o)))
+SELECT grp, median, rank::INT AS rank FROM o JOIN walk USING (i)""")
 def rank_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = _ranked_long(spark, sf_dir)
     medians = {r["grp"]: r["median"] for r in stats.quartile_summary(long, ["grp"], "x").collect()}

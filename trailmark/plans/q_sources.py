@@ -55,11 +55,9 @@ def scan_contributor_cache_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.struct(F.col("commit_hash").alias("number"), F.date_format("commit_date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt"))
     pick = lambda m: F.collect_list(F.when(F.col("commit_hash").cast("bigint") % 2 == m, one))
     docs = commits(spark, sf_dir).groupBy("project_name", F.col("author_email").alias("contributor_email")).agg(F.struct(pick(0).alias("pull_requests"), pick(1).alias("issues")).alias("raw_data"))
-    # A file holds one document; the rows are few files a project here, so each partition writes one line a document.
-    docs.select(F.to_json(F.struct("*")).alias("value")).write.option("lineSep", "\n").text(path)
-    lines = spark.read.text(path)
-    lines.write.option("maxRecordsPerFile", 1).text(path + "-single")
-    return readers.scan_contributor_cache_json(spark, path + "-single").drop("event_data")
+    # A line holds one document, so there are as many files as tasks, not as people.
+    docs.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    return readers.scan_contributor_cache_json(spark, path, lines=True).drop("event_data")
 
 
 @query(f"WITH {COMMITS} SELECT project_name, author_email AS contributor_email, event_id, week AS event_week, event_timestamp, event_data FROM (SELECT project_name, author_email, commit_hash::BIGINT AS event_id, (commit_hash::BIGINT % 9)::INT AS week, commit_date AS event_timestamp, '{{\"k\":\"' || commit_hash || ', \"\"\"}}' AS event_data FROM commits)")

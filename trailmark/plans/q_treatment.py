@@ -212,7 +212,8 @@ def zero_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{SUMMARY}, m AS (SELECT metric, median(x) FILTER (project_type = 'A') AS a, median(x) FILTER (project_type = 'B') AS b FROM long GROUP BY 1)
-SELECT CASE WHEN metric = 'n_commit' THEN 'code' ELSE 'other' END AS category, count(*) AS metrics, count(*) FILTER (a <> b) AS significant FROM m GROUP BY 1""")
+SELECT CASE WHEN metric = 'n_commit' THEN 'code' ELSE 'other' END AS category, count(*) AS metrics, count(*) FILTER (a <> b) AS significant,
+  nullif(concat_ws(',', CASE WHEN count(*) FILTER (a > b) > 0 THEN 'A=' || count(*) FILTER (a > b) END, CASE WHEN count(*) FILTER (a < b) > 0 THEN 'B=' || count(*) FILTER (a < b) END), '') AS directions FROM m GROUP BY 1""")
 def metric_category_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = stats.group_compare(_long(spark, sf_dir), "project_type", "A", "B")
-    return treatment.metric_category_summary(compared, {"n_commit": "code"}, F.col("median1") != F.col("median2")).drop("directions")
+    return treatment.metric_category_summary(compared, {"n_commit": "code"}, F.col("median1") != F.col("median2")).withColumn("directions", F.array_join(F.transform(F.map_entries("directions"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
