@@ -42,7 +42,7 @@ def scan_contributor_cache_json(spark: SparkSession, path: str, lines: bool = Fa
     """One JSON text a contributor, each a file or, with `lines`, each a line of larger files: project_name, author_email, event_type, event_identifier, event_timestamp and event_data
     (JSON text) of raw_data.pull_requests[] and raw_data.issues[]. Broken texts give no rows."""
     v = F.try_parse_json("value")
-    rows = spark.read.option("wholetext", not lines).text(path).select(v.alias("v")).where("v is not null")
+    rows = spark.read.text(path, wholetext=not lines).select(v.alias("v")).where("v is not null")
     listed = lambda name, kind: F.coalesce(F.transform(F.try_variant_get("v", f"$.raw_data.{name}", "array<variant>"), lambda x: F.struct(F.lit(kind).alias("event_type"), x.alias("data"))), F.array().cast("array<struct<event_type:string,data:variant>>"))
     each = rows.select(F.try_variant_get("v", "$.project_name", "string").alias("project_name"), F.try_variant_get("v", "$.contributor_email", "string").alias("author_email"), F.explode(F.concat(listed("pull_requests", "pull_request"), listed("issues", "issue"))).alias("e"))
     at = F.coalesce(F.try_variant_get("e.data", "$.createdAt", "string"), F.try_variant_get("e.data", "$.created_at", "string"))
