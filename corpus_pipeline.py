@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the rows that the next one reads; all but the last return the columns
 of `documents`. run() applies them in turn and writes each result to the checkpoint folder.
+
+An empty table gives no rows in every stage. Rows with a null id, and different texts under one id, stay apart by their texts;
+null and empty texts have no language, so the first stage rejects them.
 """
 
 from __future__ import annotations
@@ -61,6 +64,8 @@ def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4,096 tokens, see pack_documents; the rows are packed in the order in
+    which they come, partition by partition. A repeated row is packed as often as it comes."""
     return pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
