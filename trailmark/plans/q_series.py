@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailmark.operators import milestones, series
+from trailmark.operators import series
 from trailmark.plans.q_journeys import JOURNEYS, _journeys
-from trailmark.plans.q_milestones import weeks
 from trailmark.plans.registry import query
 from trailmark.plans.views import COMMITS, SPARSE, TIMELINE, commits, sparse_timeline, table, timeline
 
@@ -18,8 +17,15 @@ a AS (SELECT *, (commits + prs_merged + comments + issues_opened > 0)::INT AS ac
 du AS (SELECT *, sum(act) OVER (PARTITION BY person ORDER BY week_num ROWS 3 PRECEDING) / 4.0 AS d4, sum(act) OVER (PARTITION BY person ORDER BY week_num ROWS 7 PRECEDING) / 8.0 AS d8, avg(act) OVER (PARTITION BY person ORDER BY week_num ROWS UNBOUNDED PRECEDING) AS dc, act::DOUBLE AS db,
   row_number() OVER (PARTITION BY person ORDER BY week_num) / count(*) OVER (PARTITION BY person) AS dw FROM a),
 ci AS (SELECT *, 0.25 * commits + 0.20 * prs_merged + 0.15 * comments + 0.15 * issues_opened + 0.15 * (active_days / 7.0) + 0.10 * d4 AS ci FROM du)"""
-DENSE = f"WITH {TIMELINE}, {weeks('timeline')}, {WEEKLY}"
-LOOSE = f"WITH {SPARSE}, {weeks('sparse')}, {WEEKLY}"
+
+
+def started(view: str) -> str:
+    """Weeks since a person's first event, from which a series counts."""
+    return f"wk AS (SELECT *, (date_diff('day', min(event_timestamp) OVER (PARTITION BY person)::DATE, event_timestamp::DATE) // 7)::INT AS event_week FROM {view})"
+
+
+DENSE = f"WITH {TIMELINE}, {started('timeline')}, {WEEKLY}"
+LOOSE = f"WITH {SPARSE}, {started('sparse')}, {WEEKLY}"
 ACTIVE = f"""{LOOSE}, act_only AS (SELECT person, min(week_num) FILTER (ci <> 0) AS f, max(week_num) FILTER (ci <> 0) AS l, count(*) FILTER (ci <> 0) AS active FROM ci GROUP BY 1),
 trimmed AS (SELECT c.person, week_num - f AS i, ci AS x, l - f + 1 AS n, active FROM ci c JOIN act_only USING (person) WHERE active >= 6 AND week_num BETWEEN f AND l),
 pts AS (SELECT DISTINCT person, n, active, unnest(range(0, 52))::INT AS k FROM trimmed), pt AS (SELECT *, k * (n - 1) / 51.0 AS pos FROM pts),
@@ -29,7 +35,8 @@ mm AS (SELECT person, k, x, CASE WHEN max(x) OVER p > min(x) OVER p THEN (x - mi
 
 
 def _weekly(events: DataFrame) -> DataFrame:
-    e = milestones.with_event_week(events)
+    first = F.min("event_timestamp").over(Window.partitionBy("person"))
+    e = events.withColumn("event_week", F.floor(F.datediff("event_timestamp", first) / 7).cast("int"))
     comments = e.where("pr_state = 'open'").select("person", "event_week", F.lit(1).alias("comments"))
     return series.weekly_contribution_metrics(e, comments=comments)
 
