@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.columns import correlation, count_if, week_start, weeks_between
 from trailmark.operators.activity import PERSON, PROJECT
+from trailmark.operators.stats import on_keys
 from trailmark.operators.steps import core_cuts, count_levels, with_core_steps
 from trailmark.operators.written import spread, written
 
@@ -21,18 +22,19 @@ MODES = {"full": ("instant_core", "early_project_core", "low_activity"), "no_ins
 def transition_summary_basic(activity: DataFrame, active_days: int = 90) -> DataFrame:
     """A person's first and last active week, totals, first core week, whether still core, greatest share, and status at the
     end: core, active (a commit in the last `active_days`) or inactive."""
-    project_end = F.max("week_date").over(Window.partitionBy("project_name", "project_type"))
-    rows = activity.withColumn("project_end", project_end)
     active = F.col("commits_this_week") > 0
-    out = rows.groupBy(*PERSON).agg(
+    out = activity.groupBy(*PERSON).agg(
         F.min("week_date").alias("first_week"),
         F.max(F.when(active, F.col("week_date"))).alias("last_active_week"),
         F.sum("commits_this_week").alias("total_commits"),
         F.min(F.when(F.col("is_core_this_week"), F.col("week_date"))).alias("first_core_week"),
         F.max_by("is_core_this_week", "week_date").alias("core_at_end"),
         F.max("contribution_percentage").alias("max_percentage"),
-        F.max("project_end").alias("project_end"),
+        F.max("week_date").alias("own_end"),
     )
+    # A project's end is that of its people: a row a person meets a row a project, not a window over all weeks of a project.
+    out = written(out)
+    out = on_keys(out, out.groupBy(*PROJECT).agg(F.max("own_end").alias("project_end")), PROJECT).drop("own_end")
     recent = F.datediff("project_end", "last_active_week") < active_days
     status = F.when(F.col("core_at_end"), "core").when(recent, "active").otherwise("inactive")
     return out.withColumn("final_status", status).drop("project_end")
