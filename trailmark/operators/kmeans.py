@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,26 +33,58 @@ def starts(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centre of each row (of equal ones the first) and the squared distance to it."""
-    square = np.stack([((x - c) ** 2).sum(1) for c in centres], 1)
-    at = square.argmin(1)
-    return at, square[np.arange(len(x)), at]
+    return nearest_of(x, [centres])[0]
+
+
+def nearest_of(x: np.ndarray, sets: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """nearest() for each of several sets of centres. One product of matrices gives all distances but for its rounding; rows whose
+    two nearest centres are as close as that are told by differences."""
+    size, xx, out = 4096, (x * x).sum(1), [([], []) for _ in sets]
+    every = np.concatenate(sets)
+    cc = (every * every).sum(1)
+    for begin in range(0, len(x), size):
+        part = x[begin : begin + size]
+        whole = xx[begin : begin + size, None] + cc - 2 * (part @ every.T)
+        start = 0
+        for (ats, squares), centres in zip(out, sets, strict=True):
+            square = whole[:, start : start + len(centres)]
+            at = square.argmin(1)
+            if len(centres) > 1:
+                two = np.partition(square, 1, axis=1)
+                near = np.flatnonzero(two[:, 1] - two[:, 0] <= 1e-9 * (xx[begin : begin + size] + cc[start : start + len(centres)].max()))
+                if len(near):
+                    at[near] = np.stack([((part[near] - c) ** 2).sum(1) for c in centres], 1).argmin(1)
+            ats.append(at)
+            squares.append(((part - centres[at]) ** 2).sum(1))
+            start += len(centres)
+    return [(np.concatenate(a), np.concatenate(s)) if a else (np.zeros(0, int), np.zeros(0)) for a, s in out]
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a column of arrays of equal length, not null."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _rows(k: int, restart: int, i: Sequence[int], v: Sequence[float], far: Sequence[float], x: Sequence[Sequence[float]]) -> pa.RecordBatch:
+    n, kinds = len(i), (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
+    columns = ([k] * n, [restart] * n, i, v, far, x)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["k", "restart", "i", "v", "far", "x"])
 
 
 def _pass(rows: DataFrame, column: str, runs: dict[Run, np.ndarray]) -> tuple[dict, dict, dict]:
     """Of each run: sums and sizes of its clusters, its cost, and the row farthest from its centre."""
     shared = rows.sparkSession.sparkContext.broadcast(runs)
 
-    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[Run, np.ndarray] = {}
         cost: dict[Run, float] = {}
         far: dict[Run, tuple[float, list[float]]] = {}
         for part in parts:
-            if not len(part):
+            if not part.num_rows:
                 continue
-            x = np.stack(part[column].to_numpy()).astype(float)
+            x = matrix(part.column(0))
             whole = np.concatenate([np.ones((len(x), 1)), x], 1)
-            for run, centres in shared.value.items():
-                at, square = nearest(x, centres)
+            for (run, centres), (at, square) in zip(shared.value.items(), nearest_of(x, list(shared.value.values())), strict=True):
                 hot = np.zeros((len(centres), len(x)))
                 hot[at, np.arange(len(x))] = 1
                 total[run] = total.get(run, 0.0) + hot @ whole
@@ -60,10 +93,10 @@ def _pass(rows: DataFrame, column: str, runs: dict[Run, np.ndarray]) -> tuple[di
                 far[run] = max(far.get(run, (-1.0, [])), (float(square[i]), x[i].tolist()))
         for (k, restart), s in total.items():
             values = s.ravel()
-            yield pd.DataFrame({"k": k, "restart": restart, "i": np.arange(len(values)), "v": values, "far": -1.0, "x": [[]] * len(values)})
-            yield pd.DataFrame({"k": [k], "restart": [restart], "i": [-1], "v": [cost[k, restart]], "far": [far[k, restart][0]], "x": [far[k, restart][1]]})
+            yield _rows(k, restart, np.arange(len(values)), values, [-1.0] * len(values), [[]] * len(values))
+            yield _rows(k, restart, [-1], [cost[k, restart]], [far[k, restart][0]], [far[k, restart][1]])
 
-    found = rows.select(column).mapInPandas(sums, "k int, restart int, i int, v double, far double, x array<double>")
+    found = rows.select(column).mapInArrow(sums, "k int, restart int, i int, v double, far double, x array<double>")
     found = found.groupBy("k", "restart", "i").agg(F.sum("v").alias("v"), F.max_by("x", F.struct("far", "x")).alias("x")).toPandas()
     total, cost, far = {}, {}, {}
     for (k, restart), own in found.groupby(["k", "restart"]):
@@ -117,6 +150,6 @@ def assigned(rows: DataFrame, column: str, centres: Sequence[np.ndarray], name:
         if not len(values):
             return pd.Series([], dtype=object)
         x = np.stack(values.to_numpy()).astype(float)
-        return pd.Series(np.stack([nearest(x, c)[0] for c in shared.value], 1).astype(np.int32).tolist())
+        return pd.Series(np.stack([at for at, _ in nearest_of(x, shared.value)], 1).astype(np.int32).tolist())
 
     return rows.withColumn(name, label(F.col(column).cast("array<double>")))
