@@ -116,7 +116,7 @@ def permutation_importance(model: PipelineModel, frame: DataFrame, features: Seq
     own = rows.withColumn("_m", maps).select("_i", label, *features, F.posexplode("_m").alias("repeat", "_m"))
     own = own.withColumn("_j", F.pmod(F.col("_m")["a"] * F.col("_i") + F.col("_m")["b"], F.lit(max(n, 1))))
     donors = rows.select(F.col("_i").alias("_j"), *[F.col(f).alias(f"_new_{f}") for f in features])
-    dealt = own.join(donors, "_j").withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    dealt = own.join(donors.hint("merge"), "_j").withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
     dealt = dealt.select("feature", "repeat", label, *[F.when(F.col("feature") == f, F.col(f"_new_{f}")).otherwise(F.col(f)).alias(f) for f in features])
     plain = rows.select(F.lit("").alias("feature"), F.lit(0).alias("repeat"), label, *features)
     scored = model.transform(dealt.unionByName(plain)).select("feature", "repeat", label, score_column(name).alias("score"))
