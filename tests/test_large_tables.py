@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmark.operators import activity, core, features, kmeans, series
 from trailmark.plans import views
+from trailmark.plans.catalog import QUERIES
 
 DIR = "/root/testdata/sf0.001"
 
@@ -30,6 +31,10 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
+def views_query(name, spark):
+    return QUERIES[name](spark, DIR)
+
+
 def test_activity_equals_windows_over_the_grid_and_the_grid_is_not_shuffled(commits):
     new = activity.contributor_activity(commits)
     old = activity.with_core_flag(activity.with_rank(activity.with_cumulative(activity.weekly_grid(activity.weekly_contributor_agg(commits)))))
@@ -91,3 +96,12 @@ def test_nearest_centres_equal_those_by_differences():
     for (at, square), centres in zip(kmeans.nearest_of(x, sets), sets, strict=True):
         whole = np.stack([((x - c) ** 2).sum(1) for c in centres], 1)
         assert (at == whole.argmin(1)).all() and (square == whole[np.arange(len(x)), at]).all()
+
+
+def test_core_weeks_are_those_of_the_flag_without_a_row_a_week(commits):
+    flagged = activity.contributor_activity(commits).where("is_core_this_week").groupBy("project_name", "author_email").agg(F.count(F.lit(1)).alias("core_weeks"))
+    found = core.core_weeks(commits)
+    assert found.dtypes == flagged.dtypes
+    assert plain(found, *found.columns) == plain(flagged, *found.columns)
+    text = plan(views_query("is_core_flag", commits.sparkSession))
+    assert "Generate explode(" not in text[: text.index("cuts")]
