@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.operators import activity, core, features, kmeans, series
+from trailmark.operators import activity, core, features, journeys, kmeans, series
 from trailmark.plans import views
 from trailmark.plans.catalog import QUERIES
 
@@ -105,3 +105,12 @@ def test_core_weeks_are_those_of_the_flag_without_a_row_a_week(commits):
     assert plain(found, *found.columns) == plain(flagged, *found.columns)
     text = plan(views_query("is_core_flag", commits.sparkSession))
     assert "Generate explode(" not in text[: text.index("cuts")]
+
+
+def test_the_cohort_is_that_of_the_grid_and_reads_no_grid(commits):
+    grid, told = activity.weekly_grid(activity.weekly_contributor_agg(commits)), journeys.contributor_journeys(commits)
+    for least in (1, 8, 12):
+        rows = features.pre_core(grid, told, 2, least).groupBy(*activity.PERSON).agg(F.max("label_became_core").alias("label_became_core"))
+        found = features.pre_core_people(told, 2, least)
+        assert plain(found, *found.columns) == plain(rows, *found.columns)
+    assert "Generate explode(sequence" not in plan(views_query("pre_core_cohort", commits.sparkSession))
