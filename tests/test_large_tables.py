@@ -114,3 +114,26 @@ def test_the_cohort_is_that_of_the_grid_and_reads_no_grid(commits):
         found = features.pre_core_people(told, 2, least)
         assert plain(found, *found.columns) == plain(rows, *found.columns)
     assert "Generate explode(sequence" not in plan(views_query("pre_core_cohort", commits.sparkSession))
+
+
+def test_weeks_of_a_person_are_filled_in_many_tasks_without_a_shuffle_or_join(spark):
+    rnd, start, rows = random.Random(11), datetime.datetime(2021, 3, 3), []
+    for i in range(300):
+        rows.append((None if i % 50 == 0 else f"u{rnd.randrange(20)}", rnd.choice([None, *range(50)]), rnd.choice(["commit", "issue", "pull_request"]), rnd.choice(["merged", "open", None]), start + datetime.timedelta(days=rnd.randrange(400))))
+    events = spark.createDataFrame(rows, "person string, event_week int, event_type string, pr_state string, event_timestamp timestamp")
+    said = [(f"u{rnd.randrange(20)}", rnd.randrange(80), rnd.choice([2, None])) for _ in range(60)] + [("nobody", 3, 1), (None, 4, 1)]
+    weekly = series.weekly_contribution_metrics(events, comments=spark.createDataFrame(said, "person string, event_week int, comments int"))
+    want = {}
+    for p in {r[0] for r in rows}:
+        weeks = [r[1] for r in rows if r[0] == p and r[1] is not None]
+        for w in range(min(weeks), max(weeks) + 1):
+            own = [r for r in rows if r[:2] == (p, w) and p]
+            told = sum(r[2] or 0 for r in said if r[:2] == (p, w) and p)
+            want[p, w] = (sum(r[2] == "commit" for r in own), sum(r[2:4] == ("pull_request", "merged") for r in own), sum(r[2] == "issue" for r in own), min(7, len({r[4].date() for r in own})), told)
+    assert {(r[0], r[1]): r[2:] for r in weekly.collect()} == want
+    assert weekly.dtypes == [("person", "string"), ("week_num", "int"), *[(c, "bigint") for c in ("commits", "prs_merged", "issues_opened", "active_days", "comments")]]
+    for name in ("weekly_contribution_metrics", "contribution_index", "monthly_contribution"):
+        text = plan(views_query(name, spark))
+        above = text[: text.index("Generate explode(")]
+        assert "Exchange" not in above and "Join" not in above, name
+        assert "REPARTITION_BY_NUM" in text, name
