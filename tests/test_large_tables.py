@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.operators import activity, core, features, journeys, kmeans, series
-from trailmark.plans import views
+from trailmark.operators import activity, core, features, journeys, kmeans, series, threads, treatment
+from trailmark.plans import q_treatment, views
 from trailmark.plans.catalog import QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -137,3 +137,17 @@ def test_weeks_of_a_person_are_filled_in_many_tasks_without_a_shuffle_or_join(sp
         above = text[: text.index("Generate explode(")]
         assert "Exchange" not in above and "Join" not in above, name
         assert "REPARTITION_BY_NUM" in text, name
+
+
+def test_messages_alone_are_read_without_the_rest_of_a_payload(spark):
+    timeline = q_treatment._json_timeline(spark, DIR)
+    items, said = threads.thread_tables(timeline)
+    alone = threads.thread_messages(timeline)
+    assert alone.dtypes == said.dtypes and plain(alone, *said.columns) == plain(said, *said.columns) and said.count() > 5000
+    few_items, few = threads.thread_tables(timeline, only=("n_messages", "author", "replied_at"))
+    about = ["person", "thread_id", "event_type", "created_at", "item_author"]
+    assert few_items.columns == [*about, "n_messages"] and few.columns == [*about, "pos", "author", "replied_at"]
+    assert plain(few, *few.columns) == plain(said, *few.columns) and plain(few_items, *few_items.columns) == plain(items, *few_items.columns)
+    assert plain(treatment.response_timing(few_items, few), "*") == plain(treatment.response_timing(items, said), "*")
+    text = plan(views_query("extract_conversations", spark))
+    assert "BroadcastExchange" not in text and "requestedReviewers" not in text and text.count("tryParseJson") + text.count("parseJson") + text.count("parse_json") == 1

@@ -36,23 +36,28 @@ def extract_author(v: Column, path: str = "$") -> Column:
     return F.coalesce(login, F.when(~plain.startswith("{"), plain))
 
 
-def _message(v: Column) -> Column:
-    return F.struct(
-        extract_author(v).alias("author"),
-        F.try_to_timestamp(text_at(v, "$.timestamp", "$.createdAt", "$.created_at", "$.submittedAt", "$.submitted_at")).alias("timestamp"),
-        F.coalesce(text_at(v, "$.body"), F.lit("")).alias("body"),
-        F.coalesce(text_at(v, "$.role", "$.authorAssociation", "$.author_association"), F.lit("NONE")).alias("role"),
-    )
-
-
-def extract_conversations(v: Column) -> Column:
-    """array<struct<author, timestamp, body, role>>: the conversations, or else the comments (nodes or a plain list), and
-    then the timeline items of MESSAGE_KINDS. Empty for payloads without any."""
-    empty = F.array().cast("array<struct<author:string,timestamp:timestamp,body:string,role:string>>")
-    listed = F.coalesce(F.transform(_array_at(v, "$.conversations", "$.comments.nodes", "$.comments"), _message), empty)
+def _message(v: Column, only: Sequence[str] = ("author", "timestamp", "body", "role")) -> Column:
+    fields = {
+        "author": extract_author(v),
+        "timestamp": F.try_to_timestamp(text_at(v, "$.timestamp", "$.createdAt", "$.created_at", "$.submittedAt", "$.submitted_at")),
+        "body": F.coalesce(text_at(v, "$.body"), F.lit("")),
+        "role": F.coalesce(text_at(v, "$.role", "$.authorAssociation", "$.author_association"), F.lit("NONE")),
+    }
+    return F.struct(*[fields[c].alias(c) for c in only])
+
+
+def _messages(v: Column) -> Column:
+    """The messages as variants: the conversations, or else the comments (nodes or a plain list), and then the timeline items of
+    MESSAGE_KINDS. Empty for payloads without any."""
+    empty = F.array().cast("array<variant>")
     items = _array_at(v, "$.timelineEvents.nodes", "$.timelineEvents")
     kept = F.filter(items, lambda x: F.try_variant_get(x, "$.__typename", "string").isin(*MESSAGE_KINDS))
-    return F.concat(listed, F.coalesce(F.transform(kept, _message), empty))
+    return F.concat(F.coalesce(_array_at(v, "$.conversations", "$.comments.nodes", "$.comments"), empty), F.coalesce(kept, empty))
+
+
+def extract_conversations(v: Column, only: Sequence[str] = ("author", "timestamp", "body", "role")) -> Column:
+    """array<struct<author, timestamp, body, role>> of the payload's messages, or of the named fields."""
+    return F.transform(_messages(v), lambda m: _message(m, only))
 
 
 def list_size(v: Column, *names: str) -> Column:
@@ -97,47 +102,59 @@ def build_timeline(events: DataFrame, commits: DataFrame, first_core: DataFrame)
     return both.select(*keys, "event_type", "event_timestamp", "event_identifier", "event_data", week.alias("event_week"), pre.alias("is_pre_core"), (F.row_number().over(order) - 1).alias("event_id"))
 
 
-def thread_tables(timeline: DataFrame, keys: Sequence[str] = ("person",)) -> tuple[DataFrame, DataFrame]:
+def _threads(timeline: DataFrame) -> DataFrame:
+    """The timeline's pull requests and issues with v, the parsed payload (null for a broken one: a test of that here would be put
+    below and parse every payload once more), created_at and item_author."""
+    v = F.col("v")
+    rows = timeline.where(F.col("event_type").isin("pull_request", "issue")).withColumn("v", parsed(F.col("event_data")))
+    created = F.coalesce(F.try_to_timestamp(text_at(v, "$.created_at", "$.createdAt")), F.col("event_timestamp"))
+    return rows.withColumn("created_at", created).withColumn("item_author", extract_author(v))
+
+
+def thread_messages(timeline: DataFrame, keys: Sequence[str] = ("person",)) -> DataFrame:
+    """The messages of thread_tables alone, in one pass: nothing else of a payload is read, and no table is written."""
+    flat = _threads(timeline).select(*keys, F.col("event_id").alias("thread_id"), "event_type", "created_at", "item_author", F.posexplode(_messages(F.col("v"))).alias("pos", "v"))
+    m = flat.withColumn("m", _message(F.col("v")))
+    return m.select(*keys, "thread_id", "event_type", "created_at", "item_author", "pos", "m.author", F.col("m.timestamp").alias("replied_at"), "m.body", "m.role")
+
+
+def thread_tables(timeline: DataFrame, keys: Sequence[str] = ("person",), only: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(items, messages) of a timeline's pull requests and issues.
 
     items: keys, thread_id, event_type, created_at, item_author, state, and the counts that trust_indicators reads;
-    messages: keys, thread_id, event_type, created_at, item_author, pos, author, replied_at, body, role.
+    messages: keys, thread_id, event_type, created_at, item_author, pos, author, replied_at, body, role. With `only`, of the
+    columns after item_author (but pos) just the named ones, in both tables, are read from the payloads and written.
     """
     v = F.col("v")
-    rows = timeline.where(F.col("event_type").isin("pull_request", "issue")).withColumn("v", parsed(F.col("event_data"))).where("v is not null")
-    created = F.coalesce(F.try_to_timestamp(text_at(v, "$.created_at", "$.createdAt")), F.col("event_timestamp"))
     reviews = _array_at(v, "$.reviews.nodes", "$.reviews")
     approvals = F.filter(reviews, lambda r: text_at(r, "$.state", "$.stateStr") == "APPROVED")
     hours = F.transform(approvals, lambda r: (F.unix_seconds(F.try_to_timestamp(text_at(r, "$.submittedAt", "$.submitted_at"))) - F.unix_seconds("created_at")) / 3600.0)
     labels = F.transform(_array_at(v, "$.labels.nodes", "$.labels"), lambda x: F.lower(F.coalesce(text_at(x, "$.name"), F.try_variant_get(x, "$", "string"))))
-    rows = rows.withColumn("created_at", created).withColumn("item_author", extract_author(v)).withColumn("messages", extract_conversations(v))
-    rows = rows.select(
-        *keys,
-        F.col("event_id").alias("thread_id"),
-        "event_type",
-        "created_at",
-        "item_author",
-        pr_state(v).alias("state"),
-        F.size("messages").alias("n_messages"),
-        F.coalesce(F.size(reviews), F.lit(0)).alias("n_reviews"),
-        F.coalesce(F.transform(reviews, lambda r: extract_author(r)), F.array().cast("array<string>")).alias("reviewers"),
-        F.coalesce(F.size(approvals), F.lit(0)).alias("n_approvals"),
-        F.coalesce(F.filter(hours, lambda h: h >= 0), F.array().cast("array<double>")).alias("approval_hours"),
-        F.coalesce(F.size(F.filter(reviews, lambda r: text_at(r, "$.state", "$.stateStr").isin("CHANGES_REQUESTED", "REQUEST_CHANGES"))), F.lit(0)).alias("n_rejections"),
-        extract_author(v, "$.mergedBy").alias("merged_by_author"),
-        text_at(v, "$.mergedBy.login").alias("merged_by"),
-        list_size(v, "requestedReviewers", "requested_reviewers").alias("n_requested"),
-        F.coalesce(labels, F.array().cast("array<string>")).alias("labels"),
-        (F.try_variant_get(v, "$.milestone", "variant").isNotNull() & ~F.is_variant_null(F.try_variant_get(v, "$.milestone", "variant"))).alias("has_milestone"),
-        list_size(v, "projectCards", "project_cards").alias("n_projects"),
-        list_size(v, "assignees").alias("n_assignees"),
-        (text_at(v, "$.closedBy.login", "$.mergedBy.login")).isNotNull().alias("administrative"),
-        "messages",
-    )
+    facts = {
+        "state": pr_state(v),
+        "n_messages": F.size("messages"),
+        "n_reviews": F.coalesce(F.size(reviews), F.lit(0)),
+        "reviewers": F.coalesce(F.transform(reviews, lambda r: extract_author(r)), F.array().cast("array<string>")),
+        "n_approvals": F.coalesce(F.size(approvals), F.lit(0)),
+        "approval_hours": F.coalesce(F.filter(hours, lambda h: h >= 0), F.array().cast("array<double>")),
+        "n_rejections": F.coalesce(F.size(F.filter(reviews, lambda r: text_at(r, "$.state", "$.stateStr").isin("CHANGES_REQUESTED", "REQUEST_CHANGES"))), F.lit(0)),
+        "merged_by_author": extract_author(v, "$.mergedBy"),
+        "merged_by": text_at(v, "$.mergedBy.login"),
+        "n_requested": list_size(v, "requestedReviewers", "requested_reviewers"),
+        "labels": F.coalesce(labels, F.array().cast("array<string>")),
+        "has_milestone": F.try_variant_get(v, "$.milestone", "variant").isNotNull() & ~F.is_variant_null(F.try_variant_get(v, "$.milestone", "variant")),
+        "n_projects": list_size(v, "projectCards", "project_cards"),
+        "n_assignees": list_size(v, "assignees"),
+        "administrative": text_at(v, "$.closedBy.login", "$.mergedBy.login").isNotNull(),
+    }
+    said = {c: c.replace("replied_at", "timestamp") for c in ("author", "replied_at", "body", "role") if only is None or c in only}
+    rows = _threads(timeline).withColumn("messages", extract_conversations(v, list(said.values()) or ["author"]))
     # Both tables come from one pass over the payloads.
-    rows = written(rows)
-    items, flat = rows.drop("messages"), rows.select(*keys, "thread_id", "event_type", "created_at", "item_author", F.posexplode("messages").alias("pos", "m"))
-    return items, flat.select(*keys, "thread_id", "event_type", "created_at", "item_author", "pos", "m.author", F.col("m.timestamp").alias("replied_at"), "m.body", "m.role")
+    about = [*keys, "thread_id", "event_type", "created_at", "item_author"]
+    own = [f.alias(c) for c, f in facts.items() if only is None or c in only]
+    rows = written(rows.withColumn("thread_id", F.col("event_id")).select(*about, *own, "messages", v.isNotNull().alias("whole"))).where("whole").drop("whole")
+    items, flat = rows.drop("messages"), rows.select(*about, F.posexplode("messages").alias("pos", "m"))
+    return items, flat.select(*about, "pos", *[F.col(f"m.{of}").alias(c) for c, of in said.items()])
 
 
 def comment_counts(items: DataFrame, keys: Sequence[str] = ("person",)) -> DataFrame:

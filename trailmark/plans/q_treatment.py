@@ -55,7 +55,7 @@ OTHERS = f"WITH {REPLIES}, others AS (SELECT *, (epoch(replied_at) - epoch(creat
 
 @query(f"WITH {REPLIES} SELECT person, thread_id, (row_number() OVER (PARTITION BY thread_id ORDER BY pos, author, replied_at, role) - 1)::INT AS pos, author, replied_at, 'line ' || pos AS body, role FROM replies")
 def extract_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tables(spark, sf_dir)[1].select("person", "thread_id", "pos", "author", "replied_at", "body", "role")
+    return threads.thread_messages(_json_timeline(spark, sf_dir)).select("person", "thread_id", "pos", "author", "replied_at", "body", "role")
 
 
 @query(f"WITH {REPLIES} SELECT thread_id, any_value(person) AS author, CASE thread_id % 3 WHEN 0 THEN 'merged' WHEN 1 THEN 'rejected' ELSE 'open' END AS state FROM replies GROUP BY 1")
@@ -106,7 +106,8 @@ t AS (SELECT person, count(*) AS responses, count(*) FILTER (is_first) AS first_
 SELECT person, items, items AS items_with_responses, 1.0::DOUBLE AS response_rate, coalesce(responses, 0) AS responses, coalesce(first_count, 0) AS first_count, round(fm, 6) AS first_mean, round(fmed, 6) AS first_median, round(fs, 6) AS first_std, fmin AS first_min, fmax AS first_max, round(q25, 6) AS first_q25, round(q75, 6) AS first_q75,
   round(am, 6) AS all_mean, round(amed, 6) AS all_median, round(asd, 6) AS all_std, round(coalesce(we, 0), 6) AS weekend_rate, round(coalesce(sd, 0), 6) AS same_day_rate FROM n LEFT JOIN t USING (person)""")
 def response_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return treatment.response_timing(*_tables(spark, sf_dir)).drop("off_hours_rate", "business_hours_rate", "within_hour_rate")
+    items, said = threads.thread_tables(_json_timeline(spark, sf_dir), only=("n_messages", "author", "replied_at"))
+    return treatment.response_timing(items, said).drop("off_hours_rate", "business_hours_rate", "within_hour_rate")
 
 
 @query(f"""{ITEMS}, said AS (SELECT person, thread_id, event_type, author, role FROM replies WHERE author <> person UNION ALL SELECT person, thread_id, event_type, reviewer, NULL FROM items, range(n_reviews::BIGINT) WHERE pr AND reviewer <> person),
