@@ -46,7 +46,8 @@ def response_timing(items: DataFrame, messages: DataFrame, keys: Sequence[str] =
     start to replies by others, none negative: first_* of the first in list order, all_* of all; shares on weekends, off
     hours (before 9, from 18), in business hours, within 1 and 24 hours."""
     hours = (F.unix_seconds("replied_at") - F.unix_seconds("created_at")) / 3600.0
-    replies = by_others(messages).withColumn("hours", hours).where("hours >= 0")
+    # Dealt by person once, for the threads' first replies and for the person's figures.
+    replies = by_others(messages).withColumn("hours", hours).where("hours >= 0").select(*keys, "thread_id", "pos", "replied_at", "hours").repartition(*keys)
     replies = replies.withColumn("first", F.row_number().over(Window.partitionBy(*keys, "thread_id").orderBy("pos")) == 1)
     first, h, hour = F.when(F.col("first"), F.col("hours")), F.col("hours"), F.hour("replied_at")
     off = (hour < 9) | (hour >= 18)
