@@ -44,3 +44,21 @@ def test_bounds_leave_most_members_out(spark):
 
 def test_no_rows(spark):
     assert series.medoid(frame(spark, []).limit(0)).count() == 0
+
+
+def sent(spark):
+    """Bytes of all results sent to the driver so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).resultSize() for i in range(stages.size()))
+
+
+def test_each_member_is_sent_to_the_driver_once_at_most(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1200, 256))
+    rows = [(0, v) for v in x / np.linalg.norm(x, axis=1)[:, None]]  # bounds leave none of these out
+    before = sent(spark)
+    found, asked = medoids(frame(spark, rows).repartition(8), ["person"], "series", block=64)
+    assert {r.cluster: r.person for r in found.collect()} == plain(rows) and asked >= 1200
+    assert sent(spark) - before < 9_000_000
