@@ -121,3 +121,11 @@ def test_the_checks_do_not_shuffle_or_sort_the_grid(spark):
     above = text[: text.index("Generate explode(slice(_levels")]
     after_runs = above[above.index("MapInArrow") :]
     assert "Exchange" not in after_runs and "Sort" not in after_runs and "Window" not in after_runs
+
+
+def test_transition_violations_are_counted(spark):
+    rows = [("p", "A", "ok", False, 3, 5, True, 5), ("p", "A", "cens", True, 3, 5, True, 5), ("p", "A", "neg", True, None, -1, False, None), ("p", "A", "time", False, 3, 4, True, 5)]
+    rows += [("p", "A", "twice", True, None, 2, False, None)] * 2 + [(None, "A", None, None, None, -2, None, 5)]
+    t = spark.createDataFrame(rows, "project_name string, project_type string, author_email string, censored boolean, first_core_week int, time_to_event_weeks int, became_core boolean, weeks_to_core int")
+    assert dict(checks.transition_checks(t).collect()) == {"censored_unlike_core": 1, "negative_time": 2, "event_time_unlike_weeks": 1, "duplicate_people": 1}
+    assert dict(checks.transition_checks(t.limit(0)).collect()) == dict.fromkeys(["censored_unlike_core", "negative_time", "event_time_unlike_weeks", "duplicate_people"], 0)
