@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.columns import correlation
 from trailmark.functions.tails import correlation_p
 from trailmark.operators import stats
+from trailmark.operators.dealing import dealt_counts
 from trailmark.operators.numbering import numbered
 from trailmark.operators.written import written
 
@@ -66,23 +67,26 @@ def cross_validated(frame: DataFrame, features: Sequence[str], label: str, ids:
     return out
 
 
-def eval_binary(scored: DataFrame, label: str, score: str = "score", keys: Sequence[str] = (), thresholds: int = 19) -> DataFrame:
+def eval_binary(scored: DataFrame, label: str, score: str = "score", keys: Sequence[str] = (), thresholds: int = 19, count: str | None = None) -> DataFrame:
     """keys, n, positives, roc_auc, average_precision, best_f1 and its threshold (of k / (thresholds + 1)), brier.
 
-    All from counts of labels by distinct score.
+    All from counts of labels by distinct score, which are written once, so that a model scores each row once. A row stands for
+    as many as its `count` says, if that is given.
     """
     on = list(keys) or ["_all"]
     rows = scored if keys else scored.withColumn("_all", F.lit(0))
-    y = F.col(label).cast("double")
-    each = rows.groupBy(*on, F.col(score).alias("s")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q"))
+    y, times = F.col(label).cast("double"), F.col(count) if count else F.lit(1)
+    each = written(rows.groupBy(*on, F.col(score).alias("s")).agg(F.sum(y * times).alias("p"), F.sum((1 - y) * times).alias("q")))
     each = stats.running_sums(each, on, "s", ["p", "q"]).withColumnsRenamed({"p_all": "all_p", "q_all": "all_q"})
     each = each.withColumn("tp", F.col("all_p") - F.col("p_below")).withColumn("fp", F.col("all_q") - F.col("q_below"))
     auc = F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2)) / (F.max("all_p") * F.max("all_q"))
     precision = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("all_p")
     curve = each.groupBy(*on).agg(F.max("all_p").alias("positives"), (F.max("all_p") + F.max("all_q")).alias("n"), auc.alias("roc_auc"), precision.alias("average_precision"), (F.sum(F.col("p") * (F.col("s") - 1) * (F.col("s") - 1) + F.col("q") * F.col("s") * F.col("s")) / (F.max("all_p") + F.max("all_q"))).alias("brier"))
-    cuts = each.withColumn("t", F.explode(F.array(*[F.lit(k / (thresholds + 1)) for k in range(1, thresholds + 1)])))
-    hit = F.col("s") >= F.col("t")
-    f1 = cuts.groupBy(*on, "t").agg(F.sum(F.when(hit, F.col("p")).otherwise(0.0)).alias("tp"), F.sum(F.when(hit, F.col("p") + F.col("q")).otherwise(0.0)).alias("k"), F.max("all_p").alias("pos"))
+    cuts = F.array(*[F.lit(k / (thresholds + 1)) for k in range(1, thresholds + 1)])
+    # Scores are first joined by how many thresholds they reach.
+    few = each.groupBy(*on, F.size(F.filter(cuts, lambda t: F.col("s") >= t)).alias("reached")).agg(F.sum("p").alias("p"), F.sum(F.col("p") + F.col("q")).alias("k"), F.max("all_p").alias("all_p"))
+    hit = F.col("i") < F.col("reached")
+    f1 = few.select("*", F.posexplode(cuts).alias("i", "t")).groupBy(*on, "t").agg(F.sum(F.when(hit, F.col("p")).otherwise(0.0)).alias("tp"), F.sum(F.when(hit, F.col("k")).otherwise(0.0)).alias("k"), F.max("all_p").alias("pos"))
     f1 = f1.withColumn("f1", 2 * F.col("tp") / (F.col("k") + F.col("pos"))).groupBy(*on).agg(F.max("f1").alias("best_f1"), F.max_by("t", F.struct("f1", -F.col("t"))).alias("threshold"))
     out = curve.join(f1, on)
     return out if keys else out.drop("_all")
@@ -107,22 +111,17 @@ def permutation_importance(model: PipelineModel, frame: DataFrame, features: Seq
     """feature, drop, spread: mean and deviation of the loss of ROC AUC when the feature's values are dealt anew.
 
     Rows are numbered in hashed order, and a repeat gives each row the values of another by a bijection of these numbers, the same
-    for all features: one join deals all repeats. Dealt tables are scored and evaluated in one plan, by (feature, repeat), whose
-    size doesn't grow with the features' number but for a column each.
+    for all features. Dealt rows are counted by label and vector where they arrive (dealing.dealt_counts), and each vector of a
+    table is scored once, so a model sees no more rows than there are different ones.
     """
-    rows = written(numbered(frame.select(*ids, label, *features), ids, name="_i"))
-    n = rows.count()
-    maps = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in bijections(n, repeats)])
-    own = rows.withColumn("_m", maps).select("_i", label, *features, F.posexplode("_m").alias("repeat", "_m"))
-    own = own.withColumn("_j", F.pmod(F.col("_m")["a"] * F.col("_i") + F.col("_m")["b"], F.lit(max(n, 1))))
-    donors = rows.select(F.col("_i").alias("_j"), *[F.col(f).alias(f"_new_{f}") for f in features])
-    dealt = own.join(donors.hint("merge"), "_j").withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
-    dealt = dealt.select("feature", "repeat", label, *[F.when(F.col("feature") == f, F.col(f"_new_{f}")).otherwise(F.col(f)).alias(f) for f in features])
-    plain = rows.select(F.lit("").alias("feature"), F.lit(0).alias("repeat"), label, *features)
-    scored = model.transform(dealt.unionByName(plain)).select("feature", "repeat", label, score_column(name).alias("score"))
-    found = eval_binary(scored, label, keys=["feature", "repeat"]).select("feature", "repeat", "roc_auc").toPandas()  # a row a table
-    base = float(found.loc[found["feature"] == "", "roc_auc"].iloc[0])
-    drops = {f: base - found.loc[found["feature"] == f, "roc_auc"] for f in features}
+    rows = numbered(frame.select(*ids, label, *features), ids, name="_i")
+    n = frame.count()
+    counts = dealt_counts(rows, features, label, "_i", max(n, 1), bijections(n, repeats))
+    tables = counts.groupBy("feature", "repeat", label, *features).agg(F.sum("_n").alias("_n"))
+    scored = model.transform(tables).select("feature", "repeat", label, "_n", score_column(name).alias("score"))
+    found = eval_binary(scored, label, keys=["feature", "repeat"], count="_n").select("feature", "repeat", "roc_auc").orderBy("feature", "repeat").toPandas()  # a row a table
+    base = float(found.loc[found["feature"] == -1, "roc_auc"].iloc[0])
+    drops = {f: base - found.loc[found["feature"] == k, "roc_auc"] for k, f in enumerate(features)}
     return frame.sparkSession.createDataFrame([(f, float(d.mean()), float(d.std(ddof=0))) for f, d in drops.items()], "feature string, drop double, spread double")
 
 
