@@ -106,6 +106,28 @@ def test_core_runs_list_the_weeks_of_the_timeline(spark):
     assert found == sorted(map(tuple, listed.collect())) and len(found) > 500
 
 
+def test_the_last_core_is_that_of_the_timelines_last_week(spark):
+    rnd, start = random.Random(9), datetime.datetime(2020, 1, 6)
+    c = [(rnd.choice("pqr"), "A", f"{rnd.choice('abcdef')}{int(rnd.expovariate(0.3))}", start + datetime.timedelta(days=rnd.randrange(500))) for _ in range(300)]
+    c += [("tied", "A", f"t{i:02d}", start + datetime.timedelta(days=i)) for i in range(30)] + [("one", "A", "u", start), (None, "A", "u", start), ("p", "A", None, start)]
+    commits = spark.createDataFrame(c, "project_name string, project_type string, author_email string, commit_date timestamp")
+    counts, timeline = core.contributor_counts(commits).persist(), core.core_timeline_weekly(commits)
+    for percent in (50, 80):
+        weekly = core.core_timeline_weekly(commits, percent)
+        last = weekly.groupBy("project_name").agg(F.max_by("core", "week_date").alias("core")).select("project_name", F.explode("core"))
+        found = sorted((r[0], r[1]) for r in core.last_core(counts, percent).collect() if r[1] is not None)
+        assert found == sorted(map(tuple, last.collect())) and len({r[0] for r in found}) == 5
+    rows = lambda frame: sorted(map(str, frame.select("project_name", "commits", "core_commits", "percent").collect()))
+    found = checks.coverage_of(core.last_core(counts), counts)
+    assert rows(found) == rows(checks.core_coverage(timeline, commits))
+    assert {r.project_name: (r.commits, r.core_commits, r.percent) for r in found.collect()}["tied"] == (30, 24, 80.0)
+
+
+def test_the_coverage_check_lists_no_core_for_each_week(spark):
+    text = QUERIES["core_coverage_check"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "max_by" not in text and "collect_list(author_email" not in text and "explode(core_steps" not in text
+
+
 def test_without_hashes_the_activity_is_the_same_but_for_them(spark):
     rnd, start = random.Random(6), datetime.datetime(2020, 1, 6)
     c = [("p", "A", f"u{rnd.randrange(9)}", str(i), start + datetime.timedelta(days=rnd.randrange(200)), 1, 2, 3) for i in range(60)]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.columns import count_if
 from trailmark.operators.activity import PERSON
+from trailmark.operators.core import contributor_counts
 
 #: What the checks read of a weekly activity table, and the number of weeks that a row stands for.
 RUNS = "project_name string, project_type string, author_email string, week_number int, week_date date, commits_this_week bigint, cumulative_commits bigint, is_core_this_week boolean, outside boolean, weeks bigint"
@@ -110,13 +111,21 @@ def core_flag_check(activity: DataFrame, timeline: DataFrame) -> DataFrame:
     return activity_checks(activity, listed).where("check = 'core_flag_unlike_timeline'")
 
 
+def coverage_of(core: DataFrame, counts: DataFrame) -> DataFrame:
+    """project_name, commits, core_commits, percent: the share of a project's commits by its core.
+
+    core: project_name, author_email, a row a member; counts: project_name, author_email, n (core.contributor_counts)."""
+    # Both grow with the people.
+    both = counts.join(core.select("project_name", "author_email", F.lit(1).alias("in_core")).hint("merge"), ["project_name", "author_email"], "left")
+    out = both.groupBy("project_name").agg(F.sum("n").alias("commits"), F.sum(F.when(F.col("in_core").isNotNull(), F.col("n")).otherwise(0)).alias("core_commits"))
+    return out.withColumn("percent", F.col("core_commits") * 100.0 / F.col("commits"))
+
+
 def core_coverage(timeline: DataFrame, commits: DataFrame) -> DataFrame:
-    """project_name, commits, core_commits, percent: the share of a project's commits by its core of the last listed week."""
+    """coverage_of the core of the last week that a stored timeline lists (project_name, week_date, core array). core.last_core is
+    that of the commits themselves, without a row for a person and week."""
     last = timeline.groupBy("project_name").agg(F.max_by("core", "week_date").alias("core"))
-    core = last.select("project_name", F.explode("core").alias("author_email"), F.lit(1).alias("in_core"))
-    both = commits.join(core, ["project_name", "author_email"], "left")
-    out = both.groupBy("project_name").agg(F.count(F.lit(1)).alias("commits"), F.count("in_core").alias("core_commits"))
-    return out.withColumn("percent", F.col("core_commits") * 100.0 / F.col("commits"))
+    return coverage_of(last.select("project_name", F.explode("core").alias("author_email")), contributor_counts(commits))
 
 
 def transition_checks(transitions: DataFrame) -> DataFrame:
