@@ -163,7 +163,7 @@ def test_permutation_importance_finds_the_feature(spark):
 
 
 def test_dealt_vectors_are_counted_and_scored_once(spark, monkeypatch):
-    monkeypatch.setattr(dealing, "PAGE_ROWS", 32)
+    monkeypatch.setattr(dealing, "PAGE_BYTES", 32 * 8 * 2 * 3)
     rng = np.random.default_rng(5)
     n, repeats, names = 300, 3, ["a", "b"]
     rows = [(i, None if i % 40 == 0 else float(rng.integers(0, 4)), float(rng.integers(0, 3)), float(rng.random() < 0.3 + i % 2 / 3), i) for i in range(n)]

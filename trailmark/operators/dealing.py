@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a page, which a task holds with the values dealt to it, and pages of a table at most: beyond that pages grow.
-PAGE_ROWS, PAGES = 1 << 16, 1024
+#: Bytes of the values dealt to a page of rows, which a task holds, and pages of a table at most: beyond that pages grow.
+PAGE_BYTES, PAGES = 16 << 20, 1024
 #: The page of the rows' own values among what is sent.
 OWN = -1
 
@@ -56,9 +56,9 @@ def dealt_counts(numbered: DataFrame, features: Sequence[str], label: str, numbe
     and in the order of their numbers, so no row has a key of its own. A vector may come in several rows, a few from each
     task. Features and label are taken as doubles; a missing value is NaN, and rows without a label are only dealt out.
     """
-    size = max(PAGE_ROWS, -(-n // PAGES))
-    back = [pow(a, -1, n) for a, _ in maps]
     width = len(features)
+    size = max(PAGE_BYTES // (8 * width * max(1, len(maps))), -(-n // PAGES), 1)
+    back = [pow(a, -1, n) for a, _ in maps]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches)
@@ -67,7 +67,8 @@ def dealt_counts(numbered: DataFrame, features: Sequence[str], label: str, numbe
         j = j[order]
         own = np.stack([rows.column(c).to_numpy()[order] for c in range(1, rows.num_columns)])
         page = int(j[0]) // size
-        targets = [np.mod(inverse * np.mod(j - b, n), n) // size for inverse, (_, b) in zip(back, maps, strict=True)]
+        # Short numbers, as there are few pages, are sorted by digits.
+        targets = [(np.mod(inverse * np.mod(j - b, n), n) // size).astype(np.int16) for inverse, (_, b) in zip(back, maps, strict=True)]
         # By target page, in it by repeat, in it by number.
         to = np.concatenate(targets)
         place = np.argsort(to, kind="stable")
